@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, line_dedup, token_binary, token_trie
+from tidewater.llm import byte_bpe, line_dedup, quality_fm, token_binary, token_trie
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def quality_machine(spark: SparkSession, df: DataFrame, sf_dir: str) -> quality_fm.Machine:
+    """Trained on a sample of at most 6000 labelled rows, none of a held-out document."""
+    admit = quality_fm.crc_fold(F.col("doc_id"), 3) != 1
+    return quality_fm.train(df, table(spark, sf_dir, "labels"), admit=admit, sample=6000, meta=("n_chars",))
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    held = F.coalesce(quality_fm.crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return quality_fm.score_documents(d, quality_machine(spark, d, sf_dir), meta=("n_chars",)).select("doc_id", held, "score", "predicted")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_fm": op1_quality_fm,
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_token_files": op9_token_files,
