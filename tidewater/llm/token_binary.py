@@ -39,6 +39,7 @@ CACHE_WORDS = 300_000
 
 #: ASCII white space only: other space characters stay in the word, and the library drops them there.
 _WORD = r"[^ \t\n\r\x0b\x0c]+"
+MARK = "\x01"
 MANIFEST = "part int, attempt string, n_docs long, n_ids long"
 
 
@@ -55,6 +56,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = f"<u{width}"
+        (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
         self.find = re.compile(_WORD).findall
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -69,10 +71,18 @@ class WordIds:
                     self.new[w] = self.old[w]
                 else:
                     missing.append(w)
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.new[w] = np.array(e.ids, self.kind).tobytes()
+        alone = [w for w in missing if MARK in w]
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
+            self.new[w] = np.array(e.ids, self.kind).tobytes()
+        # The others in long lines, with a word between them whose only id nothing else in the line has.
+        missing = [w for w in missing if MARK not in w] if alone else missing
+        for i in range(0, len(missing), 2000):
+            part = missing[i : i + 2000]
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            raw, w = ids.tobytes(), ids.itemsize
+            for k, word in enumerate(part):
+                self.new[word] = raw[(cuts[k] + 1) * w : cuts[k + 1] * w]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         found = [self.find(t) for t in texts]
