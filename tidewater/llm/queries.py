@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, line_dedup, quality_fm, token_binary, token_trie
+from tidewater.llm import byte_bpe, line_dedup, quality_fm, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
+def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = weak_rules.judged(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    kept = (~failed & (F.col("p_good") >= 0.5)).alias("kept")
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept, "p_good")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_fm": op1_quality_fm,
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_weak_rules": op7_weak_rules,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
