@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, line_dedup, quality_fm, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, decontaminate, line_dedup, quality_fm, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept, "p_good")
 
 
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_weak_rules": op7_weak_rules,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
