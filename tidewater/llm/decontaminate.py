@@ -32,7 +32,7 @@ SPACES = " \t\n\x0b\x0c\r"
 def word_hashes(text: Column) -> Column:
     """array<long> of the lower-case words' hashes."""
     low = F.translate(F.btrim(text, F.lit(SPACES)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(low == "", F.array().cast("array<long>")).otherwise(F.transform(F.split(low, WORD_BREAK), F.xxhash64))
+    return F.when(low == "", F.array().cast("array<long>")).otherwise(F.transform(F.split(low, WORD_BREAK), lambda w: F.xxhash64(w)))
 
 
 def seeds(h: str, i: str, n: str, masks: list[str]) -> Column:
