@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, decontaminate, line_dedup, quality_fm, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_fm, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_documents(d, quality_machine(spark, d, sf_dir), meta=("n_chars",)).select("doc_id", held, "score", "predicted")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = jaccard_join.near_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return got.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_weak_rules": op7_weak_rules,
