@@ -144,7 +144,7 @@ def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts, least: int) ->
         is_small = held < least
         unsafe = is_small.reshape(-1, m).sum(1) >= m - d
         out = np.flatnonzero(~is_small | np.repeat(unsafe, m))
-        sig = B.mix(total[out] + (out % m).astype(U) * _SALT[0] + held[out].astype(U) * _SALT[1] + U(g) * _SALT[2])
+        sig = B.mix(total[out] + (out % m).astype(U) * _SALT[0] + held[out].astype(U) * _SALT[1] + U(g * int(_SALT[2]) % 2**64))
         yield who[out // m], sig
 
 

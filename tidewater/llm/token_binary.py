@@ -17,8 +17,9 @@ again leaves another file; the rows that came back name the one that counts.
 Files go through the file system that the folder's URI names (a mounted folder, or any store that pyarrow
 knows); a mounted file is mapped into memory when it is read.
 
-A worker keeps ids of recent words in a cache of bounded size: the vocabulary drops
-white space, so a text's ids are those of its words, whatever stands beside them.
+The vocabulary drops white space, so a text's ids are those of its words, whatever stands beside them. A worker keeps
+the ids of the words that it has met in a hash table of bounded size, so that a frequent word is encoded by the library
+once; words are told apart by a 64-bit hash.
 
 Null text: the end id alone. Repeated doc_ids: one entry for each row, ties in any order.
 """
@@ -33,62 +34,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs, shared_dir
 
-CACHE_WORDS = 300_000
+U = np.uint64
+
+TABLE_WORDS = 3_000_000
 
-#: ASCII white space only: other space characters stay in the word, and the library drops them there.
-_WORD = r"[^ \t\n\r\x0b\x0c]+"
 MARK = "\x01"
 MANIFEST = "part int, attempt string, n_docs long, n_ids long"
 
 
+class WordTable:
+    """From 64-bit word hashes to runs of ids: open addressing in flat arrays, a few dozen bytes a word."""
+
+    def __init__(self, kind: str, most: int):
+        self.kind, self.most = kind, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.n_ids = 0, 0
+        self.slots = np.full(1 << 16, -1, np.int32)
+        self.keys = np.empty(1 << 15, U)
+        self.at = np.zeros((1 << 15) + 1, np.int64)
+        self.ids = np.empty(1 << 17, self.kind)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's entry, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        mask = U(len(self.slots) - 1)
+        live, place = np.arange(len(h)), h & mask
+        while len(live):
+            entry = self.slots[place]
+            got = entry >= 0
+            same = got & (self.keys[entry] == h[live])
+            out[live[same]] = entry[same]
+            on = got & ~same
+            live, place = live[on], (place[on] + U(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """New distinct hashes with their runs of ``ids``, one after another."""
+        n, total = self.n + len(h), self.n_ids + len(ids)
+        while n > len(self.keys):
+            self.keys = np.concatenate((self.keys, np.empty_like(self.keys)))
+            self.at = np.concatenate((self.at, np.zeros(len(self.at) - 1, np.int64)))
+        while total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.keys[self.n : n] = h
+        self.at[self.n + 1 : n + 1] = self.n_ids + np.cumsum(lens)
+        self.ids[self.n_ids : total] = ids
+        first, self.n, self.n_ids = self.n, n, total
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << int(4 * n - 1).bit_length(), -1, np.int32)
+            first = 0
+        mask = U(len(self.slots) - 1)
+        entry = np.arange(first, n)
+        place = self.keys[first:n] & mask
+        while len(entry):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = entry[free]  # of several for one slot the last stays; the others go on
+            rest = self.slots[place] != entry
+            entry, place = entry[rest], (place[rest] + U(1)) & mask
+
+    def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length of each entry's run, and all runs' ids, one after another."""
+        start = self.at[entries]
+        lens = self.at[entries + 1] - start
+        ends = np.cumsum(lens)
+        return lens, self.ids[np.repeat(start - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordIds:
-    """text -> ids as little-endian bytes, by a two-generation cache from words to ids."""
+    """Ids of runs of texts."""
 
     def __init__(self, path: str, width: int):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind = f"<u{width}"
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
-        self.find = re.compile(_WORD).findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.new) + len(words) > CACHE_WORDS:
-            self.old, self.new = self.new, {}
-        missing = []
-        for w in words:
-            if w not in self.new:
-                if w in self.old:
-                    self.new[w] = self.old[w]
-                else:
-                    missing.append(w)
-        alone = [w for w in missing if MARK in w]
-        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
-            self.new[w] = np.array(e.ids, self.kind).tobytes()
-        # The others in long lines, with a word between them whose only id nothing else in the line has.
-        missing = [w for w in missing if MARK not in w] if alone else missing
-        for i in range(0, len(missing), 2000):
-            part = missing[i : i + 2000]
-            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            raw, w = ids.tobytes(), ids.itemsize
-            for k, word in enumerate(part):
-                self.new[word] = raw[(cuts[k] + 1) * w : cuts[k + 1] * w]
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        found = [self.find(t) for t in texts]
-        self.learn(set().union(*found))
-        get = self.new.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in found]
+        self.kind = f"<u{width}"
+        self.table = WordTable(self.kind, TABLE_WORDS)
+
+    def narrow(self, ids: list[int]) -> np.ndarray:
+        return np.array(ids, self.kind)
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        """Words with ``MARK`` inside are encoded alone, the others in one line with a word between them whose only id nothing else there has."""
+        odd = np.array([MARK in w for w in words], bool)
+        for i in np.flatnonzero(odd):
+            ids = self.narrow(self.tok.encode(words[i], add_special_tokens=False).ids)
+            self.table.add(h[i : i + 1], np.array([len(ids)]), ids)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            line = f" {MARK} ".join([words[i] for i in plain])
+            ids = self.narrow(self.tok.encode_batch_fast([line], add_special_tokens=False)[0].ids)
+            cut = np.flatnonzero(ids == self.mark)
+            lens = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+            self.table.add(h[plain], lens, np.delete(ids, cut))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text with its end id, and all ids."""
+        n = len(offs) - 1
+        starts, ends, doc = B.words(data, offs)
+        h = B.span_hash(data, starts, ends)
+        entries = self.table.find(h)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            if self.table.n + len(new) > self.table.most:
+                self.table.clear()
+                new = np.arange(len(h))
+            own, where = np.unique(h[new], return_index=True)
+            raw = data.tobytes()
+            pick = new[where]
+            self.learn(own, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[pick].tolist(), ends[pick].tolist())])
+            entries = self.table.find(h)
+        lens, ids = self.table.runs(entries)
+        per = np.bincount(doc, lens, minlength=n).astype(np.int64)
+        return per + 1, np.insert(ids, np.cumsum(per), np.array(end, self.kind))
 
 
 @lru_cache(maxsize=4)
@@ -113,17 +180,6 @@ def _array(store, path: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def _slices(batch: pa.RecordBatch, most: int):
-    ids, col = batch.column(0).to_pylist(), batch.column(1)
-    run, size, at = [], 0, 0
-    for i in range(len(ids)):
-        run.append(col[i].as_py())
-        size += len(run[-1])
-        if size >= most or i + 1 == len(ids):
-            yield ids[at : i + 1], run
-            run, size, at = [], 0, i + 1
-
-
 def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, width: int = 2, partitions: int | None = None) -> DataFrame:
     """Write ids and offsets of ``df`` (doc_id, text) under ``out_dir``; the manifest, with each part's base.
 
@@ -140,19 +196,20 @@ def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, end_id: int,
         part, attempt = task.partitionId(), str(task.taskAttemptId())
         store, base = filesystem(out_dir)
         store.create_dir(base, recursive=True)
-        coder, end = words_of(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
+        coder = words_of(tokenizer_path, width)
         n_docs = n_ids = 0
         tail = f"{part:05d}-{attempt}.bin"
         with store.open_output_stream(f"{base}/ids-{tail}") as to, store.open_output_stream(f"{base}/docs-{tail}") as who:
             for batch in batches:
-                for doc_ids, texts in _slices(batch, 2 << 20):
-                    coded = coder.encode(texts, end)
-                    to.write(b"".join(coded))
-                    lens = np.array([len(c) // width for c in coded], "<i8")
-                    valid = np.array([d is not None for d in doc_ids], "<i8")
-                    who.write(np.stack([np.array([d or 0 for d in doc_ids], "<i8"), valid, lens], 1).tobytes())
-                    n_docs += len(lens)
-                    n_ids += int(lens.sum())
+                doc_ids = batch.column(0)
+                for a, b, data, offs in B.text_pieces(batch):
+                    lens, ids_ = coder.encode(data, offs, end_id)
+                    to.write(ids_.tobytes())
+                    own = doc_ids[a:b]
+                    valid = np.asarray(own.is_valid()).astype("<i8")
+                    who.write(np.stack([np.asarray(own.fill_null(0)), valid, lens], 1).astype("<i8").tobytes())
+                    n_docs += b - a
+                    n_ids += len(ids_)
         yield pa.RecordBatch.from_pylist([{"part": part, "attempt": attempt, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("attempt", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     path = f"{shared_dir(spark)}"
