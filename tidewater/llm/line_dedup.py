@@ -49,7 +49,9 @@ def keep_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: st
         raise ValueError(f"drop is all or later, not {drop}")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = ["h1", "h2", "doc_id", "th"]
-    placed = _keyed(df, min_chars).repartitionByRange(n, *spread).sortWithinPartitions(*spread, "pos")
+    # Range partitioning reads its input twice, and the rows are used twice: they are made once, without text.
+    keyed = stored(_keyed(df, min_chars))
+    placed = keyed.repartitionByRange(n, *spread).sortWithinPartitions(*spread, "pos")
     per_doc = placed.groupBy(*spread).agg(F.min("pos").alias("pos"))
     totals = [F.count("*").alias("n_docs")] + ([F.min(F.struct("doc_id", "th", "pos")).alias("first")] if drop == "later" else [])
     frequent = stored(per_doc.groupBy("h1", "h2").agg(*totals).filter(F.col("n_docs") >= min_docs))
