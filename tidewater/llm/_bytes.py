@@ -114,3 +114,34 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         v = BYTE_1[data[starts[i] : ends[i]]] * powers(int(lens[i]))
         h[i] ^= v.sum(dtype=U)
     return mix(h)
+
+
+class HashIndex:
+    """From distinct 64-bit keys to their places, by open addressing; ``find`` gives -1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.slots = np.full(1 << max(4, int(4 * len(keys)).bit_length()), -1, np.int32)
+        entry = np.arange(len(keys), dtype=np.int32)
+        mask = U(len(self.slots) - 1)
+        place = keys & mask
+        while len(entry):
+            free = self.slots[place] < 0
+            self.slots[place[free]] = entry[free]
+            rest = self.slots[place] != entry
+            entry, place = entry[rest], (place[rest] + U(1)) & mask
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.keys):
+            return out
+        mask = U(len(self.slots) - 1)
+        live, place = np.arange(len(h)), h & mask
+        while len(live):
+            entry = self.slots[place]
+            got = entry >= 0
+            same = got & (self.keys[entry] == h[live])
+            out[live[same]] = entry[same]
+            on = got & ~same
+            live, place = live[on], (place[on] + U(1)) & mask
+        return out

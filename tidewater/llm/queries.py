@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality_fm, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality_fm.crc_fold(F.col("doc_id"), 7)
+    got = class_lm.train_and_score(table(spark, sf_dir, "documents"), F.coalesce(fold != 2, F.lit(True)))
+    return got.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = weak_rules.judged(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_class_lm": op6_class_lm,
     "op7_weak_rules": op7_weak_rules,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_token_files": op9_token_files,
