@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def quality_machine(spark: SparkSession, df: DataFrame, sf_dir: str) -> quality_fm.Machine:
+def quality_machine(spark: SparkSession, df: DataFrame, sf_dir: str, meta: tuple[str, ...] = ("n_chars",)) -> quality_fm.Machine:
     """Trained on a sample of at most 6000 labelled rows, none of a held-out document."""
     admit = quality_fm.crc_fold(F.col("doc_id"), 3) != 1
-    return quality_fm.train(df, table(spark, sf_dir, "labels"), admit=admit, sample=6000, meta=("n_chars",))
+    return quality_fm.train(df, table(spark, sf_dir, "labels"), admit=admit, sample=6000, meta=meta)
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_trie.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_spans(table(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as p
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_class_lm": op6_class_lm,
     "op7_weak_rules": op7_weak_rules,
