@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
+from tidewater.functions.math import let
 
 #: White space and its opposite as character classes that Java and RE2 read alike.
 WS = r"[\t-\r\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -169,11 +170,10 @@ def strategy_cost(name: Column, rules=lx.COST_RULES, default: float = lx.DEFAULT
 def strategy_name(keywords: Column, profile: Column | None = None, patterns=lx.STRATEGY_PATTERNS, literal_case: bool = False) -> Column:
     """A strategy's name from its profile (struct) by thresholds, else from its keywords (text) by the most pattern words."""
     low = F.lower(keywords)
-    counts = [(name, count_present(low, words if literal_case else [w.lower() for w in words])) for name, words in patterns.items()]
-    top = F.greatest(*[n for _, n in counts])
-    out = F.lit("综合策略型")
-    for name, n in reversed(counts):
-        out = F.when((n == top) & (top > 0), name).otherwise(out)
+    counts = F.array(*[count_present(low, words if literal_case else [w.lower() for w in words]) for words in patterns.values()])
+    names = F.array(*map(F.lit, patterns))
+    # The counts are bound once; array_position finds the first of equals.
+    out = let(counts, lambda c: F.when(F.array_max(c) > 0, F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))).otherwise("综合策略型"))
     if profile is None:
         return out
     p = profile
