@@ -21,7 +21,7 @@ _rng = np.random.default_rng(20240607)
 BYTE_1 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:

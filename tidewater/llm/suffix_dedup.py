@@ -34,8 +34,8 @@ from tidewater.llm._induced import repeated
 
 U = np.uint64
 GRAM = 64
-SHARD_BYTES = 8 << 20
-STARTS = 4 << 20
+SHARD_BYTES = 2 << 20
+STARTS = 1 << 20
 _INV = pow(B.BASE, -1, 2**64)
 
 
