@@ -27,9 +27,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"c{place[n]}").alias(n) for n in names])
 
 
+#: Bytes of an Arrow batch between Spark and a worker; with whole texts in it, the default of 64 MB is many times the rest.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session limited to ``BATCH_BYTES``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` long and ``text`` string without nulls in ``text``."""
-    d = pick(df, id_col, text_col).toDF("doc_id", "text")
+    d = small_batches(pick(df, id_col, text_col)).toDF("doc_id", "text")
     return d.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

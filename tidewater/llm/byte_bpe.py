@@ -106,7 +106,7 @@ def tokenizer(ranks_path: str, pattern: str) -> ByteBPE:
     return _kept[key]
 
 
-def texts(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[list, list[str]]]:
+def texts(batch: pa.RecordBatch, most: int = 256 << 10) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) in runs of about ``most`` bytes."""
     ids, col = batch.column(0).to_pylist(), batch.column(1)
     from_, size = 0, 0

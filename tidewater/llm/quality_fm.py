@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
-from tidewater.llm._frames import pick
+from tidewater.llm._frames import pick, small_batches
 
 BITS = 16
 WORDS = 1 << BITS
@@ -184,7 +184,7 @@ def train(df: DataFrame, labels: DataFrame, admit: Column | None = None, sample:
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     d = pick(df, "doc_id", "text", *meta).toDF("doc_id", "text", *[f"m{i}" for i in range(len(meta))])
     d = d.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"m{i}").cast("double") for i in range(len(meta))])
-    rows = d.join(F.broadcast(chosen), "doc_id")
+    rows = small_batches(d.join(F.broadcast(chosen), "doc_id"))
 
     def sparse(batches):
         for batch in batches:
@@ -227,7 +227,7 @@ def scorer(spark, machine: Machine, n_meta: int = 0):
 def with_score(df: DataFrame, machine: Machine, text: str = "text", meta: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """``df`` and a column ``name``, 0 to 1, for every row."""
     score = scorer(df.sparkSession, machine, len(meta))
-    return df.withColumn(name, score(F.col(text), *[F.col(m).cast("double") for m in meta]))
+    return small_batches(df).withColumn(name, score(F.col(text), *[F.col(m).cast("double") for m in meta]))
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
