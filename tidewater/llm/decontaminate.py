@@ -14,7 +14,7 @@ percent would remain.
 Words are the runs of characters other than 20 and 09-0D of the text with A-Z in lower case. The documents' text
 never moves: test hashes are broadcast if their counted number is small, else both sides' hashes are shuffled.
 Null or empty texts match nothing. Rows of documents that repeat (doc_id, text) count once; items with equal text are
-reported each. Empty tables give an empty result.
+reported each, also one without an item_id. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -64,20 +64,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text.
     """
-    items = stored(docs(benchmark, "item_id", "text").select(F.col("doc_id").alias("item_id"), word_hashes(F.col("text")).alias("ih")).filter(F.size("ih") > 0))
+    items = stored(docs(benchmark, "item_id", "text").select(F.col("doc_id").alias("item_id"), word_hashes(F.col("text")).alias("ih")).filter(F.size("ih") > 0).distinct().withColumn("item", F.xxhash64("item_id", "ih")))
     least = min(map(len, masks))
     lengths = [r[0] for r in items.select(F.size("ih")).distinct().filter(F.size("ih") < max(map(len, masks))).collect()]  # fewer than a mask's length
     all_masks = list(dict.fromkeys([*masks, *(m for n in sorted(lengths) if n < least for m in short_masks(n, percent))]))
     keyed = items.withColumn("h", F.col("ih"))
-    item_seeds = stored(_seeded(keyed, all_masks).filter(F.col("seed").isNotNull()).select("seed", "item_id", F.col("i").alias("ipos")))
+    item_seeds = stored(_seeded(keyed, all_masks).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
     probe = small(item_seeds, item_seeds.count())
     d = docs(documents).select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("h"))
     hits = _seeded(d, all_masks).join(probe, "seed").withColumn("diagonal", F.col("i") - F.col("ipos"))
     # Places where document and item agree: a number for each word of the item goes on, the document's words don't.
-    near = hits.join(small(items, items.count()), "item_id")
+    near = hits.join(small(items, items.count()), "item")
     beside = F.transform("ih", lambda x, k: F.coalesce(F.when(F.col("diagonal") + k >= 0, F.get(F.col("h"), F.col("diagonal") + k) == x), F.lit(False)).cast("int"))
-    lined = near.select("doc_id", "th", "item_id", "diagonal", F.size("ih").alias("n"), beside.alias("same"))
-    once = lined.groupBy("doc_id", "th", "item_id", "diagonal").agg(F.first("n").alias("n"), F.first("same").alias("same"))
+    lined = near.select("doc_id", "th", "item", "item_id", "diagonal", F.size("ih").alias("n"), beside.alias("same"))
+    once = lined.groupBy("doc_id", "th", "item", "item_id", "diagonal").agg(F.first("n").alias("n"), F.first("same").alias("same"))
     w = F.least(F.col("n"), F.lit(window))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - w), lambda s: F.aggregate(F.slice("same", s + 1, w), F.lit(0), lambda a, x: a + x))
     scored = once.select("doc_id", "item_id", F.array_max(sums).alias("best"), w.alias("w")).filter(F.col("best") * 100 >= F.col("w") * percent)

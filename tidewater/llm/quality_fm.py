@@ -13,7 +13,7 @@ with the smallest hash of their id. A document with several labels counts as goo
 sample's sparse features go to the driver (at most ``sample`` documents; their texts don't); the model
 has a fixed size and goes to every task. Scoring covers every whole text, in one pass without a shuffle.
 
-No labels or one class only: the model learns a constant. Null text: the empty text.
+No labels: every score is 0.5. Null text: the empty text.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def fit_machine(first: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarr
     """Adagrad on the logistic loss, in batches of 64 rows."""
     rng = np.random.default_rng(seed)
     good = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    m = Machine(float(np.log(good / (1 - good))), np.zeros(size), rng.normal(0, 0.02, (size, RANK)))
+    m = Machine(float(np.log(good / (1 - good))), np.zeros(size), rng.normal(0, 0.02 if len(y) else 0, (size, RANK)))
     gw, gv, g0 = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
     lens = np.diff(first)
     for _ in range(epochs if len(y) else 0):

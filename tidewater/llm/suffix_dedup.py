@@ -212,7 +212,7 @@ def _shards(length: int):
         got, doc = got[single[doc]], doc[single[doc]]
         cut = np.r_[True, (got[1:] != got[:-1] + 1) | (doc[1:] != doc[:-1])][: len(got)]
         first = np.flatnonzero(cut)
-        last = np.r_[first[1:], len(got)] - 1
+        last = np.r_[first[1:], len(got)][: len(first)] - 1
         own = [rows[i] for i in doc[first].tolist()]
         start = np.array([r[3] for r in own], np.int64) - base[doc[first]] if len(first) else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.int64()), pa.array((got[first] + start).astype(np.int32)), pa.array((got[last] + start).astype(np.int32))], schema=out)

@@ -101,7 +101,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, good: flo
     Starts from rules that mostly abstain on bad documents and seldom vote bad on good ones; add-one counts keep
     every probability above 0, so that no vote is ever impossible.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    n_rules = len(patterns[0][0]) if patterns else len(rules())
     table = [[[0.5, 0.4, 0.1], [0.5, 0.02, 0.48]] for _ in range(n_rules)]
     for _ in range(rounds if patterns else 0):
         sums = [[[1.0] * 3 for _ in range(2)] for _ in range(n_rules)]
