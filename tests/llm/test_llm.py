@@ -97,7 +97,7 @@ def test_random_sets_lose_no_link():
         assert roots(jaccard_join.link_block(first, val, percent)) == roots(want)
         # Every linked pair shares a part hash.
         sig = [set() for _ in sets]
-        for who, s in jaccard_join.part_hashes(first, val, jaccard_join.Parts(percent), 2 if percent >= 90 else 1):
+        for who, s in jaccard_join.part_hashes(first, val, jaccard_join.Parts(percent)):
             for w, x in zip(who.tolist(), s.tolist()):
                 sig[w].add(x)
         assert all(sig[i] & sig[j] for i, j in want)

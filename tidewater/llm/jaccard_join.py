@@ -7,8 +7,11 @@ Link: two documents whose sets of word shingles have 100 * intersection >= perce
 2. Which classes can link at all? Linked sets x, y differ in at most d = (|x| + |y|)(100 - p) / (100 + p) shingles. If
    shingles are dealt into m > d parts by their hash, at least m - d parts are equal in both. A class emits a hash of
    each part, for the size group of its own and, near the group's upper end, of the next ones, so no linked pair is
-   missed. Rows (part hash, class) are sorted by part hash; a task streams them in constant memory and turns equal ones
-   into edges, merged in a bounded union-find first. Components of those edges are blocks: links never leave a block.
+   missed. Rows (part hash, class) are sorted by part hash; a task streams them in constant memory and pairs classes with equal ones.
+   A class has a bitmap too, of about two bits a shingle, each the parity of the shingles that hash to it: two classes' bitmaps differ in no more
+   bits than their sets in shingles, so a pair that differs in more than d bits is dropped (exactly, it can't link). Pairs of up to
+   ``GROUP`` classes are all looked at (a constant number a row); a larger group is chained in order and not pruned. Components of what is left are blocks: links
+   never leave a block.
 3. T-occurrence search inside a block: an inverted index from shingle to classes. A class x needs partners that occur in at
    least T = ceil(p |x| / 100) of its lists. DivideSkip sets the L longest lists aside, merges the short ones, keeps classes that occur
    T - L times and probes the long lists for these by binary search. Short lists are merged by one sort of their
@@ -40,6 +43,8 @@ from tidewater.llm._graph import Forest, components
 U = np.uint64
 BLOCK = 2_000_000
 RATIO = 1.3
+#: Of up to so many classes with one part hash every pair is looked at, of more the neighbours in order.
+GROUP = 64
 _SALT = [U(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -120,9 +125,13 @@ class Parts:
         return out
 
 
-def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, part hash) rows. Parts of fewer than ``least`` shingles are emitted only by sets for which the others may not be enough:
-    a pair has m - d equal parts, so if one of its sets has fewer small parts than that, one equal part isn't small."""
+def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, part hash) rows.
+
+    A pair has m - d equal parts or more. So a set with fewer than m - d parts of at most one shingle needn't emit those: some equal part is
+    larger, and the other set emits it too. Else, with fewer than m - d empty parts, it needn't emit the empty ones. One shingle alone
+    is shared by many documents that aren't alike.
+    """
     sizes = np.diff(first)
     jobs: dict[int, list[int]] = {}
     for i in np.flatnonzero(sizes):
@@ -141,9 +150,9 @@ def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts, least: int) ->
         total = np.zeros(len(who) * m, U)
         np.add.at(total, slot, body[at])
         held = np.bincount(slot, minlength=len(who) * m)
-        is_small = held < least
-        unsafe = is_small.reshape(-1, m).sum(1) >= m - d
-        out = np.flatnonzero(~is_small | np.repeat(unsafe, m))
+        few = held.reshape(-1, m)
+        least = np.where((few <= 1).sum(1) < m - d, 2, np.where((few == 0).sum(1) < m - d, 1, 0))
+        out = np.flatnonzero(held >= np.repeat(least, m))
         sig = B.mix(total[out] + (out % m).astype(U) * _SALT[0] + held[out].astype(U) * _SALT[1] + U(g * int(_SALT[2]) % 2**64))
         yield who[out // m], sig
 
@@ -232,20 +241,86 @@ def _sets(batches, k: int):
             yield (batch, a, b, *shingle_sets(data, offs, k))
 
 
+def bitmaps(first: np.ndarray, val: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each set: 2**k bits, at least 64 and two a shingle; empty for the empty set."""
+    h = B.mix(val ^ _SALT[0])
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if a == b:
+            out.append(b"")
+            continue
+        bits = max(64, 1 << int(2 * (b - a) - 1).bit_length())
+        odd = np.bincount((h[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def differ_at_least(x: bytes, y: bytes) -> int:
+    """In how many shingles two sets differ, at least; the longer bitmap is folded to the shorter one's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b, n = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
+    while n > 8 * len(y):
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    return (a ^ b).bit_count()
+
+
 def shingled(df: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for the empty set) of every row of ``df`` (doc_id, text)."""
+    """doc_id, n_shingles, node (null for the empty set), bits of every row of ``df`` (doc_id, text)."""
 
     def run(batches):
         for batch, a, b, first, val in _sets(batches, k):
             n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(set_names(first, val).view(np.int64), pa.int64(), mask=n == 0)], ["doc_id", "n_shingles", "node"])
-
-    return df.mapInArrow(run, "doc_id long, n_shingles long, node long")
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(set_names(first, val).view(np.int64), pa.int64(), mask=n == 0), pa.array(bitmaps(first, val), pa.binary())], ["doc_id", "n_shingles", "node", "bits"])
+
+    return df.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
+
+
+def _pairs(batches):
+    """From (sig, node) rows sorted by both: pairs (a < b) with a common part, ``chain`` where they are neighbours in a large group."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("chain", pa.bool_())])
+
+    def pairs(sig, node, chain_only):
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.repeat(np.diff(np.r_[start, len(sig)]), np.diff(np.r_[start, len(sig)]))
+        sig, node, size = sig[size > 1], node[size > 1], size[size > 1]
+        got = [(node[:0], node[:0], np.zeros(0, bool))]
+        for j in range(1, min(GROUP, len(sig))):
+            i = np.flatnonzero(sig[j:] == sig[:-j])
+            large = (size[i] > GROUP) | chain_only
+            i, large = (i, large) if j == 1 else (i[~large], large[~large])
+            if not len(i):
+                break
+            got.append((node[i], node[i + j], large))
+        a, b, c = (np.concatenate(x) for x in zip(*got))
+        # A pair has many parts in common; in a task it leaves once.
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        o = np.lexsort((~c, b, a))
+        a, b, c = a[o], b[o], c[o]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], schema=out)
+
+    waiting, count = [], 0
+    for batch in batches:
+        waiting.append(tuple(np.asarray(batch.column(i)) for i in range(2)))
+        count += batch.num_rows
+        if count < 500_000:
+            continue
+        sig, node = (np.concatenate(x) for x in zip(*waiting))
+        cut = int(np.searchsorted(sig, sig[-1]))
+        if cut == 0:  # one group fills it all: its rows are chained, and its last one goes on
+            yield pairs(sig, node, True)
+            waiting, count = [(sig[-1:], node[-1:])], 1
+            continue
+        yield pairs(sig[:cut], node[:cut], False)
+        waiting, count = [(sig[cut:], node[cut:])], len(sig) - cut
+    if count:
+        yield pairs(*(np.concatenate(x) for x in zip(*waiting)), False)
 
 
-def blocks(df: DataFrame, k: int, percent: int) -> DataFrame:
-    """node, root: the classes that might link with another, and their block."""
-    least = 2 if percent >= 90 else 1
+def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root: the classes that might link with another, and their block; ``classes`` has node, n_shingles, bits."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(batches):
@@ -258,32 +333,41 @@ def blocks(df: DataFrame, k: int, percent: int) -> DataFrame:
                 seen.clear()
             keep = np.repeat(fresh, np.diff(first))
             f = np.concatenate(([0], np.cumsum(np.where(fresh, np.diff(first), 0))))
-            for who, sig in part_hashes(f, val[keep], parts, least):
+            for who, sig in part_hashes(f, val[keep], parts):
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "node"])
 
-    def stars(batches):
-        forest, last_sig, last_node = Forest(), None, None
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    rows = df.mapInArrow(emit, "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
+    found = stored(rows.mapInArrow(_pairs, "a long, b long, chain boolean"))
+    met = stored(found.groupBy("a", "b").agg(F.max("chain").alias("chain")))
+    own = stored(classes.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n_shingles", "bits"))
+    size = own.count()
+    side = lambda x: small(own.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), size)
+    judged = met.filter("not chain").join(side("a"), "a").join(side("b"), "b")
+
+    def prune(batches):
+        for batch in batches:
+            c = {f: batch.column(i).to_pylist() for i, f in enumerate(batch.schema.names)}
+            ok = [differ_at_least(x, y) * (100 + percent) <= (m + n) * (100 - percent) for x, y, m, n in zip(c["bitsa"], c["bitsb"], c["na"], c["nb"])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        def rows():
-            e = forest.stars()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], schema=out)
+    kept = judged.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(prune, "a long, b long").unionByName(met.filter("chain").select("a", "b"))
+    return components(kept.mapInArrow(_stars, "a long, b long"))
 
-        for batch in batches:
-            sig, node = (np.asarray(batch.column(i)) for i in range(2))
-            if last_sig is not None:
-                sig, node = np.r_[last_sig, sig], np.r_[last_node, node]
-            same = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] != node[:-1]))
-            for x, y in zip(node[same].tolist(), node[same + 1].tolist()):
-                forest.union(x, y)
-            if len(sig):
-                last_sig, last_node = sig[-1:], node[-1:]
-            if forest.full():
-                yield rows()
-        yield rows()
 
-    rows = df.mapInArrow(emit, "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
-    return components(rows.mapInArrow(stars, "a long, b long"))
+def _stars(batches):
+    """Edges as stars, merged within the task."""
+    forest, out = Forest(), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def rows():
+        e = forest.stars()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], schema=out)
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.union(x, y)
+        if forest.full():
+            yield rows()
+    yield rows()
 
 
 def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
@@ -341,9 +425,10 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row of ``df`` (doc_id, text)."""
     d = docs(df)
     own = stored(shingled(d, k))
-    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    block = blocks(d, k, percent)
-    found = components(links(d, classes, block, k, percent))
+    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"))
+    classes = stored(classes)
+    block = blocks(d, classes, k, percent)
+    found = components(links(d, classes.drop("bits"), block, k, percent))
     named = found.withColumnRenamed("node", "member")
     grouped = classes.join(named, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
