@@ -5,7 +5,8 @@ judged on the input. Matches never cross documents.
 
 1. Each window of ``length`` bytes has an anchor: the leftmost of its inner strings of ``GRAM`` bytes with the least hash. Equal windows
    have equal anchors, so only windows with one anchor hash need comparing. Consecutive windows with the same anchor form a piece.
-   A worker emits for each piece its anchor hash and a 128-bit hash of its bytes, never the bytes.
+   A worker emits for each piece its anchor hash and a 128-bit hash of its bytes, never the bytes; pieces that repeat within
+   its run of texts (periodic texts have very many) leave once, with spans for what they cover.
 2. Rows sorted by (anchor, piece hash) are streamed in constant memory. A piece that occurs twice is removed whole. An anchor with one piece
    is unique. Only anchors with several different pieces (at the edges of copies) go on: one text for each different piece.
 3. These texts are sent to shards by anchor. A shard's suffixes are sorted by external induced sorting with common-prefix
@@ -108,6 +109,25 @@ def _long_pieces(data: np.ndarray, offs: np.ndarray, length: int):
         yield doc, anchor, v1, v2, a + x, b + x
 
 
+def _thinned(doc, anchor, v1, v2, a, b):
+    """Pieces with what repeats inside this run of texts pre-aggregated: one row for each such piece, marked sure, and
+    one row without hashes for each stretch of them in a document."""
+    if not len(doc):
+        return doc, anchor, v1, v2, a, b, np.zeros(0, bool)
+    _, first, inverse, count = np.unique(v1 ^ B.mix(v2), return_index=True, return_inverse=True, return_counts=True)
+    many = count[inverse] > 1
+    one = np.zeros(len(doc), bool)
+    one[first] = True
+    # Pieces are in order of document and place; a stretch goes on where the next piece starts right behind.
+    at = np.flatnonzero(many)
+    new = np.r_[True, (doc[at[1:]] != doc[at[:-1]]) | (a[at[1:]] > b[at[:-1]] + 1)][: len(at)]
+    begin = np.flatnonzero(new)
+    end = np.r_[begin[1:], len(at)][: len(begin)] - 1
+    z = np.zeros(len(begin), U)
+    keep = np.flatnonzero(~many | one)
+    return tuple(np.concatenate(x) for x in ((doc[keep], doc[at[begin]]), (anchor[keep], z), (v1[keep], z), (v2[keep], z), (a[keep], a[at[begin]]), (b[keep], b[at[end]]), (many[keep], np.ones(len(begin), bool))))
+
+
 _PIECE = pa.schema([("anchor", pa.int64()), ("v1", pa.int64()), ("v2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("sure", pa.bool_())])
 _SPAN = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("sure", pa.bool_()), ("compare", pa.bool_())])
 
@@ -142,9 +162,12 @@ def _emit(length: int):
                     data = data[np.repeat(mask, size)]
                     offs = np.concatenate(([0], np.cumsum(size[mask])))
                 k = np.array(keep, np.int64)
-                for doc, anchor, v1, v2, a, b in _long_pieces(data, offs, length):
+                for found in _long_pieces(data, offs, length):
+                    doc, anchor, v1, v2, a, b, sure_ = _thinned(*found)
                     d = k[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(v1.view(np.int64)), pa.array(v2.view(np.int64)), own_id.take(pa.array(d)), pa.array(own_th[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(np.zeros(len(d), bool))], schema=_PIECE)
+                    # Spans without a piece of their own only say what goes; they are spread by document.
+                    key = np.where(v1 | v2, anchor.view(np.int64), own_th[d])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(v1.view(np.int64)), pa.array(v2.view(np.int64)), own_id.take(pa.array(d)), pa.array(own_th[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sure_)], schema=_PIECE)
 
     return run
 
