@@ -91,7 +91,28 @@ QUERIES: dict[str, Query] = {
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS shingle FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.y, r FROM reach JOIN e ON reach.doc_id = e.x AND e.y > r)
+        SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+    "op8_spaced_seeds": f"""
+        WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        iw AS (SELECT item_id, len(w) AS n, least(len(w), 20) AS k, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM i),
+        dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+        g AS (SELECT doc_id, item_id, n, k, dw.pos - iw.pos AS diagonal, list(iw.pos) AS spots FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) * 100 >= 80 * k),
+        b AS (SELECT doc_id, item_id, k, list_max(list_transform(range(1, n - k + 2), lambda s: len(list_filter(spots, lambda p: p >= s AND p < s + k)))) AS best FROM g)
+        SELECT doc_id, item_id, max(best / k) AS similarity, count(*) AS n_places FROM b WHERE best * 100 >= 80 * k GROUP BY 1, 2
+    """,
     "op10_line_dedup": f"""
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
