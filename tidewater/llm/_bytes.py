@@ -67,6 +67,17 @@ def text_pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BY
         end = min(n, max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1))
         yield row, end, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: an executor has several workers, and an idle one keeps what its peak took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

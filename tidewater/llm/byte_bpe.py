@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewater.llm._bytes import give_back
 from tidewater.llm._frames import docs
 
 
@@ -120,6 +121,7 @@ def texts(batch: pa.RecordBatch, most: int = 256 << 10) -> Iterator[tuple[list,
             from_, size, run = i + 1, 0, []
     if run:
         yield ids[from_:], run
+    give_back()
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, with_offsets: bool = False) -> DataFrame:

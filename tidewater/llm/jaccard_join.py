@@ -8,7 +8,7 @@ Link: two documents whose sets of word shingles have 100 * intersection >= perce
    shingles are dealt into m > d parts by their hash, at least m - d parts are equal in both. A class emits a hash of
    each part, for the size group of its own and, near the group's upper end, of the next ones, so no linked pair is
    missed. Rows (part hash, class) are sorted by part hash; a task streams them in constant memory and pairs classes with equal ones.
-   A class has a bitmap too, of about two bits a shingle, each the parity of the shingles that hash to it: two classes' bitmaps differ in no more
+   A class has a bitmap too, of one to two bits a shingle, each the parity of the shingles that hash to it: two classes' bitmaps differ in no more
    bits than their sets in shingles, so a pair that differs in more than d bits is dropped (exactly, it can't link). Pairs of up to
    ``GROUP`` classes are all looked at (a constant number a row); a larger group is chained in order and not pruned. Components of what is left are blocks: links
    never leave a block.
@@ -242,14 +242,14 @@ def _sets(batches, k: int):
 
 
 def bitmaps(first: np.ndarray, val: np.ndarray) -> list[bytes]:
-    """The parity bitmap of each set: 2**k bits, at least 64 and two a shingle; empty for the empty set."""
+    """The parity bitmap of each set: 2**k bits, at least 64 and one a shingle; empty for the empty set."""
     h = B.mix(val ^ _SALT[0])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if a == b:
             out.append(b"")
             continue
-        bits = max(64, 1 << int(2 * (b - a) - 1).bit_length())
+        bits = max(64, 1 << int(b - a - 1).bit_length())
         odd = np.bincount((h[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out

@@ -252,6 +252,7 @@ def _shards(length: int):
                 last = r[0]
         if rows:
             yield solve(rows)
+        B.give_back()
 
     return run
 
