@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as tx
 from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
+from tidewater.plans.storage import stored
 from tidewater.sources import writers
 
 log = logging.getLogger("tidewater")
@@ -49,7 +50,7 @@ def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     clean = temporal.drop_short(df.withColumn("text_clean", tx.clean_text(F.col(column))), "text_clean")
     user = screening.first_column(df.columns, s.user)
     people = temporal.drop_bots(clean, user, s.max_per_user) if user else clean
-    timed = temporal.with_windows(people, s.time_col, s.unit, s.min_docs)
+    timed = stored(temporal.with_windows(people, s.time_col, s.unit, s.min_docs))
     words = screening.top(terms.term_counts(timed, "text_clean"), "freq", "word", s.top_terms)
     return {"posts": timed, "terms": words}
 
@@ -59,23 +60,24 @@ def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     v = posts if s.vector else posts.withColumn("_vector", strategy.hashed_embedding("text_clean"))
     vector = s.vector or "_vector"
     fitted = strategy.split_topic(strategy.fit_topics(v, vector, s.topics, s.min_topic), "topic", vector)
-    felt = fitted.withColumns({"sentiment": tx.sentiment(F.col("text_clean")), "arousal": tx.arousal(F.col("text_clean"))})
+    # Much is derived from these rows and from the table of topics: both are made once.
+    felt = stored(fitted.withColumns({"sentiment": tx.sentiment(F.col("text_clean")), "arousal": tx.arousal(F.col("text_clean"))}))
     valid = felt.filter("topic != -1")
     emotion = valid.groupBy("topic").agg(F.avg("sentiment").alias("ms"), F.avg("arousal").alias("ma"))
-    centre = strategy.centroids(valid, "topic", vector)
+    centre = stored(strategy.centroids(valid, "topic", vector))
     z = strategy.z_scores(centre, "topic", "centre")
-    acts = strategy.behaviour(valid, "topic", "text_clean", s.id_col)
+    acts = stored(strategy.behaviour(valid, "topic", "text_clean", s.id_col))
     dims = 64 if not s.vector else int(centre.select(F.max(F.size("centre"))).first()[0] or 0)
     mixed = z.join(acts, "topic").join(emotion, "topic").select("topic", strategy.mixed_vector(F.col("z"), F.array(*strategy.DIMS), F.array((F.col("ms") + 1) / 2, F.col("ma")), dims).alias("mixed"))
     mapping = strategy.meta_strategies(strategy.similarities(mixed, "topic", "mixed"))
     words = terms.class_terms(valid, "topic", "text_clean")
-    info = strategy.strategy_info(mapping, words, acts)
+    info = stored(strategy.strategy_info(mapping, words, acts))
     named = observe.map_strategies(felt, mapping)
     centres = strategy.centroids(named.filter(F.col("meta_strategy") != observe.OUTLIER), "meta_strategy", vector)
     best = strategy.reassign(named.filter(F.col("meta_strategy") == observe.OUTLIER), s.id_col, vector, centres, "meta_strategy").select(s.id_col, F.col("meta_strategy").alias("_best"))
     placed = named.join(best, s.id_col, "left").withColumn("meta_strategy", F.coalesce("_best", "meta_strategy")).drop("_best")
     titles = info.select("meta_strategy", F.col("semantic_name").alias("meta_strategy_name"))
-    full = placed.join(titles, "meta_strategy", "left").withColumn("meta_strategy_name", F.coalesce("meta_strategy_name", F.lit("异常")))
+    full = stored(placed.join(titles, "meta_strategy", "left").withColumn("meta_strategy_name", F.coalesce("meta_strategy_name", F.lit("异常"))))
     return {"strategy_posts": full.drop("_vector") if s.vector else full, "mapping": mapping.join(titles, "meta_strategy", "left"), "strategies": info, "observations": observe.observations(full, arousal="arousal")}
 
 
@@ -84,12 +86,12 @@ def connect(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     vector = s.vector or "_vector"
     own = posts.select(F.col("time_window").alias("window"), F.col(s.id_col).alias("id"), F.col("meta_strategy").alias("strategy"), F.col(vector).alias("embedding"))
     nodes = own.unionByName(own.withColumn("window", F.lit("all")))
-    edges = network.similarity_edges(nodes, s.similarity)
+    edges = stored(network.similarity_edges(nodes, s.similarity))
     return {"edges": edges, "network": network.network_metrics(nodes.drop("embedding"), edges)}
 
 
 def compete(observations: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    sim = game.simulate(observations, **s.simulate)
+    sim = stored(game.simulate(observations, **s.simulate))
     return {"game": sim, "equilibria": game.equilibria(sim)}
 
 
