@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tidewater.llm import _graph, _induced, byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules  # noqa: E402
+from tidewater.llm import _frames, _graph, _induced, byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules  # noqa: E402
 from tidewater.llm import _bytes as B  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,16 @@ def test_near_components_in_sub_blocks(spark, rows, monkeypatch):
     assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows, 3, 80), key=str)
 
 
+def test_sides_too_large_to_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(_frames, "BROADCAST_ROWS", 0)
+    got = jaccard_join.near_components(frame(spark, rows), 3, 90)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows, 3, 90), key=str)
+    got = suffix_dedup.dedup_spans(frame(spark, rows), 60, digest=True)
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(rows, 60), key=str)
+    got = line_dedup.dedup_lines(frame(spark, rows), min_docs=10)
+    assert as_rows(got, "doc_id", "n_lines", "n_dropped", "text") == sorted(brute.drop_lines(rows), key=str)
+
+
 def test_near_components_empty(spark):
     assert jaccard_join.near_components(empty(spark)).count() == 0
 
@@ -285,7 +295,9 @@ def test_em_finds_accuracies():
     assert weak_rules.posterior((1,) * 5, share, table) > 0.99 > 0.05 > weak_rules.posterior((0,) * 5, share, table)
 
 
-def test_decontaminate(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontaminate(spark, monkeypatch, bound):
+    monkeypatch.setattr(_frames, "BROADCAST_ROWS", bound)
     r = random.Random(9)
     item = [f"w{r.randrange(30)}" for _ in range(30)]
     other = [f"v{i}" for i in range(16)]

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import _frames
 from tidewater.llm._frames import docs, small, stored
 
 MASKS = ("110111", "111011", "1101011")
@@ -70,9 +71,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     all_masks = list(dict.fromkeys([*masks, *(m for n in sorted(lengths) if n < least for m in short_masks(n, percent))]))
     keyed = items.withColumn("h", F.col("ih"))
     item_seeds = stored(_seeded(keyed, all_masks).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
-    probe = small(item_seeds, item_seeds.count())
     d = docs(documents).select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("h"))
-    hits = _seeded(d, all_masks).join(probe, "seed").withColumn("diagonal", F.col("i") - F.col("ipos"))
+    diagonal = (F.col("i") - F.col("ipos")).alias("diagonal")
+    if item_seeds.count() <= _frames.BROADCAST_ROWS:
+        hits = _seeded(d, all_masks).join(F.broadcast(item_seeds), "seed").select("doc_id", "th", "item", diagonal, "h")
+    else:
+        # The seeds are shuffled without the words, which only documents with a hit get back.
+        bare = _seeded(d, all_masks).select("seed", "doc_id", "th", "i").filter(F.col("seed").isNotNull())
+        found = bare.join(item_seeds, "seed").select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "item", diagonal).distinct()
+        hits = found.join(d.dropDuplicates(["doc_id", "th"]), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
     # Places where document and item agree: a number for each word of the item goes on, the document's words don't.
     near = hits.join(small(items, items.count()), "item")
     beside = F.transform("ih", lambda x, k: F.coalesce(F.when(F.col("diagonal") + k >= 0, F.get(F.col("h"), F.col("diagonal") + k) == x), F.lit(False)).cast("int"))
