@@ -21,7 +21,8 @@ _rng = np.random.default_rng(20240607)
 BYTE_1 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 BASE = 0x9E3779B97F4A7C15 | 1
-PIECE_BYTES = 1 << 20
+#: Texts are worked on in runs of so many bytes: the arrays of a run take some hundred times as much.
+PIECE_BYTES = 500_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,11 +68,22 @@ def text_pieces(batch: pa.RecordBatch, text: str = "text", limit: int = PIECE_BY
         end = min(n, max(row + 1, int(np.searchsorted(offs, offs[row] + limit, "right")) - 1))
         yield row, end, data[offs[row] : offs[end]], offs[row : end + 1] - offs[row]
         row = end
-    give_back()
+
+
+def trimmed(run):
+    """``run``, a function over batches, that returns its freed memory to the system at the end of the task: an executor may have
+    several idle workers besides those at work, and each would keep what its peak took."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
 
 
 def give_back() -> None:
-    """Returns freed memory to the system: an executor has several workers, and an idle one keeps what its peak took."""
     import ctypes
 
     pa.default_memory_pool().release_unused()

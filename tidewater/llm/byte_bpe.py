@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm._bytes import give_back
+from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs
 
 
@@ -121,7 +121,6 @@ def texts(batch: pa.RecordBatch, most: int = 256 << 10) -> Iterator[tuple[list,
             from_, size, run = i + 1, 0, []
     if run:
         yield ids[from_:], run
-    give_back()
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, with_offsets: bool = False) -> DataFrame:
@@ -139,7 +138,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, with_offsets: bool = Fa
                     cols.append(pa.array([[{"start": x, "end": y} for x, y in b.offsets(c)] for c in coded], pa.list_(span)))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "offsets"][: len(cols)])
 
-    return docs(df).mapInArrow(run, kind)
+    return docs(df).mapInArrow(B.trimmed(run), kind)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -151,7 +150,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out = [b.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return df.select("doc_id", "ids").mapInArrow(B.trimmed(run), "doc_id long, text string")
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -164,4 +163,4 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 n, a, d = zip(*map(b.digest, b.encode_many(run_)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs(df).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs(df).mapInArrow(B.trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

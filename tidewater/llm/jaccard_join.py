@@ -274,7 +274,7 @@ def shingled(df: DataFrame, k: int) -> DataFrame:
             n = np.diff(first)
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(set_names(first, val).view(np.int64), pa.int64(), mask=n == 0), pa.array(bitmaps(first, val), pa.binary())], ["doc_id", "n_shingles", "node", "bits"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, node long, bits binary")
+    return df.mapInArrow(B.trimmed(run), "doc_id long, n_shingles long, node long, bits binary")
 
 
 def _pairs(batches):
@@ -336,8 +336,8 @@ def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame
             for who, sig in part_hashes(f, val[keep], parts):
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "node"])
 
-    rows = df.mapInArrow(emit, "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
-    found = stored(rows.mapInArrow(_pairs, "a long, b long, chain boolean"))
+    rows = df.mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
+    found = stored(rows.mapInArrow(B.trimmed(_pairs), "a long, b long, chain boolean"))
     met = stored(found.groupBy("a", "b").agg(F.max("chain").alias("chain")))
     own = stored(classes.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n_shingles", "bits"))
     size = own.count()
@@ -350,8 +350,8 @@ def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame
             ok = [differ_at_least(x, y) * (100 + percent) <= (m + n) * (100 - percent) for x, y, m, n in zip(c["bitsa"], c["bitsb"], c["na"], c["nb"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    kept = judged.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(prune, "a long, b long").unionByName(met.filter("chain").select("a", "b"))
-    return components(kept.mapInArrow(_stars, "a long, b long"))
+    kept = judged.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(B.trimmed(prune), "a long, b long").unionByName(met.filter("chain").select("a", "b"))
+    return components(kept.mapInArrow(B.trimmed(_stars), "a long, b long"))
 
 
 def _stars(batches):
@@ -390,7 +390,7 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([*own, body, names], ["node", "root", "subs", "sub", "body", "own"])
 
     kind = "node long, root long, subs int, sub int, body binary, own long"
-    got = text.select("text", "node", "root", "subs", "sub").mapInArrow(sets, kind).filter(F.col("own") == F.col("node"))
+    got = text.select("text", "node", "root", "subs", "sub").mapInArrow(B.trimmed(sets), kind).filter(F.col("own") == F.col("node"))
     other = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
     units = got.withColumn("other", other).select("root", F.least("sub", "other").alias("s1"), F.greatest("sub", "other").alias("s2"), "node", "body")
     units = units.repartition(n, "root", "s1", "s2").sortWithinPartitions("root", "s1", "s2", "node")
@@ -418,7 +418,7 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
         if nodes:
             yield solve()
 
-    return units.mapInArrow(search, "a long, b long")
+    return units.mapInArrow(B.trimmed(search), "a long, b long")
 
 
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -194,7 +194,7 @@ def train(df: DataFrame, labels: DataFrame, admit: Column | None = None, sample:
                 form = lambda x, t: pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x, t))
                 yield pa.RecordBatch.from_arrays([ids[a:b], ys[a:b], form(idx, pa.int32()), form(val, pa.float32())], ["doc_id", "y", "idx", "val"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, y int, idx array<int>, val array<float>").toArrow().combine_chunks()
+    got = rows.mapInArrow(B.trimmed(sparse), "doc_id long, y int, idx array<int>, val array<float>").toArrow().combine_chunks()
     got = got.sort_by("doc_id")
     idx = got.column("idx").combine_chunks()
     val = got.column("val").combine_chunks()

@@ -35,8 +35,8 @@ from tidewater.llm._induced import repeated
 
 U = np.uint64
 GRAM = 64
-SHARD_BYTES = 2 << 20
-STARTS = 1 << 20
+SHARD_BYTES = 900_000
+STARTS = 500_000
 _INV = pow(B.BASE, -1, 2**64)
 
 
@@ -252,7 +252,6 @@ def _shards(length: int):
                 last = r[0]
         if rows:
             yield solve(rows)
-        B.give_back()
 
     return run
 
@@ -260,8 +259,8 @@ def _shards(length: int):
 def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, th, spans (array of struct<a, b>: first and last byte + 1, apart and in order) of the documents that lose bytes; ``df`` has doc_id, text, th."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = df.select("doc_id", "text", "th").mapInArrow(_emit(length), _ddl(_PIECE))
-    judged = stored(found.repartition(n, "anchor").sortWithinPartitions("anchor", "v1", "v2").mapInArrow(_judge, _ddl(_SPAN)))
+    found = df.select("doc_id", "text", "th").mapInArrow(B.trimmed(_emit(length)), _ddl(_PIECE))
+    judged = stored(found.repartition(n, "anchor").sortWithinPartitions("anchor", "v1", "v2").mapInArrow(B.trimmed(_judge), _ddl(_SPAN)))
     compare = stored(judged.filter("compare").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "a", "b", "sure")).alias("cuts")))
     total = compare.agg(F.sum(F.size("cuts"))).first()[0] or 0
     text = _with(df, small(compare, total), "inner")
@@ -275,8 +274,8 @@ def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
                     pa.array([c["sure"] for c in cuts], pa.bool_()), pa.array([raw[c["a"] : c["b"] + length] for c in cuts], pa.binary()),
                 ], ["anchor", "doc_id", "th", "a", "sure", "body"])
 
-    bodies = text.select("doc_id", "th", "text", "cuts").mapInArrow(cut, "anchor long, doc_id long, th long, a int, sure boolean, body binary")
-    shards = bodies.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(length), "doc_id long, th long, a int, b int")
+    bodies = text.select("doc_id", "th", "text", "cuts").mapInArrow(B.trimmed(cut), "anchor long, doc_id long, th long, a int, sure boolean, body binary")
+    shards = bodies.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(B.trimmed(_shards(length)), "doc_id long, th long, a int, b int")
     whole = judged.filter("not compare").select("doc_id", "th", "a", "b")
     every = whole.unionByName(shards).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", (F.col("b") + length).alias("b")))).alias("raw"))
     return stored(every.select("doc_id", "th", merge_spans("raw").alias("spans")))
@@ -339,4 +338,4 @@ def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False) -> DataF
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digest else kept, last[2]),
             ], ["doc_id", "n_bytes", "n_removed", "n_spans", last[0]])
 
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}")
+    return joined.mapInArrow(B.trimmed(run), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}")

@@ -213,7 +213,7 @@ def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, end_id: int,
         yield pa.RecordBatch.from_pylist([{"part": part, "attempt": attempt, "n_docs": n_docs, "n_ids": n_ids}], pa.schema([("part", pa.int32()), ("attempt", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     path = f"{shared_dir(spark)}"
-    placed.mapInArrow(ids, MANIFEST).write.parquet(path)
+    placed.mapInArrow(B.trimmed(ids), MANIFEST).write.parquet(path)
     parts = spark.read.schema(MANIFEST).parquet(path)
     # One row a partition, so a window over all of them is small at any input size.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -232,7 +232,7 @@ def write_tokens(df: DataFrame, out_dir: str, tokenizer_path: str, end_id: int,
 
     path = shared_dir(spark)
     spread = based.repartition(n, "part")
-    spread.mapInArrow(offsets, MANIFEST + ", base long").write.parquet(path)
+    spread.mapInArrow(B.trimmed(offsets), MANIFEST + ", base long").write.parquet(path)
     return spark.read.schema(MANIFEST + ", base long").parquet(path)
 
 
@@ -263,4 +263,4 @@ def read_tokens(manifest: DataFrame, out_dir: str, width: int = 2, digest: bool
                     ], schema=form)
 
     kind = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>")
-    return manifest.repartition(n, "part").mapInArrow(read, kind)
+    return manifest.repartition(n, "part").mapInArrow(B.trimmed(read), kind)

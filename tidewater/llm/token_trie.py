@@ -27,6 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs
 from tidewater.llm.byte_bpe import texts
 
@@ -128,4 +129,4 @@ def token_counts(df: DataFrame, model_path: str) -> DataFrame:
                 cols = [pa.array(c, pa.int64()) for c in (ids, *zip(*rows))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_pretokens", "n_distinct", "n_tokens"])
 
-    return docs(df).mapInArrow(run, "doc_id long, n_pretokens long, n_distinct long, n_tokens long")
+    return docs(df).mapInArrow(B.trimmed(run), "doc_id long, n_pretokens long, n_distinct long, n_tokens long")
