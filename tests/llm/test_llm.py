@@ -325,6 +325,38 @@ def test_masks_meet_every_window():
         assert any(all(m[k] == "0" or left[s + k] == "1" for k in range(len(m))) for m in decontaminate.MASKS for s in range(20 - len(m) + 1)), gone
 
 
+def test_masks_meet_every_length():
+    """Any n places of which at least 80 % are left have a seed, by the masks and those added for n."""
+    from itertools import combinations
+
+    for n in range(1, 21):
+        masks = [*decontaminate.MASKS, *decontaminate.own_masks(n, 80)]
+        assert all(m[0] == m[-1] == "1" for m in masks)
+        for gone in combinations(range(n), n * 20 // 100):
+            left = ["0" if i in gone else "1" for i in range(n)]
+            assert any(all(m[k] == "0" or left[s + k] == "1" for k in range(len(m))) for m in masks for s in range(n - len(m) + 1)), (n, gone)
+
+
+@pytest.mark.parametrize("bound, lengths", [(1_000_000, (6, 7, 10, 11, 12, 15)), (0, (6, 7, 10, 11, 12, 15)), (1_000_000, (1, 3, 5))])
+def test_decontaminate_short_items(spark, monkeypatch, bound, lengths):
+    """Items shorter than the window with all places lost that the masks alone miss, and at a document's ends."""
+    from itertools import combinations
+
+    monkeypatch.setattr(_frames, "BROADCAST_ROWS", bound)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in lengths]
+    docs = []
+    for n, t in items:
+        for gone in combinations(range(n), n // 5) if n < 15 else [(5, 7, 9), (0, 1, 2), (2, 7, 14)]:
+            w = ["zz" if k in gone else x for k, x in enumerate(t.split())]
+            docs += [(len(docs), "so " + " ".join(w) + " on"), (len(docs) + 1, " ".join(w[min(set(range(n)) - set(gone)):]))]
+        docs.append((len(docs), "so " + " ".join("zz" if k < n // 5 + 1 else x for k, x in enumerate(t.split()))))
+    b = spark.createDataFrame([(t, i) for i, t in items], "text string, item_id long")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_leaks(frame(spark, docs), b).collect()}
+    want = brute.leaks(docs, items)
+    assert (set(got) - set(want), set(want) - set(got)) == (set(), set())
+    assert got == pytest.approx(want)
+
+
 def test_line_dedup(spark, rows):
     got = line_dedup.dedup_lines(frame(spark, rows), min_docs=10)
     assert as_rows(got, "doc_id", "n_lines", "n_dropped", "text") == sorted(brute.drop_lines(rows), key=str)

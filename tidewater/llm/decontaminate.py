@@ -7,9 +7,10 @@ is reported for an item if some window of ``window`` words of the item (the whol
 least ``percent`` percent of its places on one diagonal. Substituted words are tolerated; an inserted or dropped word moves
 the rest to another diagonal, where it counts by itself.
 
-With the default masks, window and percent every such window of 20 words has a seed without a substitution (see
-tests). Items shorter than the masks get masks of their own length with one place left out, or none if fewer than ``percent``
-percent would remain.
+Every such window has a seed without a substitution: all ways to lose places are listed for each length of window that
+the items have, and where the masks miss one, masks for items of that length are added (see tests; with the default masks, window and
+percent none for 8, 9, 13, 14 and 16 words or more). No mask begins or ends with a zero, so places beyond the document's ends are
+substitutions like others.
 
 Words are the runs of characters other than 20 and 09-0D of the text with A-Z in lower case. The documents' text
 never moves: test hashes are broadcast if their counted number is small, else both sides' hashes are shuffled.
@@ -19,6 +20,9 @@ reported each, also one without an item_id. Empty tables give an empty result.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,28 +40,47 @@ def word_hashes(text: Column) -> Column:
     return F.when(low == "", F.array().cast("array<long>")).otherwise(F.transform(F.split(low, WORD_BREAK), lambda w: F.xxhash64(w)))
 
 
-def seeds(h: str, i: str, n: str, masks: list[str]) -> Column:
-    """array<long> of the seeds that begin at word ``i``; null where a mask runs past the end."""
+def seeds(h: str, i: str, n: str, masks: list[str], only: dict[str, Column]) -> Column:
+    """array<long> of the seeds that begin at word ``i``; null where a mask runs past the end or its condition in ``only`` fails."""
     out = []
     for m in masks:
         places = [F.get(F.col(h), F.col(i) + o) for o, one in enumerate(m) if one == "1"]
-        out.append(F.when(F.col(i) + len(m) <= F.col(n), F.xxhash64(F.lit(m), *places)))
+        fits = F.col(i) + len(m) <= F.col(n)
+        out.append(F.when(fits & only[m] if m in only else fits, F.xxhash64(F.lit(m), *places)))
     return F.array(*out)
 
 
-def short_masks(n: int, percent: int) -> list[str]:
-    """Masks for an item of ``n`` words, fewer than the ordinary masks cover."""
-    if (n - 1) * 100 >= percent * n:
-        return ["1" * k + "0" + "1" * (n - k - 1) for k in range(n)]
-    return ["1" * n]
-
-
-def _seeded(d: DataFrame, masks: list[str]) -> DataFrame:
+def meets(mask: str, kept: str) -> bool:
+    """Whether all ones of ``mask`` lie on ones of ``kept`` somewhere."""
+    m, k = int(mask[::-1], 2), int(kept[::-1], 2)
+    return any((k >> s) & m == m for s in range(len(kept) - len(mask) + 1))
+
+
+def own_masks(n: int, percent: int, masks: tuple[str, ...] = MASKS) -> list[str]:
+    """What to add to ``masks`` so that any ``n`` places of which at least ``percent`` percent agree have a seed."""
+    lost = n - -(-n * percent // 100)
+    # Among the places that agree, some are in a row for so long: complete by itself, but with many hits.
+    row = ["1" * max(1, -(-(n - lost) // (lost + 1)))]
+    if comb(n, lost) > 10_000:
+        return row
+    ways = ("".join("0" if i in gone else "1" for i in range(n)) for gone in combinations(range(n), lost))
+    left = [kept for kept in ways if not any(meets(m, kept) for m in masks)]
+    if len(left) > 100:
+        return row
+    out, usual = [], "1" * min(m.count("1") for m in masks)
+    while left:
+        best = max([usual, *(kept.strip("0") for kept in left)], key=lambda m: sum(meets(m, kept) for kept in left))
+        out.append(best)
+        left = [kept for kept in left if not meets(best, kept)]
+    return out
+
+
+def _seeded(d: DataFrame, masks: list[str], only: dict[str, Column] = {}) -> DataFrame:
     """``d`` (with h) and a row for each (position i, seed)."""
     shortest = min(map(len, masks))
     at = d.withColumn("n", F.size("h")).filter(F.col("n") >= shortest)
     at = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - shortest)))
-    return at.withColumn("seed", F.explode(seeds("h", "i", "n", masks)))
+    return at.withColumn("seed", F.explode(seeds("h", "i", "n", masks, only)))
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, percent: int = 80) -> DataFrame:
@@ -66,11 +89,15 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     ``documents`` has doc_id and text, ``benchmark`` item_id and text.
     """
     items = stored(docs(benchmark, "item_id", "text").select(F.col("doc_id").alias("item_id"), word_hashes(F.col("text")).alias("ih")).filter(F.size("ih") > 0).distinct().withColumn("item", F.xxhash64("item_id", "ih")))
-    least = min(map(len, masks))
-    lengths = [r[0] for r in items.select(F.size("ih")).distinct().filter(F.size("ih") < max(map(len, masks))).collect()]  # fewer than a mask's length
-    all_masks = list(dict.fromkeys([*masks, *(m for n in sorted(lengths) if n < least for m in short_masks(n, percent))]))
+    masks = tuple(m.strip("0") for m in masks)
+    spans: dict[str, list[int]] = {}  # the lengths of window that an added mask is for
+    for r in items.select(F.least(F.size("ih"), F.lit(window)).alias("n")).distinct().orderBy("n").collect():  # window rows at most
+        for m in own_masks(r["n"], percent, masks):
+            spans.setdefault(m, []).append(r["n"])
+    all_masks = list(dict.fromkeys([*masks, *spans]))
+    only = {m: F.least(F.col("n"), F.lit(window)).isin(ns) for m, ns in spans.items() if m not in masks}
     keyed = items.withColumn("h", F.col("ih"))
-    item_seeds = stored(_seeded(keyed, all_masks).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
+    item_seeds = stored(_seeded(keyed, all_masks, only).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
     d = docs(documents).select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("h"))
     diagonal = (F.col("i") - F.col("ipos")).alias("diagonal")
     if item_seeds.count() <= _frames.BROADCAST_ROWS:
