@@ -80,6 +80,17 @@ def test_near_components_empty(spark):
     assert jaccard_join.near_components(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n", [201, 210, 250, 251, 263, 264, 265, 400, 449])
+def test_cut_group_stays_chained(n):
+    """A part-hash group that is cut by a buffer is chained to its end, however few rows are left of it."""
+    sig, node = np.r_[[3, 3], [7] * n, [9] * 5], np.arange(n + 7)
+    batches = [jaccard_join.pa.RecordBatch.from_arrays([sig[2:][i : i + 50], node[2:][i : i + 50]], ["sig", "node"]) for i in range(0, n + 5, 50)]
+    for own, low in ((batches, 2), ([jaccard_join.pa.RecordBatch.from_arrays([sig[:2], node[:2]], ["sig", "node"]), *batches], 0)):
+        got = [tuple(r.values()) for b in jaccard_join._pairs(iter(own), buffer=200) for r in b.to_pylist()]
+        assert [(a, b, c) for a, b, c in got if 2 <= a < n + 2] == [(i, i + 1, True) for i in range(2, n + 1)]
+        assert sum(not c for a, b, c in got if a >= n + 2) == 10 and ((0, 1, False) in got) == (low == 0)
+
+
 def test_random_sets_lose_no_link():
     r = random.Random(3)
     for percent in (50, 70, 80, 90):

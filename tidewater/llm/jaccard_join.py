@@ -277,18 +277,18 @@ def shingled(df: DataFrame, k: int) -> DataFrame:
     return df.mapInArrow(B.trimmed(run), "doc_id long, n_shingles long, node long, bits binary")
 
 
-def _pairs(batches):
+def _pairs(batches, buffer: int = 500_000):
     """From (sig, node) rows sorted by both: pairs (a < b) with a common part, ``chain`` where they are neighbours in a large group."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("chain", pa.bool_())])
 
-    def pairs(sig, node, chain_only):
+    def pairs(sig, node, chained):
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.repeat(np.diff(np.r_[start, len(sig)]), np.diff(np.r_[start, len(sig)]))
         sig, node, size = sig[size > 1], node[size > 1], size[size > 1]
         got = [(node[:0], node[:0], np.zeros(0, bool))]
         for j in range(1, min(GROUP, len(sig))):
             i = np.flatnonzero(sig[j:] == sig[:-j])
-            large = (size[i] > GROUP) | chain_only
+            large = size[i] > GROUP if chained is None else (size[i] > GROUP) | (sig[i] == chained)
             i, large = (i, large) if j == 1 else (i[~large], large[~large])
             if not len(i):
                 break
@@ -301,22 +301,23 @@ def _pairs(batches):
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
         return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], schema=out)
 
-    waiting, count = [], 0
+    waiting, count, chained = [], 0, None
     for batch in batches:
         waiting.append(tuple(np.asarray(batch.column(i)) for i in range(2)))
         count += batch.num_rows
-        if count < 500_000:
+        if count < buffer:
             continue
         sig, node = (np.concatenate(x) for x in zip(*waiting))
         cut = int(np.searchsorted(sig, sig[-1]))
-        if cut == 0:  # one group fills it all: its rows are chained, and its last one goes on
-            yield pairs(sig, node, True)
+        if cut == 0:  # one group fills it all: its rows are chained to its end, and its last one goes on
+            chained = sig[-1]
+            yield pairs(sig, node, chained)
             waiting, count = [(sig[-1:], node[-1:])], 1
             continue
-        yield pairs(sig[:cut], node[:cut], False)
+        yield pairs(sig[:cut], node[:cut], chained)
         waiting, count = [(sig[cut:], node[cut:])], len(sig) - cut
     if count:
-        yield pairs(*(np.concatenate(x) for x in zip(*waiting)), False)
+        yield pairs(*(np.concatenate(x) for x in zip(*waiting)), chained)
 
 
 def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
