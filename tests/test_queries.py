@@ -24,6 +24,16 @@ def test_query(spark, duck, name):
         assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_kmeans_split_has_all_starts(spark, monkeypatch):
+    """The query leaves the starts to the operator's default of ten."""
+    from tidewater.operators import strategy
+
+    given, real = {}, strategy.split_topic
+    monkeypatch.setattr(strategy, "split_topic", lambda *a, **k: given.update(k, n=len(a)) or a[0])
+    assert catalogue.QUERIES["kmeans_split"](spark, SF).count() > 0
+    assert given == {"n": 3} and len(real.__defaults__[-1]) == 10
+
+
 def test_entry_point_imports_and_names_agree():
     import __spark_entry__ as e
 

@@ -462,7 +462,7 @@ def hier_cluster(spark, d):
 def kmeans_split(spark, d):
     """Sizes after the split of large topics by k-means: iterative, so no SQL."""
     e = _embeddings(spark, d).withColumn("topic", F.when(F.col("label") < 6, 0).otherwise(1))
-    return strategy.split_topic(e, "topic", "embedding", seeds=(42, 43)).groupBy("topic").agg(F.count("*").alias("n"))
+    return strategy.split_topic(e, "topic", "embedding").groupBy("topic").agg(F.count("*").alias("n"))
 
 
 SQL_NAMES = {"创新方法型": ["an", "i"], "运动主导型": ["ar", "e", "ar"], "饮食控制型": ["in", "u"]}
