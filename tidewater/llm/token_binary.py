@@ -21,6 +21,8 @@ The vocabulary drops white space, so a text's ids are those of its words, whatev
 the ids of the words that it has met in a hash table of bounded size, so that a frequent word is encoded by the library
 once; words are told apart by a 64-bit hash.
 
+A special token's name in a text is split into ordinary pieces (``encode_special_tokens``), unlike in the library's plain call.
+
 Null text: the end id alone. Repeated doc_ids: one entry for each row, ties in any order.
 """
 
