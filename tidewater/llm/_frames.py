@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it has at most this many rows of at most a few dozen bytes.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if its counted rows take at most so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,23 +47,83 @@ def docs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a local default is set.
+    Only where that setting is missing and everything runs on one machine (tests) a local default is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1, ..., which clash with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors. Columns may differ only by case."""
+    spark, plain = df.sparkSession, numbered(df)
     path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    """Bytes of a value, about: what it holds and 8 for a place; elements of arrays by their own width."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return 16 + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _width(kind.elementType, x).cast("long")), F.lit(0))
+        return 16 + 8 * F.coalesce(F.size(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(8))
+    return F.lit(8)
+
+
+def weight(df: DataFrame) -> int:
+    """Bytes of all rows of ``df``, counted."""
+    row = sum((_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its counted bytes are within the bound, else as it is. ``df`` is read twice: give a stored table."""
+    return F.broadcast(df) if weight(df) <= BROADCAST_BYTES else df
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within the bound, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+#: Bits of a sieve: 8 MB however many keys there are.
+SIEVE = 1 << 26
+
+
+def _sieved(df: DataFrame, th: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose hash ``th`` may be among ``keys``, the others), without moving any row: by a bitmap of fixed size."""
+    place = lambda c: F.pmod(F.col(c), F.lit(SIEVE))
+    bits = keys.groupBy(F.bitmap_bucket_number(place(key)).alias("s_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("s_bits"))
+    bits = stored(bits)
+    spot = F.bitmap_bit_position(place(th)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("s_bits"), (spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(s_byte, s_at)").bitwiseAND(1) == 1, F.lit(False))
+    own = df.join(F.broadcast(bits), F.bitmap_bucket_number(place(th)) == F.col("s_bucket"), "left").withColumn("s_byte", byte).withColumn("s_at", F.pmod(spot, F.lit(8)))
+    own = own.withColumn("s_hit", hit)
+    return own.filter("s_hit").select(*df.columns), own.filter("not s_hit").select(*df.columns)
+
+
+def meet_few(df: DataFrame, few: DataFrame, how: str, id_col: str = "doc_id", th_col: str = "th") -> DataFrame:
+    """``df`` joined (inner, left or left_anti) to ``few`` (b_id, b_th, others) by document, a null id like other values.
+
+    ``few`` is broadcast if its bytes are within the bound. Else a sieve picks the rows of ``df`` that may have a partner, and only these, with their
+    texts, are shuffled. ``few`` is a stored table with one row for each (b_id, b_th); the columns of ``df`` clash with none of its.
+    """
+    on = F.col(id_col).eqNullSafe(F.col("b_id")) & (F.col(th_col) == F.col("b_th"))
+    others = [c for c in few.columns if c not in ("b_id", "b_th")] if how != "left_anti" else []
+    if weight(few) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(few), on, how).select(*df.columns, *others)
+    maybe, never = _sieved(df, th_col, few, "b_th")
+    met = maybe.join(few, on, how).select(*df.columns, *others)
+    if how == "inner":
+        return met
+    return met.unionByName(never.select(*df.columns, *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in others]))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _frames
-from tidewater.llm._frames import docs, small, stored
+from tidewater.llm._frames import _sieved, docs, small, stored
 
 MASKS = ("110111", "111011", "1101011")
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -83,8 +83,9 @@ def _seeded(d: DataFrame, masks: list[str], only: dict[str, Column] = {}) -> Dat
     return at.withColumn("seed", F.explode(seeds("h", "i", "n", masks, only)))
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, percent: int = 80) -> DataFrame:
-    """doc_id, item_id, similarity (of the best window), n_places (diagonals that pass), one row for each pair found.
+def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 20, percent: int = 80, by_text: bool = False) -> DataFrame:
+    """doc_id, item_id, similarity (of the best window), n_places (diagonals that pass), one row for each pair found; with ``by_text`` for each text (th,
+    its xxhash64), where rows may share a doc_id.
 
     ``documents`` has doc_id and text, ``benchmark`` item_id and text.
     """
@@ -100,19 +101,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     item_seeds = stored(_seeded(keyed, all_masks, only).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
     d = docs(documents).select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("h"))
     diagonal = (F.col("i") - F.col("ipos")).alias("diagonal")
-    if item_seeds.count() <= _frames.BROADCAST_ROWS:
+    if _frames.weight(item_seeds) <= _frames.BROADCAST_BYTES:
         hits = _seeded(d, all_masks).join(F.broadcast(item_seeds), "seed").select("doc_id", "th", "item", diagonal, "h")
     else:
-        # The seeds are shuffled without the words, which only documents with a hit get back.
+        # Seeds that a bitmap of the items' seeds has are shuffled, without the words, which only documents with a hit get back.
         bare = _seeded(d, all_masks).select("seed", "doc_id", "th", "i").filter(F.col("seed").isNotNull())
+        bare = _sieved(bare, "seed", item_seeds, "seed")[0]
         found = bare.join(item_seeds, "seed").select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "item", diagonal).distinct()
         hits = found.join(d.dropDuplicates(["doc_id", "th"]), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
     # Places where document and item agree: a number for each word of the item goes on, the document's words don't.
-    near = hits.join(small(items, items.count()), "item")
+    near = hits.join(small(items), "item")
     beside = F.transform("ih", lambda x, k: F.coalesce(F.when(F.col("diagonal") + k >= 0, F.get(F.col("h"), F.col("diagonal") + k) == x), F.lit(False)).cast("int"))
     lined = near.select("doc_id", "th", "item", "item_id", "diagonal", F.size("ih").alias("n"), beside.alias("same"))
     once = lined.groupBy("doc_id", "th", "item", "item_id", "diagonal").agg(F.first("n").alias("n"), F.first("same").alias("same"))
     w = F.least(F.col("n"), F.lit(window))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - w), lambda s: F.aggregate(F.slice("same", s + 1, w), F.lit(0), lambda a, x: a + x))
-    scored = once.select("doc_id", "item_id", F.array_max(sums).alias("best"), w.alias("w")).filter(F.col("best") * 100 >= F.col("w") * percent)
-    return scored.groupBy("doc_id", "item_id").agg(F.max(F.col("best") / F.col("w")).alias("similarity"), F.count("*").alias("n_places"))
+    scored = once.select("doc_id", "th", "item_id", F.array_max(sums).alias("best"), w.alias("w")).filter(F.col("best") * 100 >= F.col("w") * percent)
+    return scored.groupBy("doc_id", *(["th"] if by_text else []), "item_id").agg(F.max(F.col("best") / F.col("w")).alias("similarity"), F.count("*").alias("n_places"))

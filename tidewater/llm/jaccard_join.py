@@ -7,29 +7,36 @@ Link: two documents whose sets of word shingles have 100 * intersection >= perce
 2. Which classes can link at all? Linked sets x, y differ in at most d = (|x| + |y|)(100 - p) / (100 + p) shingles. If
    shingles are dealt into m > d parts by their hash, at least m - d parts are equal in both. A class emits a hash of
    each part, for the size group of its own and, near the group's upper end, of the next ones, so no linked pair is
-   missed. Rows (part hash, class) are sorted by part hash; a task streams them in constant memory and pairs classes with equal ones.
-   A class has a bitmap too, of one to two bits a shingle, each the parity of the shingles that hash to it: two classes' bitmaps differ in no more
-   bits than their sets in shingles, so a pair that differs in more than d bits is dropped (exactly, it can't link). Pairs of up to
-   ``GROUP`` classes are all looked at (a constant number a row); a larger group is chained in order and not pruned. Components of what is left are blocks: links
+   missed. Rows (part hash, class) are sorted by part hash and streamed; classes that are alone drop out, and groups with the same
+   members, which near copies have by the dozen, leave once.
+3. Only then do the members of a group get their bitmaps, of one to two bits a shingle (1,024 at most), each the parity of the shingles that hash to
+   it. Two sets differ in no fewer shingles than their bitmaps in bits, and that number of bits is a metric: of classes ordered by
+   their distance from one of them, those before a gap of more than d bits can't link with those behind it. A group is split at such gaps, and pieces of up to
+   ``GROUP`` classes by comparing bitmaps; each part leaves as a star, so edges grow with rows. Components of the stars are blocks: links
    never leave a block.
-3. T-occurrence search inside a block: an inverted index from shingle to classes. A class x needs partners that occur in at
-   least T = ceil(p |x| / 100) of its lists. DivideSkip sets the L longest lists aside, merges the short ones, keeps classes that occur
-   T - L times and probes the long lists for these by binary search. Short lists are merged by one sort of their
-   concatenation, which is what a heap of list heads would yield. Partners already in x's component aren't probed again: only components are asked for, so a group of
-   n mutual near copies costs about n probes, and every link between different components is found. A block with more than
-   ``BLOCK`` shingles is split into sub-blocks, each pair of which is a unit of its own.
-4. Components of the links; a document's component is the smallest doc_id in it.
+4. T-occurrence search inside a block, an inverted index from shingle to sets: a set needs partners that occur in at least T of its
+   lists. DivideSkip sets the longest lists aside, merges the short ones with a heap, keeps sets that occur often enough there and probes the long lists
+   for these by binary search. The index holds only leaders: a set that links with a leader follows it and isn't indexed, so a family of n
+   mutual near copies costs n searches in short lists. Jaccard distance is a metric: a link between x and a follower y of L, which is no link between x and L, shows in a
+   distance of x to L of at most y's plus 1 - p; T is set for that, and only such followers of another component are compared.
+5. A block of more than ``BLOCK`` shingles is dealt into sub-blocks, each searched alone. Their leaders, with the distance of their farthest follower, then meet: leaders
+   that link join their components; pairs of components that only followers could still join are searched once more, cluster against cluster.
+6. Components of the links; a document's component is the smallest doc_id in it.
 
 No set, block or component reaches the driver. Hash collisions (64 bits) could join unequal shingles with probability
 about 1e-19 a pair.
 
 Null or empty text: no shingles, no links. Rows that repeat a doc_id give a row each. A null doc_id is never a component's
-name unless all of its members are null.
+name unless all of its members are null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +44,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
-from tidewater.llm._frames import docs, small, stored
+from tidewater.llm._frames import docs, meet_few, small, stored
 from tidewater.llm._graph import Forest, components
 
 U = np.uint64
-BLOCK = 2_000_000
+#: Shingles of a unit of search; a larger block is dealt into sub-blocks.
+BLOCK = 200_000
 RATIO = 1.3
-#: Of up to so many classes with one part hash every pair is looked at, of more the neighbours in order.
+#: Up to so many classes of one group are compared bitmap by bitmap.
 GROUP = 64
+#: A larger group is split around so many classes; what is left then stays together.
+CENTRES = 64
+#: A group of more rows leaves before all of it was seen, without being compared to others.
+LARGE = 100_000
+BITS = 1024
+EPS = 1e-9
 _SALT = [U(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -157,81 +171,202 @@ def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts) -> Iterator[tu
         yield who[out // m], sig
 
 
-def link_block(first: np.ndarray, val: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (i, j) between sets that span the components of all links, by T-occurrence search."""
-    n = len(first) - 1
-    sizes = np.diff(first)
-    order = np.argsort(sizes, kind="stable")  # partners of a set are those before it: no larger
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    owner = np.repeat(rank, sizes)
-    uniq, lists = np.unique(val, return_inverse=True)
-    by = np.lexsort((owner, lists))
-    post, post_list = owner[by], lists[by]
-    start = np.searchsorted(post_list, np.arange(len(uniq) + 1))
-    length = np.diff(start)
-    probe = post_list.astype(np.int64) * n + post
-    up = np.arange(n)
+def unit_bits(bodies: list[np.ndarray]) -> np.ndarray:
+    """A parity bitmap of each set, in a row of 64-bit words; all have the same length, about four bits a shingle of the largest."""
+    words = 1 << int(np.clip(max(map(len, bodies), default=1) // 16, 1, 64) - 1).bit_length()
+    out = np.empty((len(bodies), words), U)
+    for i, x in enumerate(bodies):
+        odd = np.bincount((x >> U(20) & U(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+        out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+    return out
+
+
+class Search:
+    """T-occurrence search over the sets added so far."""
+
+    #: Merging fewer entries than this is cheaper than looking at bitmaps.
+    EASY = 2000
+
+    def __init__(self, n: int, words: int):
+        self.lists: dict[int, list[int]] = {}
+        self.sizes = np.empty(n, np.int64)
+        self.bits = np.empty((n, words), U)
+        self.radius = np.zeros(n)
+        self.n = 0
+
+    def add(self, body: list[int], bits: np.ndarray, radius: float = 0.0) -> int:
+        own, self.n = self.n, self.n + 1
+        self.sizes[own], self.bits[own], self.radius[own] = len(body), bits, radius
+        for s in body:
+            self.lists.setdefault(s, []).append(own)
+        return own
+
+    def find(self, body: list[int], t: int, bits: np.ndarray, reach: float) -> list[tuple[int, int]]:
+        """(set, shingles in common) by DivideSkip: at least every set with ``t`` or more of ``body`` whose distance is ``reach`` and its radius at most."""
+        lists = [found for s in body if (found := self.lists.get(s))]
+        if len(lists) < t:
+            return []
+        lists.sort(key=len)
+        aside = min(t - 1, int(t / (0.01 * np.log2(len(lists[-1])) + 1)))
+        short, long_ = lists[: len(lists) - aside], lists[len(lists) - aside :]
+        work = sum(map(len, short))
+        left = None
+        if work > self.EASY:
+            # Bitmaps tell which sets can be near enough; if they are few, no list is short beside probing for these.
+            far = np.minimum(reach + self.radius[: self.n], 1)
+            most = (self.sizes[: self.n] + len(body)) * far / (2 - far) + EPS
+            left = np.flatnonzero(np.bitwise_count(self.bits[: self.n] ^ bits).sum(1) <= most)
+            if len(left) * len(lists) < 2 * work:
+                short, long_, aside = [], lists, t
+        out = []
+        if short:
+            allowed = None if left is None else set(left.tolist())
+            counted = ((own, sum(1 for _ in times)) for own, times in groupby(heapq.merge(*short)) if allowed is None or own in allowed)
+        else:
+            counted = ((own, 0) for own in left.tolist())
+        for own, common in counted:
+            if common < t - aside:
+                continue
+            for x in long_:
+                at = bisect_left(x, own)
+                common += at < len(x) and x[at] == own
+            if common >= t:
+                out.append((own, common))
+        return out
+
+
+def _far(common: int, a: int, b: int) -> float:
+    return 1 - common / (a + b - common)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def _union() -> tuple:
+    up: dict[int, int] = {}
 
     def find(x: int) -> int:
         root = x
-        while up[root] != root:
-            root = up[root]
-        while up[x] != root:
-            up[x], x = root, up[x]
+        while (p := up.get(root, root)) != root:
+            root = p
+        while (p := up.get(x, x)) != root:
+            up[x], x = root, p
         return root
 
-    links = []
-    for r in range(n):
-        i = order[r]
-        size = int(sizes[i])
-        own = lists[first[i] : first[i + 1]]
-        own = own[length[own] > 1]
-        t = -(-percent * size // 100)
-        if len(own) < t:
-            continue
-        own = own[np.argsort(length[own], kind="stable")]
-        longest = int(length[own[-1]])
-        aside = min(t - 1, int(t / (0.01 * np.log2(longest) + 1)))
-        short, long_ = own[: len(own) - aside], own[len(own) - aside :]
-        ids = np.concatenate([post[start[x] : start[x + 1]] for x in short])
-        ids, times = np.unique(ids[ids < r], return_counts=True)
-        fit = times >= t - aside
-        ids, times = ids[fit], times[fit]
-        big = sizes[order[ids]] * 100 >= percent * size
-        ids, times = ids[big], times[big]
-        if not len(ids):
-            continue
-        roots = np.array([find(int(x)) for x in ids])
-        step = 1
-        mine = find(r)
-        while len(ids):
-            # The first few candidates of each component that isn't x's; more each time.
-            o = np.argsort(roots, kind="stable")
-            ids, times, roots = ids[o], times[o], roots[o]
-            place = np.arange(len(ids)) - np.repeat(np.flatnonzero(np.r_[True, roots[1:] != roots[:-1]]), np.diff(np.flatnonzero(np.r_[True, roots[1:] != roots[:-1], True])))
-            take = place < step
-            c, both = ids[take], times[take].copy()
-            if len(long_):
-                want = (long_.astype(np.int64) * n)[None, :] + c[:, None]
-                spot = np.searchsorted(probe, want.ravel())
-                both += ((spot < len(probe)) & (probe[np.minimum(spot, len(probe) - 1)] == want.ravel())).reshape(want.shape).sum(1)
-            ok = 100 * both >= percent * (size + sizes[order[c]] - both)
-            done = set()
-            for y in c[ok]:
-                root = find(int(y))
-                if root != mine:
-                    links.append((int(i), int(order[y])))
-                    up[root] = mine
-                done.add(root)
-            left = ~take
-            ids, times, roots = ids[left], times[left], roots[left]
-            if len(ids):
-                roots = np.array([find(int(x)) for x in ids])
-                other = roots != mine
-                ids, times, roots = ids[other], times[other], roots[other]
-            step *= 2
-    return links
+    def join(x: int, y: int) -> bool:
+        x, y = find(x), find(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+        return x != y
+
+    return find, join
+
+
+def limits(percent: int) -> tuple[float, float]:
+    """The largest distance of a link, and how far from its leader a follower may be: so near that two links and two radii
+    together stay below 1, where every pair in question shares a shingle."""
+    tau = 1 - percent / 100
+    return tau, min(tau, 0.45 * (1 - tau))
+
+
+def cluster(bodies: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int], list[float]]:
+    """(links that span the components of all links; each set's leader; its distance from it) for distinct sorted sets."""
+    tau, rho = limits(percent)
+    n, every = len(bodies), unit_bits(bodies)
+    index, find, join = Search(n, every.shape[1]), *_union()
+    links, lead, dist = [], [0] * n, [0.0] * n
+    leaders: list[int] = []
+    followers: list[list[int]] = []
+    for i in sorted(range(n), key=lambda i: len(bodies[i])):
+        body = bodies[i].tolist()
+        a = len(body)
+        near, best = [], None
+        for own, common in index.find(body, max(1, ceil((1 - tau - rho) * a - EPS)), every[i], tau):
+            b = int(index.sizes[own])
+            far = _far(common, a, b)
+            if 100 * common >= percent * (a + b - common):
+                if join(i, leaders[own]):
+                    links.append((i, leaders[own]))
+                if far <= rho + EPS and (best is None or far < best[0]):
+                    best = (far, own)
+            elif far <= tau + index.radius[own] + EPS:
+                near.append((far, own))
+        for far, own in sorted(near):
+            if find(leaders[own]) == find(i):
+                continue
+            ring = [y for y in followers[own] if dist[y] >= far - tau - EPS]
+            apart = np.bitwise_count(every[ring] ^ every[i]).sum(1) if ring else ()
+            for y, bits in zip(ring, apart):
+                if bits * (100 + percent) <= (a + len(bodies[y])) * (100 - percent):
+                    common = _common(bodies[y], bodies[i])
+                    if 100 * common >= percent * (a + len(bodies[y]) - common):
+                        join(i, y)
+                        links.append((i, y))
+                        break
+        if best:
+            dist[i], own = best
+            lead[i] = leaders[own]
+            followers[own].append(i)
+            index.radius[own] = max(index.radius[own], dist[i])
+        else:
+            lead[i] = i
+            index.add(body, every[i])
+            leaders.append(i)
+            followers.append([])
+    return links, lead, dist
+
+
+def meet(bodies: list[np.ndarray], radius: list[float], group: list[int], part: list[int], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links between leaders of different parts (sub-blocks), and pairs whose followers alone could still join two components.
+
+    ``group`` is each leader's component within its part. Pairs within a part are settled already.
+    """
+    tau, rho = limits(percent)
+    n, every = len(bodies), unit_bits(bodies)
+    index, find, join = Search(n, every.shape[1]), *_union()
+    first: dict[int, int] = {}
+    for i, g in enumerate(group):
+        join(i, first.setdefault(g, i))
+    links, open_, own_of = [], [], []
+    for i in sorted(range(n), key=lambda i: len(bodies[i])):
+        body = bodies[i].tolist()
+        a = len(body)
+        for own, common in index.find(body, max(1, ceil((1 - tau - 2 * rho) * a - EPS)), every[i], tau + radius[i]):
+            j, b = own_of[own], int(index.sizes[own])
+            if part[i] == part[j]:
+                continue
+            if 100 * common >= percent * (a + b - common):
+                if join(i, j):
+                    links.append((i, j))
+            elif _far(common, a, b) <= tau + radius[i] + radius[j] + EPS:
+                open_.append((i, j))
+        index.add(body, every[i], radius[i])
+        own_of.append(i)
+    return links, [(i, j) for i, j in open_ if find(i) != find(j)]
+
+
+def first_link(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[int, int] | None:
+    """A link between a set of ``left`` and one of ``right``, if there is one."""
+    every = unit_bits([*left, *right])
+    index = Search(len(left), every.shape[1])
+    for x, bits in zip(left, every):
+        index.add(x.tolist(), bits)
+    for j, y in enumerate(right):
+        a = len(y)
+        for own, common in index.find(y.tolist(), max(1, ceil(percent * a / 100)), every[len(left) + j], 1 - percent / 100) if a else ():
+            if 100 * common >= percent * (a + int(index.sizes[own]) - common):
+                return own, j
+    return None
+
+
+def link_block(first: np.ndarray, val: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sets that span the components of all links."""
+    return cluster([np.sort(val[a:b]) for a, b in zip(first[:-1], first[1:])], percent)[0]
 
 
 def _sets(batches, k: int):
@@ -242,82 +377,175 @@ def _sets(batches, k: int):
 
 
 def bitmaps(first: np.ndarray, val: np.ndarray) -> list[bytes]:
-    """The parity bitmap of each set: 2**k bits, at least 64 and one a shingle; empty for the empty set."""
+    """The parity bitmap of each set: 2**k bits, 64 to ``BITS`` and if possible one a shingle; empty for the empty set."""
     h = B.mix(val ^ _SALT[0])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if a == b:
             out.append(b"")
             continue
-        bits = max(64, 1 << int(b - a - 1).bit_length())
+        bits = min(BITS, max(64, 1 << int(b - a - 1).bit_length()))
         odd = np.bincount((h[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
 
 
-def differ_at_least(x: bytes, y: bytes) -> int:
-    """In how many shingles two sets differ, at least; the longer bitmap is folded to the shorter one's length."""
-    if len(x) < len(y):
-        x, y = y, x
-    a, b, n = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x)
-    while n > 8 * len(y):
-        n //= 2
-        a = (a >> n) ^ (a & ((1 << n) - 1))
-    return (a ^ b).bit_count()
+def folded(bits: list[bytes]) -> list[int]:
+    """Bitmaps as integers of the shortest one's length: the halves of a longer one are laid over each other."""
+    least = 8 * min(map(len, bits))
+    out = []
+    for x in bits:
+        v, n = int.from_bytes(x, "little"), 8 * len(x)
+        while n > least:
+            n //= 2
+            v = (v >> n) ^ (v & ((1 << n) - 1))
+        out.append(v)
+    return out
+
+
+def split_group(sizes: list[int], bits: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Stars (i, j) that hold all together that might link, by bitmaps."""
+    v = folded(bits)
+    most = 2 * max(sizes) * (100 - percent) // (100 + percent)
+    out: list[tuple[int, int]] = []
+
+    def compare(own: list[int]) -> None:
+        find, join = _union()
+        for x in range(1, len(own)):
+            for y in range(x):
+                i, j = own[x], own[y]
+                if (v[i] ^ v[j]).bit_count() * (100 + percent) <= (sizes[i] + sizes[j]) * (100 - percent):
+                    join(x, y)
+        out.extend((own[x], own[r]) for x in range(1, len(own)) if (r := find(x)) != x)
+
+    todo, centres = [list(range(len(v)))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) <= GROUP:
+            compare(own)
+            continue
+        if centres == CENTRES:
+            out.extend((x, own[0]) for x in own[1:])
+            continue
+        centres += 1
+        far = sorted(((v[x] ^ v[own[0]]).bit_count(), x) for x in own)
+        cuts = [0, *(x for x in range(1, len(far)) if far[x][0] - far[x - 1][0] > most), len(far)]
+        pieces = [[x for _, x in far[a:b]] for a, b in zip(cuts, cuts[1:])]
+        if len(pieces[0]) > GROUP:  # around this centre nothing more can be told apart
+            head = pieces.pop(0)
+            out.extend((x, head[0]) for x in head[1:])
+        todo.extend(pieces)
+    return out
 
 
 def shingled(df: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (null for the empty set), bits of every row of ``df`` (doc_id, text)."""
+    """doc_id, th, n_shingles, node (null for the empty set), bits of every row of ``df`` (doc_id, text, th)."""
 
     def run(batches):
         for batch, a, b, first, val in _sets(batches, k):
             n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n, pa.int64()), pa.array(set_names(first, val).view(np.int64), pa.int64(), mask=n == 0), pa.array(bitmaps(first, val), pa.binary())], ["doc_id", "n_shingles", "node", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(n, pa.int64()), pa.array(set_names(first, val).view(np.int64), pa.int64(), mask=n == 0), pa.array(bitmaps(first, val), pa.binary())], ["doc_id", "th", "n_shingles", "node", "bits"])
+
+    return df.select("doc_id", "text", "th").mapInArrow(B.trimmed(run), "doc_id long, th long, n_shingles long, node long, bits binary")
+
 
-    return df.mapInArrow(B.trimmed(run), "doc_id long, n_shingles long, node long, bits binary")
+def _shared(batches):
+    """From (sig, node) rows sorted by both: (grp, node) of groups of several nodes; groups of equal nodes have one name and leave once a task."""
+    out = pa.schema([("grp", pa.int64()), ("node", pa.int64())])
+    seen: set[int] = set()
+    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    open_ = None  # a group that has begun to leave
 
+    def name(sig):
+        return int(B.mix(np.array([sig], np.int64).view(U) ^ _SALT[2]).view(np.int64)[0])
 
-def _pairs(batches, buffer: int = 500_000):
-    """From (sig, node) rows sorted by both: pairs (a < b) with a common part, ``chain`` where they are neighbours in a large group."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("chain", pa.bool_())])
+    def batch_of(grp, node):
+        return pa.RecordBatch.from_arrays([pa.array(grp), pa.array(node)], schema=out)
 
-    def pairs(sig, node, chained):
+    def whole(sig, node):
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        size = np.repeat(np.diff(np.r_[start, len(sig)]), np.diff(np.r_[start, len(sig)]))
-        sig, node, size = sig[size > 1], node[size > 1], size[size > 1]
-        got = [(node[:0], node[:0], np.zeros(0, bool))]
-        for j in range(1, min(GROUP, len(sig))):
-            i = np.flatnonzero(sig[j:] == sig[:-j])
-            large = size[i] > GROUP if chained is None else (size[i] > GROUP) | (sig[i] == chained)
-            i, large = (i, large) if j == 1 else (i[~large], large[~large])
-            if not len(i):
-                break
-            got.append((node[i], node[i + j], large))
-        a, b, c = (np.concatenate(x) for x in zip(*got))
-        # A pair has many parts in common; in a task it leaves once.
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        o = np.lexsort((~c, b, a))
-        a, b, c = a[o], b[o], c[o]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)] & (a != b)
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(c[new])], schema=out)
-
-    waiting, count, chained = [], 0, None
+        size = np.diff(np.r_[start, len(sig)])
+        big = size > 1
+        if not big.any():
+            return None
+        keep = np.repeat(big, size)
+        node, size = node[keep], size[big]
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        grp = B.mix(np.add.reduceat(B.mix(node.view(U)), start) + size.astype(U))
+        fresh = np.array([not (g in seen or seen.add(g)) for g in grp.tolist()], bool)
+        if len(seen) > 300_000:
+            seen.clear()
+        if not fresh.any():
+            return None
+        return batch_of(np.repeat(grp, size)[np.repeat(fresh, size)].view(np.int64), node[np.repeat(fresh, size)])
+
     for batch in batches:
-        waiting.append(tuple(np.asarray(batch.column(i)) for i in range(2)))
-        count += batch.num_rows
-        if count < buffer:
+        sig, node = (np.concatenate((h, np.asarray(batch.column(i)))) for i, h in enumerate(held))
+        if not len(sig):
             continue
-        sig, node = (np.concatenate(x) for x in zip(*waiting))
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[new], node[new]
+        if open_ is not None:
+            end = int(np.searchsorted(sig, open_, "right"))
+            if end:
+                yield batch_of(np.full(end, name(open_)), node[:end])
+            if end == len(sig):
+                held = (sig[:0], node[:0])
+                continue
+            sig, node, open_ = sig[end:], node[end:], None
         cut = int(np.searchsorted(sig, sig[-1]))
-        if cut == 0:  # one group fills it all: its rows are chained to its end, and its last one goes on
-            chained = sig[-1]
-            yield pairs(sig, node, chained)
-            waiting, count = [(sig[-1:], node[-1:])], 1
-            continue
-        yield pairs(sig[:cut], node[:cut], chained)
-        waiting, count = [(sig[cut:], node[cut:])], len(sig) - cut
-    if count:
-        yield pairs(*(np.concatenate(x) for x in zip(*waiting)), chained)
+        if cut and (got := whole(sig[:cut], node[:cut])) is not None:
+            yield got
+        sig, node = sig[cut:], node[cut:]
+        if len(sig) > LARGE:
+            open_ = int(sig[0])
+            yield batch_of(np.full(len(sig), name(open_)), node)
+            sig, node = sig[:0], node[:0]
+        held = (sig, node)
+    if len(held[0]) and (got := whole(*held)) is not None:
+        yield got
+
+
+def _split(percent: int):
+    """From (grp, n, node, bits) rows sorted by grp: stars over what might link, merged within the task. A group of more than ``LARGE`` rows
+    stays together."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        forest = Forest()
+        rows, last, head = [], None, None
+
+        def close():
+            if len(rows) > 1:
+                for i, j in split_group([r[1] for r in rows], [r[3] for r in rows], percent):
+                    forest.union(rows[i][2], rows[j][2])
+            if rows and head is not None:
+                for r in rows:
+                    forest.union(r[2], head)
+
+        def leave():
+            e = forest.stars()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], schema=schema)
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[0] != last:
+                    close()
+                    rows, last, head = [], r[0], None
+                rows.append(r)
+                if len(rows) > LARGE:
+                    head = rows[0][2] if head is None else head
+                    for x in rows:
+                        forest.union(x[2], head)
+                    rows = []
+                    if forest.full():
+                        yield leave()
+            if forest.full():
+                yield leave()
+        close()
+        yield leave()
+
+    return run
 
 
 def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -330,108 +558,148 @@ def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame
             names = set_names(first, val)
             # A class is emitted once a task: a group of copies is thinned out before the shuffle.
             fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool)
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             keep = np.repeat(fresh, np.diff(first))
             f = np.concatenate(([0], np.cumsum(np.where(fresh, np.diff(first), 0))))
             for who, sig in part_hashes(f, val[keep], parts):
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "node"])
 
-    rows = df.mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
-    found = stored(rows.mapInArrow(B.trimmed(_pairs), "a long, b long, chain boolean"))
-    met = stored(found.groupBy("a", "b").agg(F.max("chain").alias("chain")))
-    own = stored(classes.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n_shingles", "bits"))
-    size = own.count()
-    side = lambda x: small(own.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), size)
-    judged = met.filter("not chain").join(side("a"), "a").join(side("b"), "b")
+    rows = df.select("doc_id", "text").mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
+    groups = stored(rows.mapInArrow(B.trimmed(_shared), "grp long, node long")).distinct()
+    sides = groups.join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node").select("grp", "n", "node", "bits")
+    stars = sides.repartition(n, "grp").sortWithinPartitions("grp", "n", "node").mapInArrow(B.trimmed(_split(percent)), "a long, b long")
+    return components(stars)
 
-    def prune(batches):
-        for batch in batches:
-            c = {f: batch.column(i).to_pylist() for i, f in enumerate(batch.schema.names)}
-            ok = [differ_at_least(x, y) * (100 + percent) <= (m + n) * (100 - percent) for x, y, m, n in zip(c["bitsa"], c["bitsb"], c["na"], c["nb"])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    kept = judged.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(B.trimmed(prune), "a long, b long").unionByName(met.filter("chain").select("a", "b"))
-    return components(kept.mapInArrow(B.trimmed(_stars), "a long, b long"))
+def bodies(df: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The set (sorted 64-bit hashes) of each row of ``placed`` (node, rep_id, rep_th, other longs), from the text of its document; once for each node and task."""
+    extra = [c for c in placed.columns if c not in ("node", "rep_id", "rep_th")]
+    few = stored(placed.select(F.col("rep_id").alias("b_id"), F.col("rep_th").alias("b_th"), F.col("node").alias("own"), *[F.col(c).cast("long").alias(c) for c in extra]))
+    text = meet_few(df.select("doc_id", "text", "th"), few, "inner").select("doc_id", "text", "own", *extra)
 
+    def run(batches):
+        seen = set()
+        for batch, a, b, first, val in _sets(batches, k):
+            raw = val.tobytes()
+            body = pa.array([raw[8 * x : 8 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+            own = batch.column(2)[a:b]
+            fresh = pa.array([not (x in seen or seen.add(x)) for x in own.to_pylist()], pa.bool_())
+            if len(seen) > 500_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([own, *(batch.column(i)[a:b] for i in range(3, batch.num_columns)), body], ["node", *extra, "body"]).filter(fresh)
 
-def _stars(batches):
-    """Edges as stars, merged within the task."""
-    forest, out = Forest(), pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return text.mapInArrow(B.trimmed(run), ", ".join(["node long", *(f"{c} long" for c in extra), "body binary"]))
 
-    def rows():
-        e = forest.stars()
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], schema=out)
 
-    for batch in batches:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            forest.union(x, y)
-        if forest.full():
-            yield rows()
-    yield rows()
+_FOUND = pa.schema([("kind", pa.int32()), ("root", pa.int64()), ("sub", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("dist", pa.float64()), ("body", pa.binary())])
+_FOUND_DDL = "kind int, root long, sub long, a long, b long, dist double, body binary"
 
 
-def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links between classes, enough to span the components of all links; ``classes`` has node, doc_id, n_shingles."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One document stands for each class in a block; it carries its block and its share of sub-blocks.
-    named = stored(block.join(classes, "node"))
-    size = named.groupBy("root").agg(F.sum("n_shingles").alias("total"))
-    placed = named.join(size, "root").withColumn("subs", F.ceil(F.col("total") / BLOCK).cast("int"))
-    placed = stored(placed.select(F.col("rep").alias("rep"), "node", "root", "subs", F.pmod(F.xxhash64("node"), "subs").cast("int").alias("sub")))
-    text = df.withColumn("th", F.xxhash64("text")).join(small(placed.withColumnRenamed("rep", "who"), placed.count()), F.col("doc_id").eqNullSafe(F.col("who")))
+def _found(rows):
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
-    def sets(batches):
-        for batch, a, b, first, val in _sets(batches, k):
-            names = pa.array(set_names(first, val).view(np.int64))
-            own = [batch.column(batch.schema.get_field_index(c))[a:b] for c in ("node", "root", "subs", "sub")]
-            raw = val.tobytes()
-            body = pa.array([raw[8 * x : 8 * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*own, body, names], ["node", "root", "subs", "sub", "body", "own"])
 
-    kind = "node long, root long, subs int, sub int, body binary, own long"
-    got = text.select("text", "node", "root", "subs", "sub").mapInArrow(B.trimmed(sets), kind).filter(F.col("own") == F.col("node"))
-    other = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
-    units = got.withColumn("other", other).select("root", F.least("sub", "other").alias("s1"), F.greatest("sub", "other").alias("s2"), "node", "body")
-    units = units.repartition(n, "root", "s1", "s2").sortWithinPartitions("root", "s1", "s2", "node")
+def _units(n_key: int, solve):
+    """Runs ``solve`` over the rows of each unit: batches sorted by their first ``n_key`` columns."""
 
-    def search(batches):
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        nodes, bodies, size, last = [], [], 0, None
+    def run(batches):
+        rows, last = [], None
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:n_key] != last:
+                    if rows:
+                        yield from solve(rows)
+                    rows, last = [], r[:n_key]
+                rows.append(r)
+        if rows:
+            yield from solve(rows)
 
-        def solve():
-            lens = np.array([len(b) // 8 for b in bodies])
-            found = link_block(np.concatenate(([0], np.cumsum(lens))), np.frombuffer(b"".join(bodies), U), percent)
-            return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], schema=out)
+    return run
 
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            for key, node, body in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if key != last and size > BLOCK // 4:  # several small blocks share an index; a unit is never split
-                    yield solve()
-                    nodes, bodies, size = [], [], 0
-                if not (key == last and nodes and nodes[-1] == node):
-                    nodes.append(node)
-                    bodies.append(body)
-                    size += len(body) // 8
-                last = key
-        if nodes:
-            yield solve()
-
-    return units.mapInArrow(B.trimmed(search), "a long, b long")
+
+def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links between classes, enough to span the components of all links; ``classes`` has node, rep_id, rep_th, n_shingles."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One document stands for each class in a block; it carries its block and its sub-block.
+    named = stored(block.join(classes, "node"))
+    size = named.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("subs"))
+    placed = named.join(size, "root").select("node", "rep_id", "rep_th", "root", F.pmod(F.xxhash64("node"), "subs").alias("sub"), "subs")
+    sets = bodies(df, placed, k).select("root", "sub", "subs", "node", "body")
+
+    def search(rows):
+        nodes: dict[int, bytes] = {}
+        for r in rows:
+            nodes.setdefault(r[3], r[4])
+        names = list(nodes)
+        found, lead, dist = cluster([np.frombuffer(x, U) for x in nodes.values()], percent)
+        root, sub, subs = rows[0][:3]
+        out = [(0, root, sub, names[i], names[j], 0.0, None) for i, j in found]
+        if subs > 1:
+            find, join = _union()
+            for i, j in found:
+                join(i, j)
+            radius = [0.0] * len(names)
+            for i, x in enumerate(lead):
+                radius[x] = max(radius[x], dist[i])
+                out.append((2, root, sub, names[i], names[x], dist[i], None))
+            out += [(1, root, sub, names[i], names[find(i)], radius[i], nodes[names[i]]) for i, x in enumerate(lead) if x == i]
+        if out:
+            yield _found(out)
+
+    got = stored(sets.repartition(n, "root", "sub").sortWithinPartitions("root", "sub", "node").mapInArrow(B.trimmed(_units(2, search)), _FOUND_DDL))
+    sure = got.filter("kind = 0").select("a", "b")
+    leaders = got.filter("kind = 1")
+    if leaders.isEmpty():
+        return sure
+
+    # Leaders of one block meet in one task; more than BLOCK shingles of leaders are dealt again, and each pair of deals meets.
+    deals = leaders.groupBy("root").agg(F.ceil(F.sum(F.length("body") / 8) / BLOCK).cast("int").alias("deals")).withColumnRenamed("root", "d_root")
+    dealt = leaders.join(small(stored(deals)), F.col("root") == F.col("d_root")).withColumn("deal", F.pmod(F.xxhash64("a"), "deals").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("root", F.least("deal", "other").alias("s1"), F.greatest("deal", "other").alias("s2"), "sub", "a", "b", "dist", "body")
+
+    def across(rows):
+        found, open_ = meet([np.frombuffer(r[7], U) for r in rows], [r[6] for r in rows], [r[5] for r in rows], [r[3] for r in rows], percent)
+        out = [(0, rows[0][0], 0, rows[i][4], rows[j][4], 0.0, None) for i, j in found] + [(3, rows[0][0], 0, rows[i][4], rows[j][4], 0.0, None) for i, j in open_]
+        if out:
+            yield _found(out)
+
+    met = stored(dealt.repartition(n, "root", "s1", "s2").sortWithinPartitions("root", "s1", "s2", "a").mapInArrow(B.trimmed(_units(3, across)), _FOUND_DDL))
+    sure = sure.unionByName(met.filter("kind = 0").select("a", "b"))
+    open_ = met.filter("kind = 3").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    if open_.isEmpty():
+        return sure
+
+    # Cluster against cluster: each of the two leaders' sets and followers.
+    pairs = open_.withColumn("pair", F.xxhash64("x", "y"))
+    ends = pairs.select("pair", F.col("x").alias("lead"), F.lit(0).alias("side")).unionByName(pairs.select("pair", F.col("y").alias("lead"), F.lit(1).alias("side")))
+    members = got.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("lead"))
+    wanted = members.join(ends.select("lead").distinct(), "lead", "left_semi")
+    body = bodies(df, placed.join(wanted, "node", "left_semi").select("node", "rep_id", "rep_th"), k)
+    both = ends.join(members.join(body, "node"), "lead").select("pair", "side", "node", "body")
+
+    def decide(rows):
+        side = [{r[2]: r[3] for r in rows if r[1] == s} for s in (0, 1)]
+        hit = first_link(*([np.frombuffer(x, U) for x in s.values()] for s in side), percent)
+        if hit:
+            yield _found([(0, 0, 0, list(side[0])[hit[0]], list(side[1])[hit[1]], 0.0, None)])
+
+    late = both.repartition(n, "pair").sortWithinPartitions("pair", "side", "node").mapInArrow(B.trimmed(_units(1, decide)), _FOUND_DDL)
+    return sure.unionByName(late.select("a", "b"))
 
 
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row of ``df`` (doc_id, text)."""
-    d = docs(df)
+    """doc_id, th (xxhash64 of the text), n_shingles, node, root (the component's name; node and root are null without shingles), component_id for every
+    row of ``df`` (doc_id, text)."""
+    d = docs(df).withColumn("th", F.xxhash64("text"))
     own = stored(shingled(d, k))
-    classes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"))
-    classes = stored(classes)
+    rep = F.min(F.struct("doc_id", "th"))
+    classes = own.filter("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"))
+    classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "least_id", "n_shingles", "bits"))
     block = blocks(d, classes, k, percent)
-    found = components(links(d, classes.drop("bits"), block, k, percent))
+    found = components(links(d, classes.drop("bits", "least_id"), block, k, percent))
     named = found.withColumnRenamed("node", "member")
-    grouped = classes.join(named, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
-    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = stored(grouped.join(least, "root").select("node", "component_id"))
-    return own.join(by_node, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped = classes.join(named, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
+    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_node = stored(grouped.join(least, "root").select("node", "root", "component_id"))
+    return own.join(by_node, "node", "left").select("doc_id", "th", "n_shingles", "node", "root", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
-from tidewater.llm._frames import docs, small, stored
+from tidewater.llm._frames import docs, meet_few, stored
 from tidewater.llm._induced import repeated
 
 U = np.uint64
@@ -261,8 +261,7 @@ def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
     found = df.select("doc_id", "text", "th").mapInArrow(B.trimmed(_emit(length)), _ddl(_PIECE))
     judged = stored(found.repartition("anchor").sortWithinPartitions("anchor", "v1", "v2").mapInArrow(B.trimmed(_judge), _ddl(_SPAN)))
     compare = stored(judged.filter("compare").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "a", "b", "sure")).alias("cuts")))
-    total = compare.agg(F.sum(F.size("cuts"))).first()[0] or 0
-    text = _with(df, small(compare, total), "inner")
+    text = _with(df, compare, "inner")
 
     def cut(batches):
         for batch in batches:
@@ -303,8 +302,7 @@ def merge_spans(raw):
 
 
 def _with(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    o = other.withColumnRenamed("doc_id", "o_id").withColumnRenamed("th", "o_th")
-    return df.join(o, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")), how).drop("o_id", "o_th")
+    return meet_few(df, other.withColumnsRenamed({"doc_id": "b_id", "th": "b_th"}), how)
 
 
 def keep(raw: bytes, spans: list[dict] | None) -> bytes:
@@ -322,8 +320,7 @@ def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False) -> DataF
     """doc_id, n_bytes, n_removed, n_spans of every row of ``df`` (doc_id, text), and what is left: kept (binary) or, with ``digest``, kept_sha256."""
     d = docs(df).withColumn("th", F.xxhash64("text"))
     spans = repeated_spans(d, length)
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = _with(d, small(spans, total), "left").select("doc_id", "text", "spans")
+    joined = _with(d, spans, "left").select("doc_id", "text", "spans")
     last = ("kept_sha256", "string", pa.string()) if digest else ("kept", "binary", pa.binary())
 
     def run(batches):
