@@ -21,7 +21,7 @@ The vocabulary drops white space, so a text's ids are those of its words, whatev
 the ids of the words that it has met in a hash table of bounded size, so that a frequent word is encoded by the library
 once; words are told apart by a 64-bit hash.
 
-A special token's name in a text is split into ordinary pieces (``encode_special_tokens``), unlike in the library's plain call.
+A special token's name in a text is that token, as in the library's plain call; texts with ``<|`` are encoded whole by the library.
 
 Null text: the end id alone. Repeated doc_ids: one entry for each row, ties in any order.
 """
@@ -44,6 +44,8 @@ U = np.uint64
 TABLE_WORDS = 3_000_000
 
 MARK = "\x01"
+#: What the names of the vocabulary's added tokens begin with.
+SPECIAL = b"<|"
 MANIFEST = "part int, attempt string, n_docs long, n_ids long"
 
 
@@ -117,7 +119,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        if any(not t.content.startswith(SPECIAL.decode()) for t in self.tok.get_added_tokens_decoder().values()):
+            raise ValueError(f"an added token doesn't begin with {SPECIAL!r}")
         (self.mark,) = self.tok.encode(MARK, add_special_tokens=False).ids
         self.kind = f"<u{width}"
         self.table = WordTable(self.kind, TABLE_WORDS)
@@ -143,6 +146,14 @@ class WordIds:
         """Number of ids of each text with its end id, and all ids."""
         n = len(offs) - 1
         starts, ends, doc = B.words(data, offs)
+        # A special token's name can begin and end anywhere in a word: such texts are encoded whole.
+        at = np.flatnonzero((data[:-1] == SPECIAL[0]) & (data[1:] == SPECIAL[1]))
+        own = np.searchsorted(offs, at, "right") - 1
+        odd = np.unique(own[at + 1 < offs[own + 1]])
+        whole = [self.narrow(self.tok.encode(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids) for i in odd.tolist()]
+        if len(odd):
+            plain = ~np.isin(doc, odd)
+            starts, ends, doc = starts[plain], ends[plain], doc[plain]
         h = B.span_hash(data, starts, ends)
         entries = self.table.find(h)
         new = np.flatnonzero(entries < 0)
@@ -157,6 +168,10 @@ class WordIds:
             entries = self.table.find(h)
         lens, ids = self.table.runs(entries)
         per = np.bincount(doc, lens, minlength=n).astype(np.int64)
+        if len(odd):
+            size = np.array([len(x) for x in whole])
+            ids = np.insert(ids, np.repeat(np.cumsum(per)[odd], size), np.concatenate(whole))
+            per[odd] += size
         return per + 1, np.insert(ids, np.cumsum(per), np.array(end, self.kind))
 
 
