@@ -1,23 +1,26 @@
-"""Language-model scores from a class bigram model (Brown et al. 1992) with exchange clustering.
+"""Language-model scores from a class bigram model (Brown et al. 1992) with distributed exchange clustering.
 
 P(w_i | w_{i-1}) = P(g_i | g_{i-1}) P(w_i | g_i), where g is a word's class; each document ends with an end token,
 which also stands before its first word.
 
-* Symbols: the ``LEADERS`` most frequent words are symbols of their own, any other word's symbol is one of ``ENDINGS``, by its last two
-  bytes; the end token is one. So every word, seen or not, has a symbol.
-* Exchange clustering assigns symbols to ``CLASSES`` classes: from a start by frequency each symbol moves to the class
-  that raises the likelihood of the symbol bigrams most, in sweeps until nothing moves. The end token has a class alone.
+* Vocabulary: every word that occurs ``MIN_COUNT`` times or more in training, however many there are. All rarer and all unseen words share one class; the
+  end token has a class alone.
+* Exchange clustering moves each word of the vocabulary to the class that raises the likelihood of the class bigrams most. The ``LEADERS`` most
+  frequent words are exchanged one by one on the driver, which is a start for all; then come sweeps over the whole vocabulary (as Uszkoreit and
+  Brants 2008 do): tasks count, for each word, the classes before and behind it; Spark adds the counts up by word; a word's task compares all classes, with
+  the table of class bigrams as it was before the sweep. From the second sweep on, half of the words may move at a time, since
+  words that move together can lose what each would gain alone; a sweep that lowers the likelihood is undone and is the last.
 * P(g | g') = (n(g', g) + C P(g)) / (n(g') + C) with P(g) = (n(g) + 1) / (N + C), C the number of classes;
-  P(w | g) = (c(w) + 1) / (n(g) + V(g) + 1), V(g) the distinct words of g: what is left is for all unseen words of g.
+  P(w | g) = (c(w) + 1) / (n(g) + V(g)), V(g) the distinct words of g, and one more for all unseen words where g is the class of rare ones.
 
-All counts are over every token of every training document. Counts of all words stay distributed; the bounded part that goes to the driver and to
-every task is: words at or above the count that at most ``HEAD`` words reach, bigrams of symbols
-((LEADERS + ENDINGS + 1) squared at most), sums for each ending. A task adds up what these words give and
-sends each document's other words to the counts by a shuffle.
+All counts are over every token of every training document. What a task holds has a size bound: the words of the vocabulary with count and class if they are
+``HEAD`` at most (some 30 bytes each), bigrams of leaders, and (classes)^2 numbers. A task adds up what these words give and
+sends each document's other words to the counts by a shuffle. A larger vocabulary stays distributed: word bigrams are counted once, and
+classes come to them by shuffled joins in every sweep and in the score; results are the same.
 
 Words: runs of characters other than 20 and 09-0D, A-Z as a-z, told apart by a 64-bit hash. Null or empty text: the end
 token only. A null doc_id trains and isn't held out. Rows that repeat are scored, and counted, each. No training rows: every
-count is 0 and the formulas hold.
+count is 0 and the formulas hold. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,90 +29,115 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs, stored
 
 U = np.uint64
-LEADERS, ENDINGS, CLASSES, HEAD = 1000, 64, 40, 1 << 18
+LEADERS, HEAD, MIN_COUNT, SWEEPS = 1000, 1 << 21, 3, 4
+#: Classes that exchange deals with; then the class of rare words and the end token's.
+MOVING = 62
+RARE, STOP, CLASSES = MOVING, MOVING + 1, MOVING + 2
 #: Hash that stands for the end token.
 END = U(0x5851F42D4C957F2D)
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hash and ending (0 to ENDINGS - 1; ENDINGS for the end token) of each token, end tokens included, in order."""
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of each token, end tokens included, in order."""
     n = len(offs) - 1
     low = B.LOWER[data]
     starts, ends, doc = B.words(low, offs)
     h = B.span_hash(low, starts, ends)
-    last = low[ends - 1].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    before = np.where(ends - starts > 1, low[ends - 2], 0).astype(np.int64) if len(ends) else last
-    ending = (last * 7 + before * 131) % 8191 % ENDINGS
     at = np.cumsum(np.bincount(doc, minlength=n))
-    return np.insert(doc, at, np.arange(n)), np.insert(h, at, END), np.insert(ending, at, ENDINGS)
+    return np.insert(doc, at, np.arange(n)), np.insert(h, at, END)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
-    """h, ending, n of every word of ``train`` (doc_id, text), the end token included."""
+    """h, n of every word of ``train`` (doc_id, text), the end token included."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offs in B.text_pieces(batch):
-                _, h, ending = tokens(data, offs)
-                own, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ending[first], pa.int32()), pa.array(n, pa.int64())], ["h", "ending", "n"])
+                own, n = np.unique(tokens(data, offs)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    return stored(train.mapInArrow(B.trimmed(run), "h long, ending int, n long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
+    return stored(train.mapInArrow(B.trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
 
 
-def symbols(rank: np.ndarray, ending: np.ndarray, leaders: int) -> np.ndarray:
-    """Symbol of each token: a leader's rank, else ``leaders`` + its ending (the end token's symbol is the last)."""
-    return np.where((rank >= 0) & (rank < leaders), rank, leaders + ending)
+def before(s: np.ndarray, end: int) -> np.ndarray:
+    """The symbol before each; documents are in a row, each closed by the end token, which so stands before the next one's first."""
+    out = np.empty_like(s)
+    out[:1] = end
+    out[1:] = s[:-1]
+    return out
+
+
+@dataclass
+class Table:
+    """Classes of words for a task: ``keys`` are hashes; a word that isn't there is rare."""
+
+    keys: np.ndarray
+    classes: np.ndarray
+    index: B.HashIndex | None = field(default=None)
+
+    def __getstate__(self):
+        return self.__dict__ | {"index": None}
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place (-1 for none) and class."""
+        if self.index is None:
+            self.index = B.HashIndex(self.keys)
+        at = self.index.find(h)
+        if not len(self.keys):
+            return at, np.where(h == END, STOP, RARE)
+        return at, np.where(at >= 0, self.classes[at], np.where(h == END, STOP, RARE))
 
 
-def symbol_bigrams(train: DataFrame, leaders: np.ndarray) -> np.ndarray:
-    """Counts of (symbol before, symbol) over ``train``; the end token stands before each document's first token."""
-    m = len(leaders) + ENDINGS + 1
-    sent = train.sparkSession.sparkContext.broadcast(leaders)
+def bigram_table(train: DataFrame, table: Table, size: int) -> np.ndarray:
+    """Counts of (class before, class) over ``train``: size * size numbers from each task."""
+    sent = train.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        index, total = B.HashIndex(sent.value), np.zeros(m * m, np.int64)
+        total = np.zeros(size * size, np.int64)
         for batch in batches:
             for _, _, data, offs in B.text_pieces(batch):
-                doc, h, ending = tokens(data, offs)
-                s = symbols(index.find(h), ending, len(sent.value))
-                total += np.bincount(before(s, m - 1) * m + s, minlength=m * m)
+                _, s = sent.value.find(tokens(data, offs)[1])
+                total += np.bincount(before(s, size - 1) * size + s, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
 
-    got = train.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(m * m)
+    return _square(train.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), size)
+
+
+def _square(pairs: DataFrame, size: int) -> np.ndarray:
+    got = pairs.toArrow()  # (pair, n): size * size rows at most
+    out = np.zeros(size * size)
     out[np.asarray(got.column("pair"))] = np.asarray(got.column("n"))
-    return out.reshape(m, m)
+    return out.reshape(size, size)
 
 
-def before(s: np.ndarray, end: int) -> np.ndarray:
-    """The symbol before each; documents are in a row, each closed by the end token, which so stands before the next one's first."""
-    out = np.empty_like(s)
-    out[:1] = end
-    out[1:] = s[:-1]
-    return out
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(n: np.ndarray) -> float:
+    """What the likelihood of the class bigrams depends on."""
+    return float(xlogx(n).sum() - xlogx(n.sum(0)).sum() - xlogx(n.sum(1)).sum())
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
-    """Class of each symbol; the last symbol's class is ``classes`` - 1 and no other's."""
-    m, k = len(bigrams), classes - 1
+    """Class of each symbol, moved one by one; the last two symbols' classes are ``classes`` - 2 and ``classes`` - 1 and no other's."""
+    m, k = len(bigrams), classes - 2
     weight = bigrams.sum(0) + bigrams.sum(1)
-    order = np.argsort(-weight[:-1], kind="stable")
+    order = np.argsort(-weight[:-2], kind="stable")
     g = np.empty(m, np.int64)
-    g[order] = np.arange(m - 1) % k
-    g[-1] = k
+    g[order] = np.arange(m - 2) % max(k, 1)
+    g[-2:] = k, k + 1
     by_class = np.zeros((m, classes))
     by_class[np.arange(m), g] = 1
     n = by_class.T @ bigrams @ by_class
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(sweeps):
         moved = 0
         for w in order:
@@ -142,97 +170,261 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
     return g
 
 
+def best_classes(n: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The best of the moving classes for each word: ``out`` and ``into`` count the classes behind and before it (words x classes), ``n`` is the
+    table with every word where it is now, ``own`` their classes. Only a real gain moves a word."""
+    k = MOVING
+    rows, cols = n.sum(1), n.sum(0)
+    take = (xlogx(n[None, :k] + out[:, None]) - xlogx(n[None, :k])).sum(2) + (xlogx(n.T[None, :k] + into[:, None]) - xlogx(n.T[None, :k])).sum(2)
+    total_out, total_in = out.sum(1), into.sum(1)
+    take -= xlogx(rows[None, :k] + total_out[:, None]) - xlogx(rows[None, :k]) + xlogx(cols[None, :k] + total_in[:, None]) - xlogx(cols[None, :k])
+    # What the class that it is in now would lose without it.
+    left_rows, left_cols = np.maximum(n[own] - out, 0), np.maximum(n.T[own] - into, 0)
+    stay = (xlogx(n[own]) - xlogx(left_rows)).sum(1) + (xlogx(n.T[own]) - xlogx(left_cols)).sum(1)
+    stay -= xlogx(rows[own]) - xlogx(np.maximum(rows[own] - total_out, 0)) + xlogx(cols[own]) - xlogx(np.maximum(cols[own] - total_in, 0))
+    inside = np.flatnonzero(own < k)
+    take[inside, own[inside]] = stay[inside]
+    best = take.argmax(1)
+    better = take[np.arange(len(own)), best] > np.where(own < k, stay, -np.inf) + 1e-9
+    return np.where(better, best, own)
+
+
+def neighbours(train: DataFrame, table: Table) -> DataFrame:
+    """h, k, n: how often class k (CLASSES + k for the one before) stands behind each word of the table, added up inside tasks first."""
+    sent = train.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        keys, counts, held = [], [], 0
+
+        def leave():
+            own, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+            h = sent.value.keys[own // (2 * CLASSES)]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((own % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["h", "k", "n"])
+
+        for batch in batches:
+            for _, _, data, offs in B.text_pieces(batch):
+                at, s = sent.value.find(tokens(data, offs)[1])
+                prior = before(s, STOP)
+                behind = np.empty_like(s)
+                behind[:-1], behind[-1:] = s[1:], STOP
+                known = np.flatnonzero((at >= 0) & (s != STOP))
+                key = at[known] * (2 * CLASSES)
+                own, n = np.unique(np.concatenate((key + behind[known], key + CLASSES + prior[known])), return_counts=True)
+                keys.append(own)
+                counts.append(n)
+                held += len(own)
+                if held > 1_000_000:
+                    yield leave()
+                    keys, counts, held = [], [], 0
+        if keys:
+            yield leave()
+
+    return train.mapInArrow(B.trimmed(run), "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+
+
+def word_bigrams(train: DataFrame) -> DataFrame:
+    """a, b, n of every pair of words in a row, the end token before a document's first."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in B.text_pieces(batch):
+                _, h = tokens(data, offs)
+                own, n = np.unique(np.stack([before(h, END), h], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].view(np.int64)), pa.array(own[:, 1].view(np.int64)), pa.array(n, pa.int64())], ["a", "b", "n"])
+
+    return stored(train.mapInArrow(B.trimmed(run), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+
+
+def _classed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) and the classes ga, gb of both words; ``classes`` has h, g."""
+    other = lambda x: F.coalesce(F.col("g"), F.when(F.col(x) == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE))
+    for x in "ab":
+        pairs = pairs.join(classes.withColumnRenamed("h", "c_h"), F.col(x) == F.col("c_h"), "left").withColumn(f"g{x}", other(x)).drop("c_h", "g")
+    return pairs
+
+
+def sweep(counts: DataFrame, classes: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
+    """h, g of every word of ``classes`` (h, g) after a sweep; ``counts`` as from ``neighbours``."""
+    sent = counts.sparkSession.sparkContext.broadcast(n)
+    rows = counts.unionByName(classes.select("h", F.lit(-1).alias("k"), F.col("g").cast("long").alias("n")))
+    width = 2 * CLASSES
+
+    def run(batches):
+        def solve(h, k, v):
+            own, at = np.unique(h, return_inverse=True)
+            g = np.full(len(own), -1)
+            is_class = k < 0
+            g[at[is_class]] = v[is_class]
+            dense = np.bincount(at[~is_class] * width + k[~is_class], v[~is_class], minlength=len(own) * width).reshape(-1, width)
+            new = g.copy()
+            free = np.ones(len(own), bool) if nth == 0 else (B.mix(own.view(U) + U(nth // 2)) >> U(40)) % U(2) == U(nth % 2)
+            some = np.flatnonzero(free & (g >= 0))
+            for i in range(0, len(some), 64):
+                x = some[i : i + 64]
+                new[x] = best_classes(sent.value, dense[x, :CLASSES], dense[x, CLASSES:], g[x])
+            real = g >= 0
+            return pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(new[real].astype(np.int32))], ["h", "g"])
+
+        held: list = []
+        size = 0
+        for batch in batches:
+            held.append(tuple(np.asarray(c) for c in batch.columns))
+            size += batch.num_rows
+            if size > 200_000:
+                h, k, v = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(h, h[-1]))
+                if cut:
+                    yield solve(h[:cut], k[:cut], v[:cut])
+                held, size = [(h[cut:], k[cut:], v[cut:])], len(h) - cut
+        if size:
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
+
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(B.trimmed(run), "h long, g int"))
+
+
+def _table(classes: DataFrame) -> Table:
+    got = classes.toArrow()  # HEAD rows at most
+    h, g = np.asarray(got.column("h")).view(U), np.asarray(got.column("g"))
+    o = np.argsort(h)
+    return Table(h[o], g[o].astype(np.int16))
+
+
+def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, sweeps: int = SWEEPS) -> tuple[DataFrame, np.ndarray]:
+    """h, g of every word of ``vocabulary`` (h, n; not the end token), and the table of class bigrams; ``whole``: the vocabulary fits into tasks."""
+    spark = train.sparkSession
+    top = vocabulary.orderBy(F.desc("n"), "h").limit(LEADERS).toArrow()
+    lead = np.asarray(top.column("h")).view(U)
+    m = len(lead)
+    # Leaders as symbols 0 to m - 1, then rare words, then the end: the classes of rare words and end are renumbered for the small table.
+    symbols = Table(np.append(lead, END), np.append(np.arange(m), m + 1))
+    found = _small_table(train, symbols, m + 2)
+    g = exchange(found, CLASSES)
+    start = spark.createDataFrame(list(zip(lead.view(np.int64).tolist(), g[:m].tolist())), "s_h long, s_g int")
+    classes = stored(vocabulary.join(F.broadcast(start), F.col("h") == F.col("s_h"), "left").select("h", F.coalesce("s_g", F.lit(RARE)).alias("g")))
+    bigrams = None if whole else word_bigrams(train)
+
+    def table_of(classes):
+        if whole:
+            return bigram_table(train, _table(classes), CLASSES)
+        return _square(_classed(bigrams, classes).groupBy((F.col("ga") * CLASSES + F.col("gb")).alias("pair")).agg(F.sum("n").alias("n")), CLASSES)
+
+    n = table_of(classes)
+    best = None
+    for nth in range(sweeps):
+        if whole:
+            counts = neighbours(train, _table(classes))
+        else:
+            met = _classed(bigrams, classes)
+            both = met.select(F.col("a").alias("h"), F.col("gb").alias("k"), "n").unionByName(met.select(F.col("b").alias("h"), (F.col("ga") + CLASSES).alias("k"), "n"))
+            counts = both.groupBy("h", "k").agg(F.sum("n").alias("n")).join(vocabulary.select("h"), "h", "left_semi")
+        moved = sweep(counts, classes, n, nth)
+        after = table_of(moved)
+        value = likelihood(after)
+        # The first sweep takes words out of the class of rare ones, so that it can't be undone.
+        if best is not None and value < best:
+            break
+        classes, n, best = moved, after, value
+    return classes, n
+
+
+def _small_table(train: DataFrame, symbols: Table, size: int) -> np.ndarray:
+    """Bigrams of symbols; what the table doesn't have is symbol ``size`` - 2."""
+    keys, own = symbols.keys, symbols.classes
+    sent = train.sparkSession.sparkContext.broadcast((keys, own))
+
+    def run(batches):
+        keys, own = sent.value
+        index, total = B.HashIndex(keys), np.zeros(size * size, np.int64)
+        for batch in batches:
+            for _, _, data, offs in B.text_pieces(batch):
+                at = index.find(tokens(data, offs)[1])
+                s = np.where(at >= 0, own[at], size - 2)
+                total += np.bincount(before(s, size - 1) * size + s, minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
+
+    return _square(train.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), size)
+
+
 @dataclass
 class Model:
-    """What a task needs to score, of bounded size."""
+    """``words`` (h, n, g) has every word of training; ``step`` is log10 P(g | g') less log10 of the denominator of P(w | g), [g', g]."""
 
-    keys: np.ndarray  # hashes of head words, most frequent first
-    counts: np.ndarray  # their counts
-    leaders: int
-    classes: np.ndarray  # class of each symbol
-    step: np.ndarray  # log10 P(g | g') - log10(n(g) + V(g) + 1), [g', g]
+    words: DataFrame
+    vocabulary: DataFrame
+    whole: bool
+    step: np.ndarray
     n_tokens: int
     n_distinct: int
-    index: B.HashIndex | None = field(default=None)
 
-    def __getstate__(self):
-        return self.__dict__ | {"index": None}
 
-
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model and the counts of all words (h, ending, n)."""
+def fit(train: DataFrame, sweeps: int = SWEEPS) -> Model:
+    """The model of ``train`` (doc_id, text)."""
     counts = word_counts(train)
-    totals = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # ENDINGS + 1 rows
-    n_all, v_all = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
-    # The least count that at most HEAD words reach: from the number of words of each count, most frequent first.
-    reach = F.sum("k").over(Window.orderBy(F.desc("n")))
-    cut = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("reach", reach).filter(F.col("reach") <= HEAD).agg(F.min("n")).first()[0]
-    head = counts.filter(F.col("n") >= (cut if cut is not None else n_all + 1)).select("h", "ending", "n").toArrow()
-    h, n, ending = (np.asarray(head.column(c)) for c in ("h", "n", "ending"))
-    order = np.lexsort((h, -n))
-    h, n, ending = h[order].view(U), n[order], ending[order]
-    is_end = h == END
-    h, n, ending = (np.concatenate((x[~is_end], x[is_end])) for x in (h, n, ending))  # the end token is no leader
-    leaders = min(LEADERS, int((~is_end).sum()))
-    pairs = symbol_bigrams(train, h[:leaders])
-    m = len(pairs)
-    g = exchange(pairs, CLASSES)
-    one = np.zeros((m, CLASSES))
-    one[np.arange(m), g] = 1
-    ng = one.T @ pairs @ one
-    size, after = ng.sum(0), ng.sum(1)
-    distinct = np.zeros(m)
-    distinct[:leaders] = 1
-    for r in totals:
-        distinct[leaders + r["ending"]] = r["v"]
-    distinct[leaders:] -= np.bincount(ending[:leaders], minlength=ENDINGS + 1)
-    v = one.T @ distinct
-    alone = (size + 1) / (size.sum() + CLASSES)
-    step = np.log10((ng + CLASSES * alone[None, :]) / (after[:, None] + CLASSES)) - np.log10(size + v + 1)[None, :]
-    return Model(h, n, leaders, g, step, int(n_all), int(v_all)), counts
-
-
-def score(df: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    vocabulary = counts.filter((F.col("n") >= MIN_COUNT) & (F.col("h") != F.lit(int(END.view(np.int64)))))
+    whole = vocabulary.count() <= HEAD
+    classes, table = clustered(train, vocabulary, whole, sweeps)
+    words = counts.join(classes.withColumnRenamed("h", "c_h"), F.col("h") == F.col("c_h"), "left")
+    words = stored(words.select("h", "n", F.coalesce("g", F.when(F.col("h") == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE)).alias("g")))
+    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
+    for r in words.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
+        n[r["g"]], v[r["g"]] = r["n"], r["v"]
+    alone = (n + 1) / (n.sum() + CLASSES)
+    unseen = np.arange(CLASSES) == RARE
+    step = np.log10((table + CLASSES * alone[None, :]) / (table.sum(1)[:, None] + CLASSES)) - np.log10(np.maximum(n + v + unseen, 1))[None, :]
+    return Model(words, words.filter((F.col("g") != RARE) & (F.col("g") != STOP)), whole, step, int(n.sum()), int(v.sum()))
+
+
+def _scores(sums: DataFrame, model: Model) -> DataFrame:
+    base = F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(model.n_tokens + model.n_distinct + 1)))
+    out = sums.withColumn("base_score", base).withColumn("score", F.col("counted") + F.col("walk"))
+    return out.select("doc_id", "n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity of every row of ``df`` (doc_id, text)."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    if not model.whole:
+        return _score_by_joins(df, model)
+    got = model.vocabulary.toArrow()
+    h, c, g = (np.asarray(got.column(x)) for x in ("h", "n", "g"))
+    o = np.argsort(h.view(U))
+    table, log_counts = Table(h.view(U)[o], g[o].astype(np.int16)), np.log10(c[o] + 1.0).astype(np.float64)
+    sent = df.sparkSession.sparkContext.broadcast((table, log_counts, model.step))
     kind = "row long, doc_id long, h long, n_tokens long, n_known long, counted double, walk double, tf long"
 
     def run(batches):
         from pyspark import TaskContext
 
-        m = sent.value
-        if m.index is None:
-            m.index = B.HashIndex(m.keys)
+        table, log_counts, step = sent.value
         row = TaskContext.get().partitionId() << 40
-        log_counts = np.log10(m.counts + 1.0)
         for batch in batches:
             for a, b, data, offs in B.text_pieces(batch):
                 n = b - a
-                doc, h, ending = tokens(data, offs)
-                rank = m.index.find(h)
-                g = m.classes[symbols(rank, ending, m.leaders)]
-                walk = m.step[before(g, CLASSES - 1), g]
-                known = rank >= 0
+                doc, h = tokens(data, offs)
+                at, g = table.find(h)
+                walk = step[before(g, STOP), g]
+                known = at >= 0
                 ids = row + np.arange(n)
                 row += n
                 zero = np.zeros(n, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), batch.column(0)[a:b].cast(pa.int64()), pa.array(B.mix(ids.astype(U)).view(np.int64)), pa.array(np.bincount(doc, minlength=n)),
-                    pa.array(np.bincount(doc[known], minlength=n)), pa.array(np.bincount(doc[known], log_counts[rank[known]], minlength=n)), pa.array(np.bincount(doc, walk, minlength=n)), pa.array(zero),
+                    pa.array(np.bincount(doc[known], minlength=n)), pa.array(np.bincount(doc[known], log_counts[at[known]], minlength=n) + 0.0), pa.array(np.bincount(doc, walk, minlength=n) + 0.0), pa.array(zero),
                 ], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
-                # Words beyond the head: one row for each document and word.
+                # Words outside the vocabulary and end tokens: one row for each document and word.
                 doc, h = doc[~known], h[~known]
                 o = np.lexsort((h, doc))
                 doc, h = doc[o], h[o]
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])][: len(h)])
                 tf = np.diff(np.r_[new, len(h)])
                 k = len(new)
-                if k:
-                    z, zf = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.nulls(k, pa.int64()), pa.array(h[new].view(np.int64)), z, z, zf, zf, pa.array(tf)], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
+                z, zf = pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.nulls(k, pa.int64()), pa.array(h[new].view(np.int64)), z, z, zf, zf, pa.array(tf)], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
 
     rows = df.mapInArrow(B.trimmed(run), kind)
-    c = counts.select(F.col("h"), F.col("n").alias("c"))
+    c = model.words.filter(F.col("g") >= RARE).select("h", F.col("n").alias("c"))
     met = rows.join(c, "h", "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -241,13 +433,39 @@ def score(df: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         (F.sum("counted") + F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("counted"),
         F.sum("walk").alias("walk"),
     )
-    base = F.col("counted") - F.col("n_tokens") * F.lit(float(np.log10(model.n_tokens + model.n_distinct + 1)))
-    out = sums.withColumn("base_score", base).withColumn("score", F.col("counted") + F.col("walk"))
-    return out.select("doc_id", "n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return _scores(sums, model)
+
+
+def _score_by_joins(df: DataFrame, model: Model) -> DataFrame:
+    """The same where the vocabulary is too large for a task: each document's bigrams meet counts and classes by shuffles."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for a, b, data, offs in B.text_pieces(batch):
+                doc, h = tokens(data, offs)
+                own, first, tf = np.unique(np.stack([doc.astype(U), before(h, END), h], 1), axis=0, return_index=True, return_counts=True)
+                ids = batch.column(0)[a:b].cast(pa.int64()).take(pa.array(doc[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(row + own[:, 0].astype(np.int64)), ids, pa.array(own[:, 1].view(np.int64)), pa.array(own[:, 2].view(np.int64)), pa.array(tf, pa.int64())], ["row", "doc_id", "a", "b", "tf"])
+                row += b - a
+
+    pairs = df.mapInArrow(B.trimmed(run), "row long, doc_id long, a long, b long, tf long")
+    met = _classed(pairs, model.words.select("h", "g")).join(model.words.select(F.col("h").alias("w_h"), F.col("n").alias("c")), F.col("b") == F.col("w_h"), "left")
+    step = F.element_at(F.lit(model.step.ravel().tolist()), F.col("ga") * CLASSES + F.col("gb") + 1)
+    sums = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.sum("tf").alias("n_tokens"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("counted"),
+        F.sum(F.col("tf") * step).alias("walk"),
+    )
+    return _scores(sums, model)
 
 
 def train_and_score(df: DataFrame, is_train: Column) -> DataFrame:
     """Learn from the rows of ``df`` (doc_id, text) where ``is_train`` (a condition on doc_id) holds, score all; also train_tokens."""
     d = docs(df)
-    model, counts = fit(d.filter(is_train))
-    return score(d, model, counts).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    model = fit(d.filter(is_train))
+    return score(d, model).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
