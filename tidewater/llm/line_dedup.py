@@ -1,11 +1,13 @@
 """Line deduplication by range-partitioned line hashes; DataFrame functions only.
 
 A line's key is the line without white space (20, 09-0D) at both ends and with A-Z in
-lower case. Rows (128-bit key hash, document, position) are range partitioned by all of these and sorted inside
-each partition, so that a key found in a third of all lines is spread over as many partitions as its rows need.
-Each partition streams its part of a key into one partial row (number of documents, first occurrence); these partial
-rows meet in a second, small exchange. The result is a compressed keep bitmap per document, never text:
-alternating run lengths of kept and dropped lines, beginning with kept ones.
+lower case. Rows (128-bit key hash, salt, document, position) are range partitioned by key hash and salt, and sorted by document and
+position inside each part of a key. The salt is a hash of the document, so a key found in a third of all lines is spread over as many
+parts as there are partitions. A window streams each part in that order: a row whose document isn't the one before counts one document more, and the part's
+first row is its first occurrence. One partial row a part (documents, first occurrence) meets the others of its key in a second
+exchange. The result is a compressed keep bitmap per document, never text:
+alternating run lengths of kept and dropped lines, beginning with kept ones. Texts are moved only if the bitmaps are too many to broadcast,
+and then only those that may lose a line.
 
 Modes: ``drop="all"`` drops every line whose key is found in at least ``min_docs`` documents;
 ``drop="later"`` keeps the first one in order of (document, position).
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm._frames import docs, small, stored
+from tidewater.llm._frames import docs, meet_few, small, stored
 
 UPPER, LOWER_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,14 +50,20 @@ def keep_bitmaps(df: DataFrame, min_docs: int = 10, min_chars: int = 1, drop: st
     if drop not in ("all", "later"):
         raise ValueError(f"drop is all or later, not {drop}")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = ["h1", "h2", "doc_id", "th"]
+    part = ["h1", "h2", "salt"]
     # Range partitioning reads its input twice, and the rows are used twice: they are made once, without text.
-    keyed = stored(_keyed(df, min_chars))
-    placed = keyed.repartitionByRange(n, *spread).sortWithinPartitions(*spread, "pos")
-    per_doc = placed.groupBy(*spread).agg(F.min("pos").alias("pos"))
-    totals = [F.count("*").alias("n_docs")] + ([F.min(F.struct("doc_id", "th", "pos")).alias("first")] if drop == "later" else [])
-    frequent = stored(per_doc.groupBy("h1", "h2").agg(*totals).filter(F.col("n_docs") >= min_docs))
-    hit = placed.join(small(frequent, frequent.count()), ["h1", "h2"])
+    keyed = stored(_keyed(df, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(n)).cast("int")))
+    placed = keyed.repartitionByRange(n, *part).sortWithinPartitions(*part, "doc_id", "th", "pos")
+    stream = Window.partitionBy(*part).orderBy("doc_id", "th", "pos")
+    same = F.lag("doc_id").over(stream).eqNullSafe(F.col("doc_id")) & F.coalesce(F.lag("th").over(stream) == F.col("th"), F.lit(False))
+    streamed = placed.select(*part, "doc_id", "th", "pos", same.alias("same"), F.row_number().over(stream).alias("nth"))
+    totals = [F.count_if(~F.col("same")).alias("n_docs")]
+    if drop == "later":
+        totals.append(F.max(F.when(F.col("nth") == 1, F.struct("doc_id", "th", "pos"))).alias("first"))
+    partial = streamed.groupBy(*part).agg(*totals)
+    together = [F.sum("n_docs").alias("n_docs")] + ([F.min("first").alias("first")] if drop == "later" else [])
+    frequent = stored(partial.groupBy("h1", "h2").agg(*together).filter(F.col("n_docs") >= min_docs))
+    hit = keyed.join(small(frequent), ["h1", "h2"])
     if drop == "later":
         is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.pos") == F.col("pos"))
         hit = hit.filter(~is_first)
@@ -72,11 +80,10 @@ def _runs(dropped: DataFrame) -> DataFrame:
     return gaps.groupBy("doc_id", "th").agg(F.flatten(F.transform(pairs, lambda r: F.array(r.kept, r.lost))).alias("keep_runs"))
 
 
-def with_bitmaps(df: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``df`` (with doc_id and text) and each row's keep_runs, null where it loses nothing."""
-    own = df.withColumn("th", F.xxhash64("text"))
-    b = bitmaps.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), "keep_runs")
-    return own.join(b, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("th") == F.col("b_th")), "left").drop("b_id", "b_th", "th")
+def with_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` and each row's keep_runs, null where it loses nothing; no column of ``df`` is named keep_runs, b_id, b_th or own_th."""
+    few = stored(bitmaps.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"), "keep_runs"))
+    return meet_few(df.withColumn("own_th", F.xxhash64(text_col)), few, "left", id_col, "own_th").drop("own_th")
 
 
 def n_dropped(runs: Column) -> Column:
