@@ -150,3 +150,34 @@ def test_histogram_and_bands(spark):
     got = {r.bin: r.n for r in analysis.histogram(df, "v", 30).collect()}
     assert got[30] == 2 and sum(got.values()) == 31
     assert analysis.histogram(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").collect()[0].n == 2
+
+
+def test_topics_have_probabilities_and_outliers(spark):
+    from tidewater.operators import strategy
+
+    rows = [(i, [float(i % 2) * 10 + 0.01 * (i % 7), 1.0]) for i in range(100)] + [(200, [5.0, 40.0]), (201, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r.id: r for r in strategy.fit_topics(df, "v", 2, 10).collect()}
+    assert len(got) == 102 and got[201].topic == -1 and got[201].topic_probability == 0
+    assert got[200].topic == -1 and got[200].topic_probability == 0
+    assert {got[0].topic, got[1].topic} == {0, 1} and 0.9 < got[0].topic_probability <= 1
+    kept = {r.id: r for r in strategy.fit_topics(df, "v", 2, 10, spread=None).collect()}
+    assert kept[200].topic in (0, 1) and 0.4 < kept[200].topic_probability < 1
+
+
+def test_most_alike_on_the_row(spark):
+    from tidewater.operators import strategy
+
+    centres = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "s string, centre array<double>")
+    rows = spark.createDataFrame([(1, [3.0, 0.1]), (1, [0.1, 3.0]), (1, [0.0, 0.0]), (None, [1.0, 0.0])], "id long, v array<double>")
+    got = [(r.id, r.s) for r in strategy.reassign(rows, "id", "v", centres, "s").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (1, "c"), (1, "a"), (None, "a")], key=str)
+    assert strategy.reassign(rows, "id", "v", centres.limit(0), "s").filter("s is null").count() == 4
+
+
+def test_describe_by_sketch(spark):
+    from tidewater.operators import analysis
+
+    df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
+    exact, about = analysis.describe(df, ["x"]).first(), analysis.describe(df, ["x"], 10_000).first()
+    assert (exact.p25, exact.p50, exact.p75) == (250, 500, 750) and abs(about.p50 - 500) <= 1

@@ -29,6 +29,34 @@ def test_all_stages(spark, posts, tmp_path):
         p.run(stages=[7])
 
 
+def test_screening_and_stages_of_han_posts(spark, tmp_path):
+    """Stage 0 on raw posts: relevance over several columns, quality, ids and contents once, files by source; repeated ids in stage 2."""
+    from tidewater.functions import lexicon as lx
+
+    lex = lx.Lexicon.of({"效果词": ["瘦了", "掉秤"], "核心词": ["减肥", "体重管理"], "相关词": ["腰围"], "反减肥词": ["大码", "躺平"]})
+    body = "坚持减肥三个月终于掉秤瘦了腰围也小了很多真的很开心数据记录每天打卡"
+    raw = [(str(i % 200), f"{body}{i % 150}", "2024-01-10" if i % 2 else "2024-02-10", f"u{i}", i, "cleaned_a.csv" if i % 3 else "cleaned_b.csv") for i in range(240)]
+    raw += [("n1", "今天天气不错适合出门散步吃饭聊天", "2024-01-10", "u", 1, "cleaned_a.csv"), ("n2", body + "招聘", "2024-01-10", "u", 1, "cleaned_a.csv"), ("n3", "大码躺平就好不用在意别人的眼光啊", "2024-01-10", "v", 1, "cleaned_b.csv"), ("n4", "减肥掉秤瘦了", "2024-01-10", "v", 1, "cleaned_b.csv")]
+    raw += [(None, body + "无号", "2024-01-10", "w", 1, "cleaned_b.csv")]
+    posts = spark.createDataFrame(raw, "`微博ID` string, `全文内容` string, time string, user_id string, `点赞数` long, source_file string").withColumn("post_id", F.lit(7))
+    p = Pipeline(spark, str(tmp_path), Settings(lexicon=lex, min_docs=10, topics=3, min_topic=5, similarity=0.9, words=["减肥", "体重管理"]))
+    p.run(posts, stages=[0, 1, 2, 3, 4, 5])
+    related = {r["微博ID"]: r["点赞数"] for r in p.read("related").collect()}
+    assert "n1" not in related and "n2" not in related and "n4" not in related and "n3" in related and "" in related  # cleaning makes null ids empty
+    assert len(related) == 152 and p.read("related").select("全文内容").distinct().count() == 152
+    assert {r["微博ID"] for r in p.read("unrelated").collect()} == {"n1", "n2"}
+    counts = {r.keyword: r.n for r in p.read("keywords").collect()}
+    assert counts["掉秤"] == 243 and counts["大码"] == 1
+    assert p.read("strategy_posts").count() == p.read("posts").count() == 152
+    assert {r.word for r in p.read("terms").collect()} >= {"减肥", "打卡", "数据"}
+    assert set(os.listdir(tmp_path / "files")) >= {"related", "unrelated", "terms", "corpus", "matrices", "strategies", "mapping", "graphs"}
+    assert p.read("homogenisation").columns == ["density_slope", "clustering_slope", "is_homogenising"]
+    with pytest.raises(ValueError):
+        Pipeline(spark, str(tmp_path)).run(posts, stages=[0])
+    with pytest.raises(ValueError):
+        Pipeline(spark, str(tmp_path), Settings(lexicon=lex)).run(stages=[0, 1])
+
+
 def test_csv_in_and_out(spark, tmp_path):
     (tmp_path / "cleaned_a.csv").write_bytes("﻿text,n\n\"a \"\"q\"\"\nb\",1\n".encode())
     (tmp_path / "cleaned_b.csv").write_text("text,n\nc,2\n")

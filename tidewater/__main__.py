@@ -1,4 +1,4 @@
-"""python -m tidewater --input 'posts/*.csv' --output results [--stage 1,2] [--skip-stage 3]"""
+"""python -m tidewater --input 'posts/*.csv' --output results [--stage 0,1,2] [--skip-stage 3] [--lexicon words.json]"""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import logging
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.lexicon import read_lexicon
 from tidewater.plans.stages import Pipeline, Settings
 from tidewater.sources.readers import read_posts
 
@@ -18,9 +19,10 @@ def numbers(text: str) -> list[int]:
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tidewater", description=__doc__)
-    p.add_argument("--input", help="glob of CSV files of posts (stage 1)")
+    p.add_argument("--input", help="glob of CSV files of posts (stages 0 and 1)")
+    p.add_argument("--lexicon", help="JSON of keyword lists by category; stage 0 needs it")
     p.add_argument("--output", required=True)
-    p.add_argument("--all", action="store_true", help="all stages (as without --stage)")
+    p.add_argument("--all", action="store_true", help="all stages, screening too if there is a lexicon")
     p.add_argument("--stage", type=numbers, default=[1, 2, 3, 4, 5])
     p.add_argument("--skip-stage", type=numbers, default=[])
     p.add_argument("--unit", choices=["M", "W", "D"], default="M")
@@ -34,8 +36,8 @@ def main(argv: list[str] | None = None) -> int:
         if "post_id" not in posts.columns:
             # An id from the row's content, the same in every attempt of a task.
             posts = posts.withColumn("post_id", F.xxhash64(*posts.columns))
-    stages = [1, 2, 3, 4, 5] if a.all else a.stage
-    Pipeline(spark, a.output, Settings(unit=a.unit, min_docs=a.min_docs)).run(posts, stages, a.skip_stage)
+    stages = ([0] if a.lexicon else []) + [1, 2, 3, 4, 5] if a.all else a.stage
+    Pipeline(spark, a.output, Settings(unit=a.unit, min_docs=a.min_docs, lexicon=read_lexicon(a.lexicon) if a.lexicon else None)).run(posts, stages, a.skip_stage)
     return 0
 
 

@@ -15,7 +15,8 @@ from tidewater.functions import lexicon as lx
 from tidewater.functions import math as mx
 from tidewater.functions import text as tx
 from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
-from tidewater.plans.storage import stored
+from tidewater.plans.storage import shared_path, stored
+from tidewater.sources import readers, writers
 from tidewater.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,10 +212,10 @@ def corpus_lines(spark, d):
 SQL_PRINT = f"trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'), ' ')"
 
 
-@query("SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL")
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS r FROM conversations WHERE conv_id IS NOT NULL) WHERE r = 1")
 def dedup_id(spark, d):
     t = read_table(spark, d, "conversations")
-    return screening.dedup_id(t.filter("conv_id is not null"), "conv_id", [F.asc("turn"), F.asc("role"), F.asc("text")]).select("conv_id")
+    return screening.dedup_id(t.filter("conv_id is not null"), "conv_id", [F.desc("turn"), F.asc("role"), F.asc("text")]).select("conv_id", "turn", "role", "text")
 
 
 SQL_POSTS = "SELECT doc_id, text, lang, source, ts, user_id, event_type, value FROM documents JOIN events ON doc_id = event_id"
@@ -444,11 +445,11 @@ def topic_similarity(spark, d):
     return s.select("topic_i", "topic_j", r6(F.col("similarity")).alias("similarity"), r6(F.col("distance")).alias("distance"))
 
 
-@query(f"""WITH c AS ({SQL_CENTRES}), s AS (SELECT vec_id, c.label, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), centre), 12) AS sim FROM embeddings e CROSS JOIN c WHERE e.vec_id % 10 = 0)
+@query(f"""WITH c AS ({SQL_CENTRES}), s AS (SELECT vec_id, c.label, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), centre), 12) AS sim FROM embeddings e CROSS JOIN c)
     SELECT vec_id, label, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM s) WHERE r = 1""")
 def outlier_reassign(spark, d):
-    e = _embeddings(spark, d)  # every tenth vector plays the outlier
-    got = strategy.reassign(e.filter("vec_id % 10 = 0"), "vec_id", "embedding", strategy.centroids(e, "label", "embedding"), "label")
+    e = _embeddings(spark, d)  # every vector plays the outlier
+    got = strategy.reassign(e, "vec_id", "embedding", strategy.centroids(e, "label", "embedding"), "label")
     return got.select("vec_id", "label", r6(F.col("similarity")).alias("similarity"))
 
 
@@ -589,9 +590,9 @@ def growth_rates(spark, d):
     return analysis.growth(_order_obs(spark, d)).withColumn("growth", r6(F.col("growth")))
 
 
-@query(SQL_GROWTH + " SELECT meta_strategy, round(avg(growth), 6) AS mean_growth FROM r GROUP BY 1 HAVING avg(growth) > 0.10 AND meta_strategy <> 'MS_Outlier'")
+@query(SQL_GROWTH + " SELECT meta_strategy, round(avg(growth), 6) AS mean_growth FROM r GROUP BY 1 HAVING avg(growth) > -0.10 AND meta_strategy <> 'MS_Outlier'")
 def snowball(spark, d):
-    return analysis.snowball(_order_obs(spark, d)).withColumn("mean_growth", r6(F.col("mean_growth")))
+    return analysis.snowball(_order_obs(spark, d), -0.10).withColumn("mean_growth", r6(F.col("mean_growth")))
 
 
 @query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS w, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY w) - 1 AS x FROM m)
@@ -601,6 +602,19 @@ def trend_slopes(spark, d):
     return analysis.trends(m, ["n_orders", "mean_price"]).withColumn("slope", r6(F.col("slope")))
 
 
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS w, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY w) - 1 AS x FROM m),
+    s AS (SELECT regr_slope(n_orders, x) AS a, regr_slope(mean_price, x) AS b FROM p) SELECT round(a, 6) AS density_slope, round(b, 6) AS clustering_slope, a > 0 AND b > 0 AS is_homogenising FROM s""")
+def homogenisation(spark, d):
+    m = _windows(spark, d, "orders", "o_orderdate", "M").groupBy(F.col("time_window").alias("window")).agg(F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("mean_price"))
+    got = analysis.homogenisation(m, "n_orders", "mean_price")
+    return got.select(r6(F.col("density_slope")).alias("density_slope"), r6(F.col("clustering_slope")).alias("clustering_slope"), "is_homogenising")
+
+
+@query(SQL_SIM_EVENTS + " SELECT meta_strategy FROM game WHERE initial IS NOT NULL AND meta_strategy <> 'MS_Outlier' INTERSECT SELECT meta_strategy FROM game WHERE final IS NOT NULL")
+def common_strategies(spark, d):
+    return analysis.common_strategies(_sim(_event_obs(spark, d)))
+
+
 @query(f"SELECT meta_strategy, count(*) AS n, round(avg(sentiment), 6) AS sentiment, round(avg(arousal), 6) AS arousal FROM ({SQL_FELT}) GROUP BY 1")
 def emotion_by_strategy(spark, d):
     m = observe.strategy_means(_felt(spark, d))
@@ -669,3 +683,44 @@ def strategy_shares(spark, d):
     counts = read_table(spark, d, "events").groupBy(F.col("event_type").alias("meta_strategy")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("meta_strategy", "n", r6(100.0 * F.col("n") / F.col("t")).alias("percent"))
+
+
+# Sources and sinks: written, then read again.
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, true AS has_source FROM nation")
+def csv_round_trip(spark, d):
+    path = shared_path(spark)
+    writers.write_table(read_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "csv")
+    return readers.read_posts(spark, f"{path}/*.csv").select("n_nationkey", "n_name", "n_regionkey", F.col("source_file").endswith(".csv").alias("has_source"))
+
+
+@query("SELECT o_orderpriority AS source, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def split_round_trip(spark, d):
+    path = shared_path(spark)
+    writers.write_table(read_table(spark, d, "orders").filter("o_orderpriority is not null").select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("source")), path, by=["source"])
+    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(f"""WITH o AS ({sql_obs(SQL_ORDERS, 1)}) SELECT w.time_window, s.meta_strategy, coalesce(o.n, 0)::DOUBLE AS n FROM (SELECT DISTINCT time_window FROM o) w CROSS JOIN (SELECT DISTINCT meta_strategy FROM o) s
+    LEFT JOIN o ON o.time_window = w.time_window AND o.meta_strategy = s.meta_strategy""")
+def matrix_round_trip(spark, d):
+    path = shared_path(spark)
+    obs = _order_obs(spark, d)
+    writers.write_matrices(obs if "arousal" in obs.columns else obs.withColumn("arousal", F.lit(0.0)), path)
+    return readers.read_matrix(spark, f"{path}/n")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def json_round_trip(spark, d):
+    path = shared_path(spark)
+    r = read_table(spark, d, "region").join(read_table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    writers.write_json(r.groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("nations")), path)  # one list a region
+    return readers.read_document(spark, path, lines=True).select(F.explode("nations").alias("n_name"), "r_name")
+
+
+@query(f"SELECT word, freq FROM (SELECT word, count(*) AS freq FROM ({SQL_WORDS}) GROUP BY 1 ORDER BY freq DESC, word LIMIT 50)")
+def terms_round_trip(spark, d):
+    path = shared_path(spark)
+    writers.write_terms(screening.top(terms.term_counts(documents(spark, d), "text", STOP), "freq", "word", 50), path)
+    return spark.read.schema("word string, freq long").option("sep", "\t").csv(path)

@@ -96,9 +96,9 @@ def keyword_matches(text: Column, lex: lx.Lexicon, literal_case: bool = False) -
     return F.filter(F.array(*each), lambda m: m.isNotNull()) if each else F.array().cast("array<struct<keyword:string,weight:double>>")
 
 
-def match_weight(text: Column, lex: lx.Lexicon, least: float | None = None, only: Iterable[str] | None = None, count: bool = False, literal_case: bool = False) -> Column:
+def match_weight(text: Column, lex: lx.Lexicon, least: float | None = None, only: Iterable[str] | None = None, count: bool = False, literal_case: bool = False, lowered: bool = False) -> Column:
     """Sum of weights (or number) of keywords present, of those that weigh ``least`` or are in ``only``. Plain columns, no arrays."""
-    low = F.lower(text)
+    low = text if lowered else F.lower(text)
     out = F.lit(0) if count else F.lit(0.0)
     for k, w in zip(lex.keywords, lex.weights):
         if (least is None or w >= least) and (only is None or k in only):
@@ -108,9 +108,10 @@ def match_weight(text: Column, lex: lx.Lexicon, least: float | None = None, only
 
 def keyword_score(text: Column, lex: lx.Lexicon, excluded: Iterable[str] = lx.EXCLUDED, removed: Iterable[str] = lx.REMOVED) -> Column:
     """Weight of matches times the length factor; 0 for blank texts and those with an excluded word."""
-    clean = remove_words(text, removed)
     blank = F.coalesce(strip(text) == "", F.lit(True))
-    return F.when(blank | contains_any(F.lower(clean), excluded), 0.0).otherwise(match_weight(clean, lex) * length_factor(clean))
+    # The cleaned and the lowered text are bound once.
+    score = let(remove_words(text, removed), lambda t: let(F.lower(t), lambda low: F.when(contains_any(low, excluded), 0.0).otherwise(match_weight(low, lex, lowered=True) * length_factor(t))))
+    return F.when(blank, 0.0).otherwise(score)
 
 
 def render_matches(matches: Column, most: int = 10) -> Column:

@@ -31,6 +31,19 @@ def trends(metrics: DataFrame, columns: list[str], order: str = "window") -> Dat
     return flat.groupBy("metric").agg(F.regr_slope("value", "_x").alias("slope"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
 
 
+def homogenisation(metrics: DataFrame, density: str = "density", clustering: str = "avg_clustering", order: str = "window") -> DataFrame:
+    """density_slope, clustering_slope, is_homogenising (both rise): one row; nulls for fewer than two windows."""
+    slope = lambda c: F.max(F.when(F.col("metric") == c, F.col("slope")))
+    got = trends(metrics, [density, clustering], order).agg(slope(density).alias("density_slope"), slope(clustering).alias("clustering_slope"))
+    return got.withColumn("is_homogenising", (F.col("density_slope") > 0) & (F.col("clustering_slope") > 0))
+
+
+def common_strategies(sim: DataFrame) -> DataFrame:
+    """meta_strategy: those (outliers aside) that have an initial and a final share."""
+    named = sim.filter(F.col("meta_strategy") != OUTLIER)
+    return named.filter("initial is not null").select("meta_strategy").intersect(named.filter("final is not null").select("meta_strategy"))
+
+
 def arousal_gap(means: DataFrame) -> DataFrame:
     """science, shortcut, gap: unweighted mean arousal of the strategies of each class by name; null where there are none."""
     cls = tx.name_class(F.col("meta_strategy"))
@@ -52,11 +65,15 @@ def diversity_band(equilibria: DataFrame) -> DataFrame:
     return got.withColumn("band", F.when(F.col("avg_diversity") < 0.5, "low").when(F.col("avg_diversity") < 0.8, "middle").when(F.col("avg_diversity").isNotNull(), "high"))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """metric, n, mean, std, min, p25, p50, p75, max; quartiles interpolate."""
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """metric, n, mean, std, min, p25, p50, p75, max; quartiles interpolate.
+
+    Exact quartiles hold a metric's distinct values in one task. With ``accuracy`` they are values of the data whose rank is within n / accuracy of the
+    right one, from sketches of bounded size.
+    """
     flat = df.unpivot([], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
     v = "value"
-    return flat.groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.75).alias("p75"), F.max(v).alias("max"))
+    return flat.groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[(F.percentile(v, x) if accuracy is None else F.percentile_approx(v, x, accuracy)).alias(f"p{round(100 * x)}") for x in (0.25, 0.5, 0.75)], F.max(v).alias("max"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:

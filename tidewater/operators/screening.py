@@ -20,19 +20,34 @@ def with_relevance(df: DataFrame, columns: Sequence[str], lex: lx.Lexicon, min_s
     column makes the row unrelated with score 0. Without columns no row is related.
     """
     excluded, removed = list(excluded), list(removed)
+    own, got = df.columns, df
     score, core, contrary, out = F.lit(0.0), F.lit(0), F.lit(0), F.lit(False)
-    for c in columns:
-        clean = tx.remove_words(F.col(c), removed)
-        out = out | tx.contains_any(F.lower(clean), excluded)
-        score = score + tx.match_weight(clean, lex) * F.when(F.col(c).isNull(), 0.0).otherwise(tx.length_factor(clean))
-        core = core + tx.match_weight(clean, lex, least=core_weight, count=True)
-        contrary = contrary + tx.match_weight(clean, lex, only=set(lex.contrary), count=True)
+    for i, c in enumerate(columns):
+        # A generator is what no filter is pushed through: the text is cleaned and lowered once, whatever is asked of the result.
+        got = got.select("*", F.inline(F.transform(F.array(tx.remove_words(F.col(c), removed)), _lowered(c, i))))
+        low = F.col(f"_low{i}")
+        out = out | tx.contains_any(low, excluded)
+        score = score + tx.match_weight(low, lex, lowered=True) * F.col(f"_factor{i}")
+        core = core + tx.match_weight(low, lex, least=core_weight, count=True, lowered=True)
+        contrary = contrary + tx.match_weight(low, lex, only=set(lex.contrary), count=True, lowered=True)
     zeroed = lambda c, z: F.when(out, z).otherwise(c)
-    got = df.withColumns({"relevance_score": zeroed(score, 0.0), "n_core": zeroed(core, 0), "n_contrary": zeroed(contrary, 0)})
+    sums = F.struct(zeroed(score, 0.0).alias("relevance_score"), zeroed(core, 0).alias("n_core"), zeroed(contrary, 0).alias("n_contrary"))
+    got = got.select(*own, F.inline(F.array(sums)))
     related = ((F.col("relevance_score") >= min_score) & (F.col("n_core") >= min_core)) | (F.col("n_contrary") >= min_contrary)
     return got.withColumn("is_related", related if columns else F.lit(False))
 
 
+def _lowered(c: str, i: int):
+    """A cleaned text in lower case and its length factor, as struct<_low..., _factor...>; the factor is 0 where the column is null."""
+    return lambda t: F.struct(F.lower(t).alias(f"_low{i}"), F.when(F.col(c).isNull(), 0.0).otherwise(tx.length_factor(t)).alias(f"_factor{i}"))
+
+
+def clean_columns(df: DataFrame, removed: Iterable[str] = lx.REMOVED) -> DataFrame:
+    """Every text column without the words that are removed; others as they are."""
+    removed = list(removed)
+    return df.select(*[tx.remove_words(F.col(f"`{c}`"), removed).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
 def split_related(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that are related, and all others."""
     yes = F.coalesce(F.col("is_related"), F.lit(False))

@@ -156,11 +156,26 @@ def strategy_info(mapping: DataFrame, terms: DataFrame, behaviours: DataFrame) -
     return got.withColumn("semantic_name", tx.strategy_name(F.array_join(F.coalesce("top_keywords", F.array().cast("array<string>")), " "), F.col("profile")))
 
 
+def most_alike(vector: str, centres: DataFrame, group: str) -> Column:
+    """struct<name, similarity> of the group whose centre (group, centre) is most like a row's vector; ties to the first by name, no centre at all is null.
+
+    ``centres`` is one row a strategy; they become literals, so rows are judged where they are.
+    """
+    rows = sorted((r for r in centres.select(group, "centre").collect() if r[0] is not None), key=lambda r: r[0])
+    kind = f"struct<s:double,r:int,name:{dict(centres.dtypes)[group]},similarity:double>"
+
+    def judged(i, name):
+        return lambda c: F.struct(F.round(c, 12).alias("s"), F.lit(-i).alias("r"), F.lit(name).alias("name"), c.alias("similarity")).cast(kind)
+
+    each = [mx.let(mx.cosine(F.col(vector), F.lit([float(x) for x in r[1]])), judged(i, r[0])) for i, r in enumerate(rows)]
+    best = F.array_max(F.array(*each)) if each else F.lit(None).cast(kind)
+    return mx.let(best, lambda b: F.struct(b["name"].alias("name"), b["similarity"].alias("similarity")))
+
+
 def reassign(outliers: DataFrame, key: str, vector: str, centres: DataFrame, group: str) -> DataFrame:
-    """key, ``group``, similarity: for each row the group whose centre (group, centre) is most alike; ties to the first by name. ``centres`` is one row a strategy."""
-    s = outliers.select(key, vector).crossJoin(F.broadcast(centres)).withColumn("similarity", mx.cosine(F.col(vector), F.col("centre")))
-    ranked = s.withColumn("_r", F.dense_rank().over(Window.partitionBy(key).orderBy(F.round("similarity", 12).desc_nulls_last(), group)))
-    return ranked.filter("_r = 1").select(key, group, "similarity")
+    """key, ``group``, similarity: each row's most alike group."""
+    got = outliers.select(key, most_alike(vector, centres, group).alias("_best"))
+    return got.select(key, F.col("_best.name").alias(group), F.col("_best.similarity").alias("similarity"))
 
 
 def split_topic(df: DataFrame, topic: str, vector: str, big: float = 0.30, huge: float = 0.50, seeds: Sequence[int] = tuple(range(42, 52))) -> DataFrame:
@@ -185,17 +200,31 @@ def split_topic(df: DataFrame, topic: str, vector: str, big: float = 0.30, huge:
     return out
 
 
-def fit_topics(df: DataFrame, vector: str, k: int = 15, least: int = 200, seed: int = 42) -> DataFrame:
-    """Adds topic: a k-means cluster of the vectors, -1 for clusters of fewer than ``least`` rows and for rows without a vector."""
+def fit_topics(df: DataFrame, vector: str, k: int = 15, least: int = 200, seed: int = 42, spread: float | None = 3.0) -> DataFrame:
+    """Adds topic and topic_probability: a k-means cluster of the vectors, and the share of its centre in the sum of inverse squared distances to all.
+
+    Topic -1, probability 0: rows farther from their centre than the mean of its rows and ``spread`` standard deviations (None: no such rows), clusters
+    of fewer than ``least`` rows, and rows without a vector.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(v.filter(F.col(vector).isNotNull()))
-    some = model.transform(v.filter(F.col(vector).isNotNull()))
-    sizes = some.groupBy("topic").agg(F.count("*").alias("_n"))
-    kept = some.join(F.broadcast(sizes), "topic").withColumn("topic", F.when(F.col("_n") >= least, F.col("topic")).otherwise(-1))  # k rows
-    return kept.select(*df.columns, "topic").unionByName(df.filter(F.col(vector).isNull()).withColumn("topic", F.lit(-1)))
+    some = df.filter(F.col(vector).isNotNull())
+    v = some.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(v)
+    near = lambda c: F.aggregate(F.zip_with(vector, F.lit([float(x) for x in c]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    placed = model.transform(v).withColumn("_d", F.array(*[near(c) for c in model.clusterCenters()]))
+    share = lambda d: 1 / (F.lit(1e-9) + d)
+    own = F.get("_d", F.col("topic"))
+    placed = placed.withColumns({"_p": share(own) / F.aggregate("_d", F.lit(0.0), lambda a, d: a + share(d)), "_far": F.sqrt(own)})
+    sizes = placed.groupBy("topic").agg(F.count("*").alias("_n"), F.avg("_far").alias("_m"), F.stddev_pop("_far").alias("_s"))
+    kept = placed.join(F.broadcast(sizes), "topic")  # k rows
+    out = F.col("_n") < least
+    if spread is not None:
+        out = out | (F.col("_far") > F.col("_m") + spread * F.col("_s"))
+    kept = kept.withColumns({"topic": F.when(out, -1).otherwise(F.col("topic")), "topic_probability": F.when(out, 0.0).otherwise(F.col("_p"))})
+    none = df.filter(F.col(vector).isNull()).withColumns({"topic": F.lit(-1), "topic_probability": F.lit(0.0)})
+    return kept.select(*df.columns, "topic", "topic_probability").unionByName(none)
 
 
 def hashed_embedding(column: str, dims: int = 64) -> Column:

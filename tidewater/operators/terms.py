@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
 from tidewater.functions import text as tx
+from tidewater.plans.storage import stored
 
 
-def term_counts(df: DataFrame, column: str, stop: Iterable[str] = lx.STOP_WORDS, least: int = 2) -> DataFrame:
+def words_of(column: str, stop: Iterable[str], least: int = 2, split: Callable[[str], Column] | None = None) -> Column:
+    """Words of ``least`` characters that aren't stop words: runs of letters and digits, or what ``split`` (such as a ``segmenter``) makes of the lowered text."""
+    if split is None:
+        return tx.tokens(F.col(column), stop, least)
+    stop = list(stop)
+    return F.filter(split(F.lower(tx.string(F.col(column)))), lambda w: (F.char_length(w) >= least) & ~w.isin(stop))
+
+
+def term_counts(df: DataFrame, column: str, stop: Iterable[str] = lx.STOP_WORDS, least: int = 2, split: Callable | None = None) -> DataFrame:
     """word, freq over all rows."""
-    words = df.select(F.explode(tx.tokens(F.col(column), stop, least)).alias("word"))
+    words = df.select(words_of(column, stop, least, split).alias("_words")).select(F.explode("_words").alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("freq"))
 
 
-def class_terms(df: DataFrame, cls: str, column: str, stop: Iterable[str] = lx.STOP_WORDS, k: int = 10) -> DataFrame:
+def class_terms(df: DataFrame, cls: str, column: str, stop: Iterable[str] = lx.STOP_WORDS, k: int = 10, split: Callable | None = None) -> DataFrame:
     """The ``k`` words of each class with the largest tf * ln(1 + A / f): tf in the class, f over all, A mean words of a class. Ties by word."""
-    words = df.select(F.col(cls), F.explode(tx.tokens(F.col(column), stop)).alias("word"))
+    words = df.select(F.col(cls), words_of(column, stop, split=split).alias("_words")).select(cls, F.explode("_words").alias("word"))
     tf = words.groupBy(cls, "word").agg(F.count("*").alias("tf"))
     f = tf.groupBy("word").agg(F.sum("tf").alias("f"))
     mean = tf.agg((F.sum("tf") / F.countDistinct(cls)).alias("a"))  # one row
@@ -31,28 +40,36 @@ def class_terms(df: DataFrame, cls: str, column: str, stop: Iterable[str] = lx.S
 
 
 def ngram_vocabulary(df: DataFrame, column: str, size: int = 2000, min_df: int = 3, n: int = 2, stop: Iterable[str] = ()) -> DataFrame:
-    """term, freq, df of the ``size`` most frequent 1- to n-grams found in at least ``min_df`` rows. Ties by term."""
-    own = df.select(F.monotonically_increasing_id().alias("_row"), tx.tokens(F.col(column), stop).alias("_w"))
-    grams = F.col("_w")
+    """term, freq, df of the ``size`` most frequent 1- to n-grams found in at least ``min_df`` rows. Ties by term.
+
+    64-bit hashes of the grams are counted first, added up inside tasks; strings are made and moved only for the ``size`` most frequent and those that tie with the last.
+    """
+    own = df.select(tx.tokens(F.col(column), stop).alias("_w"))
+    every = F.transform("_w", lambda w: F.xxhash64(w))
+    for k in range(2, n + 1):
+        every = F.concat(every, _grams("_w", k, lambda *ws: F.xxhash64(*ws), "bigint"))
+    # In a row's sorted hashes, the first of equals counts the row.
+    marked = own.select(F.sort_array(every).alias("_h")).select(F.explode(F.transform("_h", lambda h, i: F.struct(h.alias("h"), (F.when(i > 0, F.get("_h", i - 1)).otherwise(None).eqNullSafe(h)).alias("again")))).alias("g"))
+    counts = stored(marked.groupBy("g.h").agg(F.count("*").alias("freq"), F.count_if(~F.col("g.again")).alias("df")).filter(F.col("df") >= min_df))
+    last = counts.orderBy(F.desc("freq")).limit(size).agg(F.min("freq")).first()[0]
+    wanted = counts.filter(F.col("freq") >= (last or 0))
+    pairs = F.transform("_w", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("term")))
     for k in range(2, n + 1):
-        grams = F.concat(grams, _grams("_w", k))
-    rows = own.select("_row", F.explode(grams).alias("term"))
-    # Counts within a row first, so that rows of a term are counted without a distinct.
-    per_row = rows.groupBy("term", "_row").agg(F.count("*").alias("n"))
-    terms = per_row.groupBy("term").agg(F.sum("n").alias("freq"), F.count("*").alias("df"))
-    return terms.filter(F.col("df") >= min_df).orderBy(F.desc("freq"), "term").limit(size)
+        pairs = F.concat(pairs, _grams("_w", k, lambda *ws: F.struct(F.xxhash64(*ws).alias("h"), F.concat_ws(" ", *ws).alias("term")), "struct<h:bigint,term:string>"))
+    named = own.select(F.inline(pairs)).join(wanted, "h").groupBy("h").agg(F.min("term").alias("term"), F.first("freq").alias("freq"), F.first("df").alias("df"))
+    return named.select("term", "freq", "df").orderBy(F.desc("freq"), "term").limit(size)
 
 
-def _grams(words: str, k: int):
-    """array<string>: each run of ``k`` words of the array column, joined by a space."""
+def _grams(words: str, k: int, make: Callable[..., Column], kind: str) -> Column:
+    """Array of ``make`` of each run of ``k`` words of the array column."""
     last = F.size(words) - k
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, k), " "))
-    return F.when(last >= 0, runs).otherwise(F.array().cast("array<string>"))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: make(*[F.get(words, i + j) for j in range(k)]))
+    return F.when(last >= 0, runs).otherwise(F.array().cast(f"array<{kind}>"))
 
 
-def segmenter(words: Iterable[str] = lx.SEGMENT_WORDS):
+def segmenter(words: Iterable[str] = lx.SEGMENT_WORDS) -> Callable[..., Column]:
     """A pandas UDF text -> array of words: forward maximum match over ``words`` in runs of Han, single characters otherwise, runs of letters and digits whole."""
-    vocabulary = frozenset(words)
+    vocabulary = frozenset(words) | {w.lower() for w in words}
     longest = max(map(len, vocabulary), default=1)
 
     @F.pandas_udf("array<string>")

@@ -1,4 +1,4 @@
-"""The five stages over posts, and a runner for any of them.
+"""Screening and the five stages over posts, and a runner for any of them.
 
 Stages hand on DataFrames; each stage's tables are written to the output folder and read back, so a
 later run can begin at any stage. Timing and totals are logged.
@@ -12,9 +12,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import lexicon as lx
 from tidewater.functions import text as tx
 from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
 from tidewater.plans.storage import stored
@@ -23,6 +24,9 @@ from tidewater.sources import writers
 log = logging.getLogger("tidewater")
 TEXT_COLUMNS = ("全文内容", "标题_微博内容", "原微博内容", "内容", "text")
 USER_COLUMNS = ("用户ID", "user_id")
+ID_COLUMNS = ("微博ID", "id", "ID", "文章ID")
+INTERACTION_COLUMNS = ("点赞数", "评论数", "转发数", "阅读数_浏览热度")
+EXTRA_COLUMNS = ("根微博标题", "话题", "用户简介", "图文识别")
 
 
 @dataclass
@@ -41,9 +45,57 @@ class Settings:
     min_topic: int = 200
     similarity: float = 0.95
     vector: str | None = None
+    lexicon: lx.Lexicon | None = None
+    min_score: float = 3.5
+    unrelated: int = 1000
+    #: Words that segmentation keeps whole; None: words are runs of letters and digits.
+    words: Sequence[str] | None = tuple(lx.SEGMENT_WORDS)
     simulate: dict[str, Any] = field(default_factory=dict)
 
 
+def _split(s: Settings):
+    """The segmenter of the settings: their words, the lexicon's, and those of the fixed lists."""
+    if s.words is None:
+        return None
+    lists = [s.words, s.lexicon.keywords if s.lexicon else (), lx.POSITIVE, lx.NEGATIVE, *lx.BEHAVIOUR.values(), *lx.STRATEGY_PATTERNS.values()]
+    return terms.segmenter({w for ws in lists for w in ws})
+
+
+def screen(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """related (relevant, of good quality, each id and content once), unrelated (a sample from each source), keywords (frequencies), screened (counts).
+
+    All sources are screened together; rows meet by column, and ``source_file``, if there, says whose sample a row is in.
+    """
+    if s.lexicon is None:
+        raise ValueError("screening needs a lexicon of keywords")
+    column = screening.first_column(df.columns, s.text, required=True)
+    searched = [column, *(c for c in EXTRA_COLUMNS if c in df.columns and c != column)]
+    clean = screening.clean_columns(df)
+    scored = stored(screening.with_relevance(clean, searched, s.lexicon, s.min_score))
+    yes, no = screening.split_related(scored)
+    good = screening.good_quality(yes, column)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    by_interaction = screening.first_column(df.columns, INTERACTION_COLUMNS)
+    placed = good.withColumn("_tie", tie)
+    if by_interaction:
+        placed = placed.withColumn("_interaction", F.col(by_interaction).cast("double"))
+    id_col = screening.first_column(df.columns, (*ID_COLUMNS, s.id_col))
+    if id_col:
+        # Ids that cleaning left empty are no ids.
+        placed = screening.dedup_id(placed.withColumn("_id", F.nullif(F.col(id_col).cast("string"), F.lit(""))), "_id", [F.asc("_tie")]).drop("_id")
+    once = screening.dedup_content(placed, column, "_interaction" if by_interaction else None, "_tie")
+    related = screening.good_quality(once, column).drop("_tie", "_interaction")
+    source = "source_file" if "source_file" in df.columns else None
+    order = [F.md5(F.col("_tie").cast("string")), F.col("_tie")]
+    spread = Window.partitionBy(source or F.lit(0)).orderBy(*order)
+    if source:
+        rest = no.withColumn("_tie", tie).withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= s.unrelated).drop("_tie", "_r")
+    else:
+        rest = no.withColumn("_tie", tie).orderBy(*order).limit(s.unrelated).drop("_tie")
+    counts = scored.agg(F.count("*").alias("n_rows"), F.count_if("is_related").alias("n_related"))
+    return {"related": related, "unrelated": rest, "keywords": screening.keyword_counts(clean, searched, s.lexicon, ()), "screened": counts}
+
+
 def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """posts (text_clean, time_window) and terms."""
     column = screening.first_column(df.columns, s.text, required=True)
@@ -51,7 +103,7 @@ def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     user = screening.first_column(df.columns, s.user)
     people = temporal.drop_bots(clean, user, s.max_per_user) if user else clean
     timed = stored(temporal.with_windows(people, s.time_col, s.unit, s.min_docs))
-    words = screening.top(terms.term_counts(timed, "text_clean"), "freq", "word", s.top_terms)
+    words = screening.top(terms.term_counts(timed, "text_clean", split=_split(s)), "freq", "word", s.top_terms)
     return {"posts": timed, "terms": words}
 
 
@@ -70,12 +122,12 @@ def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     dims = 64 if not s.vector else int(centre.select(F.max(F.size("centre"))).first()[0] or 0)
     mixed = z.join(acts, "topic").join(emotion, "topic").select("topic", strategy.mixed_vector(F.col("z"), F.array(*strategy.DIMS), F.array((F.col("ms") + 1) / 2, F.col("ma")), dims).alias("mixed"))
     mapping = strategy.meta_strategies(strategy.similarities(mixed, "topic", "mixed"))
-    words = terms.class_terms(valid, "topic", "text_clean")
+    words = terms.class_terms(valid, "topic", "text_clean", split=_split(s))
     info = stored(strategy.strategy_info(mapping, words, acts))
     named = observe.map_strategies(felt, mapping)
     centres = strategy.centroids(named.filter(F.col("meta_strategy") != observe.OUTLIER), "meta_strategy", vector)
-    best = strategy.reassign(named.filter(F.col("meta_strategy") == observe.OUTLIER), s.id_col, vector, centres, "meta_strategy").select(s.id_col, F.col("meta_strategy").alias("_best"))
-    placed = named.join(best, s.id_col, "left").withColumn("meta_strategy", F.coalesce("_best", "meta_strategy")).drop("_best")
+    # An outlier's strategy is found on its own row: ids may repeat.
+    placed = named.withColumn("meta_strategy", F.when(F.col("meta_strategy") == observe.OUTLIER, F.coalesce(strategy.most_alike(vector, centres, "meta_strategy")["name"], "meta_strategy")).otherwise(F.col("meta_strategy")))
     titles = info.select("meta_strategy", F.col("semantic_name").alias("meta_strategy_name"))
     full = stored(placed.join(titles, "meta_strategy", "left").withColumn("meta_strategy_name", F.coalesce("meta_strategy_name", F.lit("异常"))))
     return {"strategy_posts": full.drop("_vector") if s.vector else full, "mapping": mapping.join(titles, "meta_strategy", "left"), "strategies": info, "observations": observe.observations(full, arousal="arousal")}
@@ -100,6 +152,8 @@ def analyse(observations: DataFrame, posts: DataFrame, net: DataFrame, sim: Data
     return {
         "snowball": analysis.snowball(observations),
         "trends": analysis.trends(net.filter("window != 'all'"), ["density", "avg_clustering"]),
+        "homogenisation": analysis.homogenisation(net.filter("window != 'all'")),
+        "common": analysis.common_strategies(sim),
         "emotion": means,
         "gap": analysis.arousal_gap(means.join(posts.select("meta_strategy", "meta_strategy_name").distinct(), "meta_strategy").drop("meta_strategy").withColumnRenamed("meta_strategy_name", "meta_strategy")),
         "variance": analysis.variance_change(sim),
@@ -110,7 +164,7 @@ def analyse(observations: DataFrame, posts: DataFrame, net: DataFrame, sim: Data
 
 
 class Pipeline:
-    """Runs stages 1 to 5 over posts; tables go to ``out`` as Parquet, the report as Markdown."""
+    """Runs stages 0 (screening) to 5 over posts; tables go to ``out`` as Parquet, what is read elsewhere also as CSV, JSON or GEXF, the report as Markdown."""
 
     def __init__(self, spark: SparkSession, out: str, settings: Settings | None = None):
         self.spark, self.out, self.settings = spark, out.rstrip("/"), settings or Settings()
@@ -124,11 +178,28 @@ class Pipeline:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/{name}")
 
+    def _hand_out(self, k: int, tables: dict[str, DataFrame]) -> None:
+        """Files for others: split screening results, terms, matrices, strategies, small graphs."""
+        if k == 0:
+            by = ["source_file"] if "source_file" in tables["related"].columns else []
+            writers.write_table(tables["related"], f"{self.out}/files/related", "csv", by)
+            writers.write_table(tables["unrelated"], f"{self.out}/files/unrelated", "csv", by)
+        elif k == 1:
+            writers.write_terms(tables["terms"].select("word", "freq"), f"{self.out}/files/terms")
+            writers.write_corpus(tables["posts"], "text_clean", f"{self.out}/files/corpus")
+        elif k == 2:
+            writers.write_matrices(tables["observations"], f"{self.out}/files/matrices")
+            writers.write_json(tables["strategies"], f"{self.out}/files/strategies")
+            writers.write_json(tables["mapping"], f"{self.out}/files/mapping")
+        elif k == 3:
+            writers.write_graphs(self.read("strategy_posts"), tables["edges"], f"{self.out}/files/graphs", self.settings.id_col)
+
     def run(self, posts: DataFrame | None = None, stages: Sequence[int] = (1, 2, 3, 4, 5), skip: Sequence[int] = ()) -> dict[str, float]:
         """The chosen stages in order; a stage whose predecessor isn't run takes the tables that an earlier run left. Seconds a stage."""
         s = self.settings
         work: dict[int, Callable[[], dict[str, DataFrame]]] = {
-            1: lambda: preprocess(posts, s),
+            0: lambda: screen(posts, s),
+            1: lambda: preprocess(self.read("related") if 0 in stages and 0 not in skip else posts, s),
             2: lambda: discover(self.read("posts"), s),
             3: lambda: connect(self.read("strategy_posts"), s),
             4: lambda: compete(self.read("observations"), s),
@@ -138,10 +209,11 @@ class Pipeline:
         if unknown:
             raise ValueError(f"no such stages: {sorted(unknown)}")
         for k in sorted(set(stages) - set(skip)):
-            if k == 1 and posts is None:
-                raise ValueError("stage 1 needs posts")
+            if posts is None and (k == 0 or k == 1 and (0 not in stages or 0 in skip)):
+                raise ValueError(f"stage {k} needs posts")
             began = time.monotonic()
             tables = self._keep(work[k]())
+            self._hand_out(k, tables)
             if k == 5:
                 text = writers.report("Opinion dynamics", tables)
                 self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.out}/report")

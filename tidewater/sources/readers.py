@@ -30,16 +30,15 @@ def _matches(spark: SparkSession, path: str) -> bool:
 
 def read_matrix(spark: SparkSession, path: str, value: str = "n") -> DataFrame:
     """Long form of a window-by-strategy CSV whose first column is the window."""
-    wide = spark.read.options(header=True, inferSchema=True).csv(path)
-    first = wide.columns[0]
-    named = wide.withColumnRenamed(first, "time_window").withColumn("time_window", F.col("time_window").cast("string"))
+    wide = spark.read.options(header=True).csv(path)  # nothing is inferred: a window such as 2024-01 is no date
+    named = wide.withColumnRenamed(wide.columns[0], "time_window")
     rest = [c for c in named.columns if c != "time_window"]
     return from_matrix(named.select("time_window", *[F.col(f"`{c}`").cast("double").alias(c) for c in rest]), value)
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document over several lines."""
-    return spark.read.option("multiLine", True).json(path)
+def read_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON document over several lines a file, or with ``lines`` an object in each line, as ``write_json`` writes them."""
+    return spark.read.option("multiLine", not lines).json(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -51,6 +51,22 @@ def graph_xml(nodes: Sequence, edges: Sequence) -> str:
     return "\n".join([*out, "</edges>", "</graph>", "</gexf>", ""])
 
 
+def write_graphs(nodes: DataFrame, edges: DataFrame, path: str, id_col: str, most: int = 10_000) -> None:
+    """A GEXF text for each window's network (window, gexf; ``nodes`` has time_window, id and meta_strategy). Networks of more than ``most`` nodes or 10 * ``most`` edges, which
+    no viewer opens, are left to the tables of edges."""
+    sizes = nodes.groupBy(F.col("time_window").alias("window")).agg(F.count("*").alias("n")).filter(F.col("n") <= most)
+    links = edges.groupBy("window").agg(F.count("*").alias("m"))
+    own = [r["window"] for r in sizes.join(links, "window", "left").filter(F.coalesce("m", F.lit(0)) <= 10 * most).select("window").orderBy("window").collect()]
+    n = nodes.filter(F.col("time_window").isin(own)).groupBy(F.col("time_window").alias("window")).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col("meta_strategy").alias("strategy")))).alias("nodes"))
+    e = edges.filter(F.col("window").isin(own)).groupBy("window").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "weight"))).alias("edges"))
+
+    @F.udf("string")
+    def xml(a, b):
+        return graph_xml(a, b or [])
+
+    n.join(e, "window", "left").select("window", xml("nodes", "edges").alias("gexf")).write.mode("overwrite").json(path)
+
+
 def report(title: str, sections: dict[str, DataFrame], most: int = 50, now: datetime | None = None) -> str:
     """Markdown: a table for each section's first ``most`` rows (a report shows no more)."""
     out = [f"# {title}", "", f"Made {(now or datetime.now()):%Y-%m-%d %H:%M:%S}", ""]
