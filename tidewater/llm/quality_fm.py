@@ -13,7 +13,8 @@ with the smallest hash of their id. A document with several labels counts as goo
 sample's sparse features go to the driver (at most ``sample`` documents; their texts don't); the model
 has a fixed size and goes to every task. Scoring covers every whole text, in one pass without a shuffle.
 
-No labels: every score is 0.5. Null text: the empty text.
+No labels: every score is 0.5. Null text: the empty text. Rows that repeat an id are scored each and train once. A null id is scored and never trains.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -184,7 +185,11 @@ def train(df: DataFrame, labels: DataFrame, admit: Column | None = None, sample:
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     d = pick(df, "doc_id", "text", *meta).toDF("doc_id", "text", *[f"m{i}" for i in range(len(meta))])
     d = d.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(f"m{i}").cast("double") for i in range(len(meta))])
-    rows = small_batches(d.join(F.broadcast(chosen), "doc_id"))
+    met = d.join(F.broadcast(chosen), "doc_id")
+    # Rows that share an id train once, so that ``sample`` bounds the rows: the one whose text (then metadata) has the least hash.
+    cols = ["text", *[f"m{i}" for i in range(len(meta))]]
+    once = met.groupBy("doc_id").agg(F.min_by(F.struct(*cols, "y"), F.xxhash64(*cols)).alias("row"))
+    rows = small_batches(once.select("doc_id", *[F.col(f"row.{c}").alias(c) for c in [*cols, "y"]]))
 
     def sparse(batches):
         for batch in batches:
