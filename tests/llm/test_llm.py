@@ -1,5 +1,6 @@
 """Each operator against its plain version on awkward rows, and on the smallest tables."""
 
+import functools
 import os
 import random
 
@@ -139,6 +140,7 @@ def family(r, n, drift):
 def test_large_families_in_sub_blocks(spark, monkeypatch, drift, block):
     """Leaders and clusters of several sub-blocks lose no link, with hundreds of different near copies and of null ids."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MEET", 10 * block)
     rows = family(random.Random(block + drift), 500, drift)
     rows += [(None, t) for _, t in rows[:200]] + [(None, rows[0][1])] * 100
     got = jaccard_join.near_components(frame(spark, rows), 2, 80)
@@ -211,6 +213,16 @@ def test_suffix_dedup(spark, rows, length):
     assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(rows, length), key=str)
 
 
+@pytest.mark.parametrize("bound", [1 << 20, -1])
+def test_suffix_dedup_with_passages(spark, rows, monkeypatch, bound):
+    monkeypatch.setattr(_frames, "BROADCAST_BYTES", bound)
+    rows = rows + [(80, "left one " + "p q r s t u v w x y z " * 2 + "right one"), (81, "x y " + "p q r s t u v w x y z " * 2 + "other"), (80, "same id, nothing else")]
+    got = suffix_dedup.dedup_spans(frame(spark, rows), 100, digest=True, passage=40)
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(rows, 100), key=str)
+    assert as_rows(got, "doc_id", "n_bytes", "n_passage") == sorted([(d, n, lost) for d, n, lost, _, _ in brute.repeats(rows, 40)], key=str)
+    assert suffix_dedup.dedup_spans(empty(spark), passage=40).count() == 0
+
+
 def test_suffix_dedup_cuts_long_texts_and_hot_groups(spark, rows, monkeypatch):
     for name, v in (("STARTS", 700), ("SHARD_BYTES", 2000)):
         monkeypatch.setattr(suffix_dedup, name, v)
@@ -291,6 +303,7 @@ def test_token_counts(spark, rows):
     score = token_trie.scores(path)
     longest = max(map(len, score))
 
+    @functools.lru_cache(None)
     def count(word):
         s = token_trie.MARK + word
         best = [(0.0, 0)]
@@ -301,7 +314,7 @@ def test_token_counts(spark, rows):
             best.append(min(options, key=lambda x: (-x[0], x[1])))
         return best[-1][1]
 
-    own = [(d, t) for d, t in rows if d not in (60, 61)]
+    own = rows
     split = token_trie.find_words
     want = [(d, len(w := split(t or "")), len(set(w)), sum(map(count, w))) for d, t in own]
     assert as_rows(token_trie.token_counts(frame(spark, own), path), "doc_id", "n_pretokens", "n_distinct", "n_tokens") == sorted(want, key=str)
@@ -540,6 +553,43 @@ def test_pipeline_against_plain_version(spark):
     assert as_rows(p.run(spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_quality_query_and_its_folds(spark):
+    """Held-out labels change nothing; the fold, the score's range and the decision; accuracy on documents that it didn't see."""
+    from tidewater.llm import queries
+    from tidewater.llm._frames import stored, table
+
+    sf = SF.replace("0.001", "0.01")
+    got = queries.op1_quality_fm(spark, sf).collect()
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(r.held_out == (brute.fold(r.doc_id, 3) == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    unseen = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in unseen) / len(unseen) > 0.9
+    admit = quality_fm.crc_fold(F.col("doc_id"), 3) != 1
+    held = quality_fm.crc_fold(F.col("doc_id"), 3) == 1
+    flipped = stored(labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    twice = docs.unionByName(docs)
+    one, two = (quality_fm.train(d, y, admit, 300, ("n_chars",)) for d, y in ((docs, labels), (twice, flipped)))
+    assert one.w0 == two.w0 and (one.w == two.w).all() and (one.v == two.v).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rules_query(spark):
+    from tidewater.llm import queries
+    from tidewater.llm._frames import table
+
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    got = queries.op7_weak_rules(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        m = brute.measures(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0]) and r.kept == (not r.base_failed and r.p_good >= 0.5)
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
 CLASHES = ["th", "keep_runs", "b_id", "b_th", "TEXT", "DOC_ID", "id", "body", "s_bits", "c0", "score", "chars", "root", "n_chars_"]
 
 

@@ -316,12 +316,27 @@ def keep(raw: bytes, spans: list[dict] | None) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans of every row of ``df`` (doc_id, text), and what is left: kept (binary) or, with ``digest``, kept_sha256."""
+def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False, passage: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans of every row of ``df`` (doc_id, text), and what is left: kept (binary) or, with ``digest``, kept_sha256.
+
+    With ``passage``, a shorter length, also n_passage: the bytes that repeated strings of that many bytes cover, which stay. Strings of ``length`` bytes can
+    only repeat inside such stretches of as many bytes, so these are then sought in documents that have one.
+    """
     d = docs(df).withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(d, length)
-    joined = _with(d, spans, "left").select("doc_id", "text", "spans")
+    if passage is None:
+        spans = repeated_spans(d, length).withColumn("loose", F.lit(0).cast("long"))
+    else:
+        if not 0 < passage < length:
+            raise ValueError("passage is shorter than length")
+        short = repeated_spans(d, passage)
+        covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
+        some = stored(short.select("doc_id", "th", covered.alias("loose"), F.exists("spans", lambda s: s["b"] - s["a"] >= length).alias("long")))
+        own = meet_few(d, stored(some.filter("long").select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"))), "inner")
+        found = repeated_spans(own, length).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "spans")
+        spans = stored(some.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select("doc_id", "th", "spans", "loose"))
+    joined = _with(d, spans, "left").select("doc_id", "text", "spans", F.coalesce("loose", F.lit(0)).alias("loose"))
     last = ("kept_sha256", "string", pa.string()) if digest else ("kept", "binary", pa.binary())
+    more = ["n_passage"] if passage is not None else []
 
     def run(batches):
         for batch in batches:
@@ -331,7 +346,7 @@ def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False) -> DataF
             kept = [keep(r, s) for r, s in zip(raws, own)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(lost, pa.int64()), pa.array([len(x or ()) for x in own], pa.int64()),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digest else kept, last[2]),
-            ], ["doc_id", "n_bytes", "n_removed", "n_spans", last[0]])
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digest else kept, last[2]), *([batch.column(3)] if more else []),
+            ], ["doc_id", "n_bytes", "n_removed", "n_spans", last[0], *more])
 
-    return joined.mapInArrow(B.trimmed(run), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}")
+    return joined.mapInArrow(B.trimmed(run), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last[0]} {last[1]}" + "".join(f", {x} long" for x in more))
