@@ -9,7 +9,7 @@ Link: two documents whose sets of word shingles have 100 * intersection >= perce
    each part, for the size group of its own and, near the group's upper end, of the next ones, so no linked pair is
    missed. Rows (part hash, class) are sorted by part hash and streamed; classes that are alone drop out, and groups with the same
    members, which near copies have by the dozen, leave once.
-3. Only then do the members of a group get their bitmaps, of one to two bits a shingle (1,024 at most), each the parity of the shingles that hash to
+3. Only then do the members of a group get their bitmaps, of one to two bits a shingle (4 KB at most), each the parity of the shingles that hash to
    it. Two sets differ in no fewer shingles than their bitmaps in bits, and that number of bits is a metric: of classes ordered by
    their distance from one of them, those before a gap of more than d bits can't link with those behind it. A group is split at such gaps, and pieces of up to
    ``GROUP`` classes by comparing bitmaps; each part leaves as a star, so edges grow with rows. Components of the stars are blocks: links
@@ -49,7 +49,9 @@ from tidewater.llm._graph import Forest, components
 
 U = np.uint64
 #: Shingles of a unit of search; a larger block is dealt into sub-blocks.
-BLOCK = 200_000
+BLOCK = 500_000
+#: Shingles of the leaders that meet in one task.
+MEET = 2_000_000
 RATIO = 1.3
 #: Up to so many classes of one group are compared bitmap by bitmap.
 GROUP = 64
@@ -57,7 +59,7 @@ GROUP = 64
 CENTRES = 64
 #: A group of more rows leaves before all of it was seen, without being compared to others.
 LARGE = 100_000
-BITS = 1024
+BITS = 1 << 15
 EPS = 1e-9
 _SALT = [U(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -181,6 +183,14 @@ def unit_bits(bodies: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shared_only(bodies: list[np.ndarray]) -> list[list[int]]:
+    """Each set's shingles that another one has too, as small numbers: no other can tell of anything in common."""
+    ends = np.cumsum([0, *map(len, bodies)])
+    _, own, times = np.unique(np.concatenate(bodies) if bodies else np.zeros(0, U), return_inverse=True, return_counts=True)
+    keep = times[own] > 1
+    return [own[a:b][keep[a:b]].tolist() for a, b in zip(ends, ends[1:])]
+
+
 class Search:
     """T-occurrence search over the sets added so far."""
 
@@ -194,15 +204,15 @@ class Search:
         self.radius = np.zeros(n)
         self.n = 0
 
-    def add(self, body: list[int], bits: np.ndarray, radius: float = 0.0) -> int:
+    def add(self, body: list[int], size: int, bits: np.ndarray, radius: float = 0.0) -> int:
         own, self.n = self.n, self.n + 1
-        self.sizes[own], self.bits[own], self.radius[own] = len(body), bits, radius
+        self.sizes[own], self.bits[own], self.radius[own] = size, bits, radius
         for s in body:
             self.lists.setdefault(s, []).append(own)
         return own
 
-    def find(self, body: list[int], t: int, bits: np.ndarray, reach: float) -> list[tuple[int, int]]:
-        """(set, shingles in common) by DivideSkip: at least every set with ``t`` or more of ``body`` whose distance is ``reach`` and its radius at most."""
+    def find(self, body: list[int], size: int, t: int, bits: np.ndarray, reach: float) -> list[tuple[int, int]]:
+        """(set, shingles in common) by DivideSkip, for a set of ``size`` of which ``body`` may be in others: at least every set with ``t`` or more of it whose distance is ``reach`` and its radius at most."""
         lists = [found for s in body if (found := self.lists.get(s))]
         if len(lists) < t:
             return []
@@ -214,7 +224,7 @@ class Search:
         if work > self.EASY:
             # Bitmaps tell which sets can be near enough; if they are few, no list is short beside probing for these.
             far = np.minimum(reach + self.radius[: self.n], 1)
-            most = (self.sizes[: self.n] + len(body)) * far / (2 - far) + EPS
+            most = (self.sizes[: self.n] + size) * far / (2 - far) + EPS
             left = np.flatnonzero(np.bitwise_count(self.bits[: self.n] ^ bits).sum(1) <= most)
             if len(left) * len(lists) < 2 * work:
                 short, long_, aside = [], lists, t
@@ -277,16 +287,15 @@ def limits(percent: int) -> tuple[float, float]:
 def cluster(bodies: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int], list[float]]:
     """(links that span the components of all links; each set's leader; its distance from it) for distinct sorted sets."""
     tau, rho = limits(percent)
-    n, every = len(bodies), unit_bits(bodies)
+    n, every, parts = len(bodies), unit_bits(bodies), shared_only(bodies)
     index, find, join = Search(n, every.shape[1]), *_union()
     links, lead, dist = [], [0] * n, [0.0] * n
     leaders: list[int] = []
     followers: list[list[int]] = []
     for i in sorted(range(n), key=lambda i: len(bodies[i])):
-        body = bodies[i].tolist()
-        a = len(body)
+        body, a = parts[i], len(bodies[i])
         near, best = [], None
-        for own, common in index.find(body, max(1, ceil((1 - tau - rho) * a - EPS)), every[i], tau):
+        for own, common in index.find(body, a, max(1, ceil((1 - tau - rho) * a - EPS)), every[i], tau):
             b = int(index.sizes[own])
             far = _far(common, a, b)
             if 100 * common >= percent * (a + b - common):
@@ -315,7 +324,7 @@ def cluster(bodies: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int
             index.radius[own] = max(index.radius[own], dist[i])
         else:
             lead[i] = i
-            index.add(body, every[i])
+            index.add(body, a, every[i])
             leaders.append(i)
             followers.append([])
     return links, lead, dist
@@ -327,16 +336,15 @@ def meet(bodies: list[np.ndarray], radius: list[float], group: list[int], part:
     ``group`` is each leader's component within its part. Pairs within a part are settled already.
     """
     tau, rho = limits(percent)
-    n, every = len(bodies), unit_bits(bodies)
+    n, every, parts = len(bodies), unit_bits(bodies), shared_only(bodies)
     index, find, join = Search(n, every.shape[1]), *_union()
     first: dict[int, int] = {}
     for i, g in enumerate(group):
         join(i, first.setdefault(g, i))
     links, open_, own_of = [], [], []
     for i in sorted(range(n), key=lambda i: len(bodies[i])):
-        body = bodies[i].tolist()
-        a = len(body)
-        for own, common in index.find(body, max(1, ceil((1 - tau - 2 * rho) * a - EPS)), every[i], tau + radius[i]):
+        body, a = parts[i], len(bodies[i])
+        for own, common in index.find(body, a, max(1, ceil((1 - tau - 2 * rho) * a - EPS)), every[i], tau + radius[i]):
             j, b = own_of[own], int(index.sizes[own])
             if part[i] == part[j]:
                 continue
@@ -345,20 +353,20 @@ def meet(bodies: list[np.ndarray], radius: list[float], group: list[int], part:
                     links.append((i, j))
             elif _far(common, a, b) <= tau + radius[i] + radius[j] + EPS:
                 open_.append((i, j))
-        index.add(body, every[i], radius[i])
+        index.add(body, a, every[i], radius[i])
         own_of.append(i)
     return links, [(i, j) for i, j in open_ if find(i) != find(j)]
 
 
 def first_link(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[int, int] | None:
     """A link between a set of ``left`` and one of ``right``, if there is one."""
-    every = unit_bits([*left, *right])
+    every, parts = unit_bits([*left, *right]), shared_only([*left, *right])
     index = Search(len(left), every.shape[1])
-    for x, bits in zip(left, every):
-        index.add(x.tolist(), bits)
+    for x, body, bits in zip(left, parts, every):
+        index.add(body, len(x), bits)
     for j, y in enumerate(right):
         a = len(y)
-        for own, common in index.find(y.tolist(), max(1, ceil(percent * a / 100)), every[len(left) + j], 1 - percent / 100) if a else ():
+        for own, common in index.find(parts[len(left) + j], a, max(1, ceil(percent * a / 100)), every[len(left) + j], 1 - percent / 100):
             if 100 * common >= percent * (a + int(index.sizes[own]) - common):
                 return own, j
     return None
@@ -653,8 +661,8 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
     if leaders.isEmpty():
         return sure
 
-    # Leaders of one block meet in one task; more than BLOCK shingles of leaders are dealt again, and each pair of deals meets.
-    deals = leaders.groupBy("root").agg(F.ceil(F.sum(F.length("body") / 8) / BLOCK).cast("int").alias("deals")).withColumnRenamed("root", "d_root")
+    # Leaders of one block meet in one task; more than MEET shingles of leaders are dealt again, and each pair of deals meets.
+    deals = leaders.groupBy("root").agg(F.ceil(F.sum(F.length("body") / 8) / MEET).cast("int").alias("deals")).withColumnRenamed("root", "d_root")
     dealt = leaders.join(small(stored(deals)), F.col("root") == F.col("d_root")).withColumn("deal", F.pmod(F.xxhash64("a"), "deals").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("root", F.least("deal", "other").alias("s1"), F.greatest("deal", "other").alias("s2"), "sub", "a", "b", "dist", "body")
 
