@@ -248,6 +248,19 @@ def test_induced_sorting():
         assert set(got.tolist()) == want
 
 
+def test_queues_of_an_ordinary_shard_go_to_disk(monkeypatch):
+    """A shard of the size that tasks sort, with the default queues: they spill, and every repeated string is found."""
+    rng = np.random.default_rng(3)
+    spilled, real = [], _induced.Queue._spill
+    monkeypatch.setattr(_induced.Queue, "_spill", lambda self: (spilled.append(self.held), real(self)) and None)
+    base = rng.integers(97, 123, suffix_dedup.SHARD_BYTES // 2, dtype=np.uint8)
+    copy = np.concatenate((rng.integers(97, 123, 1000, dtype=np.uint8), base[5000:250_000], rng.integers(97, 123, 200_000, dtype=np.uint8)))
+    got = _induced.repeated([base, copy], 400)
+    starts = np.arange(5000, 250_000 - 399)
+    assert np.array_equal(got, np.concatenate((starts, len(base) + 1 + 1000 + np.arange(len(starts)))))
+    assert len(spilled) > 1 and max(spilled) > _induced.QUEUE_BYTES
+
+
 def tiktoken_ids():
     import tiktoken
 

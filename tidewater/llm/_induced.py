@@ -25,12 +25,14 @@ import numpy as np
 SENTINEL, SEPARATOR, FIRST = 0, 1, 2
 SIGMA = 256 + FIRST
 NONE = (np.zeros(0, np.int64), np.zeros(0, np.int16))
+#: What a queue keeps in memory: a shard of ordinary size has several times as much, which goes to disk.
+QUEUE_BYTES = 2 << 20
 
 
 class Queue:
     """Tuples (position, common prefix) by first character, on disk beyond ``memory`` bytes."""
 
-    def __init__(self, memory: int = 64 << 20):
+    def __init__(self, memory: int = QUEUE_BYTES):
         self.chunks: list[list] = [[] for _ in range(SIGMA)]
         self.held, self.memory, self.file = 0, memory, None
 
@@ -235,7 +237,7 @@ def _names(t: np.ndarray, star: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated(text: list[np.ndarray], length: int, memory: int = 64 << 20) -> np.ndarray:
+def repeated(text: list[np.ndarray], length: int, memory: int = QUEUE_BYTES) -> np.ndarray:
     """Positions, in the texts laid end to end with one place between, of strings of ``length`` bytes that start at another position too."""
     parts = []
     for x in text:

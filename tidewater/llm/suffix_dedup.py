@@ -260,7 +260,8 @@ def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, th, spans (array of struct<a, b>: first and last byte + 1, apart and in order) of the documents that lose bytes; ``df`` has doc_id, text, th."""
     found = df.select("doc_id", "text", "th").mapInArrow(B.trimmed(_emit(length)), _ddl(_PIECE))
     judged = stored(found.repartition("anchor").sortWithinPartitions("anchor", "v1", "v2").mapInArrow(B.trimmed(_judge), _ddl(_SPAN)))
-    compare = stored(judged.filter("compare").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "a", "b", "sure")).alias("cuts")))
+    # Rows that repeat id and text have equal spans: sets, which are merged inside tasks first, hold no more than one document has.
+    compare = stored(judged.filter("compare").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "a", "b", "sure")).alias("cuts")))
     text = _with(df, compare, "inner")
 
     def cut(batches):
@@ -275,7 +276,7 @@ def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
     bodies = text.select("doc_id", "th", "text", "cuts").mapInArrow(B.trimmed(cut), "anchor long, doc_id long, th long, a int, sure boolean, body binary")
     shards = bodies.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(B.trimmed(_shards(length)), "doc_id long, th long, a int, b int")
     whole = judged.filter("not compare").select("doc_id", "th", "a", "b")
-    every = whole.unionByName(shards).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", (F.col("b") + length).alias("b")))).alias("raw"))
+    every = whole.unionByName(shards).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("a", (F.col("b") + length).alias("b")))).alias("raw"))
     return stored(every.select("doc_id", "th", merge_spans("raw").alias("spans")))
 
 
