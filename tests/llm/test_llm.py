@@ -409,13 +409,17 @@ def test_exchange_raises_likelihood(monkeypatch):
     g = class_lm.exchange(m, 4)
     assert len(set(g[:6])) == 1 and len(set(g[6:12])) == 1 and g[0] != g[6] and g[12] == 2 and g[13] == 3
     # A sweep over counts finds the class of a word that is in the wrong one, and of one that has none.
+    monkeypatch.setattr(class_lm, "CLASSES", 4)
     monkeypatch.setattr(class_lm, "MOVING", 2)
-    for own in (1 - g[0], 2):
-        now = g.copy()
-        now[0] = own
-        one = np.eye(4)[now]
-        best = class_lm.best_classes(one.T @ m @ one, m[:1] @ one, m[:, :1].T @ one, np.array([own]))
-        assert best.tolist() == [g[0]]
+    for easy in (8, 10_000):
+        monkeypatch.setattr(class_lm, "EASY", easy)
+        for own in (1 - g[0], 2):
+            now = g.copy()
+            now[0] = own
+            one = np.eye(4)[now]
+            x = np.concatenate((m[0] @ one, m[:, 0] @ one)).astype(np.int64)
+            k = np.flatnonzero(x)
+            assert class_lm.Gains(one.T @ m @ one).best(np.zeros(len(k), np.int64), k, x[k], np.array([own])).tolist() == [g[0]]
 
 
 def test_weak_rules(spark, rows):

@@ -36,12 +36,15 @@ from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs, stored
 
 U = np.uint64
-LEADERS, HEAD, MIN_COUNT, SWEEPS = 1000, 1 << 21, 3, 4
+LEADERS, HEAD, MIN_COUNT, SWEEPS = 1000, 1 << 21, 3, 3
 #: Classes that exchange deals with; then the class of rare words and the end token's.
 MOVING = 62
 RARE, STOP, CLASSES = MOVING, MOVING + 1, MOVING + 2
-#: Hash that stands for the end token.
-END = U(0x5851F42D4C957F2D)
+#: Hashes that stand for the end token, and for all words that have no class of their own.
+END, OTHER = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+WIDTH = 2 * CLASSES
+#: Gains by counts up to this are looked up.
+EASY = 8
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,57 +173,83 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
     return g
 
 
-def best_classes(n: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The best of the moving classes for each word: ``out`` and ``into`` count the classes behind and before it (words x classes), ``n`` is the
-    table with every word where it is now, ``own`` their classes. Only a real gain moves a word."""
-    k = MOVING
-    rows, cols = n.sum(1), n.sum(0)
-    take = (xlogx(n[None, :k] + out[:, None]) - xlogx(n[None, :k])).sum(2) + (xlogx(n.T[None, :k] + into[:, None]) - xlogx(n.T[None, :k])).sum(2)
-    total_out, total_in = out.sum(1), into.sum(1)
-    take -= xlogx(rows[None, :k] + total_out[:, None]) - xlogx(rows[None, :k]) + xlogx(cols[None, :k] + total_in[:, None]) - xlogx(cols[None, :k])
-    # What the class that it is in now would lose without it.
-    left_rows, left_cols = np.maximum(n[own] - out, 0), np.maximum(n.T[own] - into, 0)
-    stay = (xlogx(n[own]) - xlogx(left_rows)).sum(1) + (xlogx(n.T[own]) - xlogx(left_cols)).sum(1)
-    stay -= xlogx(rows[own]) - xlogx(np.maximum(rows[own] - total_out, 0)) + xlogx(cols[own]) - xlogx(np.maximum(cols[own] - total_in, 0))
-    inside = np.flatnonzero(own < k)
-    take[inside, own[inside]] = stay[inside]
-    best = take.argmax(1)
-    better = take[np.arange(len(own)), best] > np.where(own < k, stay, -np.inf) + 1e-9
-    return np.where(better, best, own)
+class Gains:
+    """What the likelihood gains when counts are added to the table ``n`` of class bigrams, or taken from it.
+
+    Columns 0 to CLASSES - 1 stand for classes behind a word, the others for those before it.
+    """
+
+    def __init__(self, n: np.ndarray):
+        self.both = np.concatenate((n, n.T), 1)  # class, column
+        self.margins = np.stack((n.sum(1), n.sum(0)))
+        cells = self.both[:MOVING].T  # column, class to move to
+        self.easy = np.stack([xlogx(cells + x) - xlogx(cells) for x in range(EASY + 1)])
+
+    def best(self, word: np.ndarray, k: np.ndarray, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The best of the moving classes for each word, from its counts ``x`` in columns ``k``, sorted by ``word`` (0, 1, ...); ``own`` are the words'
+        classes, with the words in the table. Only a real gain moves a word."""
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        add = self.easy[np.minimum(x, EASY), k]
+        large = np.flatnonzero(x > EASY)
+        cells = self.both[:MOVING].T[k[large]]
+        add[large] = xlogx(cells + x[large, None]) - xlogx(cells)
+        take = np.add.reduceat(add, first, axis=0)
+        # What the class that a word is in would lose without it.
+        here = self.both[own[word], k]
+        stay = np.add.reduceat(xlogx(here) - xlogx(np.maximum(here - x, 0)), first)
+        for side, cols in ((0, k < CLASSES), (1, k >= CLASSES)):
+            total = np.add.reduceat(np.where(cols, x, 0), first)
+            m = self.margins[side]
+            take -= xlogx(m[None, :MOVING] + total[:, None]) - xlogx(m[None, :MOVING])
+            stay -= xlogx(m[own]) - xlogx(np.maximum(m[own] - total, 0))
+        inside = np.flatnonzero(own < MOVING)
+        take[inside, own[inside]] = stay[inside]
+        best = take.argmax(1)
+        better = take[np.arange(len(own)), best] > np.where(own < MOVING, stay, -np.inf) + 1e-9
+        return np.where(better, best, own)
 
 
 def neighbours(train: DataFrame, table: Table) -> DataFrame:
-    """h, k, n: how often class k (CLASSES + k for the one before) stands behind each word of the table, added up inside tasks first."""
+    """h, g, k, n: how often class k (CLASSES + k for the one before) stands behind each word of the table, whose class is g; for the end token and
+    for all other words together (``OTHER``) too. Added up inside tasks first."""
     sent = train.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        keys, counts, held = [], [], 0
+        table, keys, held = sent.value, [], 0
+        v = len(table.keys)
+        names = np.concatenate((table.keys, [OTHER, END]))
+        group = np.concatenate((table.classes, [RARE, STOP])).astype(np.int32)
 
         def leave():
-            own, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-            h = sent.value.keys[own // (2 * CLASSES)]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((own % (2 * CLASSES)).astype(np.int32)), pa.array(n)], ["h", "k", "n"])
+            own, n = np.unique(np.concatenate(keys), return_counts=True)
+            at = own // WIDTH
+            return pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(group[at]), pa.array((own % WIDTH).astype(np.int32)), pa.array(n)], ["h", "g", "k", "n"])
 
         for batch in batches:
             for _, _, data, offs in B.text_pieces(batch):
-                at, s = sent.value.find(tokens(data, offs)[1])
-                prior = before(s, STOP)
+                at, s = table.find(tokens(data, offs)[1])
+                at = np.where(s == STOP, v + 1, np.where(at >= 0, at, v))
                 behind = np.empty_like(s)
-                behind[:-1], behind[-1:] = s[1:], STOP
-                known = np.flatnonzero((at >= 0) & (s != STOP))
-                key = at[known] * (2 * CLASSES)
-                own, n = np.unique(np.concatenate((key + behind[known], key + CLASSES + prior[known])), return_counts=True)
-                keys.append(own)
-                counts.append(n)
-                held += len(own)
+                behind[:-1], behind[-1:] = s[1:], -1
+                # The end token stands before a document's first word, so that it is followed by the words that follow it here, but the run's last.
+                key = at * WIDTH
+                follow = behind >= 0
+                keys += [key[follow] + behind[follow], (key + CLASSES + before(s, STOP))[at < v]]
+                if len(s):
+                    keys.append(np.array([(v + 1) * WIDTH + s[0]]))
+                held += len(s)
                 if held > 1_000_000:
                     yield leave()
-                    keys, counts, held = [], [], 0
+                    keys, held = [], 0
         if keys:
             yield leave()
 
-    return train.mapInArrow(B.trimmed(run), "h long, k int, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(B.trimmed(run), "h long, g int, k int, n long").groupBy("h", "g", "k").agg(F.sum("n").alias("n"))
+
+
+def _table_of(counts: DataFrame) -> np.ndarray:
+    """The table of class bigrams from ``neighbours``."""
+    return _square(counts.filter(F.col("k") < CLASSES).groupBy((F.col("g") * CLASSES + F.col("k")).alias("pair")).agg(F.sum("n").alias("n")), CLASSES)
 
 
 def word_bigrams(train: DataFrame) -> DataFrame:
@@ -237,51 +266,51 @@ def word_bigrams(train: DataFrame) -> DataFrame:
 
 
 def _classed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) and the classes ga, gb of both words; ``classes`` has h, g."""
-    other = lambda x: F.coalesce(F.col("g"), F.when(F.col(x) == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE))
+    """``pairs`` (a, b, ...) and the classes ga, gb of both words, and whether they are words of ``classes`` (h, g): in_a, in_b."""
+    other = lambda x: F.coalesce(F.col("c_g"), F.when(F.col(x) == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE))
     for x in "ab":
-        pairs = pairs.join(classes.withColumnRenamed("h", "c_h"), F.col(x) == F.col("c_h"), "left").withColumn(f"g{x}", other(x)).drop("c_h", "g")
+        met = pairs.join(classes.select(F.col("h").alias("c_h"), F.col("g").alias("c_g")), F.col(x) == F.col("c_h"), "left")
+        pairs = met.withColumns({f"g{x}": other(x), f"in_{x}": F.col("c_g").isNotNull() & (F.col("c_g") != STOP)}).drop("c_h", "c_g")
     return pairs
 
 
-def sweep(counts: DataFrame, classes: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
-    """h, g of every word of ``classes`` (h, g) after a sweep; ``counts`` as from ``neighbours``."""
+def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
+    """h, g of every word of the vocabulary after a sweep; ``counts`` as from ``neighbours``, ``n`` its table."""
     sent = counts.sparkSession.sparkContext.broadcast(n)
-    rows = counts.unionByName(classes.select("h", F.lit(-1).alias("k"), F.col("g").cast("long").alias("n")))
-    width = 2 * CLASSES
 
     def run(batches):
-        def solve(h, k, v):
-            own, at = np.unique(h, return_inverse=True)
-            g = np.full(len(own), -1)
-            is_class = k < 0
-            g[at[is_class]] = v[is_class]
-            dense = np.bincount(at[~is_class] * width + k[~is_class], v[~is_class], minlength=len(own) * width).reshape(-1, width)
-            new = g.copy()
+        gains = Gains(sent.value)
+
+        def solve(h, g, k, x):
+            new = np.r_[True, h[1:] != h[:-1]]
+            first, word = np.flatnonzero(new), np.cumsum(new) - 1
+            own, now = h[first], g[first].astype(np.int64)
             free = np.ones(len(own), bool) if nth == 0 else (B.mix(own.view(U) + U(nth // 2)) >> U(40)) % U(2) == U(nth % 2)
-            some = np.flatnonzero(free & (g >= 0))
-            for i in range(0, len(some), 64):
-                x = some[i : i + 64]
-                new[x] = best_classes(sent.value, dense[x, :CLASSES], dense[x, CLASSES:], g[x])
-            real = g >= 0
-            return pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(new[real].astype(np.int32))], ["h", "g"])
+            out = now.copy()
+            some = np.flatnonzero(free)
+            if len(some):
+                keep = free[word]
+                at = (np.cumsum(free) - 1)[word[keep]]
+                out[some] = gains.best(at, k[keep], x[keep], now[some])
+            real = (own != END.view(np.int64)) & (own != OTHER.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(out[real].astype(np.int32))], ["h", "g"])
 
         held: list = []
         size = 0
         for batch in batches:
             held.append(tuple(np.asarray(c) for c in batch.columns))
             size += batch.num_rows
-            if size > 200_000:
-                h, k, v = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(h, h[-1]))
+            if size > 100_000:
+                cols = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
                 if cut:
-                    yield solve(h[:cut], k[:cut], v[:cut])
-                held, size = [(h[cut:], k[cut:], v[cut:])], len(h) - cut
+                    yield solve(*(c[:cut] for c in cols))
+                held, size = [tuple(c[cut:] for c in cols)], len(cols[0]) - cut
         if size:
             yield solve(*(np.concatenate(x) for x in zip(*held)))
 
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(B.trimmed(run), "h long, g int"))
+    return stored(counts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(B.trimmed(run), "h long, g int"))
 
 
 def _table(classes: DataFrame) -> Table:
@@ -305,27 +334,30 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, sweeps: int
     classes = stored(vocabulary.join(F.broadcast(start), F.col("h") == F.col("s_h"), "left").select("h", F.coalesce("s_g", F.lit(RARE)).alias("g")))
     bigrams = None if whole else word_bigrams(train)
 
-    def table_of(classes):
-        if whole:
-            return bigram_table(train, _table(classes), CLASSES)
-        return _square(_classed(bigrams, classes).groupBy((F.col("ga") * CLASSES + F.col("gb")).alias("pair")).agg(F.sum("n").alias("n")), CLASSES)
-
-    n = table_of(classes)
-    best = None
-    for nth in range(sweeps):
+    def counted(classes):
         if whole:
-            counts = neighbours(train, _table(classes))
+            return stored(neighbours(train, _table(classes)))
+        met = _classed(bigrams, classes)
+        name = lambda x: F.when(F.col(f"g{x}") == STOP, F.lit(int(END.view(np.int64)))).when(F.col(f"in_{x}"), F.col(x)).otherwise(F.lit(int(OTHER.view(np.int64))))
+        behind = met.select(name("a").alias("h"), F.col("ga").alias("g"), F.col("gb").alias("k"), "n")
+        prior = met.filter("in_b").select(F.col("b").alias("h"), F.col("gb").alias("g"), (F.col("ga") + CLASSES).alias("k"), "n")
+        return stored(behind.unionByName(prior).groupBy("h", "g", "k").agg(F.sum("n").alias("n")))
+
+    kept = None  # classes, table and likelihood before the last sweep
+    for nth in range(sweeps + 1):
+        if nth < sweeps or not whole:
+            counts = counted(classes)
+            n = _table_of(counts)
         else:
-            met = _classed(bigrams, classes)
-            both = met.select(F.col("a").alias("h"), F.col("gb").alias("k"), "n").unionByName(met.select(F.col("b").alias("h"), (F.col("ga") + CLASSES).alias("k"), "n"))
-            counts = both.groupBy("h", "k").agg(F.sum("n").alias("n")).join(vocabulary.select("h"), "h", "left_semi")
-        moved = sweep(counts, classes, n, nth)
-        after = table_of(moved)
-        value = likelihood(after)
+            n = bigram_table(train, _table(classes), CLASSES)
+        value = likelihood(n)
         # The first sweep takes words out of the class of rare ones, so that it can't be undone.
-        if best is not None and value < best:
+        if kept is not None and nth > 1 and value < kept[2]:
+            return kept[:2]
+        if nth == sweeps:
             break
-        classes, n, best = moved, after, value
+        kept = (classes, n, value)
+        classes = sweep(counts, n, nth)
     return classes, n
 
 
