@@ -78,6 +78,18 @@ def test_csv_in_and_out(spark, tmp_path):
     assert 'source="1"' in writers.graph_xml([{"id": 1, "strategy": 'a"b'}], [{"src": 1, "dst": 2, "weight": 0.5}])
 
 
+def test_bad_files_and_rows_dont_stop_a_tolerant_read(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv").write_text("text,n\ngood,1\n")
+    whole = gzip.compress(b"text,n\n" + b"lost,2\n" * 50_000)
+    (tmp_path / "b.csv.gz").write_bytes(whole[: len(whole) // 2])
+    got = readers.read_posts(spark, f"{tmp_path}/*", schema=readers.StructType.fromDDL("text string, n int"))
+    assert got.filter("text = 'good'").select("n", "source_file").first() == (1, "a.csv")
+    with pytest.raises(Exception):
+        readers.read_posts(spark, f"{tmp_path}/*", schema=readers.StructType.fromDDL("text string, n int"), tolerant=False).collect()
+
+
 def test_stream(spark, tmp_path):
     rows = [(f"2024-01-0{d} 0{h}:00:00", "a", float(h)) for d in (1, 2, 5) for h in (1, 2)]
     spark.createDataFrame(rows, "ts string, s string, v double").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
