@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, merkle_manifest, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_fm": op1_quality_fm,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,12 +92,56 @@ QUERIES: dict[str, Query] = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+
+
+def _merkle_sql(levels: int = 8, arity: int = 16) -> str:
+    """Trees level by level: a group with one node left stays as it is. ``levels`` of 16 hold 2**32 leaves a source and as many sources."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 by its definition, 8 steps a byte, as a fold over the id's characters.
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = "xor(x, y)"
+    for _ in range(8):
+        byte = f"list_reduce([{byte}::UBIGINT, 0::UBIGINT], lambda x, z: {step})"
+    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda x, y: {byte}), 4294967295)"
+
+    def tree(name: str, first: str) -> str:
+        parts = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            parts.append(f"{name}w{k} AS (SELECT g, p, n, h, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{k}) WINDOW w AS (PARTITION BY g, p // {arity} ORDER BY p))")
+            parts.append(f"{name}{k + 1} AS (SELECT g, p // {arity} AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h FROM {name}w{k} GROUP BY g, p // {arity})")
+        return ", ".join(parts)
+
+    def climb(name: str, key: str, g: str, p: str, joined: str) -> tuple[str, list[tuple[str, str]]]:
+        for k in range(levels):
+            joined += f" JOIN {name}w{k} {key}{k} ON {key}{k}.g IS NOT DISTINCT FROM {g} AND {key}{k}.p = {p} // {arity**k}"
+        return joined, [(f"{key}{k}", f"{key}{k}.n > 1") for k in range(levels)]
+
+    joined, inner = climb("a", "i", "d.g", "d.p", "d JOIN s ON s.g IS NOT DISTINCT FROM d.g")
+    joined, outer = climb("b", "o", "NULL", "s.p", joined)
+    proof = [f"CASE WHEN {alive} THEN {k}.l || {k}.r ELSE '' END" for k, alive in inner + outer]
+    steps = ", ".join(f"CASE WHEN {alive} THEN {{'l': {k}.l, 'r': {k}.r}} END AS {k}" for k, alive in inner + outer)
+    got = f"SELECT d.doc_id, d.h AS leaf, s.h AS subroot, (SELECT h FROM b{levels}) AS root, sha256({' || '.join(proof)}) AS proof_sha256, coalesce(d.t, d.h) AS f, {steps} FROM {joined}"
+    for k, _ in inner + outer:
+        got = f"SELECT * REPLACE (CASE WHEN {k} IS NULL THEN f ELSE sha256({k}.l || f || {k}.r) END AS f) FROM ({got})"
+    return f"""
+        WITH x AS (SELECT doc_id, source AS g, sha256({row("text")}) AS h, CASE WHEN {crc} % 5 = 0 THEN sha256({row("text").replace("text", low)}) END AS t FROM documents),
+        d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM x),
+        {tree("a", "SELECT g, p, h FROM d")},
+        s AS (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p FROM a{levels}),
+        {tree("b", "SELECT NULL::VARCHAR AS g, p, h FROM s")}
+        SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM ({got})
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -123,4 +171,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
     """,
+    "op13_merkle_manifest": _merkle_sql(),
 }
