@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, class_lm, decontaminate, jaccard_join, line_dedup, merkle_manifest, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, class_lm, conversation_repair, decontaminate, jaccard_join, line_dedup, merkle_manifest, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.turns(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(conversation_repair.damaged(rows), rows, digest=True)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -101,18 +107,57 @@ _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDE
 
 
 
-def _merkle_sql(levels: int = 8, arity: int = 16) -> str:
-    """Trees level by level: a group with one node left stays as it is. ``levels`` of 16 hold 2**32 leaves a source and as many sources."""
-    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
-    row = lambda text: " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text))
-    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    # crc32 by its definition, 8 steps a byte, as a fold over the id's characters.
+def _crc_sql(ascii_text: str) -> str:
+    """crc32 by its definition, eight steps a byte, as a fold over characters."""
     step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
     byte = "xor(x, y)"
     for _ in range(8):
         byte = f"list_reduce([{byte}::UBIGINT, 0::UBIGINT], lambda x, z: {step})"
-    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda x, y: {byte}), 4294967295)"
+    chars = f"list_transform(string_split({ascii_text}, ''), lambda c: ascii(c)::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {chars}), lambda x, y: {byte}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """Row by row: for each role of the last retained row (e: none) the least (cost, audit) and its turns."""
+    add = lambda state, price, letters, more: f"{{'c': {state}.c + {price}, 'a': {state}.a || {letters}, 't': {state}.t || {more}}}"
+    nothing = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+    deleted = lambda state: add(state, 3, "'D'", "[]::VARCHAR[]")
+
+    def retained(state: str, letter: str, name: str, inserted: str) -> str:
+        own = f"(CASE WHEN i = '{letter}' THEN 0 ELSE 2 END) + (CASE WHEN fault = 3 THEN 1 ELSE 0 END)"
+        row = f"[CASE WHEN i = '{letter}' THEN role ELSE '{name}' END || ':' || text]"
+        k = 1 if inserted else 0
+        return add(state, f"{2 * k} + {own}", f"'{'I' * k}' || CASE WHEN i = '{letter}' THEN 'K' ELSE 'R' END", f"['{inserted}:'] || {row}" if k else row)
+
+    stay = lambda options: f"CASE WHEN fault IN (1, 2) THEN {options[0]} ELSE list_min([{', '.join(options)}]) END"
+    s = f"CASE WHEN i = 's' AND fault IN (0, 3) THEN list_min([{deleted('s')}, {add('e', '(CASE WHEN fault = 3 THEN 1 ELSE 0 END)', chr(39) + 'K' + chr(39), '[role || chr(58) || text]')}]) ELSE {deleted('s')} END"
+    u = stay([deleted("u"), *(retained(x, "u", "user", "") for x in "esa"), retained("u", "u", "user", "assistant")])
+    a = stay([deleted("a"), retained("u", "a", "assistant", ""), *(retained(x, "a", "assistant", "user") for x in "esa")])
+    code = _crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    ends = ", ".join(["e", add("s", 4, "'II'", "['user:', 'assistant:']"), add("u", 2, "'I'", "['assistant:']"), "a"])
+    return f"""
+        WITH RECURSIVE x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {code} % 20 AS code FROM conversations),
+        y AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+              CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS nth FROM x WHERE code <> 0),
+        z AS (SELECT *, left(role, 1) AS i, rtrim(text, {_SPACES}) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), nth) AS p FROM y),
+        f AS (SELECT conv_id, turn, role, text, i, p, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2
+              WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM z),
+        dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS p, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS e, {nothing} AS s, {nothing} AS u, {nothing} AS a FROM conversations
+              UNION ALL SELECT dp.conv_id, f.p, {deleted("e")}, {s}, {u}, {a} FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.p = dp.p + 1),
+        best AS (SELECT conv_id, arg_max(list_min([{ends}]), p) AS b FROM dp GROUP BY conv_id),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+              count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.t, chr(10))) AS repaired_sha256
+        FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+    """
+
 
+def _merkle_sql(levels: int = 8, arity: int = 16) -> str:
+    """Trees level by level: a group with one node left stays as it is. ``levels`` of 16 hold 2**32 leaves a source and as many sources."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    row = lambda text: " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     def tree(name: str, first: str) -> str:
         parts = [f"{name}0 AS ({first})"]
         for k in range(levels):
@@ -133,7 +178,7 @@ def _merkle_sql(levels: int = 8, arity: int = 16) -> str:
     for k, _ in inner + outer:
         got = f"SELECT * REPLACE (CASE WHEN {k} IS NULL THEN f ELSE sha256({k}.l || f || {k}.r) END AS f) FROM ({got})"
     return f"""
-        WITH x AS (SELECT doc_id, source AS g, sha256({row("text")}) AS h, CASE WHEN {crc} % 5 = 0 THEN sha256({row("text").replace("text", low)}) END AS t FROM documents),
+        WITH x AS (SELECT doc_id, source AS g, sha256({row("text")}) AS h, CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 5 = 0 THEN sha256({row("text").replace("text", low)}) END AS t FROM documents),
         d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM x),
         {tree("a", "SELECT g, p, h FROM d")},
         s AS (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p FROM a{levels}),
@@ -171,5 +216,6 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id
     """,
+    "op12_conversation_repair": _repair_sql(),
     "op13_merkle_manifest": _merkle_sql(),
 }
