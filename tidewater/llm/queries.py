@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import byte_bpe, class_lm, conversation_repair, decontaminate, jaccard_join, line_dedup, merkle_manifest, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
+from tidewater.llm import byte_bpe, class_lm, conversation_repair, decontaminate, jaccard_join, line_dedup, merkle_manifest, pii_boost, quality_fm, suffix_dedup, token_binary, token_trie, weak_rules
 from tidewater.llm._frames import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.digest(pii_boost.detect(table(spark, sf_dir, "documents")))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.turns(table(spark, sf_dir, "conversations"))
     return conversation_repair.repair(conversation_repair.damaged(rows), rows, digest=True)
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_pii_boost": op11_pii_boost,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
