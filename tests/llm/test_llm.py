@@ -422,6 +422,50 @@ def test_exchange_raises_likelihood(monkeypatch):
             assert class_lm.Gains(one.T @ m @ one).best(np.zeros(len(k), np.int64), k, x[k], np.array([own])).tolist() == [g[0]]
 
 
+def test_clustering_settles_near_a_plain_exchange(spark, monkeypatch):
+    """The likelihood rises from sweep to sweep until it has settled; the classes are as good as those of a plain exchange of all words one by one."""
+    monkeypatch.setattr(class_lm, "LEADERS", 70)
+    r = random.Random(11)
+    kinds = [[f"w{k}x{j}" for j in range(12)] for k in range(8)]
+    follow = [[r.random() ** 4 for _ in range(8)] for _ in range(8)]
+    texts = []
+    for _ in range(300):
+        k, words = r.randrange(8), []
+        for _ in range(30):
+            words.append(r.choice(kinds[k]))
+            k = r.choices(range(8), follow[k])[0]
+        texts.append(" ".join(words))
+    values = []
+    monkeypatch.setattr(class_lm, "likelihood", lambda n, f=class_lm.likelihood: values.append(f(n)) or values[-1])
+    train = class_lm.docs(frame(spark, list(enumerate(texts))))
+    model = class_lm.fit(train)
+    n_tokens = sum(len(lm_tokens(t)) for t in texts)
+    rises = [b - a for a, b in zip(values[1:], values[2:])]
+    assert len(rises) >= 2 and all(x >= 0 for x in rises[:-1]) and rises[-1] < class_lm.SETTLED * n_tokens
+    # The plain version.
+    end = int(class_lm.END.view(np.int64))
+    names = sorted({h for t in texts for h in lm_tokens(t)} - {end})
+    at = {h: i for i, h in enumerate(names)} | {end: len(names) + 1}
+    m = np.zeros((len(names) + 2, len(names) + 2))
+    for t in texts:
+        last = end
+        for h in lm_tokens(t):
+            m[at[last], at[h]] += 1
+            last = h
+    group = {x.h: x.g for x in model.words.collect()}
+
+
+    def worth(g):
+        one = np.eye(class_lm.CLASSES)[g]
+        n = one.T @ m @ one
+        return float(class_lm.xlogx(n).sum() - class_lm.xlogx(n.sum(0)).sum() - class_lm.xlogx(n.sum(1)).sum())
+
+    mine = worth([*(group[h] for h in names), class_lm.RARE, class_lm.STOP])
+    plain = worth(class_lm.exchange(m, class_lm.CLASSES))
+    alone = worth([*(0 for _ in names), class_lm.RARE, class_lm.STOP])
+    assert mine - alone > 0.9 * (plain - alone)
+
+
 def test_weak_rules(spark, rows):
     got = weak_rules.judged(frame(spark, rows))
     want = sorted([(d, *brute.measures(t)) for d, t in rows], key=str)

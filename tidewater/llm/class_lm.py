@@ -9,14 +9,16 @@ which also stands before its first word.
   frequent words are exchanged one by one on the driver, which is a start for all; then come sweeps over the whole vocabulary (as Uszkoreit and
   Brants 2008 do): tasks count, for each word, the classes before and behind it; Spark adds the counts up by word; a word's task compares all classes, with
   the table of class bigrams as it was before the sweep. From the second sweep on, half of the words may move at a time, since
-  words that move together can lose what each would gain alone; a sweep that lowers the likelihood is undone and is the last.
+  words that move together can lose what each would gain alone; a sweep that lowers the likelihood is undone and is the last. Sweeps go on until one raises
+  the likelihood by less than ``SETTLED`` a token: there is no limit on their number, and as the likelihood is bounded they end.
 * P(g | g') = (n(g', g) + C P(g)) / (n(g') + C) with P(g) = (n(g) + 1) / (N + C), C the number of classes;
   P(w | g) = (c(w) + 1) / (n(g) + V(g)), V(g) the distinct words of g, and one more for all unseen words where g is the class of rare ones.
 
 All counts are over every token of every training document. What a task holds has a size bound: the words of the vocabulary with count and class if they are
 ``HEAD`` at most (some 30 bytes each), bigrams of leaders, and (classes)^2 numbers. A task adds up what these words give and
 sends each document's other words to the counts by a shuffle. A larger vocabulary stays distributed: word bigrams are counted once, and
-classes come to them by shuffled joins in every sweep and in the score; results are the same.
+classes come to them by shuffled joins in every sweep and in the score; results are the same. There the ``HEAVY`` most frequent words meet their classes by a
+broadcast, so no join gathers a frequent word's rows. Training texts are split into words twice: for the counts, and into the numbers of their words, which sweeps read.
 
 Words: runs of characters other than 20 and 09-0D, A-Z as a-z, told apart by a 64-bit hash. Null or empty text: the end
 token only. A null doc_id trains and isn't held out. Rows that repeat are scored, and counted, each. No training rows: every
@@ -36,7 +38,11 @@ from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs, stored
 
 U = np.uint64
-LEADERS, HEAD, MIN_COUNT, SWEEPS = 1000, 1 << 21, 3, 3
+LEADERS, HEAD, MIN_COUNT = 1000, 1 << 21, 3
+#: Words that a shuffled join doesn't gather: any other word is less than 1 / HEAVY of all.
+HEAVY = 1 << 16
+#: Exchange has settled when a sweep raises the log-likelihood (natural logarithm) by less than so much a token.
+SETTLED = 0.005
 #: Classes that exchange deals with; then the class of rare words and the end token's.
 MOVING = 62
 RARE, STOP, CLASSES = MOVING, MOVING + 1, MOVING + 2
@@ -88,30 +94,60 @@ class Table:
     def __getstate__(self):
         return self.__dict__ | {"index": None}
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's place (-1 for none) and class."""
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Each word's place, -1 for none."""
         if self.index is None:
             self.index = B.HashIndex(self.keys)
-        at = self.index.find(h)
+        return self.index.find(h)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place (-1 for none) and class."""
+        at = self.place(h)
         if not len(self.keys):
             return at, np.where(h == END, STOP, RARE)
         return at, np.where(at >= 0, self.classes[at], np.where(h == END, STOP, RARE))
 
 
-def bigram_table(train: DataFrame, table: Table, size: int) -> np.ndarray:
-    """Counts of (class before, class) over ``train``: size * size numbers from each task."""
-    sent = train.sparkSession.sparkContext.broadcast(table)
+def coded(train: DataFrame, keys: np.ndarray) -> DataFrame:
+    """ids: the places in ``keys`` of the words of each run of texts, three bytes each; len(keys) stands for other words, one more for the end. Written."""
+    sent = train.sparkSession.sparkContext.broadcast(Table(keys, np.zeros(0, np.int16)))
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
+        table = sent.value
+        v = len(table.keys)
         for batch in batches:
             for _, _, data, offs in B.text_pieces(batch):
-                _, s = sent.value.find(tokens(data, offs)[1])
+                h = tokens(data, offs)[1]
+                at = table.place(h)
+                at = np.where(h == END, v + 1, np.where(at >= 0, at, v)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([pa.array([at.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()], pa.binary())], ["ids"])
+
+    return stored(train.mapInArrow(B.trimmed(run), "ids binary"))
+
+
+def _ids(batch: pa.RecordBatch):
+    """The numbers of each run of ``coded``."""
+    for x in batch.column(0):
+        three = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 3)
+        four = np.zeros((len(three), 4), np.uint8)
+        four[:, :3] = three
+        yield four.view("<u4").ravel().astype(np.int64)
+
+
+def bigram_table(runs: DataFrame, group: np.ndarray, size: int) -> np.ndarray:
+    """Counts of (symbol before, symbol) over ``runs`` (see ``coded``): size * size numbers from each task. ``group`` has each number's symbol; size - 1 is the end."""
+    sent = runs.sparkSession.sparkContext.broadcast(group)
+
+    def run(batches):
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for ids in _ids(batch):
+                s = sent.value[ids].astype(np.int64)
                 total += np.bincount(before(s, size - 1) * size + s, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
 
-    return _square(train.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), size)
+    return _square(runs.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), size)
 
 
 def _square(pairs: DataFrame, size: int) -> np.ndarray:
@@ -209,42 +245,39 @@ class Gains:
         return np.where(better, best, own)
 
 
-def neighbours(train: DataFrame, table: Table) -> DataFrame:
-    """h, g, k, n: how often class k (CLASSES + k for the one before) stands behind each word of the table, whose class is g; for the end token and
-    for all other words together (``OTHER``) too. Added up inside tasks first."""
-    sent = train.sparkSession.sparkContext.broadcast(table)
+def neighbours(runs: DataFrame, keys: np.ndarray, classes: np.ndarray) -> DataFrame:
+    """h, g, k, n: how often class k (CLASSES + k for the one before) stands behind each word of ``keys``, whose class is g; for the end token and
+    for all other words together (``OTHER``) too. ``runs`` as from ``coded``; added up inside tasks first."""
+    sent = runs.sparkSession.sparkContext.broadcast((keys, classes))
 
     def run(batches):
-        table, keys, held = sent.value, [], 0
-        v = len(table.keys)
-        names = np.concatenate((table.keys, [OTHER, END]))
-        group = np.concatenate((table.classes, [RARE, STOP])).astype(np.int32)
+        keys, classes = sent.value
+        v, found, held = len(keys), [], 0
+        names = np.concatenate((keys, [OTHER, END]))
+        group = np.concatenate((classes, [RARE, STOP])).astype(np.int32)
 
         def leave():
-            own, n = np.unique(np.concatenate(keys), return_counts=True)
+            own, n = np.unique(np.concatenate(found), return_counts=True)
             at = own // WIDTH
             return pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(group[at]), pa.array((own % WIDTH).astype(np.int32)), pa.array(n)], ["h", "g", "k", "n"])
 
         for batch in batches:
-            for _, _, data, offs in B.text_pieces(batch):
-                at, s = table.find(tokens(data, offs)[1])
-                at = np.where(s == STOP, v + 1, np.where(at >= 0, at, v))
-                behind = np.empty_like(s)
-                behind[:-1], behind[-1:] = s[1:], -1
-                # The end token stands before a document's first word, so that it is followed by the words that follow it here, but the run's last.
+            for at in _ids(batch):
+                s = group[at].astype(np.int64)
                 key = at * WIDTH
-                follow = behind >= 0
-                keys += [key[follow] + behind[follow], (key + CLASSES + before(s, STOP))[at < v]]
+                # Each token but the run's last is followed by the next; the end token stands before a document's first word, so it is followed by the
+                # words that follow it here, and by the run's first.
+                found += [key[:-1] + s[1:], (key + CLASSES + before(s, STOP))[at < v]]
                 if len(s):
-                    keys.append(np.array([(v + 1) * WIDTH + s[0]]))
+                    found.append(np.array([(v + 1) * WIDTH + s[0]]))
                 held += len(s)
-                if held > 1_000_000:
+                if held > 2_000_000:
                     yield leave()
-                    keys, held = [], 0
-        if keys:
+                    found, held = [], 0
+        if found:
             yield leave()
 
-    return train.mapInArrow(B.trimmed(run), "h long, g int, k int, n long").groupBy("h", "g", "k").agg(F.sum("n").alias("n"))
+    return runs.mapInArrow(B.trimmed(run), "h long, g int, k int, n long").groupBy("h", "g", "k").agg(F.sum("n").alias("n"))
 
 
 def _table_of(counts: DataFrame) -> np.ndarray:
@@ -265,12 +298,31 @@ def word_bigrams(train: DataFrame) -> DataFrame:
     return stored(train.mapInArrow(B.trimmed(run), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
-def _classed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, key: str, found: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` and what ``found`` (c_h, ...) has for the hash in ``key``, null where it has none. Words of ``heavy`` (t_h, at most HEAVY) meet theirs by a
+    broadcast, the end token too; their rows are then spread over all tasks of the shuffled join for the others."""
+    others = [c for c in found.columns if c != "c_h"]
+    frequent = F.col("c_h") == F.col("t_h")
+    top = found.join(F.broadcast(heavy), frequent).select("t_h", *[F.col(c).alias(f"t_{c}") for c in others])
+    rest = found.join(F.broadcast(heavy), frequent, "left_anti").withColumn("c_free", F.lit(True))
+    own = rows.join(F.broadcast(top), F.col(key) == F.col("t_h"), "left")
+    own = own.withColumn("m_free", F.col("t_h").isNull() & (F.col(key) != F.lit(int(END.view(np.int64)))))
+    own = own.withColumn("m_key", F.when(F.col("m_free"), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    met = own.join(rest, (F.col("m_key") == F.col("c_h")) & (F.col("m_free") == F.col("c_free")), "left")
+    return met.select(*rows.columns, *[F.coalesce(f"t_{c}", c).alias(c) for c in others])
+
+
+def _heavy(counts: DataFrame) -> DataFrame:
+    """The most frequent words of ``counts`` (h, n)."""
+    return stored(counts.orderBy(F.desc("n"), "h").limit(HEAVY).select(F.col("h").alias("t_h")))
+
+
+def _classed(pairs: DataFrame, classes: DataFrame, heavy: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) and the classes ga, gb of both words, and whether they are words of ``classes`` (h, g): in_a, in_b."""
     other = lambda x: F.coalesce(F.col("c_g"), F.when(F.col(x) == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE))
     for x in "ab":
-        met = pairs.join(classes.select(F.col("h").alias("c_h"), F.col("g").alias("c_g")), F.col(x) == F.col("c_h"), "left")
-        pairs = met.withColumns({f"g{x}": other(x), f"in_{x}": F.col("c_g").isNotNull() & (F.col("c_g") != STOP)}).drop("c_h", "c_g")
+        met = _met(pairs, x, classes.select(F.col("h").alias("c_h"), F.col("g").alias("c_g")), heavy)
+        pairs = met.withColumns({f"g{x}": other(x), f"in_{x}": F.col("c_g").isNotNull() & (F.col("c_g") != STOP)}).drop("c_g")
     return pairs
 
 
@@ -313,76 +365,59 @@ def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
     return stored(counts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(B.trimmed(run), "h long, g int"))
 
 
-def _table(classes: DataFrame) -> Table:
+def _of(keys: np.ndarray, classes: DataFrame) -> np.ndarray:
+    """The class of each of ``keys`` (ascending), which are the words of ``classes`` (h, g)."""
     got = classes.toArrow()  # HEAD rows at most
-    h, g = np.asarray(got.column("h")).view(U), np.asarray(got.column("g"))
-    o = np.argsort(h)
-    return Table(h[o], g[o].astype(np.int16))
+    out = np.empty(len(keys), np.int16)
+    out[np.searchsorted(keys, np.asarray(got.column("h")).view(U))] = np.asarray(got.column("g"))
+    return out
 
 
-def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, sweeps: int = SWEEPS) -> tuple[DataFrame, np.ndarray]:
+def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: float = SETTLED) -> tuple[DataFrame, np.ndarray]:
     """h, g of every word of ``vocabulary`` (h, n; not the end token), and the table of class bigrams; ``whole``: the vocabulary fits into tasks."""
     spark = train.sparkSession
     top = vocabulary.orderBy(F.desc("n"), "h").limit(LEADERS).toArrow()
-    lead = np.asarray(top.column("h")).view(U)
+    lead = np.sort(np.asarray(top.column("h")).view(U))
     m = len(lead)
-    # Leaders as symbols 0 to m - 1, then rare words, then the end: the classes of rare words and end are renumbered for the small table.
-    symbols = Table(np.append(lead, END), np.append(np.arange(m), m + 1))
-    found = _small_table(train, symbols, m + 2)
-    g = exchange(found, CLASSES)
+    # Leaders as symbols 0 to m - 1, then all other words, then the end.
+    keys = np.sort(np.asarray(vocabulary.select("h").toArrow().column("h")).view(U)) if whole else lead
+    runs = coded(train, keys)
+    symbols = np.full(len(keys) + 2, m)
+    symbols[np.searchsorted(keys, lead)], symbols[-1] = np.arange(m), m + 1
+    g = exchange(bigram_table(runs, symbols, m + 2), CLASSES)
     start = spark.createDataFrame(list(zip(lead.view(np.int64).tolist(), g[:m].tolist())), "s_h long, s_g int")
     classes = stored(vocabulary.join(F.broadcast(start), F.col("h") == F.col("s_h"), "left").select("h", F.coalesce("s_g", F.lit(RARE)).alias("g")))
-    bigrams = None if whole else word_bigrams(train)
+    if not whole:
+        bigrams, heavy = word_bigrams(train), _heavy(vocabulary)
 
     def counted(classes):
         if whole:
-            return stored(neighbours(train, _table(classes)))
-        met = _classed(bigrams, classes)
+            return stored(neighbours(runs, keys, _of(keys, classes)))
+        met = _classed(bigrams, classes, heavy)
         name = lambda x: F.when(F.col(f"g{x}") == STOP, F.lit(int(END.view(np.int64)))).when(F.col(f"in_{x}"), F.col(x)).otherwise(F.lit(int(OTHER.view(np.int64))))
         behind = met.select(name("a").alias("h"), F.col("ga").alias("g"), F.col("gb").alias("k"), "n")
         prior = met.filter("in_b").select(F.col("b").alias("h"), F.col("gb").alias("g"), (F.col("ga") + CLASSES).alias("k"), "n")
         return stored(behind.unionByName(prior).groupBy("h", "g", "k").agg(F.sum("n").alias("n")))
 
-    kept = None  # classes, table and likelihood before the last sweep
-    for nth in range(sweeps + 1):
-        if nth < sweeps or not whole:
-            counts = counted(classes)
-            n = _table_of(counts)
-        else:
-            n = bigram_table(train, _table(classes), CLASSES)
+    kept, nth = None, 0  # classes, table and likelihood before the last sweep
+    while True:
+        counts = counted(classes)
+        n = _table_of(counts)
         value = likelihood(n)
-        # The first sweep takes words out of the class of rare ones, so that it can't be undone.
-        if kept is not None and nth > 1 and value < kept[2]:
+        # The first sweep takes words out of the class of rare ones, so that it isn't compared; half of the words move in each later one, so the second
+        # of them is the first that can tell that nothing moves any more.
+        if nth > 1 and value < kept[2]:
             return kept[:2]
-        if nth == sweeps:
-            break
+        if nth > 2 and value - kept[2] < settled * max(n.sum(), 1) or not n.sum():
+            return classes, n
         kept = (classes, n, value)
         classes = sweep(counts, n, nth)
-    return classes, n
-
-
-def _small_table(train: DataFrame, symbols: Table, size: int) -> np.ndarray:
-    """Bigrams of symbols; what the table doesn't have is symbol ``size`` - 2."""
-    keys, own = symbols.keys, symbols.classes
-    sent = train.sparkSession.sparkContext.broadcast((keys, own))
-
-    def run(batches):
-        keys, own = sent.value
-        index, total = B.HashIndex(keys), np.zeros(size * size, np.int64)
-        for batch in batches:
-            for _, _, data, offs in B.text_pieces(batch):
-                at = index.find(tokens(data, offs)[1])
-                s = np.where(at >= 0, own[at], size - 2)
-                total += np.bincount(before(s, size - 1) * size + s, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["pair", "n"])
-
-    return _square(train.mapInArrow(B.trimmed(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")), size)
+        nth += 1
 
 
 @dataclass
 class Model:
-    """``words`` (h, n, g) has every word of training; ``step`` is log10 P(g | g') less log10 of the denominator of P(w | g), [g', g]."""
+    """``words`` (h, n, g) has every word of training, ``vocabulary`` those that aren't rare, with the end token; ``step`` is log10 P(g | g') less log10 of the denominator of P(w | g), [g', g]."""
 
     words: DataFrame
     vocabulary: DataFrame
@@ -392,12 +427,12 @@ class Model:
     n_distinct: int
 
 
-def fit(train: DataFrame, sweeps: int = SWEEPS) -> Model:
+def fit(train: DataFrame, settled: float = SETTLED) -> Model:
     """The model of ``train`` (doc_id, text)."""
     counts = word_counts(train)
     vocabulary = counts.filter((F.col("n") >= MIN_COUNT) & (F.col("h") != F.lit(int(END.view(np.int64)))))
     whole = vocabulary.count() <= HEAD
-    classes, table = clustered(train, vocabulary, whole, sweeps)
+    classes, table = clustered(train, vocabulary, whole, settled)
     words = counts.join(classes.withColumnRenamed("h", "c_h"), F.col("h") == F.col("c_h"), "left")
     words = stored(words.select("h", "n", F.coalesce("g", F.when(F.col("h") == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE)).alias("g")))
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -406,7 +441,7 @@ def fit(train: DataFrame, sweeps: int = SWEEPS) -> Model:
     alone = (n + 1) / (n.sum() + CLASSES)
     unseen = np.arange(CLASSES) == RARE
     step = np.log10((table + CLASSES * alone[None, :]) / (table.sum(1)[:, None] + CLASSES)) - np.log10(np.maximum(n + v + unseen, 1))[None, :]
-    return Model(words, words.filter((F.col("g") != RARE) & (F.col("g") != STOP)), whole, step, int(n.sum()), int(v.sum()))
+    return Model(words, words.filter(F.col("g") != RARE), whole, step, int(n.sum()), int(v.sum()))
 
 
 def _scores(sums: DataFrame, model: Model) -> DataFrame:
@@ -445,7 +480,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                     pa.array(ids), batch.column(0)[a:b].cast(pa.int64()), pa.array(B.mix(ids.astype(U)).view(np.int64)), pa.array(np.bincount(doc, minlength=n)),
                     pa.array(np.bincount(doc[known], minlength=n)), pa.array(np.bincount(doc[known], log_counts[at[known]], minlength=n) + 0.0), pa.array(np.bincount(doc, walk, minlength=n) + 0.0), pa.array(zero),
                 ], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
-                # Words outside the vocabulary and end tokens: one row for each document and word.
+                # Words outside the vocabulary, each rare or new: one row for each document and word.
                 doc, h = doc[~known], h[~known]
                 o = np.lexsort((h, doc))
                 doc, h = doc[o], h[o]
@@ -456,7 +491,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[doc[new]]), pa.nulls(k, pa.int64()), pa.array(h[new].view(np.int64)), z, z, zf, zf, pa.array(tf)], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
 
     rows = df.mapInArrow(B.trimmed(run), kind)
-    c = model.words.filter(F.col("g") >= RARE).select("h", F.col("n").alias("c"))
+    c = model.words.filter(F.col("g") == RARE).select("h", F.col("n").alias("c"))
     met = rows.join(c, "h", "left")
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
@@ -484,7 +519,9 @@ def _score_by_joins(df: DataFrame, model: Model) -> DataFrame:
                 row += b - a
 
     pairs = df.mapInArrow(B.trimmed(run), "row long, doc_id long, a long, b long, tf long")
-    met = _classed(pairs, model.words.select("h", "g")).join(model.words.select(F.col("h").alias("w_h"), F.col("n").alias("c")), F.col("b") == F.col("w_h"), "left")
+    heavy = _heavy(model.words)
+    known = _classed(pairs, model.words.select("h", "g"), heavy)
+    met = _met(known, "b", model.words.select(F.col("h").alias("c_h"), F.col("n").alias("c")), heavy)
     step = F.element_at(F.lit(model.step.ravel().tolist()), F.col("ga") * CLASSES + F.col("gb") + 1)
     sums = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
