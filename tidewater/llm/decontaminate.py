@@ -13,7 +13,8 @@ percent none for 8, 9, 13, 14 and 16 words or more). No mask begins or ends with
 substitutions like others.
 
 Words are the runs of characters other than 20 and 09-0D of the text with A-Z in lower case. The documents' text
-never moves: test hashes are broadcast if their counted number is small, else both sides' hashes are shuffled.
+never moves: test hashes are broadcast if their counted bytes are few. Else a bitmap of fixed size picks the documents' seeds that items may have, and only these are shuffled,
+without words; hits are merged by (document, item, diagonal) before any words are fetched, and only the words of documents with a hit move.
 Null or empty texts match nothing. Rows of documents that repeat (doc_id, text) count once; items with equal text are
 reported each, also one without an item_id. Empty tables give an empty result.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _frames
-from tidewater.llm._frames import _sieved, docs, small, stored
+from tidewater.llm._frames import _sieved, docs, meet_few, small, stored
 
 MASKS = ("110111", "111011", "1101011")
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -101,19 +102,22 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, masks: tuple[str, ...
     item_seeds = stored(_seeded(keyed, all_masks, only).filter(F.col("seed").isNotNull()).select("seed", "item", F.col("i").alias("ipos")))
     d = docs(documents).select("doc_id", F.xxhash64("text").alias("th"), word_hashes(F.col("text")).alias("h"))
     diagonal = (F.col("i") - F.col("ipos")).alias("diagonal")
+    key = ["doc_id", "th", "item", "diagonal"]
+    # Places where document and item agree: a number for each word of the item goes on, the document's words don't.
+    beside = F.transform("ih", lambda x, k: F.coalesce(F.when(F.col("diagonal") + k >= 0, F.get(F.col("h"), F.col("diagonal") + k) == x), F.lit(False)).cast("int"))
     if _frames.weight(item_seeds) <= _frames.BROADCAST_BYTES:
         hits = _seeded(d, all_masks).join(F.broadcast(item_seeds), "seed").select("doc_id", "th", "item", diagonal, "h")
+        lined = hits.join(small(items), "item").select(*key, "item_id", F.size("ih").alias("n"), beside.alias("same"))
+        once = lined.groupBy(*key, "item_id").agg(F.first("n").alias("n"), F.first("same").alias("same"))
     else:
-        # Seeds that a bitmap of the items' seeds has are shuffled, without the words, which only documents with a hit get back.
         bare = _seeded(d, all_masks).select("seed", "doc_id", "th", "i").filter(F.col("seed").isNotNull())
         bare = _sieved(bare, "seed", item_seeds, "seed")[0]
-        found = bare.join(item_seeds, "seed").select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "item", diagonal).distinct()
-        hits = found.join(d.dropDuplicates(["doc_id", "th"]), F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
-    # Places where document and item agree: a number for each word of the item goes on, the document's words don't.
-    near = hits.join(small(items), "item")
-    beside = F.transform("ih", lambda x, k: F.coalesce(F.when(F.col("diagonal") + k >= 0, F.get(F.col("h"), F.col("diagonal") + k) == x), F.lit(False)).cast("int"))
-    lined = near.select("doc_id", "th", "item", "item_id", "diagonal", F.size("ih").alias("n"), beside.alias("same"))
-    once = lined.groupBy("doc_id", "th", "item", "item_id", "diagonal").agg(F.first("n").alias("n"), F.first("same").alias("same"))
+        found = stored(bare.join(item_seeds, "seed").select("doc_id", "th", "item", diagonal).distinct())
+        # One row for each document with a hit meets the documents, then its own hits, then each hit its item.
+        few = stored(found.select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th")).distinct())
+        words = stored(meet_few(d, few, "inner").dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("o_id"), F.col("th").alias("o_th"), "h"))
+        near = found.join(words, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th"))).join(small(items), "item")
+        once = near.select(*key, "item_id", F.size("ih").alias("n"), beside.alias("same"))
     w = F.least(F.col("n"), F.lit(window))
     sums = F.transform(F.sequence(F.lit(0), F.col("n") - w), lambda s: F.aggregate(F.slice("same", s + 1, w), F.lit(0), lambda a, x: a + x))
     scored = once.select("doc_id", "th", "item_id", F.array_max(sums).alias("best"), w.alias("w")).filter(F.col("best") * 100 >= F.col("w") * percent)
