@@ -245,43 +245,89 @@ class Gains:
         return np.where(better, best, own)
 
 
-def neighbours(runs: DataFrame, keys: np.ndarray, classes: np.ndarray) -> DataFrame:
-    """h, g, k, n: how often class k (CLASSES + k for the one before) stands behind each word of ``keys``, whose class is g; for the end token and
-    for all other words together (``OTHER``) too. ``runs`` as from ``coded``; added up inside tasks first."""
-    sent = runs.sparkSession.sparkContext.broadcast((keys, classes))
+def _moved(h: np.ndarray, now: np.ndarray, word: np.ndarray, k: np.ndarray, x: np.ndarray, gains: Gains, nth: int) -> np.ndarray:
+    """The classes of the words ``h``, now in ``now``, after the ``nth`` sweep; their counts ``x`` in columns ``k`` are sorted by ``word`` (0, 1, ...)."""
+    free = np.ones(len(h), bool) if nth == 0 else (B.mix(h.view(U) + U(nth // 2)) >> U(40)) % U(2) == U(nth % 2)
+    out, some = now.copy(), np.flatnonzero(free)
+    if len(some):
+        keep = free[word]
+        out[some] = gains.best((np.cumsum(free) - 1)[word[keep]], k[keep], x[keep], now[some])
+    return out
 
-    def run(batches):
-        keys, classes = sent.value
+
+def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray, nth: int) -> DataFrame:
+    """h, g of every word of ``keys`` after a sweep over ``runs`` (see ``coded``); ``n`` is the table of class bigrams.
+
+    A task counts, for each word, the classes behind it (columns 0 to CLASSES - 1) and before it, and packs the counts of a range of words into one value; the ranges meet by a shuffle,
+    where a task adds them up and compares the classes.
+    """
+    sent = runs.sparkSession.sparkContext.broadcast((keys, classes, n))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, -(-len(keys) // (2 * parts)))  # words of a range
+
+    def count(batches):
+        keys, classes, _ = sent.value
         v, found, held = len(keys), [], 0
-        names = np.concatenate((keys, [OTHER, END]))
-        group = np.concatenate((classes, [RARE, STOP])).astype(np.int32)
+        group = np.concatenate((classes, [RARE, STOP])).astype(np.int64)
 
         def leave():
             own, n = np.unique(np.concatenate(found), return_counts=True)
-            at = own // WIDTH
-            return pa.RecordBatch.from_arrays([pa.array(names[at].view(np.int64)), pa.array(group[at]), pa.array((own % WIDTH).astype(np.int32)), pa.array(n)], ["h", "g", "k", "n"])
+            at = np.arange(0, -(-v // width) + 1) * width * WIDTH
+            cut = np.searchsorted(own, at)
+            out = []
+            for i in np.flatnonzero(np.diff(cut)):
+                x = own[cut[i] : cut[i + 1]]
+                # Small steps and small counts leave zeros that the shuffle's compression takes out.
+                out.append((int(i), np.stack((np.diff(x, prepend=at[i]), n[cut[i] : cut[i + 1]])).astype("<u4").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["span", "packed"])
 
         for batch in batches:
             for at in _ids(batch):
-                s = group[at].astype(np.int64)
+                # A document's last token is the end, which stands before the first word of the next; a run begins and ends with a document.
+                s = group[at]
+                word = at < v
                 key = at * WIDTH
-                # Each token but the run's last is followed by the next; the end token stands before a document's first word, so it is followed by the
-                # words that follow it here, and by the run's first.
-                found += [key[:-1] + s[1:], (key + CLASSES + before(s, STOP))[at < v]]
-                if len(s):
-                    found.append(np.array([(v + 1) * WIDTH + s[0]]))
+                found += [(key[:-1] + s[1:])[word[:-1]], (key + CLASSES + before(s, STOP))[word]]
                 held += len(s)
-                if held > 2_000_000:
+                if held > 3_000_000:
                     yield leave()
                     found, held = [], 0
         if found:
             yield leave()
 
-    return runs.mapInArrow(B.trimmed(run), "h long, g int, k int, n long").groupBy("h", "g", "k").agg(F.sum("n").alias("n"))
+    def solve(batches):
+        keys, classes, n = sent.value
+        gains = Gains(n)
+
+        def done(span, blobs):
+            own, x = [], []
+            for b in blobs:
+                step, c = np.frombuffer(b, "<u4").reshape(2, -1)
+                own.append(np.cumsum(step.astype(np.int64)) + span * width * WIDTH)
+                x.append(c)
+            own, at = np.unique(np.concatenate(own), return_inverse=True)
+            x = np.bincount(at, np.concatenate(x)).astype(np.int64)
+            place, word = np.unique(own // WIDTH, return_inverse=True)
+            g = _moved(keys[place], classes[place].astype(np.int64), word, own % WIDTH, x, gains, nth)
+            return pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(g.astype(np.int32))], ["h", "g"])
+
+        now, blobs = None, []
+        for batch in batches:
+            for span, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if span != now and blobs:
+                    yield done(now, blobs)
+                    blobs = []
+                now = span
+                blobs.append(blob)
+        if blobs:
+            yield done(now, blobs)
+
+    packed = runs.mapInArrow(B.trimmed(count), "span int, packed binary")
+    return stored(packed.repartition(parts, "span").sortWithinPartitions("span").mapInArrow(B.trimmed(solve), "h long, g int"))
 
 
 def _table_of(counts: DataFrame) -> np.ndarray:
-    """The table of class bigrams from ``neighbours``."""
+    """The table of class bigrams from counts (h, g, k, n)."""
     return _square(counts.filter(F.col("k") < CLASSES).groupBy((F.col("g") * CLASSES + F.col("k")).alias("pair")).agg(F.sum("n").alias("n")), CLASSES)
 
 
@@ -327,7 +373,7 @@ def _classed(pairs: DataFrame, classes: DataFrame, heavy: DataFrame) -> DataFram
 
 
 def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
-    """h, g of every word of the vocabulary after a sweep; ``counts`` as from ``neighbours``, ``n`` its table."""
+    """The same as ``swept`` from counts (h, g, k, n: how often class k, or CLASSES + k for the one before, stands beside a word of class g), where the vocabulary is too large for tasks."""
     sent = counts.sparkSession.sparkContext.broadcast(n)
 
     def run(batches):
@@ -335,15 +381,8 @@ def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
 
         def solve(h, g, k, x):
             new = np.r_[True, h[1:] != h[:-1]]
-            first, word = np.flatnonzero(new), np.cumsum(new) - 1
-            own, now = h[first], g[first].astype(np.int64)
-            free = np.ones(len(own), bool) if nth == 0 else (B.mix(own.view(U) + U(nth // 2)) >> U(40)) % U(2) == U(nth % 2)
-            out = now.copy()
-            some = np.flatnonzero(free)
-            if len(some):
-                keep = free[word]
-                at = (np.cumsum(free) - 1)[word[keep]]
-                out[some] = gains.best(at, k[keep], x[keep], now[some])
+            own, now = h[new], g[new].astype(np.int64)
+            out = _moved(own, now, np.cumsum(new) - 1, k, x, gains, nth)
             real = (own != END.view(np.int64)) & (own != OTHER.view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(out[real].astype(np.int32))], ["h", "g"])
 
@@ -391,8 +430,6 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
         bigrams, heavy = word_bigrams(train), _heavy(vocabulary)
 
     def counted(classes):
-        if whole:
-            return stored(neighbours(runs, keys, _of(keys, classes)))
         met = _classed(bigrams, classes, heavy)
         name = lambda x: F.when(F.col(f"g{x}") == STOP, F.lit(int(END.view(np.int64)))).when(F.col(f"in_{x}"), F.col(x)).otherwise(F.lit(int(OTHER.view(np.int64))))
         behind = met.select(name("a").alias("h"), F.col("ga").alias("g"), F.col("gb").alias("k"), "n")
@@ -401,8 +438,12 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
 
     kept, nth = None, 0  # classes, table and likelihood before the last sweep
     while True:
-        counts = counted(classes)
-        n = _table_of(counts)
+        if whole:
+            group = _of(keys, classes)
+            n = bigram_table(runs, np.concatenate((group, [RARE, STOP])), CLASSES)
+        else:
+            counts = counted(classes)
+            n = _table_of(counts)
         value = likelihood(n)
         # The first sweep takes words out of the class of rare ones, so that it isn't compared; half of the words move in each later one, so the second
         # of them is the first that can tell that nothing moves any more.
@@ -411,7 +452,7 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
         if nth > 2 and value - kept[2] < settled * max(n.sum(), 1) or not n.sum():
             return classes, n
         kept = (classes, n, value)
-        classes = sweep(counts, n, nth)
+        classes = swept(runs, keys, group, n, nth) if whole else sweep(counts, n, nth)
         nth += 1
 
 
