@@ -7,42 +7,132 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions import math as mx
 from tidewater.plans.storage import stored
 
 UNTRACKED = ("Unknown", "MS_Outlier")
 
 
+#: Pivots of a cell that is split, and of all cells of a level together (they are broadcast).
+PIVOTS, ALL_PIVOTS = 64, 1 << 14
+
+
+def unit_vectors(nodes: DataFrame) -> DataFrame:
+    """window, id, u (the embedding scaled to length 1) of the nodes that have one; zero and null vectors are left out."""
+    size = mx.norm(F.col("embedding"))
+    scaled = mx.let(size, lambda n: F.transform("embedding", lambda x: x.cast("double") / n))
+    return nodes.filter(F.col("embedding").isNotNull()).filter(size > 0).select("window", F.col("id").cast("long").alias("id"), scaled.alias("u"))
+
+
+def _rows(t: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    c = t.column(name)
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    return np.asarray(c.flatten()).reshape(len(c), -1)
+
+
+def _work(cells: DataFrame) -> int:
+    """Pairs that are compared if each cell compares all of its rows, but for rows that were copied on the same level."""
+    n = cells.groupBy("cell", "copied").agg(F.count("*").alias("n"))
+    a, b = n.toDF("cell", "m1", "n1"), n.toDF("cell", "m2", "n2")
+    pairs = a.join(b, "cell").filter("m1 <= m2 and (m1 & m2) = 0")
+    return pairs.agg(F.sum(F.when(F.col("m1") == F.col("m2"), F.col("n1") * (F.col("n1") - 1) / 2).otherwise(F.col("n1") * F.col("n2")))).first()[0] or 0
+
+
+def cells(units: DataFrame, threshold: float, block: int, levels: int = 6) -> DataFrame:
+    """window, id, u, cell, copied: vectors dealt into cells so that each pair within the threshold meets in one cell, where ``copied`` (a bit a level) of both has no bit in common.
+
+    The angle is a metric: a vector belongs to the nearest of some pivots, and one of another cell can be within the threshold angle of it only if it is that near to
+    the plane between both pivots. So a vector is copied just to those cells, of a lower number than its own, whose plane it is near enough to. Cells of more than ``block`` vectors are split on,
+    each by pivots of its own, as long as that leaves clearly fewer pairs to compare.
+    """
+    reach = float(np.sqrt(max(0.0, 1 - threshold * threshold))) if threshold > 0 else 1.0
+    now = stored(units.select("window", "id", "u", F.xxhash64("window").alias("cell"), F.lit(0).alias("copied")))
+    work = _work(now)
+    for level in range(levels):
+        large = now.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+        counts = {r["cell"]: r["n"] for r in large.orderBy(F.desc("n"), "cell").limit(ALL_PIVOTS // 2).collect()}
+        if not counts:
+            break
+        most = max(2, min(PIVOTS, ALL_PIVOTS // len(counts)))
+        spark = units.sparkSession
+        table = spark.createDataFrame([(c, max(1, n // (2 * most)), min(most, -(-n // block) + 1)) for c, n in counts.items()], "cell long, every long, most int")
+        some = now.join(F.broadcast(table), "cell").filter(F.pmod(F.xxhash64("id", F.lit(level)), "every") == 0)
+        first = Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(level)), "id", "copied")
+        picked = some.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= F.col("most")).select("cell", "r", "u").toArrow()  # ALL_PIVOTS rows
+        pivots: dict[int, np.ndarray] = {}
+        at, vectors = np.asarray(picked["cell"]), _rows(picked, "u") if picked.num_rows else None
+        for c in set(at.tolist()):
+            own = vectors[at == c]
+            if len(own) > 1:
+                pivots[c] = own
+        if not pivots:
+            break
+        sent = spark.sparkContext.broadcast(pivots)
+        kind = now.schema
+
+        def route(batches, level=level, sent=sent):
+            for b in batches:
+                cell = np.asarray(b.column("cell"))
+                for c in np.unique(cell):
+                    rows = np.flatnonzero(cell == c)
+                    part = b.take(pa.array(rows))
+                    if c not in sent.value:
+                        yield part
+                        continue
+                    p, u = sent.value[c], _rows(part, "u")
+                    near = u @ p.T
+                    own = near.argmax(1)
+                    gap = np.sqrt(np.maximum(0.0, ((p[:, None, :] - p[None, :, :]) ** 2).sum(2)))
+                    # A little more than the bound, for what rounding adds.
+                    guest = (near.max(1)[:, None] - near <= gap[own] * reach + 1e-9) & (np.arange(len(p))[None, :] < own[:, None])
+                    i, j = np.nonzero(guest)
+                    who, to = np.r_[np.arange(len(u)), i], np.r_[own, j]
+                    mask = np.r_[np.zeros(len(u), np.int32), np.full(len(i), 1 << level, np.int32)]
+                    out = part.take(pa.array(who))
+                    names = (np.uint64(c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + to.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+                    names ^= names >> np.uint64(29)
+                    yield pa.RecordBatch.from_arrays([out.column("window"), out.column("id"), out.column("u"), pa.array(names.view(np.int64)), pa.array(np.asarray(out.column("copied")) | mask, pa.int32())], names=out.schema.names)
+
+        new = stored(now.mapInArrow(route, kind))
+        less = _work(new)
+        if less > 0.9 * work:
+            break
+        now, work = new, less
+    return now
+
+
 def similarity_edges(nodes: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """Pairs of a window with cosine >= threshold.
+    """Pairs of a window with cosine >= threshold: window, src < dst, weight. Zero and null vectors have no edges.
 
-    Vectors are scaled to length 1 and dealt into blocks of a window; each pair of blocks is one matrix product in a task of its own,
-    thresholded before anything is emitted, so the pairs below the threshold never become rows, and memory is that of two blocks. Zero and null vectors have no edges.
+    Vectors are dealt into ``cells``, outside of which no pair is near enough. A cell's rows are dealt into blocks; each pair of blocks is one matrix product in a task of its own,
+    thresholded before anything is emitted, so the pairs below the threshold never become rows, and memory is that of two blocks.
     """
-    sizes = nodes.groupBy("window").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = nodes.filter(F.col("embedding").isNotNull()).join(sizes, "window").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = dealt.withColumn("other", other).select("window", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "id", "embedding")
+    dealt = stored(cells(unit_vectors(nodes), threshold, block))
+    sizes = dealt.groupBy("cell", "copied").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    others = sizes.toDF("cell", "with", "of")
+    own = dealt.join(sizes, ["cell", "copied"]).withColumn("mine", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    met = own.join(others, "cell").filter((F.col("copied").bitwiseAND(F.col("with"))) == 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    me, it = F.struct(F.col("copied").alias("m"), F.col("mine").alias("p")), F.struct(F.col("with").alias("m"), F.col("other").alias("p"))
+    units = met.select("window", "cell", F.least(me, it).alias("b1"), F.greatest(me, it).alias("b2"), (me <= it).alias("first"), "id", "u")
+    units = units.select("window", "cell", F.col("b1.m").alias("m1"), F.col("b1.p").alias("p1"), F.col("b2.m").alias("m2"), F.col("b2.p").alias("p2"), "first", "id", "u")
 
     def pairs(t: pa.Table) -> pa.Table:
         out = pa.schema([("window", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("weight", pa.float64())])
-        ids, mine = np.asarray(t.column("id")), np.asarray(t.column("mine"))
-        v = np.array(t.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        size = np.sqrt((v * v).sum(1))
-        ok = size > 0
-        ids, mine, v = ids[ok], mine[ok], v[ok] / size[ok][:, None]
-        b1, b2 = t.column("b1")[0].as_py(), t.column("b2")[0].as_py()
-        left, right = np.flatnonzero(mine == b1), np.flatnonzero(mine == b2)
+        ids, first, v = np.asarray(t.column("id")), np.asarray(t.column("first")), _rows(t, "u")
+        alone = all(t.column(a)[0] == t.column(b)[0] for a, b in (("m1", "m2"), ("p1", "p2")))
+        left = np.flatnonzero(first)
+        right = left if alone else np.flatnonzero(~first)
         s = v[left] @ v[right].T
         i, j = np.nonzero(s >= threshold)
         a, b, w = ids[left[i]], ids[right[j]], s[i, j]
-        once = a < b if b1 == b2 else a != b
+        once = a < b if alone else a != b
         a, b, w = a[once], b[once], w[once]
         return pa.Table.from_arrays([pa.array([t.column("window")[0].as_py()] * len(a), pa.string()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w)], schema=out)
 
-    return units.groupBy("window", "b1", "b2").applyInArrow(pairs, "window string, src long, dst long, weight double")
+    return units.groupBy("window", "cell", "m1", "p1", "m2", "p2").applyInArrow(pairs, "window string, src long, dst long, weight double")
 
 
 def basic_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -128,3 +218,105 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     echo = echo_chambers(nodes, edges).groupBy("window").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "echo")))).alias("echo_chamber"))
     got = basic_metrics(nodes, edges).join(avg_clustering(nodes, edges), "window").join(component_metrics(components(nodes, edges)), "window")
     return got.join(dist, "window", "left").join(echo, "window", "left")
+
+
+# The same from classes of equal vectors: what copies add follows from their numbers.
+
+
+def classes(nodes: DataFrame) -> DataFrame:
+    """window, id, rep (the least id of the window with an equal vector), embedding; a zero or null vector is a class of its own."""
+    size = F.coalesce(mx.norm(F.col("embedding")), F.lit(0.0))
+    own = nodes.withColumn("_alone", F.when(size > 0, F.lit(None)).otherwise(F.col("id")).cast("long"))
+    least = own.filter(size > 0).groupBy("window", "embedding").agg(F.min("id").alias("rep"))
+    met = own.filter(size > 0).join(least, ["window", "embedding"])
+    return met.select(*nodes.columns, F.col("rep").cast("long").alias("rep")).unionByName(own.filter("_alone is not null").select(*nodes.columns, F.col("_alone").alias("rep")))
+
+
+def class_sizes(members: DataFrame) -> DataFrame:
+    """window, id (the representative), m (members), linked (whether members are linked with each other), embedding."""
+    linked = F.coalesce(mx.norm(F.col("embedding")), F.lit(0.0)) > 0
+    return members.groupBy("window", "rep").agg(F.count("*").alias("m"), F.first("embedding").alias("embedding")).select("window", F.col("rep").alias("id"), "m", linked.alias("linked"), "embedding")
+
+
+def class_degrees(sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """window, id, m, s (members of neighbouring classes), pairs (pairs inside one such class), d (degree of a member)."""
+    both = edges.select("window", F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(edges.select("window", F.col("dst").alias("id"), F.col("src").alias("to")))
+    near = both.join(sizes.select("window", F.col("id").alias("to"), F.col("m").alias("n")), ["window", "to"]).groupBy("window", "id").agg(F.sum("n").alias("s"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    got = sizes.drop("embedding").join(near, ["window", "id"], "left").na.fill(0, ["s", "pairs"])
+    return got.withColumn("d", F.when(F.col("linked"), F.col("m") - 1).otherwise(0) + F.col("s"))
+
+
+def class_metrics(sizes: DataFrame, edges: DataFrame) -> DataFrame:
+    """window, n_nodes, n_edges, density, avg_clustering, n_components, largest_component_size over all members, from ``class_sizes`` and the edges between representatives.
+
+    A member x of a class of m has as neighbours m - 1 of its own and all of the classes beside. Two of these are linked if they are of one class, if one is of x's class,
+    or if their classes are: T = C(m - 1, 2) + (m - 1) s + sum of C(n, 2) + sum of n n' over the triangles of classes.
+    """
+    of = stored(class_degrees(sizes, edges))
+    m, s = F.col("m").cast("double"), F.col("s").cast("double")
+    weight = lambda side, name: of.select("window", F.col("id").alias(side), F.col("m").alias(name), F.col("d").alias(f"d_{name}"))
+    # Triangles of classes as in ``avg_clustering``: edges point to the end of higher degree.
+    e = edges.select("window", F.col("src").alias("u"), F.col("dst").alias("v"))
+    degree = e.select("window", F.explode(F.array("u", "v")).alias("u")).groupBy("window", "u").agg(F.count("*").alias("d"))
+    both = e.join(degree.withColumnRenamed("d", "du"), ["window", "u"]).join(degree.withColumnsRenamed({"u": "v", "d": "dv"}), ["window", "v"])
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    out = both.select("window", F.when(up, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("b"))
+    wedges = out.withColumnRenamed("b", "x").join(out.withColumnRenamed("b", "y"), ["window", "a"]).filter("x < y")
+    closed = wedges.join(e.withColumnsRenamed({"u": "x", "v": "y"}), ["window", "x", "y"])
+    for side in "axy":
+        closed = closed.join(weight(side, f"n_{side}").drop(f"d_n_{side}"), ["window", side])
+    corner = lambda c, p, r: F.struct(F.col(c).alias("id"), (F.col(p) * F.col(r)).cast("double").alias("t"))
+    corners = closed.select("window", F.inline(F.array(corner("a", "n_x", "n_y"), corner("x", "n_a", "n_y"), corner("y", "n_a", "n_x")))).groupBy("window", "id").agg(F.sum("t").alias("t"))
+    inside = F.when(F.col("linked"), (m - 1) * (m - 2) / 2 + (m - 1) * s).otherwise(0.0)
+    t = inside + F.col("pairs") + F.coalesce("t", F.lit(0.0))
+    d = F.col("d").cast("double")
+    local = of.join(corners, ["window", "id"], "left").withColumn("c", F.when(d >= 2, 2 * t / F.when(d >= 2, d * (d - 1))).otherwise(0.0))
+    sums = local.groupBy("window").agg(F.sum("m").alias("n_nodes"), (F.sum(m * d) / 2).cast("long").alias("n_edges"), (F.sum(m * F.col("c")) / F.sum("m")).alias("avg_clustering"))
+    n = F.col("n_nodes").cast("double")
+    sums = sums.withColumn("density", F.when(n > 1, 2 * F.col("n_edges") / F.when(n > 1, n * (n - 1))).otherwise(0.0))
+    # Members of a class that aren't linked are components of their own: there is one in such a class.
+    label = components(sizes.select("window", "id"), edges).join(of.select("window", "id", "m"), ["window", "id"])
+    parts = label.groupBy("window", "component").agg(F.sum("m").alias("n")).groupBy("window").agg(F.count("*").alias("n_components"), F.max("n").alias("largest_component_size"))
+    return sums.join(parts, "window").select("window", "n_nodes", "n_edges", "density", "avg_clustering", "n_components", "largest_component_size")
+
+
+def class_echo_chambers(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """window, strategy, internal, external, echo as in ``echo_chambers``, for all members (window, id, strategy, rep, embedding) of classes with these edges.
+
+    A mixed edge's owner depends on which end has the lesser id, so the members of two linked classes (or of one) are put in order of id, and each
+    counts those behind it on the other side: rows grow with the members of each pair of classes, not with the pairs of members.
+    """
+    who = members.select("window", "id", "rep", F.coalesce("strategy", F.lit("Unknown")).alias("s"), (F.coalesce(mx.norm(F.col("embedding")), F.lit(0.0)) > 0).alias("linked"))
+    who = stored(who.withColumn("tracked", ~F.col("s").isin(*UNTRACKED)))
+    ends = edges.select("window", "src", "dst")
+    between = ends.join(who.withColumnRenamed("rep", "src"), ["window", "src"]).select("window", "src", "dst", "id", "s", "tracked", F.lit(0).alias("side"))
+    between = between.unionByName(ends.join(who.withColumnRenamed("rep", "dst"), ["window", "dst"]).select("window", "src", "dst", "id", "s", "tracked", F.lit(1).alias("side")))
+    several = who.groupBy("window", "rep").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    within = who.filter("linked").join(several, ["window", "rep"]).select("window", F.col("rep").alias("src"), F.col("rep").alias("dst"), "id", "s", "tracked", F.lit(2).alias("side"))
+    rows = between.unionByName(within)
+    pair = ["window", "src", "dst"]
+    # In a class of its own (side 2) all others are on the other side.
+    beside = lambda k: (F.col("side") == k).cast("long")
+    before = Window.partitionBy(*pair).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    alike = Window.partitionBy(*pair, "s").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    whole, same = Window.partitionBy(*pair), Window.partitionBy(*pair, "s")
+    other = lambda made: F.when(F.col("side") == 0, made(1)).when(F.col("side") == 1, made(0)).otherwise(made(2))
+    past = lambda over: other(lambda k: F.coalesce(F.sum(beside(k)).over(over), F.lit(0)))
+    own = (F.col("side") == 2).cast("long")
+    open_ = other(lambda k: F.coalesce(F.sum(beside(k) * (~F.col("tracked")).cast("long")).over(before), F.lit(0)))
+    counted = rows.select(
+        "window", "s", "tracked",
+        (past(whole) - own - past(before)).alias("later"), (past(same) - own - past(alike)).alias("later_alike"), open_.alias("earlier_open"),
+    )
+    sums = counted.filter("tracked").groupBy("window", F.col("s").alias("strategy")).agg(F.sum("later_alike").alias("internal"), F.sum(F.col("later") - F.col("later_alike") + F.col("earlier_open")).alias("external"))
+    every = who.filter("tracked").select("window", F.col("s").alias("strategy")).distinct()
+    got = every.join(sums, ["window", "strategy"], "left").na.fill(0, ["internal", "external"])
+    both = F.col("internal") + F.col("external")
+    return got.withColumn("echo", F.when(both > 0, F.col("internal") / F.when(both > 0, both)).otherwise(0.0))
+
+
+def class_network_metrics(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The columns of ``network_metrics`` for all members, from ``classes`` and the edges between their representatives."""
+    dist = strategy_distribution(members).groupBy("window").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "n")))).alias("strategy_distribution"))
+    echo = class_echo_chambers(members, edges).groupBy("window").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("strategy", "echo")))).alias("echo_chamber"))
+    return class_metrics(stored(class_sizes(members)), edges).join(dist, "window", "left").join(echo, "window", "left")
