@@ -9,8 +9,9 @@ which also stands before its first word.
   frequent words are exchanged one by one on the driver, which is a start for all; then come sweeps over the whole vocabulary (as Uszkoreit and
   Brants 2008 do): tasks count, for each word, the classes before and behind it; Spark adds the counts up by word; a word's task compares all classes, with
   the table of class bigrams as it was before the sweep. From the second sweep on, half of the words may move at a time, since
-  words that move together can lose what each would gain alone; a sweep that lowers the likelihood is undone and is the last. Sweeps go on until one raises
-  the likelihood by less than ``SETTLED`` a token: there is no limit on their number, and as the likelihood is bounded they end.
+  words that move together can lose what each would gain alone; a sweep that lowers the likelihood is undone, and half as many words may move in those after it. Sweeps go on until
+  what one raises the likelihood, for its share of the words, is less than ``SETTLED`` a token, or until an undone one moved an eighth: there is no limit on their number, and as the
+  likelihood is bounded they end.
 * P(g | g') = (n(g', g) + C P(g)) / (n(g') + C) with P(g) = (n(g) + 1) / (N + C), C the number of classes;
   P(w | g) = (c(w) + 1) / (n(g) + V(g)), V(g) the distinct words of g, and one more for all unseen words where g is the class of rare ones.
 
@@ -245,9 +246,10 @@ class Gains:
         return np.where(better, best, own)
 
 
-def _moved(h: np.ndarray, now: np.ndarray, word: np.ndarray, k: np.ndarray, x: np.ndarray, gains: Gains, nth: int) -> np.ndarray:
-    """The classes of the words ``h``, now in ``now``, after the ``nth`` sweep; their counts ``x`` in columns ``k`` are sorted by ``word`` (0, 1, ...)."""
-    free = np.ones(len(h), bool) if nth == 0 else (B.mix(h.view(U) + U(nth // 2)) >> U(40)) % U(2) == U(nth % 2)
+def _moved(h: np.ndarray, now: np.ndarray, word: np.ndarray, k: np.ndarray, x: np.ndarray, gains: Gains, nth: int, share: int) -> np.ndarray:
+    """The classes of the words ``h``, now in ``now``, after the ``nth`` sweep, in which one of ``share`` may move; their counts ``x`` in columns ``k`` are sorted by ``word``
+    (0, 1, ...). Each word has its turn once in ``share`` sweeps."""
+    free = (B.mix(h.view(U) + U(nth // share)) >> U(40)) % U(share) == U(nth % share)
     out, some = now.copy(), np.flatnonzero(free)
     if len(some):
         keep = free[word]
@@ -255,7 +257,7 @@ def _moved(h: np.ndarray, now: np.ndarray, word: np.ndarray, k: np.ndarray, x: n
     return out
 
 
-def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray, nth: int) -> DataFrame:
+def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray, nth: int, share: int) -> DataFrame:
     """h, g of every word of ``keys`` after a sweep over ``runs`` (see ``coded``); ``n`` is the table of class bigrams.
 
     A task counts, for each word, the classes behind it (columns 0 to CLASSES - 1) and before it, and packs the counts of a range of words into one value; the ranges meet by a shuffle,
@@ -277,8 +279,9 @@ def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray,
             out = []
             for i in np.flatnonzero(np.diff(cut)):
                 x = own[cut[i] : cut[i + 1]]
-                # Small steps and small counts leave zeros that the shuffle's compression takes out.
-                out.append((int(i), np.stack((np.diff(x, prepend=at[i]), n[cut[i] : cut[i + 1]])).astype("<u4").tobytes()))
+                # Steps and counts are small: as planes of bytes, most of which are zeros.
+                planes = np.stack((np.diff(x, prepend=at[i]), n[cut[i] : cut[i + 1]])).astype("<u4").view(np.uint8).reshape(2, -1, 4).transpose(0, 2, 1)
+                out.append((int(i), len(x).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)))
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["span", "packed"])
 
         for batch in batches:
@@ -302,13 +305,15 @@ def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray,
         def done(span, blobs):
             own, x = [], []
             for b in blobs:
-                step, c = np.frombuffer(b, "<u4").reshape(2, -1)
+                size = int.from_bytes(b[:4], "little")
+                planes = np.frombuffer(pa.decompress(b[4:], 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(2, 4, size)
+                step, c = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[..., 0]
                 own.append(np.cumsum(step.astype(np.int64)) + span * width * WIDTH)
                 x.append(c)
             own, at = np.unique(np.concatenate(own), return_inverse=True)
             x = np.bincount(at, np.concatenate(x)).astype(np.int64)
             place, word = np.unique(own // WIDTH, return_inverse=True)
-            g = _moved(keys[place], classes[place].astype(np.int64), word, own % WIDTH, x, gains, nth)
+            g = _moved(keys[place], classes[place].astype(np.int64), word, own % WIDTH, x, gains, nth, share)
             return pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(g.astype(np.int32))], ["h", "g"])
 
         now, blobs = None, []
@@ -372,7 +377,7 @@ def _classed(pairs: DataFrame, classes: DataFrame, heavy: DataFrame) -> DataFram
     return pairs
 
 
-def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
+def sweep(counts: DataFrame, n: np.ndarray, nth: int, share: int) -> DataFrame:
     """The same as ``swept`` from counts (h, g, k, n: how often class k, or CLASSES + k for the one before, stands beside a word of class g), where the vocabulary is too large for tasks."""
     sent = counts.sparkSession.sparkContext.broadcast(n)
 
@@ -382,7 +387,7 @@ def sweep(counts: DataFrame, n: np.ndarray, nth: int) -> DataFrame:
         def solve(h, g, k, x):
             new = np.r_[True, h[1:] != h[:-1]]
             own, now = h[new], g[new].astype(np.int64)
-            out = _moved(own, now, np.cumsum(new) - 1, k, x, gains, nth)
+            out = _moved(own, now, np.cumsum(new) - 1, k, x, gains, nth, share)
             real = (own != END.view(np.int64)) & (own != OTHER.view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(own[real]), pa.array(out[real].astype(np.int32))], ["h", "g"])
 
@@ -436,23 +441,30 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
         prior = met.filter("in_b").select(F.col("b").alias("h"), F.col("gb").alias("g"), (F.col("ga") + CLASSES).alias("k"), "n")
         return stored(behind.unionByName(prior).groupBy("h", "g", "k").agg(F.sum("n").alias("n")))
 
-    kept, nth = None, 0  # classes, table and likelihood before the last sweep
+    kept, nth, share = None, 0, 1  # classes, table, likelihood and counts before the last sweep
     while True:
+        group, counts = None, None
         if whole:
             group = _of(keys, classes)
             n = bigram_table(runs, np.concatenate((group, [RARE, STOP])), CLASSES)
         else:
             counts = counted(classes)
             n = _table_of(counts)
+        if not n.sum():
+            return classes, n
         value = likelihood(n)
-        # The first sweep takes words out of the class of rare ones, so that it isn't compared; half of the words move in each later one, so the second
-        # of them is the first that can tell that nothing moves any more.
+        # The first sweep takes words out of the class of rare ones, so that it isn't compared.
         if nth > 1 and value < kept[2]:
-            return kept[:2]
-        if nth > 2 and value - kept[2] < settled * max(n.sum(), 1) or not n.sum():
+            if share >= 8:
+                return kept[:2]
+            classes, n, value, group, counts = kept
+            share *= 2
+        elif nth > 1 and (value - kept[2]) * share / 2 < settled * n.sum():
             return classes, n
-        kept = (classes, n, value)
-        classes = swept(runs, keys, group, n, nth) if whole else sweep(counts, n, nth)
+        elif nth == 1:
+            share = 2
+        kept = (classes, n, value, group, counts)
+        classes = swept(runs, keys, group, n, nth, share) if whole else sweep(counts, n, nth, share)
         nth += 1
 
 
