@@ -17,13 +17,14 @@ def posts(spark):
 
 
 def test_all_stages(spark, posts, tmp_path):
-    p = Pipeline(spark, str(tmp_path), Settings(min_docs=10, topics=6, min_topic=5, similarity=0.9))
+    p = Pipeline(spark, str(tmp_path), Settings(min_docs=10, topics=6, min_topic=5, similarity=0.9, method="centres"))
     seconds = p.run(posts)
     assert list(seconds) == [f"stage{k}" for k in range(1, 6)]
     obs = p.read("observations")
     assert obs.agg(F.sum("n")).first()[0] == 240
     assert p.read("network").filter("window = 'all'").count() == 1
-    assert "Opinion dynamics" in spark.read.text(f"{tmp_path}/report").first()[0]
+    text = "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/report").collect())
+    assert "Opinion dynamics" in text and "240 posts in 3 windows" in text
     assert list(p.run(stages=[4, 5], skip=[5])) [-1] in ("stage5", "stage4")
     with pytest.raises(ValueError):
         p.run(stages=[7])
@@ -75,7 +76,36 @@ def test_csv_in_and_out(spark, tmp_path):
     writers.write_terms(spark.createDataFrame([("a", 1), ("b", 2)], "word string, freq long"), f"{tmp_path}/t")
     writers.write_table(df, f"{tmp_path}/p", by=["meta_strategy"])
     assert sorted(x for x in os.listdir(tmp_path / "p") if "=" in x) == ["meta_strategy=x", "meta_strategy=y"]
-    assert 'source="1"' in writers.graph_xml([{"id": 1, "strategy": 'a"b'}], [{"src": 1, "dst": 2, "weight": 0.5}])
+
+
+def test_graph_files_of_any_size(spark, tmp_path):
+    """A window of 50,000 nodes, and one whose name and values need care, are files that parse."""
+    from xml.etree import ElementTree
+
+    nodes = spark.range(50_000).select(F.lit("2024-01").alias("window"), F.col("id").alias("node"), F.concat(F.lit("p"), "id").alias("id"), F.lit("s").alias("strategy"), (F.col("id") - F.col("id") % 2).alias("rep"))
+    odd = spark.createDataFrame([("2024-01-01/2024-01-07", 1, 'a"<b>&', 'x"\n', 1), ("2024-01-01/2024-01-07", 2, None, None, 2)], "window string, node long, id string, strategy string, rep long")
+    edges = nodes.filter("node % 2 = 0 and node > 0").select("window", F.lit(0).cast("long").alias("src"), F.col("node").alias("dst"), F.lit(0.5).alias("weight"))
+    edges = edges.unionByName(spark.createDataFrame([("2024-01-01/2024-01-07", 1, 2, 0.25)], "window string, src long, dst long, weight double"))
+    names = writers.write_graphs(nodes.unionByName(odd), edges, f"{tmp_path}/g")
+    assert len(names) == 2 and {x for x in os.listdir(tmp_path / "g") if x.endswith(".gexf")} == set(names)
+    seen = {}
+    for name in names:
+        root = ElementTree.parse(tmp_path / "g" / name).getroot()
+        space = "{http://www.gexf.net/1.2draft}"
+        seen[name] = (list(root.iter(f"{space}node")), list(root.iter(f"{space}edge")))
+    big = seen["2024-01.gexf"]
+    assert len(big[0]) == 50_000 and [n.get("id") for n in big[0]] == [str(i) for i in range(50_000)] and big[0][7].get("label") == "p7"
+    assert len(big[1]) == 24_999 + 25_000 and len({e.get("id") for e in big[1]}) == len(big[1])
+    small = next(v for k, v in seen.items() if k != "2024-01.gexf")
+    assert small[0][0].get("label") == 'a"<b>&' and small[0][0][0][0].get("value") == 'x"\n' and small[0][1][0][0].get("value") == "Unknown"
+    assert [(e.get("source"), e.get("target"), e.get("weight")) for e in small[1]] == [("1", "2", "0.25")]
+
+
+def test_report_rows_are_in_order(spark):
+    df = spark.createDataFrame([(i * 37 % 100, {"a": i}) for i in range(100)], "n long, m map<string,long>").repartition(5)
+    text = writers.report("T", {"x": df}, most=3, said=["one thing"])
+    assert "- one thing" in text and "3 of 100 rows" in text
+    assert [line.split("|")[1].strip() for line in text.splitlines() if line.startswith("| ") and "n" not in line.split("|")[1]] == ["0", "1", "2"]
 
 
 def test_bad_files_and_rows_dont_stop_a_tolerant_read(spark, tmp_path):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import lexicon as lx
 from tidewater.functions import math as mx
 from tidewater.functions import text as tx
-from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
+from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms
 from tidewater.plans.storage import shared_path, stored
 from tidewater.sources import readers, writers
 from tidewater.sources.readers import read_table
@@ -399,7 +399,7 @@ def _sql_behaviour() -> str:
     ratio = lambda a, b: f"{n[a]} / ({n[a]} + {n[b]} + 1)"
     cols = [ratio("complex", "simple"), ratio("long_term", "short_term"), f"least(1.0, {n['product']} / 10)", ratio("scientific", "unscientific"),
             f"(({n['positive']} - {n['negative']}) / ({n['positive']} + {n['negative']} + 1) + 1) / 2", f"{n['social']} / 10", f"{n['data']} / 10", f"{n['guidance']} / 10"]
-    return "SELECT lang, " + ", ".join(f"round({c}, 6) AS {a}" for c, a in zip(cols, strategy.DIMS)) + " FROM (SELECT lang, coalesce(text, '') AS t, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 1000 GROUP BY 1"
+    return "SELECT lang, " + ", ".join(f"round({c}, 6) AS {a}" for c, a in zip(cols, strategy.DIMS)) + " FROM (SELECT lang, coalesce(text, '') AS t FROM documents) GROUP BY 1"
 
 
 @query(_sql_behaviour())
@@ -453,6 +453,21 @@ def outlier_reassign(spark, d):
     return got.select("vec_id", "label", r6(F.col("similarity")).alias("similarity"))
 
 
+SQL_ACTS = _sql_behaviour()
+SQL_PROFILE = ", ".join(f"round(avg({a}), 5) AS {b}" for a, b in zip(strategy.DIMS, strategy.PROFILE))
+
+
+@query(f"SELECT CASE WHEN lang IN ('en', 'de') THEN 'MS0' ELSE 'MS1' END AS meta_strategy, count(*) AS n_topics, array_to_string(list(lang ORDER BY lang), ',') AS members, {SQL_PROFILE} FROM ({SQL_ACTS}) GROUP BY 1")
+def strategy_profile(spark, d):
+    """Members and mean behaviour of strategies whose topics are languages."""
+    docs = documents(spark, d)
+    acts = stored(strategy.behaviour(docs, "lang", "text", "doc_id", BEHAVIOUR).withColumnRenamed("lang", "topic"))
+    mapping = acts.select("topic", F.when(F.col("topic").isin("en", "de"), "MS0").otherwise("MS1").alias("meta_strategy"))
+    words = terms.class_terms(docs.withColumnRenamed("lang", "topic"), "topic", "text")
+    got = strategy.strategy_info(mapping, words, acts)
+    return got.select("meta_strategy", "n_topics", F.array_join("member_topics", ",").alias("members"), *[F.round(f"profile.{p}", 5).alias(p) for p in strategy.PROFILE])
+
+
 @query()
 def hier_cluster(spark, d):
     """Strategies of topics from their distances (average linkage, silhouette): iterative, so no SQL."""
@@ -532,6 +547,84 @@ def echo_chamber(spark, d):
     return network.echo_chambers(*_network(spark, d)).withColumn("echo", r6(F.col("echo")))
 
 
+METRICS = ["density", "avg_clustering"]
+
+
+def _sql_metrics(nodes: str) -> str:
+    """Metrics of all pairs of ``nodes`` (window, id, strategy, v), as the quotient of equal vectors must give them."""
+    return f"""WITH RECURSIVE nodes AS ({nodes}), edges AS (SELECT a."window", a.id AS src, b.id AS dst FROM nodes a JOIN nodes b ON a."window" = b."window" AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.30),
+    {SQL_ENDS}, deg AS (SELECT "window", a, count(*) AS d FROM both_ GROUP BY 1, 2),
+    tri AS (SELECT x."window", x.a, count(*) AS t FROM both_ x JOIN both_ y ON x."window" = y."window" AND x.a = y.a AND x.b < y.b JOIN edges e ON e."window" = x."window" AND e.src = x.b AND e.dst = y.b GROUP BY 1, 2),
+    c AS (SELECT n."window", count(*) AS n_nodes, coalesce(sum(d), 0)::BIGINT // 2 AS n_edges, sum(CASE WHEN d >= 2 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) / count(*) AS avg_clustering
+          FROM nodes n LEFT JOIN deg ON n."window" = deg."window" AND n.id = deg.a LEFT JOIN tri ON n."window" = tri."window" AND n.id = tri.a GROUP BY 1),
+    reach AS (SELECT "window", id, id AS r FROM nodes UNION SELECT reach."window", b, r FROM reach JOIN both_ ON reach."window" = both_."window" AND reach.id = both_.a AND both_.b > r),
+    lab AS (SELECT "window", id, min(r) AS c FROM reach GROUP BY 1, 2), parts AS (SELECT "window", count(*) AS n_components, max(k) AS largest_component_size FROM (SELECT "window", c, count(*) AS k FROM lab GROUP BY 1, 2) GROUP BY 1)
+    SELECT c."window", n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, round(avg_clustering, 6) AS avg_clustering, n_components, largest_component_size FROM c JOIN parts ON c."window" = parts."window\""""
+
+
+#: Three signs of a vector: many vectors are equal, as copies of a post are.
+SQL_COPIES = 'SELECT CAST(vec_id % 4 AS VARCHAR) AS "window", vec_id AS id, CAST(label AS VARCHAR) AS strategy, [sign(embedding[1])::DOUBLE, sign(embedding[2])::DOUBLE, sign(embedding[3])::DOUBLE] AS v FROM embeddings'
+
+
+def _copies(spark, d):
+    signs = F.array(*[F.signum(F.get("embedding", i).cast("double")) for i in range(3)])
+    nodes = _embeddings(spark, d).select((F.col("vec_id") % 4).cast("string").alias("window"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("strategy"), signs.alias("embedding"))
+    members = stored(network.classes(nodes))
+    return members, stored(network.similarity_edges(network.class_sizes(members), 0.30))
+
+
+@query(_sql_metrics(SQL_COPIES))
+def net_copies(spark, d):
+    members, edges = _copies(spark, d)
+    got = network.class_metrics(stored(network.class_sizes(members)), edges)
+    return got.withColumns({c: r6(F.col(c)) for c in METRICS})
+
+
+@query(f"""WITH nodes AS ({SQL_COPIES}), e AS (SELECT a."window", a.strategy AS sa, b.strategy AS sb FROM nodes a JOIN nodes b ON a."window" = b."window" AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.30)
+    SELECT s."window", s.strategy, count(*) FILTER (WHERE sa = sb) AS internal, count(*) FILTER (WHERE sa <> sb) AS external, round(coalesce(avg((sa = sb)::INT), 0), 6) AS echo
+    FROM (SELECT DISTINCT "window", strategy FROM nodes) s LEFT JOIN e ON s."window" = e."window" AND s.strategy = sa GROUP BY 1, 2""")
+def net_copies_echo(spark, d):
+    return network.class_echo_chambers(*_copies(spark, d)).withColumn("echo", r6(F.col("echo")))
+
+
+@query(_sql_metrics("SELECT 'all' AS \"window\", vec_id AS id, CAST(label AS VARCHAR) AS strategy, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"))
+def net_global(spark, d):
+    nodes = _embeddings(spark, d).select(F.lit("all").alias("window"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("strategy"), "embedding")
+    members = stored(network.classes(nodes))
+    sizes = stored(network.class_sizes(members))
+    got = network.class_metrics(sizes, stored(network.similarity_edges(sizes, 0.30)))
+    return got.withColumns({c: r6(F.col(c)) for c in METRICS})
+
+
+# Density
+
+
+@query("SELECT max(n) AS n, round(sum(v), 6) AS variance FROM (SELECT i, count(*) AS n, var_pop(x) AS v FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i)")
+def reduced_variance(spark, d):
+    """All axes together keep the variance; a table of (dimensions + 1)^2 numbers reaches the driver."""
+    low = density.reduced(_embeddings(spark, d), "vec_id", "embedding", 64)
+    flat = low.select("vec_id", F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    return flat.agg(F.max("n").alias("n"), r6(F.sum("v")).alias("variance"))
+
+
+def _points(spark, d):
+    return stored(density.points(stored(density.reduced(_embeddings(spark, d), "vec_id", "embedding", 16)), "vec_id", "vector"))
+
+
+@query()
+def neighbour_lists(spark, d):
+    """Ten nearest neighbours of every 50th vector among all: approximate, so no SQL; tests measure the recall."""
+    near = density.neighbours(_points(spark, d), 10).filter("id % 50 = 0")
+    return near.select("id", F.posexplode("near").alias("place", "x")).select("id", "place", F.col("x.id").alias("neighbour"), F.round("x.d", 9).alias("distance"))
+
+
+@query()
+def density_topics(spark, d):
+    """Topics of all vectors by density: iterative, so no SQL; tests hold it against a plain version."""
+    got = density.density_topics(_embeddings(spark, d), "vec_id", "embedding", least=10, k=5)
+    return got.withColumn("topic_probability", F.round("topic_probability", 9))
+
+
 # Competition
 
 SQL_SIM_EVENTS, SQL_SIM_ORDERS = sql_sim(sql_obs(SQL_EVENTS, 1)), sql_sim(sql_obs(SQL_ORDERS, 1))

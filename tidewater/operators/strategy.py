@@ -21,10 +21,12 @@ DIMS = ["complexity", "timespan", "product", "scientific", "attitude", "social",
 PROFILE = ["exercise", "diet", "medical", "special_group", "tech_quant", "innovation"]
 
 
-def behaviour(df: DataFrame, topic: str, column: str, order: str, words: dict[str, list[str]] = lx.BEHAVIOUR, first: int = 1000) -> DataFrame:
-    """One row a topic with the eight scores, from which words stand in its first ``first`` rows by ``order``."""
-    w = Window.partitionBy(topic).orderBy(order)
-    own = df.select(topic, order, tx.string(F.col(column)).alias("_t")).withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= first)
+def behaviour(df: DataFrame, topic: str, column: str, order: str, words: dict[str, list[str]] = lx.BEHAVIOUR, first: int | None = None) -> DataFrame:
+    """One row a topic with the eight scores, from which words stand in its rows; with ``first`` in its first ``first`` rows by ``order`` only."""
+    own = df.select(topic, order, tx.string(F.col(column)).alias("_t"))
+    if first is not None:
+        w = Window.partitionBy(topic).orderBy(order)
+        own = own.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= first)
     every = sorted({x for ws in words.values() for x in ws})
     at = {x: f"_w{i}" for i, x in enumerate(every)}
     flags = own.groupBy(topic).agg(*[F.max(F.contains("_t", F.lit(x)).cast("int")).alias(at[x]) for x in every])
@@ -163,12 +165,16 @@ def most_alike(vector: str, centres: DataFrame, group: str) -> Column:
     """
     rows = sorted((r for r in centres.select(group, "centre").collect() if r[0] is not None), key=lambda r: r[0])
     kind = f"struct<s:double,r:int,name:{dict(centres.dtypes)[group]},similarity:double>"
+    # Centres are scaled here, a row's length is found once.
+    scaled = [(i, r[0], [float(x) / size for x in r[1]]) for i, r in enumerate(rows) if (size := float(np.sqrt(sum(float(x) ** 2 for x in r[1])))) > 0]
 
-    def judged(i, name):
-        return lambda c: F.struct(F.round(c, 12).alias("s"), F.lit(-i).alias("r"), F.lit(name).alias("name"), c.alias("similarity")).cast(kind)
+    def judged(length):
+        def one(i, name, unit):
+            return mx.let(F.try_divide(mx.dot(F.col(vector), F.lit(unit)), length), lambda c: F.struct(F.round(c, 12).alias("s"), F.lit(-i).alias("r"), F.lit(name).alias("name"), c.alias("similarity")).cast(kind))
 
-    each = [mx.let(mx.cosine(F.col(vector), F.lit([float(x) for x in r[1]])), judged(i, r[0])) for i, r in enumerate(rows)]
-    best = F.array_max(F.array(*each)) if each else F.lit(None).cast(kind)
+        return F.array_max(F.array(*[one(*x) for x in scaled]))
+
+    best = mx.let(mx.norm(F.col(vector)), judged) if scaled else F.lit(None).cast(kind)
     return mx.let(best, lambda b: F.struct(b["name"].alias("name"), b["similarity"].alias("similarity")))
 
 
@@ -231,5 +237,6 @@ def hashed_embedding(column: str, dims: int = 64) -> Column:
     """A vector of a text without a model: counts of its words by hash, scaled to length 1."""
     words = tx.tokens(F.col(column), ())
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    # What taking a place's number out of the array leaves out is its count.
+    counts = mx.let(places, lambda ps: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.size(ps) - F.size(F.array_remove(ps, i.cast("long")))).cast("double")))
     return mx.let(counts, lambda v: mx.let(mx.norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
 from tidewater.functions import text as tx
-from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
+from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms
 from tidewater.plans.storage import stored
 from tidewater.sources import writers
 
@@ -44,6 +44,8 @@ class Settings:
     topics: int = 15
     min_topic: int = 200
     similarity: float = 0.95
+    #: "density": clusters by density of at least ``min_topic`` posts; "centres": ``topics`` clusters around centres.
+    method: str = "density"
     vector: str | None = None
     lexicon: lx.Lexicon | None = None
     min_score: float = 3.5
@@ -107,11 +109,23 @@ def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     return {"posts": timed, "terms": words}
 
 
+def _topics(posts: DataFrame, vector: str, s: Settings) -> DataFrame:
+    """``posts`` with topic and topic_probability."""
+    if s.method == "centres":
+        return strategy.fit_topics(posts, vector, s.topics, s.min_topic)
+    if s.method != "density":
+        raise ValueError(f"method is density or centres, not {s.method!r}")
+    # Ids may repeat: rows have numbers of their own while topics are sought.
+    numbered = stored(posts.withColumn("_row", F.monotonically_increasing_id()))
+    found = density.density_topics(numbered, "_row", vector, s.min_topic)
+    return numbered.join(found, "_row").drop("_row")
+
+
 def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """posts with topic and strategy, the mapping, strategies, observations."""
     v = posts if s.vector else posts.withColumn("_vector", strategy.hashed_embedding("text_clean"))
     vector = s.vector or "_vector"
-    fitted = strategy.split_topic(strategy.fit_topics(v, vector, s.topics, s.min_topic), "topic", vector)
+    fitted = strategy.split_topic(_topics(v, vector, s), "topic", vector)
     # Much is derived from these rows and from the table of topics: both are made once.
     felt = stored(fitted.withColumns({"sentiment": tx.sentiment(F.col("text_clean")), "arousal": tx.arousal(F.col("text_clean"))}))
     valid = felt.filter("topic != -1")
@@ -134,12 +148,18 @@ def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
 
 
 def connect(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """nodes, edges and metrics of each window and of all together (window ``all``)."""
+    """nodes (window, node, id, strategy, rep), edges (between the representatives rep of equal vectors) and metrics of each window and of all together (window ``all``).
+
+    Metrics count every post: what copies of a post add to them follows from their number.
+    """
     vector = s.vector or "_vector"
-    own = posts.select(F.col("time_window").alias("window"), F.col(s.id_col).alias("id"), F.col("meta_strategy").alias("strategy"), F.col(vector).alias("embedding"))
-    nodes = own.unionByName(own.withColumn("window", F.lit("all")))
-    edges = stored(network.similarity_edges(nodes, s.similarity))
-    return {"edges": edges, "network": network.network_metrics(nodes.drop("embedding"), edges)}
+    own = posts.select(F.col("time_window").alias("window"), F.col(s.id_col).cast("string").alias("name"), F.col("meta_strategy").alias("strategy"), F.transform(vector, lambda x: x.cast("double")).alias("embedding"))
+    # Ids may repeat: nodes have numbers, written so that they don't change.
+    numbered = stored(own.withColumn("id", F.monotonically_increasing_id()))
+    members = stored(network.classes(numbered.unionByName(numbered.withColumn("window", F.lit("all")))))
+    edges = stored(network.similarity_edges(network.class_sizes(members), s.similarity))
+    nodes = members.select("window", F.col("id").alias("node"), F.col("name").alias("id"), "strategy", "rep")
+    return {"nodes": nodes, "edges": edges, "network": network.class_network_metrics(members, edges)}
 
 
 def compete(observations: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -179,7 +199,7 @@ class Pipeline:
         return self.spark.read.parquet(f"{self.out}/{name}")
 
     def _hand_out(self, k: int, tables: dict[str, DataFrame]) -> None:
-        """Files for others: split screening results, terms, matrices, strategies, small graphs."""
+        """Files for others: split screening results, terms, matrices, strategies, graphs."""
         if k == 0:
             by = ["source_file"] if "source_file" in tables["related"].columns else []
             writers.write_table(tables["related"], f"{self.out}/files/related", "csv", by)
@@ -192,7 +212,7 @@ class Pipeline:
             writers.write_json(tables["strategies"], f"{self.out}/files/strategies")
             writers.write_json(tables["mapping"], f"{self.out}/files/mapping")
         elif k == 3:
-            writers.write_graphs(self.read("strategy_posts"), tables["edges"], f"{self.out}/files/graphs", self.settings.id_col)
+            writers.write_graphs(tables["nodes"].filter("window <> 'all'"), tables["edges"].filter("window <> 'all'"), f"{self.out}/files/graphs")
 
     def run(self, posts: DataFrame | None = None, stages: Sequence[int] = (1, 2, 3, 4, 5), skip: Sequence[int] = ()) -> dict[str, float]:
         """The chosen stages in order; a stage whose predecessor isn't run takes the tables that an earlier run left. Seconds a stage."""
@@ -215,7 +235,7 @@ class Pipeline:
             tables = self._keep(work[k]())
             self._hand_out(k, tables)
             if k == 5:
-                text = writers.report("Opinion dynamics", tables)
+                text = writers.report("Opinion dynamics", tables, said=writers.findings(tables))
                 self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.out}/report")
             self.seconds[f"stage{k}"] = time.monotonic() - began
             log.info("stage %d took %.1f s", k, self.seconds[f"stage{k}"])
