@@ -1,7 +1,7 @@
 """Whole Arrow batches of texts as flat byte arrays: words, hashes, pieces.
 
-All hashes are 64-bit. Two different values collide with probability about 2**-64 a
-pair; where a result depends on equality, two independent hashes (128 bits) are used.
+All hashes are 64-bit. Two different values collide with probability about 2**-64 a pair. Where the values of a whole corpus meet by hash alone, suffix and line
+deduplication use two independent hashes (128 bits); the Jaccard join names a set by one, so among 10**10 different sets some three pairs are expected to share a name.
 """
 
 from __future__ import annotations

@@ -71,6 +71,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of ``df``, a table from ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _width(kind: T.DataType, value: Column) -> Column:
     """Bytes of a value, about: what it holds and 8 for a place; elements of arrays by their own width."""
     if isinstance(kind, T.StringType | T.BinaryType):

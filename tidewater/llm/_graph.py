@@ -3,7 +3,7 @@
 Each round replaces edges so that every node points to a smaller one (large star), then to the smallest that its
 neighbourhood knows (small star), until nothing changes. Both are a minimum per node (partial aggregation) joined to the edges,
 so a node with very many edges is pre-aggregated, and AQE can split it in the join. Rounds are written to the
-shared folder.
+shared folder; a round's table goes when the next one is there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._frames import stored
+from tidewater.llm._frames import forget, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -41,8 +41,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     state = _state(e)
     while state[0]:
-        e = stored(_star(_star(e, True), False))
+        last, e = e, stored(_star(_star(e, True), False))
         now = _state(e)
+        forget(last)
         if now == state:
             break
         state = now

@@ -6,7 +6,7 @@ splits into two tokens, in the order of its rank, so that the library merges in
 exactly the order of the ranks. Decoding looks every id's bytes up in the reversed table and joins
 them, so that characters split over tokens come out whole.
 
-Nulls: a null text is the empty text (no ids). Repeated rows are encoded each.
+Nulls: a null text is the empty text (no ids). Repeated rows are encoded each. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ Modes: ``drop="all"`` drops every line whose key is found in at least ``min_docs
 Keys shorter than ``min_chars`` code points are always kept.
 
 A document is a (doc_id, text): rows that repeat both are one document and get the same bitmap. Null or empty text:
-one empty line. A null doc_id is a value like others.
+one empty line. A null doc_id is a value like others. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ Steps 1 and 2 keep the suffix sort, which costs tens of bytes for each byte it s
 anchors make shards independent, so their number grows with the input and none needs another's suffixes.
 
 A document is a (doc_id, text). Rows that repeat both are two positions for each string, so both lose it. Null text is empty. A
-document shorter than ``length`` loses nothing. The result has a row for each input row.
+document shorter than ``length`` loses nothing. The result has a row for each input row, none for an empty table.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ once; words are told apart by a 64-bit hash.
 A special token's name in a text is that token, as in the library's plain call; texts with ``<|`` are encoded whole by the library.
 
 Null text: the end id alone. Repeated doc_ids: one entry for each row, ties in any order.
+An empty table gives files without ids and an empty result.
 """
 
 from __future__ import annotations
