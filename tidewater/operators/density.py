@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.network import components
-from tidewater.plans.storage import stored
+from tidewater.plans.storage import forget, stored
 
 #: Rows that a coarse tree is fitted on, points of a coarse cell, and points of a block that is compared with itself.
 SAMPLE, CELL, BLOCK = 1 << 15, 1 << 16, 256
@@ -222,13 +222,17 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
             above = up.select(F.col("c").alias("up"), F.col("up").alias("top"))
             new = stored(up.join(above, "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             moved = not new.filter("moved").isEmpty()
+            forget(up)
             up = new.drop("moved")
             if not moved:
                 break
+        was = [left, least, up]
         for side in ("ca", "cb"):
             left = left.join(up.select(F.col("c").alias(side), "up"), side).drop(side).withColumnRenamed("up", side)
         between = left.filter("ca != cb").groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
         left = stored(between.agg(F.min("e").alias("e")))
+        for t in was:
+            forget(t)
     if not taken:
         return edges.limit(0)
     out = taken[0]

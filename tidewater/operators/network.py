@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import math as mx
-from tidewater.plans.storage import stored
+from tidewater.plans.storage import forget, stored
 
 UNTRACKED = ("Unknown", "MS_Outlier")
 
@@ -179,8 +179,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = spread.select("window", F.col("id").alias("c"), F.col("c").alias("c2"))
         new = stored(spread.join(jump, ["window", "c"], "left").select("window", "id", F.least("c", F.coalesce("c2", "c")).alias("component"), "was"))
         changed = new.filter("component != was").limit(1).count()
+        forget(label)
         label = new.drop("was")
         if not changed:
+            forget(both)
             return label
 
 
