@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
 from tidewater.functions import text as tx
-from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms
+from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms, vectors
 from tidewater.plans.storage import stored
 from tidewater.sources import writers
 
@@ -47,6 +47,8 @@ class Settings:
     #: "density": clusters by density of at least ``min_topic`` posts; "centres": ``topics`` clusters around centres.
     method: str = "density"
     vector: str | None = None
+    #: Without a vector column: "trained" on the posts' words, or "hashed" counts of them.
+    embedding: str = "trained"
     lexicon: lx.Lexicon | None = None
     min_score: float = 3.5
     unrelated: int = 1000
@@ -109,6 +111,16 @@ def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     return {"posts": timed, "terms": words}
 
 
+def _embedded(posts: DataFrame, s: Settings) -> DataFrame:
+    """``posts`` with _vector, 64 numbers. Written, as topics are sought in many passes."""
+    if s.embedding == "hashed":
+        return stored(posts.withColumn("_vector", strategy.hashed_embedding("text_clean")))
+    if s.embedding != "trained":
+        raise ValueError(f"embedding is trained or hashed, not {s.embedding!r}")
+    split = _split(s)
+    return stored(vectors.embed(posts, "text_clean", vectors.train(posts, "text_clean", 64, split=split), "_vector", split))
+
+
 def _topics(posts: DataFrame, vector: str, s: Settings) -> DataFrame:
     """``posts`` with topic and topic_probability."""
     if s.method == "centres":
@@ -123,7 +135,7 @@ def _topics(posts: DataFrame, vector: str, s: Settings) -> DataFrame:
 
 def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """posts with topic and strategy, the mapping, strategies, observations."""
-    v = posts if s.vector else posts.withColumn("_vector", strategy.hashed_embedding("text_clean"))
+    v = posts if s.vector else _embedded(posts, s)
     vector = s.vector or "_vector"
     fitted = strategy.split_topic(_topics(v, vector, s), "topic", vector)
     # Much is derived from these rows and from the table of topics: both are made once.
