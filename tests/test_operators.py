@@ -181,3 +181,34 @@ def test_describe_by_sketch(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
     exact, about = analysis.describe(df, ["x"]).first(), analysis.describe(df, ["x"], 10_000).first()
     assert (exact.p25, exact.p50, exact.p75) == (250, 500, 750) and abs(about.p50 - 500) <= 1
+
+
+@pytest.mark.parametrize("room", [None, 40, 8])
+def test_ngrams_by_summaries(spark, monkeypatch, room):
+    """Counts are exact whatever the summaries lose: a small room grows, and at last all grams are counted."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{int(r.paretovariate(0.8)) % 400}" for _ in range(6000)]
+    rows = [(" ".join(words[i : i + r.randint(0, 12)]),) for i in range(0, 5900, 9)] + [(None,), ("",), ("solo " * 50,)]
+    df = spark.createDataFrame(rows, "t string").repartition(4)
+    for n, size in ((1, 5), (2, 20), (3, 1000)):
+        got = [tuple(x) for x in terms.ngram_vocabulary(df, "t", size, 3, n, (), room).collect()]
+        freq, found = {}, {}
+        for i, (t,) in enumerate(rows):
+            w = (t or "").split()
+            for k in range(1, n + 1):
+                for j in range(len(w) - k + 1):
+                    g = " ".join(w[j : j + k])
+                    freq[g] = freq.get(g, 0) + 1
+                    found.setdefault(g, set()).add(i)
+        want = sorted(((g, c, len(found[g])) for g, c in freq.items() if len(found[g]) >= 3), key=lambda x: (-x[1], x[0]))[:size]
+        assert got == want
+
+
+def test_grams_of_one_hash_stay_apart(spark, monkeypatch):
+    lists = spark.createDataFrame([(["a", "b", "a"],), (["b"],), (["c"],)], "w array<string>").coalesce(1).toArrow().column("w").combine_chunks()
+    monkeypatch.setattr(terms, "hash_array", lambda x, categorize: terms.np.array([7 if w in "ab" else 9 for w in x], terms.np.uint64))
+    batch = terms.pa.RecordBatch.from_arrays([lists], ["w"])
+    got = next(terms._exact(1, terms.np.array([7]))(iter([batch]))).to_pylist()
+    assert sorted((x["term"], x["freq"], x["df"]) for x in got) == [("a", 2, 1), ("b", 2, 2)]
