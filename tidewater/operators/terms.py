@@ -1,11 +1,10 @@
-"""Term counts, class-based term weights, n-gram vocabulary, dictionary segmentation."""
+"""Term counts, class-based term weights, n-gram vocabulary."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +16,7 @@ from tidewater.plans.storage import stored
 
 
 def words_of(column: str, stop: Iterable[str], least: int = 2, split: Callable[[str], Column] | None = None) -> Column:
-    """Words of ``least`` characters that aren't stop words: runs of letters and digits, or what ``split`` (such as a ``segmenter``) makes of the lowered text."""
+    """Words of ``least`` characters that aren't stop words: runs of letters and digits, or what ``split`` (such as a segmenter) makes of the lowered text."""
     if split is None:
         return tx.tokens(F.col(column), stop, least)
     stop = list(stop)
@@ -166,30 +165,3 @@ def _grams(words: str, k: int, make: Callable[..., Column], kind: str) -> Column
     last = F.size(words) - k
     runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: make(*[F.get(words, i + j) for j in range(k)]))
     return F.when(last >= 0, runs).otherwise(F.array().cast(f"array<{kind}>"))
-
-
-def segmenter(words: Iterable[str] = lx.SEGMENT_WORDS) -> Callable[..., Column]:
-    """A pandas UDF text -> array of words: forward maximum match over ``words`` in runs of Han, single characters otherwise, runs of letters and digits whole."""
-    vocabulary = frozenset(words) | {w.lower() for w in words}
-    longest = max(map(len, vocabulary), default=1)
-
-    @F.pandas_udf("array<string>")
-    def segment(texts: pd.Series) -> pd.Series:
-        def one(t):
-            out, i = [], 0
-            t = t or ""
-            while i < len(t):
-                hit = next((t[i : i + n] for n in range(min(longest, len(t) - i), 1, -1) if t[i : i + n] in vocabulary), None)
-                if hit is None:
-                    j = i + 1
-                    if t[i].isalnum() and not "一" <= t[i] <= "鿿":
-                        while j < len(t) and t[j].isalnum() and not "一" <= t[j] <= "鿿":
-                            j += 1
-                    hit = t[i:j]
-                out.append(hit)
-                i += len(hit)
-            return [w for w in out if w.strip()]
-
-        return texts.map(one)
-
-    return segment

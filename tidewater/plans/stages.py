@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
 from tidewater.functions import text as tx
-from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms, vectors
+from tidewater.operators import analysis, density, game, network, observe, screening, segmentation, strategy, temporal, terms, vectors
 from tidewater.plans.storage import stored
 from tidewater.sources import writers
 
@@ -57,12 +57,18 @@ class Settings:
     simulate: dict[str, Any] = field(default_factory=dict)
 
 
-def _split(s: Settings):
-    """The segmenter of the settings: their words, the lexicon's, and those of the fixed lists."""
+def _known(s: Settings) -> list[str]:
+    """Words that segmentation keeps whole: the settings' and the lexicon's, and those of the fixed lists."""
+    lists = [s.words or (), s.lexicon.keywords if s.lexicon else (), lx.POSITIVE, lx.NEGATIVE, *lx.BEHAVIOUR.values(), *lx.STRATEGY_PATTERNS.values()]
+    return sorted({w for ws in lists for w in ws})
+
+
+def _split(s: Settings, words: DataFrame | None):
+    """The segmenter of the settings; ``words`` (word, n) are those found in the posts, at most some ten thousand."""
     if s.words is None:
         return None
-    lists = [s.words, s.lexicon.keywords if s.lexicon else (), lx.POSITIVE, lx.NEGATIVE, *lx.BEHAVIOUR.values(), *lx.STRATEGY_PATTERNS.values()]
-    return terms.segmenter({w for ws in lists for w in ws})
+    found = {r["word"]: r["n"] for r in words.collect()} if words is not None else {}
+    return segmentation.lattice_segmenter({w: 1 for w in _known(s)} | found)
 
 
 def screen(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -101,23 +107,25 @@ def screen(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
 
 
 def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
-    """posts (text_clean, time_window) and terms."""
+    """posts (text_clean, time_window), terms and words (those that segmentation found or knew, with frequencies)."""
     column = screening.first_column(df.columns, s.text, required=True)
     clean = temporal.drop_short(df.withColumn("text_clean", tx.clean_text(F.col(column))), "text_clean")
     user = screening.first_column(df.columns, s.user)
     people = temporal.drop_bots(clean, user, s.max_per_user) if user else clean
     timed = stored(temporal.with_windows(people, s.time_col, s.unit, s.min_docs))
-    words = screening.top(terms.term_counts(timed, "text_clean", split=_split(s)), "freq", "word", s.top_terms)
-    return {"posts": timed, "terms": words}
+    if s.words is None:
+        return {"posts": timed, "terms": screening.top(terms.term_counts(timed, "text_clean"), "freq", "word", s.top_terms)}
+    words = stored(segmentation.learn(timed, "text_clean", _known(s)))
+    top = screening.top(terms.term_counts(timed, "text_clean", split=_split(s, words)), "freq", "word", s.top_terms)
+    return {"posts": timed, "terms": top, "words": words}
 
 
-def _embedded(posts: DataFrame, s: Settings) -> DataFrame:
+def _embedded(posts: DataFrame, s: Settings, split) -> DataFrame:
     """``posts`` with _vector, 64 numbers. Written, as topics are sought in many passes."""
     if s.embedding == "hashed":
         return stored(posts.withColumn("_vector", strategy.hashed_embedding("text_clean")))
     if s.embedding != "trained":
         raise ValueError(f"embedding is trained or hashed, not {s.embedding!r}")
-    split = _split(s)
     return stored(vectors.embed(posts, "text_clean", vectors.train(posts, "text_clean", 64, split=split), "_vector", split))
 
 
@@ -133,9 +141,10 @@ def _topics(posts: DataFrame, vector: str, s: Settings) -> DataFrame:
     return numbered.join(found, "_row").drop("_row")
 
 
-def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
+def discover(posts: DataFrame, s: Settings, words: DataFrame | None = None) -> dict[str, DataFrame]:
     """posts with topic and strategy, the mapping, strategies, observations."""
-    v = posts if s.vector else _embedded(posts, s)
+    split = _split(s, words)
+    v = posts if s.vector else _embedded(posts, s, split)
     vector = s.vector or "_vector"
     fitted = strategy.split_topic(_topics(v, vector, s), "topic", vector)
     # Much is derived from these rows and from the table of topics: both are made once.
@@ -148,8 +157,8 @@ def discover(posts: DataFrame, s: Settings) -> dict[str, DataFrame]:
     dims = 64 if not s.vector else int(centre.select(F.max(F.size("centre"))).first()[0] or 0)
     mixed = z.join(acts, "topic").join(emotion, "topic").select("topic", strategy.mixed_vector(F.col("z"), F.array(*strategy.DIMS), F.array((F.col("ms") + 1) / 2, F.col("ma")), dims).alias("mixed"))
     mapping = strategy.meta_strategies(strategy.similarities(mixed, "topic", "mixed"))
-    words = terms.class_terms(valid, "topic", "text_clean", split=_split(s))
-    info = stored(strategy.strategy_info(mapping, words, acts))
+    top = terms.class_terms(valid, "topic", "text_clean", split=split)
+    info = stored(strategy.strategy_info(mapping, top, acts))
     named = observe.map_strategies(felt, mapping)
     centres = strategy.centroids(named.filter(F.col("meta_strategy") != observe.OUTLIER), "meta_strategy", vector)
     # An outlier's strategy is found on its own row: ids may repeat.
@@ -232,7 +241,7 @@ class Pipeline:
         work: dict[int, Callable[[], dict[str, DataFrame]]] = {
             0: lambda: screen(posts, s),
             1: lambda: preprocess(self.read("related") if 0 in stages and 0 not in skip else posts, s),
-            2: lambda: discover(self.read("posts"), s),
+            2: lambda: discover(self.read("posts"), s, self.read("words") if s.words is not None else None),
             3: lambda: connect(self.read("strategy_posts"), s),
             4: lambda: compete(self.read("observations"), s),
             5: lambda: analyse(self.read("observations"), self.read("strategy_posts"), self.read("network"), self.read("game"), self.read("equilibria")),
