@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import lexicon as lx
-from tidewater.operators import analysis, game, network, observe, screening, strategy, temporal, terms
+from tidewater.operators import analysis, game, network, observe, screening, segmentation, strategy, temporal, terms
 
 LEX = lx.Lexicon.of({"产品词": ["dog"], "反减肥词": ["slow", "calm"]})
 
@@ -140,7 +140,7 @@ def test_few_topics_are_outliers(spark):
 
 
 def test_segmenter(spark):
-    seg = terms.segmenter(["减肥", "体重管理"])
+    seg = segmentation.lattice_segmenter({"减肥": 3, "体重管理": 1})
     df = spark.createDataFrame([("体重管理abc减肥好 x1",), (None,)], "t string")
     assert [r[0] for r in df.select(seg("t")).collect()] == [["体重管理", "abc", "减肥", "好", "x1"], []]
 
@@ -212,3 +212,26 @@ def test_grams_of_one_hash_stay_apart(spark, monkeypatch):
     batch = terms.pa.RecordBatch.from_arrays([lists], ["w"])
     got = next(terms._exact(1, terms.np.array([7]))(iter([batch]))).to_pylist()
     assert sorted((x["term"], x["freq"], x["df"]) for x in got) == [("a", 2, 1), ("b", 2, 2)]
+
+
+def test_quartiles_by_narrowing(spark, monkeypatch):
+    """Equal to Spark's own percentiles, with ties, few and one value, huge spreads, infinite values and NaN."""
+    import random
+
+    monkeypatch.setattr(analysis, "BINS", 16)
+    monkeypatch.setattr(analysis, "FEW", 8)
+    r = random.Random(2)
+    inf = float("inf")
+    cols = {
+        "a": [r.gauss(0, 1) for _ in range(700)], "b": [float(r.randint(0, 3)) for _ in range(700)], "c": [10.0 ** r.randint(-300, 300) for _ in range(700)],
+        "d": [5.0], "e": [None] * 3, "f": [r.choice([inf, -inf, 1.0, 2.0, 1e308, -1e308]) for _ in range(700)], "g": [float("nan")] * 300 + [r.random() for _ in range(400)],
+    }
+    rows = [tuple(v[i] if i < len(v) else None for v in cols.values()) for i in range(700)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {x.metric: x for x in analysis.describe(df, list(cols)).collect()}
+    assert got.keys() == cols.keys() and got["e"].p50 is None and got["d"].p25 == got["d"].p75 == 5.0
+    plain = lambda v, q: (lambda s, p: s[int(p)] if p == int(p) or s[int(p)] == s[int(p) + 1] else s[int(p)] * (1 - p + int(p)) + s[int(p) + 1] * (p - int(p)))(sorted(v, key=lambda x: (x != x, x)), q * (len(v) - 1))
+    for c in "abcfg":
+        for q, p in ((0.25, got[c].p25), (0.5, got[c].p50), (0.75, got[c].p75)):
+            want = plain(cols[c], q)
+            assert p == pytest.approx(want, rel=1e-12) or p != p and want != want, (c, q, p, want)
