@@ -57,7 +57,7 @@ class Settings:
     simulate: dict[str, Any] = field(default_factory=dict)
 
 
-def _known(s: Settings) -> list[str]:
+def known_words(s: Settings) -> list[str]:
     """Words that segmentation keeps whole: the settings' and the lexicon's, and those of the fixed lists."""
     lists = [s.words or (), s.lexicon.keywords if s.lexicon else (), lx.POSITIVE, lx.NEGATIVE, *lx.BEHAVIOUR.values(), *lx.STRATEGY_PATTERNS.values()]
     return sorted({w for ws in lists for w in ws})
@@ -68,7 +68,7 @@ def _split(s: Settings, words: DataFrame | None):
     if s.words is None:
         return None
     found = {r["word"]: r["n"] for r in words.collect()} if words is not None else {}
-    return segmentation.lattice_segmenter({w: 1 for w in _known(s)} | found)
+    return segmentation.lattice_segmenter({w: 1 for w in known_words(s)} | found)
 
 
 def screen(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -115,7 +115,7 @@ def preprocess(df: DataFrame, s: Settings) -> dict[str, DataFrame]:
     timed = stored(temporal.with_windows(people, s.time_col, s.unit, s.min_docs))
     if s.words is None:
         return {"posts": timed, "terms": screening.top(terms.term_counts(timed, "text_clean"), "freq", "word", s.top_terms)}
-    words = stored(segmentation.learn(timed, "text_clean", _known(s)))
+    words = stored(segmentation.learn(timed, "text_clean", known_words(s)))
     top = screening.top(terms.term_counts(timed, "text_clean", split=_split(s, words)), "freq", "word", s.top_terms)
     return {"posts": timed, "terms": top, "words": words}
 

@@ -9,13 +9,13 @@ from pyspark.sql.types import StructType
 from tidewater.operators.observe import from_matrix
 
 
-def read_posts(spark: SparkSession, path: str, schema: StructType | None = None, tolerant: bool = True) -> DataFrame:
-    """CSV files of a glob with a header, and each row's file name as source_file. No file at all is an error.
+def read_posts(spark: SparkSession, path: str | list[str], schema: StructType | None = None, tolerant: bool = True) -> DataFrame:
+    """CSV files of a glob (or of a list) with a header, and each row's file name as source_file. No file at all is an error.
 
     Fields may hold line breaks and doubled quotes; a byte order mark is skipped. ``tolerant``: rows that can't be parsed have nulls, files that
     can't be read are skipped; else either fails the read.
     """
-    if not _matches(spark, path):
+    if isinstance(path, str) and not _matches(spark, path):
         raise FileNotFoundError(path)
     r = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE" if tolerant else "FAILFAST", ignoreCorruptFiles=tolerant, encoding="UTF-8")
     df = (r.schema(schema) if schema else r).csv(path)
