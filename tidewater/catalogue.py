@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import lexicon as lx
 from tidewater.functions import math as mx
 from tidewater.functions import text as tx
-from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms
+from tidewater.operators import analysis, density, game, network, observe, screening, strategy, temporal, terms, vectors
 from tidewater.plans.storage import shared_path, stored
 from tidewater.sources import readers, writers
 from tidewater.sources.readers import read_table
@@ -207,6 +207,31 @@ def corpus_lines(spark, d):
     return documents(spark, d).select("doc_id", tx.squeeze(F.col("text")).alias("line")).filter(F.char_length("line") >= 20)
 
 
+@query(f"SELECT doc_id, {sql_remove('text')} AS text, {sql_remove('lang')} AS lang, {sql_remove('source')} AS source, n_chars FROM documents")
+def clean_all_columns(spark, d):
+    """Every text column without the removed words, the others as they are."""
+    return screening.clean_columns(documents(spark, d).select("doc_id", "text", "lang", "source", "n_chars"), REMOVED)
+
+
+# Trained vectors
+
+SQL_WORDS = "SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS w FROM documents)"
+
+
+@query(f"""WITH t AS ({SQL_WORDS}), v AS (SELECT word FROM t GROUP BY 1 HAVING count(*) >= 5 ORDER BY count(*) DESC, word LIMIT 150), k AS (SELECT t.* FROM t JOIN v USING (word)),
+    p AS (SELECT x.word AS word, y.word AS beside, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.i <> y.i AND abs(x.i - y.i) <= 2 GROUP BY 1, 2),
+    s AS (SELECT word, sum(n) AS n FROM p GROUP BY 1)
+    SELECT p.word, beside, p.n, round(ln(p.n * (SELECT sum(n) FROM p)::DOUBLE / (a.n::DOUBLE * b.n)), 6) AS information FROM p JOIN s a ON a.word = p.word JOIN s b ON b.word = beside WHERE p.n * (SELECT sum(n) FROM p)::DOUBLE > a.n::DOUBLE * b.n""")
+def pair_information(spark, d):
+    """Positive pointwise information of pairs of frequent words, what trained vectors are made of."""
+    docs = documents(spark, d)
+    words = [r["word"] for r in vectors.vocabulary(docs, "text", 5, 150).orderBy("place").collect()]  # 150 rows
+    pairs = vectors.pair_counts(docs, "text", words, 2)
+    name = lambda c: F.element_at(F.lit(words), F.col(c) + 1)
+    met = vectors.information(pairs).join(pairs, ["a", "b"])
+    return met.select(name("a").alias("word"), name("b").alias("beside"), "n", r6(F.col("x")).alias("information"))
+
+
 # Deduplication and sources
 
 SQL_PRINT = f"trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'), ' ')"
