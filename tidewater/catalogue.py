@@ -215,10 +215,10 @@ def clean_all_columns(spark, d):
 
 # Trained vectors
 
-SQL_WORDS = "SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS w FROM documents)"
+SQL_PLACED = "SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS w FROM documents)"
 
 
-@query(f"""WITH t AS ({SQL_WORDS}), v AS (SELECT word FROM t GROUP BY 1 HAVING count(*) >= 5 ORDER BY count(*) DESC, word LIMIT 150), k AS (SELECT t.* FROM t JOIN v USING (word)),
+@query(f"""WITH t AS ({SQL_PLACED}), v AS (SELECT word FROM t GROUP BY 1 HAVING count(*) >= 5 ORDER BY count(*) DESC, word LIMIT 150), k AS (SELECT t.* FROM t JOIN v USING (word)),
     p AS (SELECT x.word AS word, y.word AS beside, count(*) AS n FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.i <> y.i AND abs(x.i - y.i) <= 2 GROUP BY 1, 2),
     s AS (SELECT word, sum(n) AS n FROM p GROUP BY 1)
     SELECT p.word, beside, p.n, round(ln(p.n * (SELECT sum(n) FROM p)::DOUBLE / (a.n::DOUBLE * b.n)), 6) AS information FROM p JOIN s a ON a.word = p.word JOIN s b ON b.word = beside WHERE p.n * (SELECT sum(n) FROM p)::DOUBLE > a.n::DOUBLE * b.n""")
