@@ -77,6 +77,36 @@ def test_sides_too_large_to_broadcast(spark, rows, monkeypatch):
     assert as_rows(got, "doc_id", "n_lines", "n_dropped", "text") == sorted(brute.drop_lines(rows), key=str)
 
 
+def test_texts_that_stay_do_not_move(spark, monkeypatch):
+    """left_anti beyond the broadcast bound: whatever else the sieve picks is told apart by keys; copies of a dropped text under other ids stay."""
+    monkeypatch.setattr(_frames, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(_frames, "SIEVE", 64)
+    own = spark.createDataFrame([(i if i else None, f"text {i % 40}") for i in range(100)], "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    own = _frames.stored(own)
+    few = _frames.stored(own.filter("doc_id is null or doc_id <= 90").select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _frames.meet_few(own, few, "left_anti")
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert as_rows(got, "doc_id", "text") == sorted(((i, f"text {i % 40}") for i in range(91, 100)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_emit_their_parts_once(spark):
+    """Forty copies of each text in forty tasks: next to one row of each goes on to the shuffle of parts."""
+    r = random.Random(3)
+    base = sentence(r, 60)
+    texts = [f"{base} more{i % 2} {sentence(r, 2)}" for i in range(5)]
+    rows = [(10 * c + i, t) for c in range(40) for i, t in enumerate(texts)]
+    d = _frames.docs(frame(spark, rows, 40)).withColumn("th", F.xxhash64("text"))
+    own = _frames.stored(jaccard_join.shingled(d, 3))
+    classes = own.groupBy("node").agg(F.min("doc_id").alias("rep_id"), F.min("th").alias("rep_th"))
+    assert jaccard_join._fewer(d, own, classes).count() == 5
+    got = jaccard_join.near_components(frame(spark, rows), 3, 80)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows, 3, 80), key=str)
+
+
 def test_near_components_empty(spark):
     assert jaccard_join.near_components(empty(spark)).count() == 0
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,12 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing refers to any more, which it does when the driver collects garbage; for after a large shuffle whose result is stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _width(kind: T.DataType, value: Column) -> Column:
     """Bytes of a value, about: what it holds and 8 for a place; elements of arrays by their own width."""
     if isinstance(kind, T.StringType | T.BinaryType):
@@ -120,17 +127,29 @@ def _sieved(df: DataFrame, th: str, keys: DataFrame, key: str) -> tuple[DataFram
     return own.filter("s_hit").select(*df.columns), own.filter("not s_hit").select(*df.columns)
 
 
+def few_key(id_col: str, th_col: str) -> Column:
+    """A hash of a document's id and text for a sieve, so that copies of a text under other ids are told apart."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(th_col))
+
+
 def meet_few(df: DataFrame, few: DataFrame, how: str, id_col: str = "doc_id", th_col: str = "th") -> DataFrame:
     """``df`` joined (inner, left or left_anti) to ``few`` (b_id, b_th, others) by document, a null id like other values.
 
     ``few`` is broadcast if its bytes are within the bound. Else a sieve picks the rows of ``df`` that may have a partner, and only these, with their
-    texts, are shuffled. ``few`` is a stored table with one row for each (b_id, b_th); the columns of ``df`` clash with none of its.
+    texts, are shuffled. For left_anti only their ids and hashes are: what the sieve picks without a partner is so little that it is broadcast, within the bound, and no text moves.
+    ``few`` is a stored table with one row for each (b_id, b_th); the columns of ``df`` clash with none of its.
     """
     on = F.col(id_col).eqNullSafe(F.col("b_id")) & (F.col(th_col) == F.col("b_th"))
     others = [c for c in few.columns if c not in ("b_id", "b_th")] if how != "left_anti" else []
     if weight(few) <= BROADCAST_BYTES:
         return df.join(F.broadcast(few), on, how).select(*df.columns, *others)
-    maybe, never = _sieved(df, th_col, few, "b_th")
+    maybe, never = _sieved(df.withColumn("s_key", few_key(id_col, th_col)), "s_key", few.select(few_key("b_id", "b_th").alias("b_key")), "b_key")
+    maybe, never = maybe.drop("s_key"), never.drop("s_key")
+    if how == "left_anti":
+        spared = maybe.select(id_col, th_col).join(few, on, how)
+        spared = stored(spared.select(F.col(id_col).alias("b_id"), F.col(th_col).alias("b_th")).distinct())
+        if weight(spared) <= BROADCAST_BYTES:
+            return maybe.join(F.broadcast(spared), on, "left_semi").unionByName(never)
     met = maybe.join(few, on, how).select(*df.columns, *others)
     if how == "inner":
         return met

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
-from tidewater.llm._frames import docs, meet_few, small, stored
+from tidewater.llm._frames import _sieved, docs, few_key, let_go, meet_few, small, stored
 from tidewater.llm._graph import Forest, components
 
 U = np.uint64
@@ -575,6 +575,7 @@ def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame
 
     rows = df.select("doc_id", "text").mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
     groups = stored(rows.mapInArrow(B.trimmed(_shared), "grp long, node long")).distinct()
+    let_go(df.sparkSession)
     sides = groups.join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node").select("grp", "n", "node", "bits")
     stars = sides.repartition(n, "grp").sortWithinPartitions("grp", "n", "node").mapInArrow(B.trimmed(_split(percent)), "a long, b long")
     return components(stars)
@@ -656,6 +657,7 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
             yield _found(out)
 
     got = stored(sets.repartition(n, "root", "sub").sortWithinPartitions("root", "sub", "node").mapInArrow(B.trimmed(_units(2, search)), _FOUND_DDL))
+    let_go(df.sparkSession)
     sure = got.filter("kind = 0").select("a", "b")
     leaders = got.filter("kind = 1")
     if leaders.isEmpty():
@@ -696,6 +698,14 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
     return sure.unionByName(late.select("a", "b"))
 
 
+def _fewer(df: DataFrame, own: DataFrame, classes: DataFrame) -> DataFrame:
+    """``df`` without most of the rows that only repeat a class, where these are many: its parts needn't be shuffled once for each copy. A representative always stays."""
+    if classes.count() > 0.75 * own.filter("node is not null").count():
+        return df
+    keys = classes.select(few_key("rep_id", "rep_th").alias("b_key"))
+    return _sieved(df.withColumn("s_key", few_key("doc_id", "th")), "s_key", keys, "b_key")[0].drop("s_key")
+
+
 def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_shingles, node, root (the component's name; node and root are null without shingles), component_id for every
     row of ``df`` (doc_id, text)."""
@@ -704,7 +714,7 @@ def near_components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rep = F.min(F.struct("doc_id", "th"))
     classes = own.filter("node is not null").groupBy("node").agg(rep.alias("rep"), F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"), F.min("bits").alias("bits"))
     classes = stored(classes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "least_id", "n_shingles", "bits"))
-    block = blocks(d, classes, k, percent)
+    block = blocks(_fewer(d, own, classes), classes, k, percent)
     found = components(links(d, classes.drop("bits", "least_id"), block, k, percent))
     named = found.withColumnRenamed("node", "member")
     grouped = classes.join(named, F.col("node") == F.col("member"), "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
