@@ -532,17 +532,18 @@ SQL_ENDS = 'both_ AS (SELECT "window", src AS a, dst AS b FROM edges UNION ALL S
 
 def _network(spark, d):
     nodes = _embeddings(spark, d).select((F.col("vec_id") % 4).cast("string").alias("window"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("strategy"), "embedding")
-    return nodes.drop("embedding"), network.similarity_edges(nodes, 0.30)
+    return nodes.withColumn("strategy", F.coalesce("strategy", F.lit("Unknown")))
 
 
 @query(SQL_EDGES + ' SELECT "window", src, dst, round(weight, 6) AS weight FROM edges')
 def similarity_edges(spark, d):
-    return _network(spark, d)[1].withColumn("weight", r6(F.col("weight")))
+    return network.similarity_edges(_network(spark, d), 0.30).withColumn("weight", r6(F.col("weight")))
 
 
 @query(SQL_EDGES + ' SELECT n."window", n_nodes, coalesce(n_edges, 0) AS n_edges, round(2.0 * coalesce(n_edges, 0) / (n_nodes * (n_nodes - 1)), 6) AS density FROM (SELECT "window", count(*) AS n_nodes FROM nodes GROUP BY 1) n LEFT JOIN (SELECT "window", count(*) AS n_edges FROM edges GROUP BY 1) e ON n."window" = e."window"')
 def net_basic(spark, d):
-    return network.basic_metrics(*_network(spark, d)).withColumn("density", r6(F.col("density")))
+    nodes = _network(spark, d)
+    return network.basic_of(nodes, network.edge_counts(network.linked_blocks(nodes), 0.30)).withColumn("density", r6(F.col("density")))
 
 
 @query(SQL_EDGES + ", " + SQL_ENDS + """, deg AS (SELECT "window", a, count(*) AS d FROM both_ GROUP BY 1, 2),
@@ -550,26 +551,26 @@ def net_basic(spark, d):
     SELECT n."window", round(sum(CASE WHEN d >= 2 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) / count(*), 6) AS avg_clustering
     FROM nodes n LEFT JOIN deg ON n."window" = deg."window" AND n.id = deg.a LEFT JOIN tri ON n."window" = tri."window" AND n.id = tri.a GROUP BY 1""")
 def net_clustering(spark, d):
-    nodes, edges = _network(spark, d)
-    return network.avg_clustering(nodes, stored(edges)).withColumn("avg_clustering", r6(F.col("avg_clustering")))
+    return network.vector_metrics(_network(spark, d).withColumn("m", F.lit(1)), 0.30, parts=False).select("window", "avg_clustering").withColumn("avg_clustering", r6(F.col("avg_clustering")))
 
 
 @query(SQL_EDGES + ", " + SQL_ENDS + """, reach AS (SELECT "window", id, id AS r FROM nodes UNION SELECT reach."window", b, r FROM reach JOIN both_ ON reach."window" = both_."window" AND reach.id = both_.a AND both_.b > r),
     lab AS (SELECT "window", id, min(r) AS c FROM reach GROUP BY 1, 2) SELECT "window", count(*) AS n_components, max(k) AS largest_component_size FROM (SELECT "window", c, count(*) AS k FROM lab GROUP BY 1, 2) GROUP BY 1""")
 def net_components(spark, d):
-    nodes, edges = _network(spark, d)
-    return network.component_metrics(network.components(nodes, edges))
+    nodes = _network(spark, d)
+    return network.component_sizes(nodes, network.block_components(network.linked_blocks(nodes), 0.30))
 
 
 @query('SELECT CAST(vec_id % 4 AS VARCHAR) AS "window", CAST(label AS VARCHAR) AS strategy, count(*) AS n FROM embeddings GROUP BY 1, 2')
 def net_strategy_dist(spark, d):
-    return network.strategy_distribution(_network(spark, d)[0])
+    return network.strategy_distribution(_network(spark, d))
 
 
 @query(SQL_EDGES + """, o AS (SELECT e."window", a.strategy AS strategy, (a.strategy = b.strategy)::INT AS inside FROM edges e JOIN nodes a ON e."window" = a."window" AND e.src = a.id JOIN nodes b ON e."window" = b."window" AND e.dst = b.id)
     SELECT s."window", s.strategy, coalesce(sum(inside), 0)::BIGINT AS internal, coalesce(sum(1 - inside), 0)::BIGINT AS external, round(coalesce(avg(inside), 0), 6) AS echo FROM (SELECT DISTINCT "window", strategy FROM nodes) s LEFT JOIN o ON s."window" = o."window" AND s.strategy = o.strategy GROUP BY 1, 2""")
 def echo_chamber(spark, d):
-    return network.echo_chambers(*_network(spark, d)).withColumn("echo", r6(F.col("echo")))
+    nodes = _network(spark, d)
+    return network.echo_of(nodes, network.linked_strategies(network.linked_blocks(nodes, tag="strategy"), 0.30)).withColumn("echo", r6(F.col("echo")))
 
 
 METRICS = ["density", "avg_clustering"]
@@ -615,9 +616,7 @@ def net_copies_echo(spark, d):
 @query(_sql_metrics("SELECT 'all' AS \"window\", vec_id AS id, CAST(label AS VARCHAR) AS strategy, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"))
 def net_global(spark, d):
     nodes = _embeddings(spark, d).select(F.lit("all").alias("window"), F.col("vec_id").alias("id"), F.col("label").cast("string").alias("strategy"), "embedding")
-    members = stored(network.classes(nodes))
-    sizes = stored(network.class_sizes(members))
-    got = network.class_metrics(sizes, stored(network.similarity_edges(sizes, 0.30)))
+    got = network.vector_metrics(stored(network.grouped(nodes)), 0.30)
     return got.withColumns({c: r6(F.col(c)) for c in METRICS})
 
 
