@@ -429,6 +429,30 @@ def test_class_lm_scores_by_definition(spark, rows, monkeypatch, head):
     assert words == sorted((r.h, r.g) for r in class_lm.fit(class_lm.docs(frame(spark, train, 2))).words.collect())
 
 
+def test_class_lm_words_of_large_tables_stay_in_tasks():
+    """Three million words are looked up in tasks; a word takes some 14 bytes there, not tens."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 64, 3_000_000, dtype=np.uint64))
+    table = class_lm.Table(keys, (np.arange(len(keys)) % class_lm.MOVING).astype(np.int8))
+    assert len(keys) <= class_lm.HEAD < 1 << 24
+    asked = np.concatenate((keys[::7], keys[::7] + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)))
+    want = np.searchsorted(keys, asked)
+    want = np.where((want < len(keys)) & (keys[np.minimum(want, len(keys) - 1)] == asked), want, -1)
+    at, g = table.find(asked)
+    assert (at == want).all() and (g == np.where(want >= 0, want % class_lm.MOVING, class_lm.RARE)).all()
+    assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) < 16 * len(keys)
+    none = class_lm.Table(keys[:0], np.zeros(0, np.int8))
+    assert none.find(np.array([5, class_lm.END], np.uint64))[1].tolist() == [class_lm.RARE, class_lm.STOP]
+
+
+def test_class_lm_ranges_and_packs_change_nothing(spark, rows, monkeypatch):
+    train = class_lm.docs(frame(spark, rows))
+    want = sorted((r.h, r.n, r.g) for r in class_lm.fit(train).words.collect())
+    monkeypatch.setattr(class_lm, "PACKED", 5)
+    monkeypatch.setattr(class_lm, "RANGE", 20)
+    assert sorted((r.h, r.n, r.g) for r in class_lm.fit(train).words.collect()) == want
+
+
 def test_exchange_raises_likelihood(monkeypatch):
     rng = np.random.default_rng(1)
     m = np.zeros((14, 14))

@@ -15,9 +15,9 @@ which also stands before its first word.
 * P(g | g') = (n(g', g) + C P(g)) / (n(g') + C) with P(g) = (n(g) + 1) / (N + C), C the number of classes;
   P(w | g) = (c(w) + 1) / (n(g) + V(g)), V(g) the distinct words of g, and one more for all unseen words where g is the class of rare ones.
 
-All counts are over every token of every training document. What a task holds has a size bound: the words of the vocabulary with count and class if they are
-``HEAD`` at most (some 30 bytes each), bigrams of leaders, and (classes)^2 numbers. A task adds up what these words give and
-sends each document's other words to the counts by a shuffle. A larger vocabulary stays distributed: word bigrams are counted once, and
+All counts are over every token of every training document. What a task holds has a size bound: the words of the vocabulary if they are
+``HEAD`` at most (a hash and its place, some 14 bytes each, where texts become numbers; one byte, the class, in the counts of a sweep; some 20 in the score), bigrams of leaders, and (classes)^2 numbers. The driver has hash, count and class of these words,
+and gets one byte a word from a sweep. A task adds up what these words give and sends each document's other words to the counts by a shuffle. A larger vocabulary stays distributed: word bigrams are counted once, and
 classes come to them by shuffled joins in every sweep and in the score; results are the same. There the ``HEAVY`` most frequent words meet their classes by a
 broadcast, so no join gathers a frequent word's rows. Training texts are split into words twice: for the counts, and into the numbers of their words, which sweeps read.
 
@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ from tidewater.llm import _bytes as B
 from tidewater.llm._frames import docs, stored
 
 U = np.uint64
-LEADERS, HEAD, MIN_COUNT = 1000, 1 << 21, 3
+#: HEAD + 1 fits into three bytes (see ``coded``).
+LEADERS, HEAD, MIN_COUNT = 1000, 1 << 23, 3
 #: Words that a shuffled join doesn't gather: any other word is less than 1 / HEAVY of all.
 HEAVY = 1 << 16
 #: Exchange has settled when a sweep raises the log-likelihood (natural logarithm) by less than so much a token.
@@ -52,6 +54,8 @@ END, OTHER = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 WIDTH = 2 * CLASSES
 #: Gains by counts up to this are looked up.
 EASY = 8
+#: Tokens whose counts a task packs at once, and tokens for each range of words that meets in one place.
+PACKED, RANGE = 3_000_000, 1_000_000
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,32 +90,47 @@ def before(s: np.ndarray, end: int) -> np.ndarray:
 
 @dataclass
 class Table:
-    """Classes of words for a task: ``keys`` are hashes; a word that isn't there is rare."""
+    """Classes of words for a task: ``keys`` are hashes, ascending; a word that isn't there is rare."""
 
     keys: np.ndarray
     classes: np.ndarray
-    index: B.HashIndex | None = field(default=None)
+    starts: np.ndarray | None = field(default=None)
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None}
+        return self.__dict__ | {"starts": None}
 
     def place(self, h: np.ndarray) -> np.ndarray:
         """Each word's place, -1 for none."""
-        if self.index is None:
-            self.index = B.HashIndex(self.keys)
-        return self.index.find(h)
+        bits = max(1, len(self.keys).bit_length())
+        if self.starts is None:
+            # Hashes are even, so that their first bits lead to about one key.
+            self.starts, step = np.empty((1 << bits) + 1, np.int32), 1 << 16
+            self.starts[-1] = len(self.keys)
+            for x in range(0, 1 << bits, step):
+                first = np.arange(x, min(x + step, 1 << bits), dtype=U) << U(64 - bits)
+                self.starts[x : x + len(first)] = np.searchsorted(self.keys, first)
+        out = np.full(len(h), -1, np.int64)
+        spot = (h >> U(64 - bits)).astype(np.int64)
+        at, end = self.starts[spot], self.starts[spot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            own, wanted = self.keys[at[live]], h[live]
+            found = live[own == wanted]
+            out[found] = at[found]
+            live = live[own < wanted]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's place (-1 for none) and class."""
         at = self.place(h)
-        if not len(self.keys):
-            return at, np.where(h == END, STOP, RARE)
-        return at, np.where(at >= 0, self.classes[at], np.where(h == END, STOP, RARE))
+        other = np.where(h == END, STOP, RARE)
+        return at, np.where(at >= 0, self.classes[at], other) if len(self.keys) else other
 
 
-def coded(train: DataFrame, keys: np.ndarray) -> DataFrame:
-    """ids: the places in ``keys`` of the words of each run of texts, three bytes each; len(keys) stands for other words, one more for the end. Written."""
-    sent = train.sparkSession.sparkContext.broadcast(Table(keys, np.zeros(0, np.int16)))
+def coded(train: DataFrame, sent: Broadcast) -> DataFrame:
+    """ids: the places in the keys of ``sent`` (a Table) of the words of each run of texts, three bytes each; len(keys) stands for other words, one more for the end. Written."""
 
     def run(batches):
         table = sent.value
@@ -257,23 +276,27 @@ def _moved(h: np.ndarray, now: np.ndarray, word: np.ndarray, k: np.ndarray, x: n
     return out
 
 
-def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray, nth: int, share: int) -> DataFrame:
-    """h, g of every word of ``keys`` after a sweep over ``runs`` (see ``coded``); ``n`` is the table of class bigrams.
+def swept(runs: DataFrame, known: Broadcast, classes: np.ndarray, n: np.ndarray, nth: int, share: int) -> np.ndarray:
+    """The class of every key of ``known`` (a Table) after a sweep over ``runs`` (see ``coded``); ``classes`` are those before it, ``n`` is the table of class bigrams.
 
     A task counts, for each word, the classes behind it (columns 0 to CLASSES - 1) and before it, and packs the counts of a range of words into one value; the ranges meet by a shuffle,
     where a task adds them up and compares the classes.
     """
-    sent = runs.sparkSession.sparkContext.broadcast((keys, classes, n))
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, -(-len(keys) // (2 * parts)))  # words of a range
+    sent = runs.sparkSession.sparkContext.broadcast((classes, n))
+    parts, v = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(classes)
+    width = max(1, -(-v // max(2 * parts, int(n.sum()) // RANGE)))  # words of a range
 
     def count(batches):
-        keys, classes, _ = sent.value
-        v, found, held = len(keys), [], 0
-        group = np.concatenate((classes, [RARE, STOP])).astype(np.int64)
+        found, held = [], 0
+        group = np.concatenate((sent.value[0], [RARE, STOP])).astype(np.int8)
 
         def leave():
-            own, n = np.unique(np.concatenate(found), return_counts=True)
+            x = np.concatenate(found)
+            found.clear()
+            x.sort()
+            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+            own, n = x[first], np.diff(np.r_[first, len(x)])
+            del x
             at = np.arange(0, -(-v // width) + 1) * width * WIDTH
             cut = np.searchsorted(own, at)
             out = []
@@ -287,19 +310,19 @@ def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray,
         for batch in batches:
             for at in _ids(batch):
                 # A document's last token is the end, which stands before the first word of the next; a run begins and ends with a document.
-                s = group[at]
+                s = group[at].astype(np.int64)
                 word = at < v
                 key = at * WIDTH
                 found += [(key[:-1] + s[1:])[word[:-1]], (key + CLASSES + before(s, STOP))[word]]
                 held += len(s)
-                if held > 3_000_000:
+                if held > PACKED:
                     yield leave()
-                    found, held = [], 0
+                    held = 0
         if found:
             yield leave()
 
     def solve(batches):
-        keys, classes, n = sent.value
+        keys, (classes, n) = known.value.keys, sent.value
         gains = Gains(n)
 
         def done(span, blobs):
@@ -313,8 +336,9 @@ def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray,
             own, at = np.unique(np.concatenate(own), return_inverse=True)
             x = np.bincount(at, np.concatenate(x)).astype(np.int64)
             place, word = np.unique(own // WIDTH, return_inverse=True)
-            g = _moved(keys[place], classes[place].astype(np.int64), word, own % WIDTH, x, gains, nth, share)
-            return pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(g.astype(np.int32))], ["h", "g"])
+            g = classes[span * width : (span + 1) * width].copy()
+            g[place - span * width] = _moved(keys[place], classes[place].astype(np.int64), word, own % WIDTH, x, gains, nth, share)
+            return pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), pa.array([g.tobytes()], pa.binary())], ["span", "g"])
 
         now, blobs = None, []
         for batch in batches:
@@ -328,7 +352,11 @@ def swept(runs: DataFrame, keys: np.ndarray, classes: np.ndarray, n: np.ndarray,
             yield done(now, blobs)
 
     packed = runs.mapInArrow(B.trimmed(count), "span int, packed binary")
-    return stored(packed.repartition(parts, "span").sortWithinPartitions("span").mapInArrow(B.trimmed(solve), "h long, g int"))
+    out = classes.copy()
+    # One byte a word.
+    for span, g in packed.repartition(parts, "span").sortWithinPartitions("span").mapInArrow(B.trimmed(solve), "span int, g binary").collect():
+        out[span * width : (span + 1) * width] = np.frombuffer(g, np.int8)
+    return out
 
 
 def _table_of(counts: DataFrame) -> np.ndarray:
@@ -409,29 +437,25 @@ def sweep(counts: DataFrame, n: np.ndarray, nth: int, share: int) -> DataFrame:
     return stored(counts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(B.trimmed(run), "h long, g int"))
 
 
-def _of(keys: np.ndarray, classes: DataFrame) -> np.ndarray:
-    """The class of each of ``keys`` (ascending), which are the words of ``classes`` (h, g)."""
-    got = classes.toArrow()  # HEAD rows at most
-    out = np.empty(len(keys), np.int16)
-    out[np.searchsorted(keys, np.asarray(got.column("h")).view(U))] = np.asarray(got.column("g"))
-    return out
-
-
-def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: float = SETTLED) -> tuple[DataFrame, np.ndarray]:
-    """h, g of every word of ``vocabulary`` (h, n; not the end token), and the table of class bigrams; ``whole``: the vocabulary fits into tasks."""
+def clustered(train: DataFrame, vocabulary: DataFrame, known: Broadcast | None, settled: float = SETTLED) -> tuple[DataFrame | np.ndarray, np.ndarray]:
+    """The class of every word of ``vocabulary`` (h, n; not the end token), and the table of class bigrams. ``known``, if the vocabulary fits into tasks, is a Table of its words, and their
+    classes come in its order, else as h, g."""
     spark = train.sparkSession
     top = vocabulary.orderBy(F.desc("n"), "h").limit(LEADERS).toArrow()
     lead = np.sort(np.asarray(top.column("h")).view(U))
     m = len(lead)
     # Leaders as symbols 0 to m - 1, then all other words, then the end.
-    keys = np.sort(np.asarray(vocabulary.select("h").toArrow().column("h")).view(U)) if whole else lead
-    runs = coded(train, keys)
-    symbols = np.full(len(keys) + 2, m)
-    symbols[np.searchsorted(keys, lead)], symbols[-1] = np.arange(m), m + 1
+    table = known or spark.sparkContext.broadcast(Table(lead, np.zeros(0, np.int8)))
+    keys, runs = table.value.keys, coded(train, table)
+    symbols, place = np.full(len(keys) + 2, m, np.int16), np.searchsorted(keys, lead)
+    symbols[place], symbols[-1] = np.arange(m), m + 1
     g = exchange(bigram_table(runs, symbols, m + 2), CLASSES)
-    start = spark.createDataFrame(list(zip(lead.view(np.int64).tolist(), g[:m].tolist())), "s_h long, s_g int")
-    classes = stored(vocabulary.join(F.broadcast(start), F.col("h") == F.col("s_h"), "left").select("h", F.coalesce("s_g", F.lit(RARE)).alias("g")))
-    if not whole:
+    if known:
+        classes = np.full(len(keys), RARE, np.int8)
+        classes[place] = g[:m]
+    else:
+        start = spark.createDataFrame(list(zip(lead.view(np.int64).tolist(), g[:m].tolist())), "s_h long, s_g int")
+        classes = stored(vocabulary.join(F.broadcast(start), F.col("h") == F.col("s_h"), "left").select("h", F.coalesce("s_g", F.lit(RARE)).alias("g")))
         bigrams, heavy = word_bigrams(train), _heavy(vocabulary)
 
     def counted(classes):
@@ -443,10 +467,9 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
 
     kept, nth, share = None, 0, 1  # classes, table, likelihood and counts before the last sweep
     while True:
-        group, counts = None, None
-        if whole:
-            group = _of(keys, classes)
-            n = bigram_table(runs, np.concatenate((group, [RARE, STOP])), CLASSES)
+        counts = None
+        if known:
+            n = bigram_table(runs, np.concatenate((classes, [RARE, STOP])).astype(np.int8), CLASSES)
         else:
             counts = counted(classes)
             n = _table_of(counts)
@@ -457,44 +480,86 @@ def clustered(train: DataFrame, vocabulary: DataFrame, whole: bool, settled: flo
         if nth > 1 and value < kept[2]:
             if share >= 8:
                 return kept[:2]
-            classes, n, value, group, counts = kept
+            classes, n, value, counts = kept
             share *= 2
         elif nth > 1 and (value - kept[2]) * share / 2 < settled * n.sum():
             return classes, n
         elif nth == 1:
             share = 2
-        kept = (classes, n, value, group, counts)
-        classes = swept(runs, keys, group, n, nth, share) if whole else sweep(counts, n, nth, share)
+        kept = (classes, n, value, counts)
+        classes = swept(runs, known, classes, n, nth, share) if known else sweep(counts, n, nth, share)
         nth += 1
 
 
 @dataclass
 class Model:
-    """``words`` (h, n, g) has every word of training, ``vocabulary`` those that aren't rare, with the end token; ``step`` is log10 P(g | g') less log10 of the denominator of P(w | g), [g', g]."""
+    """``words`` (h, n, g) has every word of training. ``known``, if those that aren't rare fit into tasks, has them and the end token, and ``counts`` theirs;
+    ``step`` is log10 P(g | g') less log10 of the denominator of P(w | g), [g', g]."""
 
     words: DataFrame
-    vocabulary: DataFrame
-    whole: bool
+    known: Table | None
+    counts: np.ndarray | None
     step: np.ndarray
     n_tokens: int
     n_distinct: int
 
+    @property
+    def whole(self) -> bool:
+        """Whether the words that aren't rare fit into tasks."""
+        return self.known is not None
+
+
+def _looked_up(counts: DataFrame, known: Table) -> DataFrame:
+    """``counts`` (h, n) and the class g of each word."""
+    sent = counts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            g = sent.value.find(np.asarray(batch.column(0)).view(U))[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.astype(np.int32))], ["h", "n", "g"])
+
+    return counts.select("h", "n").mapInArrow(B.trimmed(run), "h long, n long, g int")
+
 
 def fit(train: DataFrame, settled: float = SETTLED) -> Model:
     """The model of ``train`` (doc_id, text)."""
+    end = int(END.view(np.int64))
     counts = word_counts(train)
-    vocabulary = counts.filter((F.col("n") >= MIN_COUNT) & (F.col("h") != F.lit(int(END.view(np.int64)))))
-    whole = vocabulary.count() <= HEAD
-    classes, table = clustered(train, vocabulary, whole, settled)
-    words = counts.join(classes.withColumnRenamed("h", "c_h"), F.col("h") == F.col("c_h"), "left")
-    words = stored(words.select("h", "n", F.coalesce("g", F.when(F.col("h") == F.lit(int(END.view(np.int64))), STOP).otherwise(RARE)).alias("g")))
+    vocabulary = counts.filter((F.col("n") >= MIN_COUNT) & (F.col("h") != F.lit(end)))
+    if vocabulary.count() <= HEAD:
+        keys, c = _fetched(vocabulary)
+        classes, table = clustered(train, vocabulary, train.sparkSession.sparkContext.broadcast(Table(keys, np.zeros(0, np.int8))), settled)
+        words = stored(_looked_up(counts, Table(keys, classes)))
+        ends, at = counts.filter(F.col("h") == end).first(), np.searchsorted(keys, END)
+        if ends:
+            keys, classes, c = np.insert(keys, at, END), np.insert(classes, at, STOP), np.insert(c.astype(np.int64), at, ends["n"])
+        known, c = Table(keys, classes), _narrow(c)
+    else:
+        classes, table = clustered(train, vocabulary, None, settled)
+        words = counts.join(classes.withColumnRenamed("h", "c_h"), F.col("h") == F.col("c_h"), "left")
+        words = stored(words.select("h", "n", F.coalesce("g", F.when(F.col("h") == F.lit(end), STOP).otherwise(RARE)).alias("g")))
+        known = c = None
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in words.groupBy("g").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # CLASSES rows
         n[r["g"]], v[r["g"]] = r["n"], r["v"]
     alone = (n + 1) / (n.sum() + CLASSES)
     unseen = np.arange(CLASSES) == RARE
     step = np.log10((table + CLASSES * alone[None, :]) / (table.sum(1)[:, None] + CLASSES)) - np.log10(np.maximum(n + v + unseen, 1))[None, :]
-    return Model(words, words.filter(F.col("g") != RARE), whole, step, int(n.sum()), int(v.sum()))
+    return Model(words, known, c, step, int(n.sum()), int(v.sum()))
+
+
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest takes."""
+    return c.astype(np.min_scalar_type(int(c.max(initial=0))))
+
+
+def _fetched(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the words of ``vocabulary``, HEAD at most."""
+    got = vocabulary.select("h", "n").toArrow()
+    h, c = np.asarray(got.column("h")).view(U), _narrow(np.asarray(got.column("n")))
+    del got
+    o = np.argsort(h)
+    return h[o], c[o]
 
 
 def _scores(sums: DataFrame, model: Model) -> DataFrame:
@@ -507,17 +572,13 @@ def score(df: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, perplexity of every row of ``df`` (doc_id, text)."""
     if not model.whole:
         return _score_by_joins(df, model)
-    got = model.vocabulary.toArrow()
-    h, c, g = (np.asarray(got.column(x)) for x in ("h", "n", "g"))
-    o = np.argsort(h.view(U))
-    table, log_counts = Table(h.view(U)[o], g[o].astype(np.int16)), np.log10(c[o] + 1.0).astype(np.float64)
-    sent = df.sparkSession.sparkContext.broadcast((table, log_counts, model.step))
+    sent = df.sparkSession.sparkContext.broadcast((model.known, model.counts, model.step))
     kind = "row long, doc_id long, h long, n_tokens long, n_known long, counted double, walk double, tf long"
 
     def run(batches):
         from pyspark import TaskContext
 
-        table, log_counts, step = sent.value
+        table, counts, step = sent.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, b, data, offs in B.text_pieces(batch):
@@ -531,7 +592,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 zero = np.zeros(n, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), batch.column(0)[a:b].cast(pa.int64()), pa.array(B.mix(ids.astype(U)).view(np.int64)), pa.array(np.bincount(doc, minlength=n)),
-                    pa.array(np.bincount(doc[known], minlength=n)), pa.array(np.bincount(doc[known], log_counts[at[known]], minlength=n) + 0.0), pa.array(np.bincount(doc, walk, minlength=n) + 0.0), pa.array(zero),
+                    pa.array(np.bincount(doc[known], minlength=n)), pa.array(np.bincount(doc[known], np.log10(counts[at[known]] + 1.0), minlength=n) + 0.0), pa.array(np.bincount(doc, walk, minlength=n) + 0.0), pa.array(zero),
                 ], ["row", "doc_id", "h", "n_tokens", "n_known", "counted", "walk", "tf"])
                 # Words outside the vocabulary, each rare or new: one row for each document and word.
                 doc, h = doc[~known], h[~known]
