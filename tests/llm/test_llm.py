@@ -253,6 +253,23 @@ def test_suffix_dedup_with_passages(spark, rows, monkeypatch, bound):
     assert suffix_dedup.dedup_spans(empty(spark), passage=40).count() == 0
 
 
+def test_suffix_dedup_seeks_in_stretches_alone(spark, monkeypatch):
+    """Copies inside different texts, cut in the middle of a character and twice in one text, end with their stretches: nothing is left to be sorted for the longer strings."""
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefghij éß") for _ in range(n))
+    same, twice, short = text(230), text(150), text(60)
+    rows = [(i, f"{text(90)}{'éè'[i % 2]}{same}{'ßà'[i % 2]}{text(80)}{short}{text(40)}") for i in range(6)]
+    rows += [(7, twice + text(70) + twice + text(30) + same + text(9) + twice), (7, twice + text(70) + same), (None, text(20) + twice), (8, text(500)), (9, None)]
+    rows += rows[:1] + [(10, rows[0][1])]
+    sorts, plain = [], suffix_dedup.repeated_spans
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda df, length: sorts.append((length, df.agg(F.sum(F.octet_length("text"))).first()[0])) or plain(df, length))
+    got = suffix_dedup.dedup_spans(frame(spark, rows), 100, digest=True, passage=40)
+    assert as_rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(rows, 100), key=str)
+    assert as_rows(got, "doc_id", "n_bytes", "n_passage") == sorted([(d, n, lost) for d, n, lost, _, _ in brute.repeats(rows, 40)], key=str)
+    (_, every), (length, sought) = sorts
+    assert length == 100 and sought < 0.75 * every
+
+
 def test_suffix_dedup_cuts_long_texts_and_hot_groups(spark, rows, monkeypatch):
     for name, v in (("STARTS", 700), ("SHARD_BYTES", 2000)):
         monkeypatch.setattr(suffix_dedup, name, v)

@@ -144,6 +144,7 @@ def _emit(length: int):
             ids, ths = batch.column(0), batch.column(2)
             for x, y, data, offs in B.text_pieces(batch):
                 own_id, own_th = ids[x:y], np.asarray(ths[x:y])
+                spread = B.mix(own_th.view(U) ^ B.mix(np.asarray(own_id.fill_null(0)).view(U))).view(np.int64)
                 size = np.diff(offs)
                 # Of copies inside one task two are cut into pieces; further ones are removed whole, as they surely repeat.
                 keep, sure = [], []
@@ -156,7 +157,7 @@ def _emit(length: int):
                 if sure:
                     s = np.array(sure)
                     z = pa.array(np.zeros(len(s), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(own_th[s]), z, z, own_id.take(pa.array(s)), pa.array(own_th[s]), pa.array(np.zeros(len(s), np.int32)), pa.array((size[s] - length).astype(np.int32)), pa.array(np.ones(len(s), bool))], schema=_PIECE)
+                    yield pa.RecordBatch.from_arrays([pa.array(spread[s]), z, z, own_id.take(pa.array(s)), pa.array(own_th[s]), pa.array(np.zeros(len(s), np.int32)), pa.array((size[s] - length).astype(np.int32)), pa.array(np.ones(len(s), bool))], schema=_PIECE)
                     mask = np.ones(len(size), bool)
                     mask[s] = False
                     data = data[np.repeat(mask, size)]
@@ -166,7 +167,7 @@ def _emit(length: int):
                     doc, anchor, v1, v2, a, b, sure_ = _thinned(*found)
                     d = k[doc]
                     # Spans without a piece of their own only say what goes; they are spread by document.
-                    key = np.where(v1 | v2, anchor.view(np.int64), own_th[d])
+                    key = np.where(v1 | v2, anchor.view(np.int64), spread[d])
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(v1.view(np.int64)), pa.array(v2.view(np.int64)), own_id.take(pa.array(d)), pa.array(own_th[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(sure_)], schema=_PIECE)
 
     return run
@@ -257,7 +258,7 @@ def _shards(length: int):
 
 
 def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, th, spans (array of struct<a, b>: first and last byte + 1, apart and in order) of the documents that lose bytes; ``df`` has doc_id, text, th."""
+    """doc_id, th, spans (array of struct<a, b>: first and last byte + 1, apart and in order) of the documents that lose bytes; ``df`` has doc_id, text (string or binary) and th, its hash."""
     found = df.select("doc_id", "text", "th").mapInArrow(B.trimmed(_emit(length)), _ddl(_PIECE))
     judged = stored(found.repartition("anchor").sortWithinPartitions("anchor", "v1", "v2").mapInArrow(B.trimmed(_judge), _ddl(_SPAN)))
     # Rows that repeat id and text have equal spans: sets, which are merged inside tasks first, hold no more than one document has.
@@ -267,7 +268,7 @@ def repeated_spans(df: DataFrame, length: int = 400) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for doc_id, th, text_, cuts in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text_.encode()
+                raw = text_ if isinstance(text_, bytes) else text_.encode()
                 yield pa.RecordBatch.from_arrays([
                     pa.array([c["anchor"] for c in cuts], pa.int64()), pa.array([doc_id] * len(cuts), pa.int64()), pa.array([th] * len(cuts), pa.int64()), pa.array([c["a"] for c in cuts], pa.int32()),
                     pa.array([c["sure"] for c in cuts], pa.bool_()), pa.array([raw[c["a"] : c["b"] + length] for c in cuts], pa.binary()),
@@ -317,11 +318,42 @@ def keep(raw: bytes, spans: list[dict] | None) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _stretches(batches):
+    """From (doc_id, text, th, wide: spans) to each span's bytes, as a text of its own that starts at ``at``."""
+    for batch in batches:
+        ids, ths, ats, bodies = [], [], [], []
+        for doc_id, text, th, wide in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode()
+            for s in wide:
+                ids.append(doc_id)
+                ths.append(th)
+                ats.append(s["a"])
+                bodies.append(raw[s["a"] : s["b"]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(ats, pa.int32()), pa.array(bodies, pa.binary())], ["doc_id", "d_th", "at", "text"])
+
+
+def _in_stretches(d: DataFrame, wide: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, spans of what repeated strings of ``length`` bytes cover in ``d`` (doc_id, text, th), where ``wide`` (doc_id, th, wide: spans) has all stretches that can hold one.
+
+    A stretch is what strings of fewer bytes that repeat cover. Each part of a repeated string repeats, so that every occurrence of it lies in one stretch: the stretches as
+    texts of their own have the same repeated strings. Copies end where their stretches do, so that most are found by hash, without a sort.
+    Stretches that are equal bytes of one document lose the same, so content and document name them, as for whole texts.
+    """
+    few = stored(wide.withColumnsRenamed({"doc_id": "b_id", "th": "b_th"}))
+    cut = meet_few(d, few, "inner").select("doc_id", "text", "th", "wide").mapInArrow(B.trimmed(_stretches), "doc_id long, d_th long, at int, text binary")
+    own = stored(cut.withColumn("th", F.xxhash64("text")))
+    found = repeated_spans(own.select("doc_id", "text", "th"), length).withColumnsRenamed({"doc_id": "o_id", "th": "o_th"})
+    places = own.select("doc_id", "d_th", "at", "th").distinct()
+    met = places.join(found, F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("th") == F.col("o_th")))
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
+    return met.groupBy("doc_id", F.col("d_th").alias("th")).agg(F.sort_array(F.flatten(F.collect_list(moved))).alias("spans"))
+
+
 def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False, passage: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans of every row of ``df`` (doc_id, text), and what is left: kept (binary) or, with ``digest``, kept_sha256.
 
     With ``passage``, a shorter length, also n_passage: the bytes that repeated strings of that many bytes cover, which stay. Strings of ``length`` bytes can
-    only repeat inside such stretches of as many bytes, so these are then sought in documents that have one.
+    only repeat inside such stretches of as many bytes, all their occurrences, so these are then sought in the stretches alone (see ``_in_stretches``).
     """
     d = docs(df).withColumn("th", F.xxhash64("text"))
     if passage is None:
@@ -331,9 +363,9 @@ def dedup_spans(df: DataFrame, length: int = 400, digest: bool = False, passage:
             raise ValueError("passage is shorter than length")
         short = repeated_spans(d, passage)
         covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]))
-        some = stored(short.select("doc_id", "th", covered.alias("loose"), F.exists("spans", lambda s: s["b"] - s["a"] >= length).alias("long")))
-        own = meet_few(d, stored(some.filter("long").select(F.col("doc_id").alias("b_id"), F.col("th").alias("b_th"))), "inner")
-        found = repeated_spans(own, length).select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), "spans")
+        wide = F.filter("spans", lambda s: s["b"] - s["a"] >= length)
+        some = stored(short.select("doc_id", "th", covered.alias("loose"), wide.alias("wide")))
+        found = _in_stretches(d, some.filter(F.size("wide") > 0).select("doc_id", "th", "wide"), length).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
         spans = stored(some.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select("doc_id", "th", "spans", "loose"))
     joined = _with(d, spans, "left").select("doc_id", "text", "spans", F.coalesce("loose", F.lit(0)).alias("loose"))
     last = ("kept_sha256", "string", pa.string()) if digest else ("kept", "binary", pa.binary())
