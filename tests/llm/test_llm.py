@@ -107,6 +107,26 @@ def test_copies_emit_their_parts_once(spark):
     assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows, 3, 80), key=str)
 
 
+def test_parts_and_sets_come_in_goes(spark, rows, monkeypatch):
+    goes = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, real=jaccard_join.stored: goes.append(df.columns) or real(df))
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 0)
+    monkeypatch.setattr(jaccard_join, "SET_BYTES", 0)
+    got = jaccard_join.near_components(frame(spark, rows), 3, 90)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.near(rows, 3, 90), key=str)
+    assert goes.count(["grp", "node"]) == len(jaccard_join.GOES)
+
+
+def test_lots_have_each_part_once():
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 2, 7, 40, 300, 301]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    val = rng.integers(0, 2**63, first[-1]).astype(np.uint64)
+    pairs = lambda lots: [(int(a), int(b)) for who, sig in jaccard_join.part_hashes(first, val, jaccard_join.Parts(80), lots) for a, b in zip(who, sig)]
+    dealt = [p for lots in jaccard_join.GOES for p in pairs(lots)]
+    assert sorted(dealt) == sorted(pairs(range(jaccard_join.LOTS))) and len(set(dealt)) == len(dealt)
+
+
 def test_near_components_empty(spark):
     assert jaccard_join.near_components(empty(spark)).count() == 0
 

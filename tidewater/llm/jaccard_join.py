@@ -8,7 +8,8 @@ Link: two documents whose sets of word shingles have 100 * intersection >= perce
    shingles are dealt into m > d parts by their hash, at least m - d parts are equal in both. A class emits a hash of
    each part, for the size group of its own and, near the group's upper end, of the next ones, so no linked pair is
    missed. Rows (part hash, class) are sorted by part hash and streamed; classes that are alone drop out, and groups with the same
-   members, which near copies have by the dozen, leave once.
+   members, which near copies have by the dozen, leave once. Beyond ``PART_BYTES`` parts come in several goes, of which only one is on disk;
+   a group whose members the first, small go has joined needn't be looked at, so most of a family's groups fall away.
 3. Only then do the members of a group get their bitmaps, of one to two bits a shingle (4 KB at most), each the parity of the shingles that hash to
    it. Two sets differ in no fewer shingles than their bitmaps in bits, and that number of bits is a metric: of classes ordered by
    their distance from one of them, those before a gap of more than d bits can't link with those behind it. A group is split at such gaps, and pieces of up to
@@ -35,6 +36,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 from math import ceil
 
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import _bytes as B
-from tidewater.llm._frames import _sieved, docs, few_key, let_go, meet_few, small, stored
+from tidewater.llm._frames import _sieved, docs, few_key, forget, let_go, meet_few, small, stored
 from tidewater.llm._graph import Forest, components
 
 U = np.uint64
@@ -52,6 +54,13 @@ U = np.uint64
 BLOCK = 500_000
 #: Shingles of the leaders that meet in one task.
 MEET = 2_000_000
+#: Bytes of part hashes, or of the sets of blocks, that are shuffled at once; more come in goes.
+PART_BYTES, SET_BYTES = 32 << 20, 256 << 20
+#: Lots of parts (of ``LOTS``) in each go.
+LOTS = 16
+GOES = [range(0, 1), range(1, 6), range(6, 11), range(11, 16)]
+#: Goes over blocks whose sets are more than ``SET_BYTES``.
+SET_GOES = 4
 RATIO = 1.3
 #: Up to so many classes of one group are compared bitmap by bitmap.
 GROUP = 64
@@ -141,8 +150,8 @@ class Parts:
         return out
 
 
-def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, part hash) rows.
+def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts, lots: range = range(LOTS)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, part hash) rows, of the parts in these ``lots``.
 
     A pair has m - d equal parts or more. So a set with fewer than m - d parts of at most one shingle needn't emit those: some equal part is
     larger, and the other set emits it too. Else, with fewer than m - d empty parts, it needn't emit the empty ones. One shingle alone
@@ -163,12 +172,15 @@ def part_hashes(first: np.ndarray, val: np.ndarray, parts: Parts) -> Iterator[tu
         f = np.concatenate(([0], np.cumsum(n)))
         at = np.repeat(first[who] - f[:-1], n) + np.arange(f[-1])
         slot = np.repeat(np.arange(len(who)), n) * m + (dealt[at] % U(m)).astype(np.int64)
-        total = np.zeros(len(who) * m, U)
-        np.add.at(total, slot, body[at])
         held = np.bincount(slot, minlength=len(who) * m)
+        # A part's lot depends on its number and its size group only, so equal parts have one lot.
+        asked = np.isin((B.mix(np.arange(m).astype(U) + U(g * int(_SALT[1]) % 2**64)) % U(LOTS)).astype(np.int64), lots)
+        own = np.tile(asked, len(who))
+        total = np.zeros(len(who) * m, U)
+        np.add.at(total, slot[own[slot]], body[at[own[slot]]])
         few = held.reshape(-1, m)
         least = np.where((few <= 1).sum(1) < m - d, 2, np.where((few == 0).sum(1) < m - d, 1, 0))
-        out = np.flatnonzero(held >= np.repeat(least, m))
+        out = np.flatnonzero(own & (held >= np.repeat(least, m)))
         sig = B.mix(total[out] + (out % m).astype(U) * _SALT[0] + held[out].astype(U) * _SALT[1] + U(g * int(_SALT[2]) % 2**64))
         yield who[out // m], sig
 
@@ -558,27 +570,46 @@ def _split(percent: int):
 
 def blocks(df: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root: the classes that might link with another, and their block; ``classes`` has node, n_shingles, bits."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def emit(batches):
-        parts, seen = Parts(percent), set()
-        for _, _, _, first, val in _sets(batches, k):
-            names = set_names(first, val)
-            # A class is emitted once a task: a group of copies is thinned out before the shuffle.
-            fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool)
-            if len(seen) > 500_000:
-                seen.clear()
-            keep = np.repeat(fresh, np.diff(first))
-            f = np.concatenate(([0], np.cumsum(np.where(fresh, np.diff(first), 0))))
-            for who, sig in part_hashes(f, val[keep], parts):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "node"])
-
-    rows = df.select("doc_id", "text").mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
-    groups = stored(rows.mapInArrow(B.trimmed(_shared), "grp long, node long")).distinct()
-    let_go(df.sparkSession)
-    sides = groups.join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node").select("grp", "n", "node", "bits")
-    stars = sides.repartition(n, "grp").sortWithinPartitions("grp", "n", "node").mapInArrow(B.trimmed(_split(percent)), "a long, b long")
-    return components(stars)
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Some 0.6 rows a shingle at 80 percent, fewer above.
+    total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    known, stars = None, []
+    for lots in GOES if 10 * total > PART_BYTES else [range(LOTS)]:
+
+        def emit(batches, lots=lots):
+            parts, seen = Parts(percent), set()
+            for _, _, _, first, val in _sets(batches, k):
+                names = set_names(first, val)
+                # A class is emitted once a task: a group of copies is thinned out before the shuffle.
+                fresh = np.array([not (x in seen or seen.add(x)) for x in names.tolist()], bool)
+                if len(seen) > 500_000:
+                    seen.clear()
+                keep = np.repeat(fresh, np.diff(first))
+                f = np.concatenate(([0], np.cumsum(np.where(fresh, np.diff(first), 0))))
+                for who, sig in part_hashes(f, val[keep], parts, lots):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(names[who].view(np.int64))], ["sig", "node"])
+
+        rows = df.select("doc_id", "text").mapInArrow(B.trimmed(emit), "sig long, node long").repartition(n, "sig").sortWithinPartitions("sig", "node")
+        shared = stored(rows.mapInArrow(B.trimmed(_shared), "grp long, node long"))
+        let_go(spark)
+        groups = shared.distinct() if known is None else _open_groups(shared.distinct(), known)
+        sides = groups.join(classes.select("node", F.col("n_shingles").alias("n"), "bits"), "node").select("grp", "n", "node", "bits")
+        stars.append(stored(sides.repartition(n, "grp").sortWithinPartitions("grp", "n", "node").mapInArrow(B.trimmed(_split(percent)), "a long, b long")))
+        forget(shared)
+        let_go(spark)
+        if known is None:
+            known = components(stars[0])
+    if len(stars) == 1:
+        return known
+    return components(reduce(DataFrame.unionByName, stars))
+
+
+def _open_groups(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``groups`` (grp, node) whose members aren't all of one component yet, by ``known`` (node, root)."""
+    rooted = groups.join(known, "node", "left").select("grp", F.coalesce("root", "node").alias("root"))
+    still = rooted.groupBy("grp").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("grp")
+    return groups.join(still, "grp", "left_semi")
 
 
 def bodies(df: DataFrame, placed: DataFrame, k: int) -> DataFrame:
@@ -632,10 +663,9 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One document stands for each class in a block; it carries its block and its sub-block.
     named = stored(block.join(classes, "node"))
+    goes = SET_GOES if 8 * (named.agg(F.sum("n_shingles")).first()[0] or 0) > SET_BYTES else 1
     size = named.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("subs"))
     placed = named.join(size, "root").select("node", "rep_id", "rep_th", "root", F.pmod(F.xxhash64("node"), "subs").alias("sub"), "subs")
-    sets = bodies(df, placed, k).select("root", "sub", "subs", "node", "body")
-
     def search(rows):
         nodes: dict[int, bytes] = {}
         for r in rows:
@@ -656,8 +686,12 @@ def links(df: DataFrame, classes: DataFrame, block: DataFrame, k: int, percent:
         if out:
             yield _found(out)
 
-    got = stored(sets.repartition(n, "root", "sub").sortWithinPartitions("root", "sub", "node").mapInArrow(B.trimmed(_units(2, search)), _FOUND_DDL))
-    let_go(df.sparkSession)
+    got = None
+    for go in range(goes):
+        sets = bodies(df, placed.filter(F.pmod(F.xxhash64("root", "sub"), F.lit(goes)) == go), k).select("root", "sub", "subs", "node", "body")
+        some = stored(sets.repartition(n, "root", "sub").sortWithinPartitions("root", "sub", "node").mapInArrow(B.trimmed(_units(2, search)), _FOUND_DDL))
+        got = some if got is None else got.unionByName(some)
+        let_go(df.sparkSession)
     sure = got.filter("kind = 0").select("a", "b")
     leaders = got.filter("kind = 1")
     if leaders.isEmpty():
